@@ -1,9 +1,9 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Training: labelled texts are read by Spark, each task counts the hashed 1- to 3-grams
-of its batch per language in numpy, and Spark sums the counts; at most
-``max_training_docs`` documents of each language are used, those of the smallest
-hash of their text, a documented bound. The table of log probabilities has
+of its batch per language in numpy, and Spark sums the counts. Of a language with more than
+``max_training_docs`` documents about so many are used, those with the smallest hashes of their text; this
+is the documented bound of the sample. The table of log probabilities has
 (languages x buckets) floats: its size is fixed by parameters and it is broadcast.
 
 Scoring: each text's n-grams are looked up and summed in numpy, for whole texts
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import mix, strings
@@ -64,16 +64,16 @@ def train(labelled: DataFrame, buckets: int = BUCKETS, max_training_docs: int =
     labelled: text, lang. Rows with a null in either are left out.
     """
     rows = labelled.where("text is not null and lang is not null").select("lang", "text")
-    languages = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    languages.sort()
+    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    languages = sorted(r.lang for r in counted)
     if not languages:
         return [], np.zeros((buckets, 0), np.float32)
     # the bounded sample: a text's own hash decides, so that it doesn't depend on order or partitions
-    key = F.xxhash64("text")
-    w = Window.partitionBy("lang").orderBy("_cut")
-    hashes = rows.select("lang", (F.shiftrightunsigned(key, 44)).alias("_cut")).groupBy("lang", "_cut").count()
-    cuts = hashes.withColumn("_n", F.sum("count").over(w)).where(F.col("_n") <= max_training_docs).groupBy("lang").agg(F.max("_cut").alias("_max"))
-    sample = rows.join(F.broadcast(cuts), "lang").where(F.shiftrightunsigned(key, 44) <= F.col("_max")).select("lang", "text")
+    share = F.lit(1.0)
+    for r in counted:
+        if r["count"] > max_training_docs:
+            share = F.when(F.col("lang") == r.lang, F.lit(max_training_docs / r["count"])).otherwise(share)
+    sample = rows.where(F.shiftrightunsigned(F.xxhash64("text"), 32) < share * float(1 << 32))
     at = {x: i for i, x in enumerate(languages)}
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,8 +87,8 @@ def train(labelled: DataFrame, buckets: int = BUCKETS, max_training_docs: int =
         if len(where[0]):
             yield pa.RecordBatch.from_arrays([pa.array(where[0].astype(np.int32)), pa.array(where[1].astype(np.int32)), pa.array(total[where])], names=["l", "b", "n"])
 
-    counted = sample.mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n"))
-    table = counted.toPandas()  # at most languages x buckets rows
+    summed = sample.mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n"))
+    table = summed.toPandas()  # at most languages x buckets rows
     counts = np.full((buckets, len(languages)), SMOOTHING)
     counts[table["b"].to_numpy(), table["l"].to_numpy()] += table["n"].to_numpy()
     return languages, np.log(counts / counts.sum(axis=0)).astype(np.float32)

@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import read_table
+from . import op3_linkgraph
 from .op2_orc import orc_query
 from .op4_windows import windows_query
+from .op5_superminhash import near_duplicates
 from .op6_repetition import quality_rules
 from .op7_language import language_query
+from .op8_cgk import find_leaks
 from .op10_packing import pack
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,10 +25,18 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_query(read_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op3_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_linkgraph.judge_urls(read_table(spark, sf_dir, "pages"))
+
+
 def op4_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows_query(read_table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
@@ -34,12 +45,17 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_query(read_table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_orc, op4_repeated_windows, op6_repetition_rules, op7_language_id, op10_mixture_packing)
+    f.__name__: f
+    for f in (op2_token_orc, op3_link_graph, op4_repeated_windows, op5_near_duplicates, op6_repetition_rules, op7_language_id, op8_benchmark_leaks, op10_mixture_packing)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_link_graph": op3_linkgraph.oracle()}
