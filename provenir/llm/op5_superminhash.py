@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -171,3 +171,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     final = classed.join(groups.withColumnRenamed("vertex", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return final.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def drop_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
+    """docs with one document of each group, that of the least doc_id; of rows with one doc_id, that of the least text."""
+    kept = near_duplicates(docs, width, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.where("doc_id is not null")
+    one = named.join(kept, F.col("doc_id").cast("long") == F.col("_kept")).withColumn("_row", F.row_number().over(Window.partitionBy("_kept").orderBy("text"))).where("_row = 1")
+    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))

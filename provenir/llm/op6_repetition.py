@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .text import strings, words_of
+from .text import filter_texts, strings, words_of
 
 MIN_REPEAT = 8  # words; a power of two
 MAX_COVERED_PERCENT = 40
@@ -157,6 +157,19 @@ def _dup_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
+def verdicts(x: dict[str, np.ndarray], max_covered_percent: int, max_longest_percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """base_failed and kept of judged texts."""
+    n = x["n_words"]
+    failed = (n < MIN_WORDS) | (100 * x["n_repeat_words"] > MAX_REPEAT_WORDS_PERCENT * n)
+    repeats_much = (100 * x["covered_words"] > max_covered_percent * n) | (100 * x["longest_repeat"] > max_longest_percent * n)
+    return failed, ~(failed | repeats_much)
+
+
+def keep_good(docs: DataFrame, max_covered_percent: int = MAX_COVERED_PERCENT, max_longest_percent: int = MAX_LONGEST_PERCENT) -> DataFrame:
+    """The rows of docs that pass, with all their columns."""
+    return filter_texts(docs, lambda: lambda texts: verdicts(judge(texts), max_covered_percent, max_longest_percent)[1].tolist())
+
+
 def quality_rules(
     docs: DataFrame,
     max_covered_percent: int = MAX_COVERED_PERCENT,
@@ -176,13 +189,8 @@ def quality_rules(
                 size += len(t or "")
 
     def _rows(ids: list[int], x: dict[str, np.ndarray]) -> pa.RecordBatch:
-        n = x["n_words"]
-        failed = (n < MIN_WORDS) | (100 * x["n_repeat_words"] > MAX_REPEAT_WORDS_PERCENT * n)
-        repeats_much = (100 * x["covered_words"] > max_covered_percent * n) | (100 * x["longest_repeat"] > max_longest_percent * n)
         names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), *(pa.array(x[k], pa.int64()) for k in names), pa.array(failed), pa.array(~(failed | repeats_much))],
-            names=["doc_id", *names, "base_failed", "kept"],
-        )
+        failed, kept = verdicts(x, max_covered_percent, max_longest_percent)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x[k], pa.int64()) for k in names), pa.array(failed), pa.array(kept)], names=["doc_id", *names, "base_failed", "kept"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(batches, SCHEMA)

@@ -21,14 +21,15 @@ left out; equal items all match; repeated documents are judged one by one; empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import mix, strings, word_hashes
+from .text import GROUP_CHARS, filter_texts, mix, strings, word_hashes
 
 SIMILARITY = 0.8
 SEED = 4
@@ -36,7 +37,6 @@ WALKS = 12
 TABLES = 6
 SAMPLE = 2
 BLOCK_BYTES = 16 << 20
-GROUP_CHARS = 1 << 20
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -188,36 +188,69 @@ class Index:
         return 1 - d / len(w) if d <= e else None
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, contaminated, n_items, items (ids in order) and similarity (the greatest) for each document."""
+def blocks_of(benchmark: DataFrame) -> list[Broadcast]:
+    """The benchmark's (item_id, text), broadcast in blocks of bounded size."""
     size = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = -(-size // BLOCK_BYTES) or 1
-    spark = docs.sparkSession
-    indexes = []
+    out = []
     for b in range(blocks):
         rows = benchmark.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).select(F.col("item_id").cast("long"), "text").orderBy("item_id").collect()
-        indexes.append(spark.sparkContext.broadcast([(r[0], r[1]) for r in rows]))
+        out.append(benchmark.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in rows]))
+    return out
+
+
+def searcher(blocks: list[Broadcast], similarity: float) -> Callable[[list[str]], list[dict[int, float]]]:
+    """A task's search of a list of texts: the items of each and their similarity. One block's index stays in memory; of more, one at a time."""
+    only = Index(blocks[0].value, similarity) if len(blocks) == 1 else None
+
+    def search(texts: list[str]) -> list[dict[int, float]]:
+        group = [words(t) for t in texts]
+        if only:
+            return only.search(group)
+        out: list[dict[int, float]] = [{} for _ in texts]
+        for b in blocks:
+            for have, more in zip(out, Index(b.value, similarity).search(group), strict=True):
+                have.update(more)
+        return out
+
+    return search
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs that hold no benchmark item, with all their columns."""
+    blocks = blocks_of(benchmark)
+
+    def keeper() -> Callable[[list[str]], list[bool]]:
+        search = searcher(blocks, similarity)
+        return lambda texts: [not x for x in search(texts)]
+
+    return filter_texts(docs, keeper)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, contaminated, n_items, items (ids in order) and similarity (the greatest) for each document."""
+    blocks = blocks_of(benchmark)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = [Index(b.value, similarity) for b in indexes[:1]]
+        search = searcher(blocks, similarity)
         for batch in it:
-            ids, texts = batch.column(0), strings(batch.column(1))
-            out: list[dict[int, float]] = []
-            group, chars = [], 0
+            texts = strings(batch.column(1))
+            begin, size = 0, 0
             for i, t in enumerate(texts):
-                group.append(words(t))
-                chars += len(t)
-                if chars > GROUP_CHARS or i == len(texts) - 1:
-                    hits = built[0].search(group)
-                    for b in indexes[1:]:  # a benchmark of more than one block
-                        for have, more in zip(hits, Index(b.value, similarity).search(group), strict=True):
-                            have.update(more)
-                    out += hits
-                    group, chars = [], 0
-            items = [sorted(x) for x in out]
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([bool(x) for x in items], pa.bool_()), pa.array(map(len, items), pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array([round(max(x.values()), 6) if x else None for x in out], pa.float64())],
-                names=["doc_id", "contaminated", "n_items", "items", "similarity"],
-            )
+                size += len(t)
+                if size > GROUP_CHARS or i == len(texts) - 1:
+                    found = search(texts[begin : i + 1])
+                    items = [sorted(x) for x in found]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).slice(begin, len(found)),
+                            pa.array([bool(x) for x in items], pa.bool_()),
+                            pa.array(map(len, items), pa.int64()),
+                            pa.array(items, pa.list_(pa.int64())),
+                            pa.array([round(max(x.values()), 6) if x else None for x in found], pa.float64()),
+                        ],
+                        names=["doc_id", "contaminated", "n_items", "items", "similarity"],
+                    )
+                    begin, size = i + 1, 0
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, contaminated boolean, n_items long, items array<long>, similarity double")

@@ -9,18 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import read_table
 from . import op3_linkgraph
+from .op1_surrogates import surrogate_query
 from .op2_orc import orc_query
 from .op4_windows import windows_query
 from .op5_superminhash import near_duplicates
 from .op6_repetition import quality_rules
 from .op7_language import language_query
 from .op8_cgk import find_leaks
+from .op9_suffixes import suffix_query
 from .op10_packing import pack
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogate_query(read_table(spark, sf_dir, "documents"))
+
+
 def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_query(read_table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -49,13 +55,28 @@ def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_query(read_table(spark, sf_dir, "documents"))
+
+
 def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_token_orc, op3_link_graph, op4_repeated_windows, op5_near_duplicates, op6_repetition_rules, op7_language_id, op8_benchmark_leaks, op10_mixture_packing)
+    for f in (
+        op1_surrogates,
+        op2_token_orc,
+        op3_link_graph,
+        op4_repeated_windows,
+        op5_near_duplicates,
+        op6_repetition_rules,
+        op7_language_id,
+        op8_benchmark_leaks,
+        op9_suffix_dedup,
+        op10_mixture_packing,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_link_graph": op3_linkgraph.oracle()}

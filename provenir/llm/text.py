@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
 
+GROUP_CHARS = 1 << 20  # characters of text judged together
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -64,3 +68,22 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 def strings(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Python strings of an Arrow column, null as the empty one."""
     return [x or "" for x in column.to_pylist()]
+
+
+def filter_texts(docs: DataFrame, keeper: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is kept. keeper is called once in each task and gives the judge of a list of texts."""
+    at = docs.columns.index("text")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = keeper()
+        for batch in it:
+            texts = strings(batch.column(at))
+            begin, size = 0, 0
+            for i, t in enumerate(texts):
+                size += len(t)
+                if size > GROUP_CHARS or i == len(texts) - 1:
+                    part = batch.slice(begin, i + 1 - begin)
+                    yield part.filter(pa.array(keep(texts[begin : i + 1]), pa.bool_()))
+                    begin, size = i + 1, 0
+
+    return docs.mapInArrow(run, docs.schema)
