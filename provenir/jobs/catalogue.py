@@ -1,19 +1,628 @@
-"""All registered queries of the library and their SQL."""
+"""All registered queries of the library and their SQL. Each runs over its whole tables; limits are ranks of a top list."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..operators import blocks as B
+from ..operators import evidence as EV
+from ..operators import extraction as E
+from ..operators import graph as G
+from ..operators import reasoning as R
+from ..operators import retrieval as V
+from ..operators import review as RV
+from ..operators import semantic as S
+from ..operators import verify as VF
+from ..operators import workspace as W
+from ..sources import derived as D
+from ..storage import read_table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+# SQL shared by several oracles
+STOP = "[" + ", ".join(f"'{w}'" for w in T.RETRIEVAL_STOP_WORDS) + "]"
+
+
+def _tok(text: str) -> str:
+    return rf"list_filter(list_distinct(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}_-]+')), lambda t: NOT list_contains({STOP}, t))"
+
+
+BM25_SQL = f"""tk AS (SELECT doc_id, {_tok("text")} AS t FROM documents), post AS (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM tk),
+ st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM tk), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+ ask AS (SELECT item_id, unnest({_tok("text")}) AS term FROM benchmark),
+ raw AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5))) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * max(l) / max(mean))) AS raw FROM ask JOIN df USING (term) JOIN post USING (term), st GROUP BY item_id, doc_id),
+ sc AS (SELECT item_id, doc_id, round(raw / max(raw) OVER (PARTITION BY item_id), 6) AS score FROM raw),
+ bm AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rnk FROM sc)"""
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "benchmark").select("item_id", "text")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents")
+
+
+def _bm25(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
+    return V.bm25(_questions(spark, sf_dir), _docs(spark, sf_dir).select("doc_id", F.col("text").alias("body")), "item_id", "doc_id", F.col("text"), F.col("body"), limit)
+
+
+@query(f"SELECT doc_id, len({_tok('text')}) AS n_tokens FROM documents")
+def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+@query(f"SELECT term, count(*) AS df FROM (SELECT unnest({_tok('text')}) AS term FROM documents) GROUP BY term")
+def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.document_frequency(V.postings(_docs(spark, sf_dir), "doc_id", F.col("text")))
+
+
+@query(f"WITH {BM25_SQL} SELECT item_id, doc_id, score, rnk FROM bm WHERE rnk <= 10")
+def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bm25(spark, sf_dir, 10).withColumn("rnk", F.col("rnk").cast("long"))
+
+
+VECTOR_SQL = """vq AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
+ vs AS (SELECT query_id, vec_id AS ident, round(list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))), 6) AS score FROM embeddings, vq),
+ vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ident) AS rnk FROM vs WHERE score > 0)"""
+
+
+def _vectors(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
+    e = read_table(spark, sf_dir, "embeddings")
+    return V.vector_rank(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("ident"), F.col("embedding").alias("vector")), limit)
+
+
+@query(f"WITH {VECTOR_SQL} SELECT query_id, ident, score, rnk FROM vr WHERE rnk <= 10")
+def vector_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir, 10).withColumn("rnk", F.col("rnk").cast("long"))
+
+
+@query(
+    f"""WITH {BM25_SQL}, {VECTOR_SQL}, b AS (SELECT item_id AS question_id, doc_id AS block_id, rnk FROM bm WHERE rnk <= 30), v AS (SELECT query_id AS question_id, ident AS block_id, rnk FROM vr WHERE rnk <= 30),
+ f AS (SELECT question_id, block_id, b.rnk AS br, v.rnk AS vr, round(coalesce(1.0::DOUBLE / (60 + b.rnk), 0) + coalesce(1.0::DOUBLE / (60 + v.rnk), 0), 9) AS fused FROM b FULL JOIN v USING (question_id, block_id)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY fused DESC, block_id) AS rnk FROM f) SELECT question_id, block_id, br AS bm25_rank, vr AS vector_rank, fused, rnk FROM r WHERE rnk <= 10"""
+)
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _bm25(spark, sf_dir, 30).withColumnsRenamed({"item_id": "question_id", "doc_id": "block_id"})
+    v = _vectors(spark, sf_dir, 30).withColumnsRenamed({"query_id": "question_id", "ident": "block_id"})
+    out = V.reciprocal_rank_fusion({"bm25": b, "vector": v}, "question_id", "block_id", 10)
+    return out.select("question_id", "block_id", F.col("bm25_rank").cast("long"), F.col("vector_rank").cast("long"), "fused", F.col("rnk").cast("long"))
+
+
+@query(
+    f"""WITH {BM25_SQL}, rel AS (SELECT doc_id FROM labels WHERE quality = 1), n AS (SELECT count(*) AS n FROM rel), h AS (SELECT item_id, rnk, rel.doc_id IS NOT NULL AS hit FROM bm LEFT JOIN rel USING (doc_id) WHERE rnk <= 50),
+ p AS (SELECT item_id, count(*) FILTER (hit AND rnk <= 10) / max(n) AS recall, coalesce(1.0::DOUBLE / min(rnk) FILTER (hit), 0) AS rr, sum(CASE WHEN hit AND rnk <= 10 THEN 1 / log2(rnk + 1) ELSE 0 END) / list_sum(list_transform(range(1, least(max(n), 10) + 1), lambda i: 1 / log2(i + 1))) AS ndcg FROM h, n GROUP BY item_id)
+ SELECT count(*) AS n_questions, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM p"""
+)
+def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relevant = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    m = V.metrics(_bm25(spark, sf_dir, 50), relevant, "item_id", "doc_id")
+    return m.agg(F.count("*").alias("n_questions"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
+
+
+# Questions asked of the documents and of the graph, as rows (id, text)
+LEXICAL_QUESTIONS = [(1, "the thing of idiot source src3"), (2, "fr eauou worthless token"), (3, "Overview of English: en src10"), (4, "moron"), (5, "the and for")]
+
+
+def _ask(spark: SparkSession, rows: list[tuple[int, str]]) -> DataFrame:
+    return spark.createDataFrame(rows, "question_id long, question string")
+
+
+def _ask_sql(rows: list[tuple[int, str]]) -> str:
+    values = ", ".join("({}, '{}')".format(i, q.replace("'", "''")) for i, q in rows)
+    return f"questions AS (SELECT * FROM (VALUES {values}) AS x(question_id, question))"
+
+
+@query(
+    f"""WITH {_ask_sql(LEXICAL_QUESTIONS)}, b AS (SELECT doc_id AS ident, lower(lang) AS title, lower(source) AS heading, lower(text) AS text FROM documents), t AS (SELECT question_id, unnest({_tok("question")}) AS term FROM questions),
+ m AS (SELECT ident, term, contains(text, term) OR contains(title, term) AS counts, contains(title, term) AS tt, contains(heading, term) AS hh FROM b, (SELECT DISTINCT term FROM t) WHERE contains(text, term) OR contains(title, term) OR contains(heading, term)),
+ i AS (SELECT term, ln(((SELECT count(*) FROM b) + 1) / (count(m.ident) FILTER (counts) + 1)) + 1 AS idf FROM (SELECT DISTINCT term FROM t) LEFT JOIN m USING (term) GROUP BY term),
+ tot AS (SELECT question_id, sum(idf) AS total FROM t JOIN i USING (term) GROUP BY question_id),
+ h AS (SELECT question_id, ident, sum(idf) / max(total) AS cov, count(*) FILTER (tt) AS titles, count(*) FILTER (hh) AS heads, count(*) AS matched, max(idf) AS rare, max(length(term)) AS longest FROM t JOIN i USING (term) JOIN m USING (term) JOIN tot USING (question_id) GROUP BY question_id, ident),
+ s AS (SELECT question_id, ident, matched, round(least(1.0::DOUBLE, cov * 0.78 + least(titles * 0.12::DOUBLE, 0.18) + least(heads * 0.06::DOUBLE, 0.1)), 6) AS score FROM h WHERE titles > 0 OR heads > 0 OR round(cov, 9) >= 0.24 OR (matched = 1 AND rare >= 1.45 AND longest >= 5)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, ident) AS rnk FROM s) SELECT question_id, ident, score, matched, rnk FROM r WHERE rnk <= 8"""
+)
+def weighted_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = _docs(spark, sf_dir).select(F.col("doc_id").alias("ident"), F.col("lang").alias("title"), F.col("source").alias("heading"), "text")
+    return V.weighted_lexical(_ask(spark, LEXICAL_QUESTIONS), blocks).withColumn("rnk", F.col("rnk").cast("long"))
+
+
+# --- notes and the authored graph -----------------------------------------------------------------------------------
+
+BODY = r"regexp_replace(markdown, '^---\s*\n([\s\S]*?)\n---\s*(?:\n|$)', '')"
+EDGES_SQL = rf"""{D.NOTES_SQL}, lk AS (SELECT pos, id, unnest(list_transform(regexp_extract_all({BODY}, '\[\[([^\]|#]+)(?:#([^\]|]+))?(?:\|([^\]]+))?\]\]', 1), lambda x: trim(x))) AS title, generate_subscripts(regexp_extract_all({BODY}, '\[\[([^\]|#]+)(?:#([^\]|]+))?(?:\|([^\]]+))?\]\]', 1), 1) - 1 AS link_pos FROM notes),
+ ti AS (SELECT lower(trim(title)) AS k, count(*) AS n, min(id) AS note_id FROM notes GROUP BY 1),
+ edges AS (SELECT lk.id AS source, CASE WHEN n = 1 THEN note_id ELSE 'unresolved:' || lower(lk.title) END AS target, lk.title, coalesce(n = 1, false) AS resolved, pos, link_pos FROM lk LEFT JOIN ti ON lower(lk.title) = k)"""
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.authored_edges(D.notes(spark, sf_dir))
+
+
+@query(rf"WITH {EDGES_SQL} SELECT source, target, title, resolved, pos, link_pos::BIGINT AS link_pos FROM edges")
+def authored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir).withColumn("link_pos", F.col("link_pos").cast("long"))
+
+
+@query(
+    rf"""WITH {D.NOTES_SQL}, p AS (SELECT id, regexp_extract(markdown, '^---\s*\n([\s\S]*?)\n---\s*(?:\n|$)', 1) AS fm, {BODY} AS body FROM notes)
+ SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(body, '(^|\s)#([\p{{L}}\p{{N}}_/-]+)', 2))), ',') AS tags, len(regexp_extract_all(body, '\[\[([^\]|#]+)(?:#([^\]|]+))?(?:\|([^\]]+))?\]\]', 1)) AS n_links,
+ array_to_string(list_transform(list_filter(string_split(fm, chr(10)), lambda l: l <> ''), lambda l: split_part(l, ': ', 1) || '=' || CASE WHEN split_part(l, ': ', 2) = 'true' THEN 'b' WHEN regexp_matches(split_part(l, ': ', 2), '^-?\d+(\.\d+)?$') THEN 'n' WHEN starts_with(split_part(l, ': ', 2), '[') THEN 'list' ELSE 's' END || '=' || replace(trim(split_part(l, ': ', 2), '[]'), '''', '')), ';') AS props FROM p"""
+)
+def markdown_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("markdown")
+    props = F.transform(T.properties(m), lambda p: F.concat_ws("=", p["key"], p["value"]["kind"], p["value"]["text"]))
+    return D.notes(spark, sf_dir).select("id", F.array_join(F.array_sort(T.tags(m)), ",").alias("tags"), F.size(T.links(m)).cast("long").alias("n_links"), F.array_join(props, ";").alias("props"))
+
+
+@query(f"WITH {EDGES_SQL} SELECT target AS id, count(DISTINCT source) AS n_sources FROM edges WHERE resolved GROUP BY target")
+def backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir).where("resolved").groupBy(F.col("target").alias("id")).agg(F.count_distinct("source").alias("n_sources"))
+
+
+@query(f"WITH {EDGES_SQL} SELECT node, count(*) AS degree FROM (SELECT source AS node FROM edges UNION ALL SELECT target FROM edges) GROUP BY node")
+def node_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.degree(_edges(spark, sf_dir))
+
+
+@query(
+    f"""WITH {EDGES_SQL}, e AS (SELECT source AS u, target AS v FROM edges UNION SELECT target, source FROM edges), s AS (SELECT id AS st FROM notes WHERE id LIKE 'r%'),
+ h1 AS (SELECT DISTINCT st, v AS node FROM s JOIN e ON u = st WHERE v <> st), h2 AS (SELECT DISTINCT st, v AS node FROM h1 JOIN e ON u = node WHERE v <> st AND (st, v) NOT IN (SELECT st, node FROM h1))
+ SELECT st AS start, st AS node, 0 AS hops FROM s UNION ALL SELECT st, node, 1 FROM h1 UNION ALL SELECT st, node, 2 FROM h2"""
+)
+def neighborhood_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    starts = D.notes(spark, sf_dir).where("id like 'r%'").select(F.col("id").alias("start"))
+    return G.neighbourhood(starts, _edges(spark, sf_dir), 2)
+
+
+PATHS_SQL = """e AS (SELECT pos, source AS u, target AS v FROM rel UNION ALL SELECT pos, target, source FROM rel),
+ w AS (SELECT source AS s, target AS t, source AS node, []::BIGINT[] AS path, 0 AS h FROM pairs WHERE source <> target),
+ s1 AS (SELECT s, t, v AS node, list_append(path, pos) AS path FROM w JOIN e ON u = node WHERE v <> s QUALIFY row_number() OVER (PARTITION BY s, t, v ORDER BY list_append(path, pos)) = 1),
+ s2 AS (SELECT s, t, v AS node, list_append(path, pos) AS path FROM (SELECT * FROM s1 WHERE (s, t) NOT IN (SELECT s, t FROM s1 WHERE node = t)) x JOIN e ON u = node WHERE v <> s AND (s, t, v) NOT IN (SELECT s, t, node FROM s1) QUALIFY row_number() OVER (PARTITION BY s, t, v ORDER BY list_append(path, pos)) = 1),
+ s3 AS (SELECT s, t, v AS node, list_append(path, pos) AS path FROM (SELECT * FROM s2 WHERE (s, t) NOT IN (SELECT s, t FROM s2 WHERE node = t)) x JOIN e ON u = node WHERE v <> s AND (s, t, v) NOT IN (SELECT s, t, node FROM s1 UNION ALL SELECT s, t, node FROM s2) QUALIFY row_number() OVER (PARTITION BY s, t, v ORDER BY list_append(path, pos)) = 1),
+ s4 AS (SELECT s, t, v AS node, list_append(path, pos) AS path FROM (SELECT * FROM s3 WHERE (s, t) NOT IN (SELECT s, t FROM s3 WHERE node = t)) x JOIN e ON u = node WHERE v <> s AND (s, t, v) NOT IN (SELECT s, t, node FROM s1 UNION ALL SELECT s, t, node FROM s2 UNION ALL SELECT s, t, node FROM s3) QUALIFY row_number() OVER (PARTITION BY s, t, v ORDER BY list_append(path, pos)) = 1),
+ found AS (SELECT s AS source, t AS target, path FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4) WHERE node = t)"""
+
+
+@query(f"WITH {D.RELATIONS_SQL}, rel AS (SELECT * FROM relations WHERE status = 'accepted'), pairs AS (SELECT 's' || s_suppkey AS source, 'r' || r_regionkey AS target FROM supplier, region), {PATHS_SQL} SELECT source, target, array_to_string(path, '>') AS path FROM found")
+def relation_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rel = D.relations(spark, sf_dir).where("status = 'accepted'")
+    s, r = read_table(spark, sf_dir, "supplier"), read_table(spark, sf_dir, "region")
+    pairs = s.join(F.broadcast(r)).select(F.lit(0).alias("question"), F.concat(F.lit("s"), "s_suppkey").alias("source"), F.concat(F.lit("r"), "r_regionkey").alias("target"))
+    return G.shortest_paths(pairs, rel).select("source", "target", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+@query(
+    f"""WITH {EDGES_SQL}, k AS (SELECT pos AS p, link_pos AS l, source, target FROM edges WHERE resolved), rel AS (SELECT p * 10 + l AS pos, source, target FROM k), pairs AS (SELECT 'n' || n_nationkey AS source, 's' || s_suppkey AS target FROM nation, supplier), {PATHS_SQL} SELECT source, target, len(path) AS hops FROM found"""
+)
+def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rel = _edges(spark, sf_dir).where("resolved").select((F.col("pos") * 10 + F.col("link_pos")).alias("pos"), "source", "target")
+    n, s = read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "supplier")
+    pairs = s.join(F.broadcast(n)).select(F.lit(0).alias("question"), F.concat(F.lit("n"), "n_nationkey").alias("source"), F.concat(F.lit("s"), "s_suppkey").alias("target"))
+    return G.shortest_paths(pairs, rel).select("source", "target", F.size("path").cast("long").alias("hops"))
+
+
+@query(
+    f"""WITH RECURSIVE {D.RELATIONS_SQL}, {D.ENTITIES_SQL}, ok AS (SELECT id FROM entities WHERE status = 'accepted' AND merged_into IS NULL),
+ e AS (SELECT source AS u, target AS v FROM relations WHERE status = 'accepted' AND source IN (FROM ok) AND target IN (FROM ok) UNION SELECT target, source FROM relations WHERE status = 'accepted' AND source IN (FROM ok) AND target IN (FROM ok)),
+ r AS (SELECT id AS node, id AS root FROM ok UNION SELECT v, root FROM r JOIN e ON u = node)
+ SELECT node AS id, min(root) AS component FROM r GROUP BY node"""
+)
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.communities(D.entities(spark, sf_dir), D.relations(spark, sf_dir)).select("id", F.col("community").alias("component"))
+
+
+@query(
+    rf"""WITH {EDGES_SQL}, plain AS (SELECT id, lower(regexp_replace({BODY}, '\[\[[^\]]*\]\]', ' ', 'g')) AS body FROM notes)
+ SELECT t.id AS target, p.id AS source FROM notes t JOIN plain p ON p.id <> t.id AND contains(p.body, lower(t.title)) WHERE regexp_matches(p.body, '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(lower(t.title)) || '([^\p{{L}}\p{{N}}_]|$)')
+ AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.source = p.id AND e.target = t.id) AND t.id LIKE 'n%'"""
+)
+def unlinked_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = D.notes(spark, sf_dir)
+    plain = notes.select(F.col("id").alias("source"), F.lower(F.regexp_replace(T.body(F.col("markdown")), r"\[\[[^\]]*\]\]", " ")).alias("body"))
+    wanted = F.broadcast(notes.where("id like 'n%'").select(F.col("id").alias("target"), F.lower("title").alias("t")))
+    pattern = F.concat(F.lit(r"(^|[^\p{L}\p{N}_])\Q"), "t", F.lit(r"\E([^\p{L}\p{N}_]|$)"))
+    hit = plain.join(wanted, F.contains(F.col("body"), F.col("t")) & (F.col("source") != F.col("target"))).where(F.rlike("body", pattern))
+    return hit.join(_edges(spark, sf_dir).select("source", "target"), ["source", "target"], "left_anti").select("target", "source")
+
+
+# --- blocks ---------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT (row_number() OVER (ORDER BY n_nationkey) + 1)::BIGINT AS row, 'n_nationkey: ' || n_nationkey || chr(10) || 'n_name: ' || n_name || chr(10) || 'n_regionkey: ' || n_regionkey AS text, 'row-' || (row_number() OVER (ORDER BY n_nationkey) + 1) || '::' || left(sha256('n_nationkey: ' || n_nationkey || chr(10) || 'n_name: ' || n_name || chr(10) || 'n_regionkey: ' || n_regionkey), 12) AS block FROM nation"
+)
+def csv_row_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = read_table(spark, sf_dir, "nation")
+    rows = B.csv_row_blocks(n, (F.col("n_nationkey") + 2).cast("long"), ["n_nationkey", "n_name", "n_regionkey"])
+    return rows.withColumn("block", F.concat(F.lit("row-"), "row", F.lit("::"), B.content_id(F.col("text"), "", 12)))
+
+
+@query("SELECT doc_id, 'doc-' || left(sha256(text), 24) AS content_id FROM documents")
+def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", B.content_id(F.col("text"), "doc-", 24).alias("content_id"))
+
+
+@query("SELECT sha256(text) AS hash, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1")
+def dedup_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+
+
+def _decode_sql(x: str) -> str:
+    for p, v in (("&nbsp;", "' '"), ("&amp;", "'&'"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''")):
+        x = f"regexp_replace({x}, '{p}', {v}, 'gi')"
+    return x
+
+
+SAFE = r"regexp_replace(regexp_replace(html, '<script\b[^>]*>[\s\S]*?</script>', ' ', 'gi'), '<style\b[^>]*>[\s\S]*?</style>', ' ', 'gi')"
+_TAGS = "|".join(rf"<{t}\b[^>]*>[\s\S]*?</{t}>" for t in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "td", "th"))
+_INNER = r"regexp_replace(regexp_replace(regexp_replace(m, '^<[^>]*>', ''), '</[^>]*>$', ''), '<[^>]+>', ' ', 'g')"
+SECTIONS_SQL = rf"""m AS (SELECT page_id, unnest(regexp_extract_all({SAFE}, '(?i)({_TAGS})', 0)) AS m, generate_subscripts(regexp_extract_all({SAFE}, '(?i)({_TAGS})', 0), 1) AS i FROM pages),
+ t AS (SELECT page_id, i, lower(regexp_extract(m, '^<([A-Za-z0-9]+)', 1)) AS tag, trim(regexp_replace({_decode_sql(_INNER)}, '[ \t]+\n', chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13) || chr(160)) AS text FROM m),
+ s AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS n, tag, text FROM t WHERE text <> '')"""
+
+
+@query(f"WITH {SECTIONS_SQL} SELECT page_id, n, tag, text, tag || '-' || n AS section FROM s")
+def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.html_sections(read_table(spark, sf_dir, "pages"), "page_id", F.col("html"))
+
+
+_STRIP = rf"regexp_replace(regexp_replace({SAFE}, '</?(?:p|div|section|article|main|aside|header|footer|li|tr|h[1-6]|br)\b[^>]*>', chr(10), 'gi'), '<[^>]+>', ' ', 'g')"
+
+
+@query(f"SELECT page_id, md5({_decode_sql(_STRIP)}) AS digest FROM pages")
+def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "pages").select("page_id", F.md5(T.strip_html(F.col("html"))).alias("digest"))
+
+
+@query(
+    f"""WITH {SECTIONS_SQL}, h AS (SELECT *, CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN substr(tag, 2, 1)::INT END AS l FROM s),
+ w AS (SELECT *, max(CASE WHEN l = 1 THEN n END) OVER x AS h1 FROM h WINDOW x AS (PARTITION BY page_id ORDER BY n))
+ SELECT w.page_id, w.n, w.section, coalesce(k.text, '') AS path FROM (SELECT *, tag || '-' || n AS section FROM w) w LEFT JOIN s k ON k.page_id = w.page_id AND k.n = h1 WHERE l IS NULL"""
+)
+def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.heading_paths(B.html_sections(read_table(spark, sf_dir, "pages"), "page_id", F.col("html")), "page_id").select("page_id", "n", "section", "path")
+
+
+@query(
+    f"""WITH {SECTIONS_SQL}, b AS (SELECT 'document:' || page_id AS d, 'document:' || page_id || ':section:' || tag || '-' || n AS x, 'block:' || page_id || '::' || n AS k FROM s)
+ SELECT DISTINCT source, target FROM (SELECT d AS source, x AS target FROM b UNION ALL SELECT x, k FROM b)"""
+)
+def containment_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = B.html_sections(read_table(spark, sf_dir, "pages"), "page_id", F.col("html"))
+    rows = s.select("page_id", F.lit(None).cast("int").alias("page"), "section", F.lit("").alias("path"), F.concat_ws("::", "page_id", "n").alias("block_id"))
+    return B.containment(rows, "page_id")[1]
+
+
+@query()
+def plain_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.plain_blocks(_docs(spark, sf_dir), "doc_id", F.col("text"))
+
+
+@query()
+def note_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.note_blocks(D.notes(spark, sf_dir))
+
+
+@query(
+    "SELECT page_id, CASE WHEN ext IN ('html', 'htm') THEN 'html' END AS format, 'page ' || page_id + 1 || ' · ' || ext || ' · chars 0–' || length(url) AS location FROM (SELECT page_id, url, CASE WHEN contains(url, '.') THEN lower(list_last(string_split(url, '.'))) ELSE '' END AS ext FROM pages)"
+)
+def formats_and_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ext = F.when(F.instr("url", ".") > 0, F.lower(F.element_at(F.split("url", r"\."), -1))).otherwise("")
+    p = read_table(spark, sf_dir, "pages").withColumn("ext", ext)
+    return p.select("page_id", T.detect_format(F.col("url"), F.lit("")).alias("format"), B.format_location(F.col("page_id") + 1, F.lit(None).cast("int"), F.col("ext"), F.lit(0), F.length("url")).alias("location"))
+
+
+# --- entities, relations, questions ---------------------------------------------------------------------------------
+
+_ENT = [
+    (r"https?://[^\s)\]}>,]+", "url", "0.99"),
+    (r"\b(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])\b", "date", "0.98"),
+    (r"\b(?:[A-Z][\p{L}\p{N}&.-]+(?:\s+|$)){2,5}", "topic", "0.66"),
+    (r"\b[A-Z][\p{L}\p{N}&.-]{2,}\b", "topic", "0.56"),
+]
+ENTITY_SQL = D.SENTENCES_SQL + ", raw AS (" + " UNION ALL ".join(
+    f"SELECT block_id, trim(unnest(regexp_extract_all(text, '{p}', 0))) AS name, generate_subscripts(regexp_extract_all(text, '{p}', 0), 1) + {1000 * k} AS i, '{kind}' AS type, {conf}::DOUBLE AS confidence FROM sentences" for k, (p, kind, conf) in enumerate(_ENT)
+) + r"""), cand AS (SELECT *, lower(regexp_replace(name, '\s+', ' ', 'g')) AS normalized FROM raw WHERE type <> 'topic' OR confidence < 0.6 OR length(name) BETWEEN 5 AND 100),
+ ents AS (SELECT type, normalized, arg_min(name, (block_id, i)) AS name, max(confidence) AS confidence, list_sort(list_distinct(list(block_id))) AS evidence FROM cand GROUP BY type, normalized),
+ entity AS (SELECT *, 'entity-' || type || '-' || left(regexp_replace(regexp_replace(lower(name), '[^\p{L}\p{N}]+', '-', 'g'), '^-|-$', '', 'g'), 80) AS id FROM ents)"""
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.sentences(spark, sf_dir).select(F.col("block_id").alias("pos"), "block_id", "text", "o_orderdate")
+
+
+@query(f"WITH {ENTITY_SQL} SELECT id, type, name, normalized, confidence, len(evidence) AS n, evidence[1] AS first_block FROM entity")
+def entity_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = E.entity_candidates(_sentences(spark, sf_dir))
+    return e.select("id", "type", "name", "normalized", "confidence", F.size("evidence").cast("long").alias("n"), F.element_at("evidence", 1).alias("first_block"))
+
+
+@query(
+    rf"""WITH {ENTITY_SQL}, men AS (SELECT id, name, unnest(evidence) AS block_id FROM entity WHERE type NOT IN ('url', 'identifier')),
+ seen AS (SELECT m.block_id, id, name, lower(text) AS low, instr(lower(text), lower(name)) AS p FROM men m JOIN sentences s USING (block_id)),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY p, length(name) DESC, id) AS rk FROM seen WHERE p > 0),
+ pr AS (SELECT l.block_id, l.id AS source, r.id AS target, l.low, l.p + length(l.name) AS s, instr(substr(l.low, l.p + length(l.name)), lower(r.name)) AS b FROM rk l JOIN rk r ON l.block_id = r.block_id AND l.rk < r.rk WHERE l.rk <= 12 AND r.rk <= 12),
+ vb AS (SELECT block_id, source, target, left(substr(low, s, greatest(b - 1, 0)), 120) AS bt FROM pr WHERE b > 0),
+ vc AS (SELECT block_id, source, target, CASE WHEN regexp_matches(bt, '\bacquir(?:ed|es|ing)\b') THEN 'acquired' WHEN regexp_matches(bt, '\bpartner(?:ed|s|ing)?\s*(?:with)?\b') THEN 'partnered-with' WHEN regexp_matches(bt, '\buses?\b') THEN 'uses' WHEN regexp_matches(bt, '\bdepends?\s+on\b') THEN 'depends-on' WHEN regexp_matches(bt, '\bworks?\s+(?:at|for)\b') THEN 'works-at' WHEN regexp_matches(bt, '\b(?:is|was)\s+(?:part|member)\s+of\b') THEN 'part-of' WHEN regexp_matches(bt, '\b(?:created?|built|developed?)\b') THEN 'created' ELSE 'mentioned-with' END AS relation FROM vb)
+ SELECT source || '::' || relation || '::' || target AS id, relation, count(DISTINCT block_id) AS n, min(block_id) AS first_block FROM vc GROUP BY source, relation, target"""
+)
+def relation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = _sentences(spark, sf_dir)
+    r = E.relation_candidates(blocks.select("block_id", "text"), E.entity_candidates(blocks))
+    return r.select("id", "relation", F.size("evidence").cast("long").alias("n"), F.element_at("evidence", 1).alias("first_block"))
+
+
+GRAPH_QUESTIONS = [
+    (1, "How does Supplier#000000001 connect to Customer#000000002 and ASIA?"),
+    (2, "What happened in the EUROPE between 2021 and 1999?"),
+    (3, 'Find "exact words" here'),
+    (4, "Overview of all themes"),
+    (5, "Which part-of links since 2010 lead to the Asia and to Customer#000000007?"),
+    (6, "before 1995"),
+    (7, "NATION_3 or MIDDLE EAST from 2001 until 2005?"),
+    (8, "Tell me about Customer#000000011"),
+]
+ANCHOR_SQL = f"""{_ask_sql(GRAPH_QUESTIONS)}, {D.ENTITIES_SQL}, anchor AS (SELECT DISTINCT question_id, id, name FROM questions, (SELECT id, name, unnest(list_prepend(lower(name), aliases)) AS called FROM entities WHERE status = 'accepted' AND merged_into IS NULL) WHERE length(called) >= 3 AND contains(lower(question), called)),
+ al AS (SELECT question_id, list(id ORDER BY length(name) DESC, id) AS ids FROM anchor GROUP BY question_id),
+ tm AS (SELECT question_id, question, lower(question) AS q, coalesce(ids, []) AS ids FROM questions LEFT JOIN al USING (question_id)),
+ rt AS (SELECT *, CASE WHEN regexp_matches(q, '\\bbetween\\s+(19|20)\\d\\d\\s+(and|to)\\s+(19|20)\\d\\d\\b') THEN 1 WHEN regexp_matches(q, '\\bfrom\\s+(19|20)\\d\\d\\s+(to|through|until)\\s+(19|20)\\d\\d\\b') THEN 2 WHEN regexp_matches(q, '\\bbefore\\s+(19|20)\\d\\d\\b') THEN 3 WHEN regexp_matches(q, '\\b(after|since)\\s+(19|20)\\d\\d\\b') THEN 4 WHEN regexp_matches(q, '\\b(in|during)\\s+(19|20)\\d\\d\\b') THEN 5 END AS k FROM tm),
+ ys AS (SELECT *, CASE k WHEN 1 THEN regexp_extract(q, 'between\\s+(\\d{{4}})', 1) WHEN 2 THEN regexp_extract(q, 'from\\s+(\\d{{4}})', 1) WHEN 3 THEN regexp_extract(q, 'before\\s+(\\d{{4}})', 1) WHEN 4 THEN regexp_extract(q, '(?:after|since)\\s+(\\d{{4}})', 1) WHEN 5 THEN regexp_extract(q, '(?:in|during)\\s+(\\d{{4}})', 1) END::INT AS y1,
+  CASE k WHEN 1 THEN regexp_extract(q, 'between\\s+\\d{{4}}\\s+(?:and|to)\\s+(\\d{{4}})', 1) WHEN 2 THEN regexp_extract(q, 'from\\s+\\d{{4}}\\s+(?:to|through|until)\\s+(\\d{{4}})', 1) END::INT AS y2 FROM rt),
+ route AS (SELECT question_id, question, ids, CASE WHEN k IS NOT NULL THEN 'temporal' WHEN len(ids) >= 2 THEN 'multi-hop' WHEN len(ids) = 1 THEN 'local' WHEN regexp_matches(question, '["“].+["”]') THEN 'exact' ELSE 'global' END AS mode,
+  CASE WHEN k IN (1, 2) THEN least(y1, y2) WHEN k IN (4, 5) THEN y1 END AS from_year, CASE WHEN k IN (1, 2) THEN greatest(y1, y2) WHEN k = 3 THEN y1 - 1 WHEN k = 5 THEN y1 END AS to_year FROM ys)"""
+
+
+def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.route(_ask(spark, GRAPH_QUESTIONS), D.entities(spark, sf_dir))
+
+
+@query(f"WITH {ANCHOR_SQL} SELECT question_id, mode, array_to_string(ids, ',') AS anchors, from_year, to_year FROM route")
+def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _routed(spark, sf_dir).select("question_id", "mode", F.array_join("anchor_ids", ",").alias("anchors"), "time.from_year", "time.to_year")
+
+
+@query(
+    f"WITH {ANCHOR_SQL}, {D.SENTENCES_SQL} SELECT question_id, count(*) AS n_blocks, sum(block_id)::BIGINT AS checksum FROM route, sentences WHERE mode = 'temporal' AND list_bool_or(list_transform(regexp_extract_all(text, '\\b(?:19|20)\\d\\d\\b', 0), lambda y: (from_year IS NULL OR y::INT >= from_year) AND (to_year IS NULL OR y::INT <= to_year))) GROUP BY question_id"
+)
+def temporal_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.broadcast(_routed(spark, sf_dir).where("time is not null").select("question_id", "time"))
+    hit = _sentences(spark, sf_dir).join(q, R.block_matches(F.col("text"), None, F.col("time")))
+    return hit.groupBy("question_id").agg(F.count("*").alias("n_blocks"), F.sum("block_id").alias("checksum"))
+
+
+_YEARS_SQL = """ry AS (SELECT *, coalesce(regexp_extract(coalesce(valid_from, ''), '((?:19|20)\\d\\d)', 1), '') AS vf, coalesce(regexp_extract(coalesce(valid_to, ''), '((?:19|20)\\d\\d)', 1), '') AS vt, regexp_extract(observed_at, '((?:19|20)\\d\\d)', 1) AS ob FROM relations),
+ rv AS (SELECT *, coalesce(CASE WHEN vf <> '' THEN vf::INT END, ob::INT) AS b, coalesce(CASE WHEN vt <> '' THEN vt::INT END, CASE WHEN vf <> '' THEN vf::INT END, ob::INT) AS e FROM ry)"""
+
+
+@query(f"WITH {ANCHOR_SQL}, {D.RELATIONS_SQL}, {_YEARS_SQL} SELECT question_id, id FROM route, rv WHERE mode = 'temporal' AND (from_year IS NULL OR e >= from_year) AND (to_year IS NULL OR b <= to_year)")
+def relation_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.broadcast(_routed(spark, sf_dir).where("time is not null").select("question_id", "time"))
+    rel = D.relations(spark, sf_dir)
+    return rel.join(q).where(R.relation_matches(rel, F.col("time"))).select("question_id", "id")
+
+
+def _graph_sql() -> str:
+    """Earliest arrivals of two sweeps, unrolled: a tree of three levels needs no more rounds than these."""
+    parts = ["n0 AS (SELECT question_id, id, 0 AS sw, -1::BIGINT AS ps FROM start)"]
+    for i in range(1, 9):
+        parts.append(
+            f"n{i} AS (SELECT question_id, id, sw, ps FROM (SELECT * FROM n{i - 1} UNION ALL SELECT question_id, v, CASE WHEN pos > ps THEN sw ELSE sw + 1 END, pos FROM n{i - 1} JOIN near ON u = id WHERE CASE WHEN pos > ps THEN sw ELSE sw + 1 END < 2) QUALIFY row_number() OVER (PARTITION BY question_id, id ORDER BY sw, ps) = 1)"
+        )
+    return ", ".join(parts)
+
+
+OK_SQL = "ok AS (SELECT id, name, evidence FROM entities WHERE status = 'accepted' AND merged_into IS NULL), usable AS (SELECT * FROM relations WHERE status = 'accepted' AND source IN (SELECT id FROM ok) AND target IN (SELECT id FROM ok))"
+GRAPH_RANK_SQL = f"""{ANCHOR_SQL}, {D.RELATIONS_SQL}, {OK_SQL}, start AS (SELECT question_id, id FROM questions, ok WHERE length(name) >= 3 AND contains(lower(question), lower(name))),
+ near AS (SELECT pos, source AS u, target AS v FROM usable UNION ALL SELECT pos, target, source FROM usable), {_graph_sql()},
+ gr AS (SELECT question_id, block_id, max(score) AS score FROM (
+  SELECT n.question_id, unnest(evidence) AS block_id, CASE WHEN s.id IS NULL THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END AS score FROM n8 n JOIN ok USING (id) LEFT JOIN start s ON s.question_id = n.question_id AND s.id = n.id
+  UNION ALL SELECT a.question_id, unnest(evidence), 0.82::DOUBLE FROM usable JOIN n8 a ON a.id = source JOIN n8 b ON b.id = target AND b.question_id = a.question_id) GROUP BY question_id, block_id)"""
+
+
+@query(f"WITH {GRAPH_RANK_SQL} SELECT * FROM gr")
+def graph_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.graph_rank(_ask(spark, GRAPH_QUESTIONS), D.entities(spark, sf_dir), D.relations(spark, sf_dir))
+
+
+COMM_SQL = rf"""{D.ENTITIES_SQL}, {D.RELATIONS_SQL}, {OK_SQL}, e2 AS (SELECT source AS u, target AS v FROM usable UNION SELECT target, source FROM usable),
+ reach AS (SELECT id AS node, id AS root FROM ok UNION SELECT v, root FROM reach JOIN e2 ON u = node), comm AS (SELECT node AS id, min(root) AS community FROM reach GROUP BY node),
+ cs AS (SELECT community, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, community) - 1 AS idx FROM comm GROUP BY community),
+ voc AS (SELECT DISTINCT community, unnest({_tok("name")}) AS term FROM comm JOIN ok USING (id) UNION SELECT community, unnest({_tok("relation")}) FROM usable JOIN comm ON comm.id = source),
+ mt AS (SELECT question_id, community, count(*) AS m FROM (SELECT question_id, unnest({_tok("question")}) AS term FROM questions) JOIN voc USING (term) GROUP BY ALL),
+ br AS (SELECT question_id, regexp_matches(question, '(?i)\b(?:overall|overview|summari[sz]e|themes?|communities|clusters?|landscape|big picture)\b') AS broad FROM questions),
+ sc AS (SELECT question_id, community, CASE WHEN m IS NOT NULL THEN least(1.0::DOUBLE, 0.55::DOUBLE + 0.12 * m + 0.2 * least(1.0::DOUBLE, log2(size + 1) / 5)) ELSE greatest(0.15::DOUBLE, least(1.0::DOUBLE, log2(size + 1) / 5) * (1 - idx * 0.08::DOUBLE)) END AS score FROM br CROSS JOIN cs LEFT JOIN mt USING (question_id, community) WHERE m IS NOT NULL OR broad)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_ask_sql(GRAPH_QUESTIONS)}, {COMM_SQL} SELECT question_id, block_id, round(max(score), 6) AS score FROM (SELECT question_id, unnest(evidence) AS block_id, score FROM sc JOIN comm USING (community) JOIN ok USING (id)
+ UNION ALL SELECT question_id, unnest(evidence), least(1.0::DOUBLE, score + 0.08) FROM sc JOIN comm USING (community) JOIN usable ON source = comm.id) GROUP BY ALL"""
+)
+def community_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.community_rank(_ask(spark, GRAPH_QUESTIONS), D.entities(spark, sf_dir), D.relations(spark, sf_dir), T.tokens)
+
+
+_SENT = r"list_filter(list_transform(string_split(regexp_replace({t}, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13) || chr(160))), lambda s: s <> '')"
+
+
+@query(
+    rf"""WITH t AS (SELECT conv_id, turn, role, text, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ut FROM conversations),
+ a AS (SELECT t.conv_id, t.turn, t.text || ' [S1]' AS answer, u.text AS source FROM t JOIN conversations u ON u.conv_id = t.conv_id AND u.turn = t.ut WHERE t.role = 'assistant'),
+ c AS (SELECT conv_id, turn, source, unnest({_SENT.format(t="answer")}) AS claim, generate_subscripts({_SENT.format(t="answer")}, 1) - 1 AS n FROM a),
+ k AS (SELECT *, contains(claim, '[S1]') AS cited, list_filter({_tok(r"regexp_replace(claim, '\[S[0-9]+\]', '', 'g')")}, lambda t: NOT regexp_matches(t, '^s[0-9]+$')) AS terms FROM c),
+ s AS (SELECT *, CASE WHEN cited AND len(terms) > 0 THEN round(len(list_filter(terms, lambda t: list_contains({_tok("source")}, t))) / len(terms), 6) ELSE 0.0::DOUBLE END AS support FROM k)
+ SELECT conv_id, turn, n::BIGINT AS n, cited, support, cited AND support >= 0.34 AS supported FROM s"""
+)
+def claim_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read_table(spark, sf_dir, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    a = c.withColumn("source", F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(w)).where("role = 'assistant' and source is not null")
+    key = F.struct("conv_id", "turn")
+    answers = a.select(key.alias("answer_id"), F.concat("text", F.lit(" [S1]")).alias("answer"))
+    v = VF.validate_claims(answers, a.select(key.alias("answer_id"), F.lit(1).cast("long").alias("rnk"), F.col("source").alias("text")))
+    return v.select("answer_id.conv_id", "answer_id.turn", F.col("n").cast("long").alias("n"), (F.size("citations") > 0).alias("cited"), "support", "supported")
+
+
+@query(
+    rf"""WITH {BM25_SQL}, ev AS (SELECT item_id, rnk, b.text AS question, d.text FROM bm JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id) WHERE rnk <= 5),
+ s AS (SELECT item_id, rnk, question, unnest({_SENT.format(t=r"regexp_replace(text, '\s+', ' ', 'g')")}) AS s, generate_subscripts({_SENT.format(t=r"regexp_replace(text, '\s+', ' ', 'g')")}, 1) AS i FROM ev),
+ b AS (SELECT item_id, rnk, s FROM (SELECT *, len(list_filter({_tok("s")}, lambda t: list_contains({_tok("question")}, t))) AS n FROM s) QUALIFY row_number() OVER (PARTITION BY item_id, rnk ORDER BY n DESC, length(s), i) = 1)
+ SELECT item_id, string_agg(s || ' [S' || rnk || ']', ' ' ORDER BY rnk) AS answer FROM b GROUP BY item_id"""
+)
+def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    q = _questions(spark, sf_dir).select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    ev = _bm25(spark, sf_dir, 5).join(docs, "doc_id").join(q, F.col("item_id") == F.col("question_id")).select("question_id", "question", "rnk", "text")
+    return VF.extractive_answers(q, ev).select(F.col("question_id").alias("item_id"), "answer")
+
+
+# --- views, review, workspace ---------------------------------------------------------------------------------------
+
+
+@query("SELECT source AS grp, count(*) AS n, min(doc_id) AS first FROM documents WHERE lower(lang) = 'en' AND contains(lower(text), 'the') GROUP BY source")
+def saved_view_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = W.saved_view(_docs(spark, sf_dir), [("lang", "equals", "EN"), ("text", "contains", "The"), ("source", "exists", "")])
+    return W.view_groups(rows, "source").groupBy("grp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+
+
+@query(rf"WITH {D.NOTES_SQL} SELECT key, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_extract(markdown, '^---\s*\n([\s\S]*?)\n---\s*(?:\n|$)', 1), '(?m)^([A-Za-z0-9_.-]+)\s*:', 1)) AS key FROM notes) GROUP BY key")
+def property_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.property_columns(D.notes(spark, sf_dir))
+
+
+@query(
+    f"""WITH {D.RELATIONS_SQL}, m AS (SELECT *, CASE WHEN source[1] = 'c' AND substr(source, 2)::BIGINT % 10 = 3 THEN 'c' || (substr(source, 2)::BIGINT - 1) ELSE source END AS s FROM relations)
+ SELECT s || '::' || relation || '::' || target AS id, CASE WHEN count(DISTINCT status) = 1 THEN min(status) ELSE 'pending' END AS status, max(confidence) AS confidence, min(observed_at) AS observed_at,
+ CASE WHEN count(DISTINCT valid_from) = 1 AND count(valid_from) = count(*) THEN min(valid_from) END AS valid_from, CASE WHEN count(DISTINCT valid_to) = 1 AND count(valid_to) = count(*) THEN min(valid_to) END AS valid_to, len(list_distinct(flatten(list(evidence)))) AS n_evidence FROM m WHERE s <> target GROUP BY s, relation, target"""
+)
+def merge_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read_table(spark, sf_dir, "customer").where("c_custkey % 10 = 3").selectExpr("concat('c', c_custkey) old", "concat('c', c_custkey - 1) new")
+    m = RV.merge_relations(D.relations(spark, sf_dir), c)
+    return m.select("id", "status", "confidence", "observed_at", "valid_from", "valid_to", F.size("evidence").cast("long").alias("n_evidence"))
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """An earlier and a fresh set of candidates from customers."""
+    c = read_table(spark, sf_dir, "customer")
+    cols = ["concat('c', c_custkey) id", "c_name name", "if(c_custkey % 5 = 0, 'v1', 'v2') extractor", "if(c_custkey % 3 = 0, 'rejected', 'accepted') status", "array(lower(c_name)) aliases", "c_custkey % 4 = 0 pinned", "if(c_custkey % 9 = 0, 'c1', null) merged_into"]
+    previous = c.where("c_custkey % 2 = 0").selectExpr(*cols)
+    fresh = c.selectExpr("concat('c', c_custkey) id", "c_name name", "'v2' extractor", "'pending' status", "array(c_mktsegment) aliases", "false pinned", "cast(null as string) merged_into", "array(concat('b', c_custkey)) evidence", "0.5D confidence")
+    return previous, fresh
+
+
+@query(
+    """SELECT 'c' || c_custkey AS id, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 5 <> 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 'rejected' ELSE 'accepted' END ELSE 'pending' END AS status,
+ CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || ',' || lower(c_name) ELSE c_mktsegment END AS aliases, c_custkey % 2 = 0 AND c_custkey % 4 = 0 AS pinned, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 5 <> 0 AND c_custkey % 9 = 0 THEN 'c1' END AS merged_into FROM customer"""
+)
+def reconcile_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = RV.reconcile_entities(*_versions(spark, sf_dir))
+    return r.select("id", "status", F.array_join("aliases", ",").alias("aliases"), "pinned", "merged_into")
+
+
+@query(
+    f"""WITH {D.RELATIONS_SQL}, {D.ENTITIES_SQL}, ok AS (SELECT id FROM entities WHERE status = 'accepted' AND merged_into IS NULL)
+ SELECT id, CASE WHEN pos % 2 = 0 AND source IN (FROM ok) AND target IN (FROM ok) THEN 'accepted' WHEN pos % 2 = 1 THEN 'pending' ELSE status END AS status FROM relations"""
+)
+def review_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rel = D.relations(spark, sf_dir)
+    decisions = rel.select("id", F.when(F.col("pos") % 2 == 0, "accepted").otherwise("pending").alias("status"))
+    return RV.review_relations(rel, decisions, D.entities(spark, sf_dir))[0].select("id", "status")
+
+
+@query(
+    "SELECT 'c' || c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 4 = 0 THEN 'accepted' ELSE CASE WHEN c_custkey % 2 = 0 THEN 'rejected' ELSE 'pending' END END ELSE 'accepted' END AS status FROM customer"
+)
+def undo_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read_table(spark, sf_dir, "customer")
+    state = c.selectExpr("concat('c', c_custkey) id", "c_name name", "'accepted' status", "array('x') aliases")
+    decisions = c.where("c_custkey % 3 = 0").selectExpr("c_custkey seq", "concat('c', c_custkey) id", "if(c_custkey % 2 = 0, 'rejected', 'pending') status", "cast(null as string) name")
+    after, audit = RV.review_entities(state, decisions)
+    return RV.undo(after, audit, c.where("c_custkey % 4 = 0").selectExpr("c_custkey seq"))[0].select("id", "status")
+
+
+@query(
+    f"""WITH {EDGES_SQL}, l AS (SELECT source AS id, count(*) AS n_links FROM edges GROUP BY 1), b AS (SELECT target AS id, count(DISTINCT source) AS n_backlinks FROM edges GROUP BY 1), f AS (SELECT id, regexp_extract(markdown, '^---\\s*\\n([\\s\\S]*?)\\n---', 1) AS fm FROM notes)
+ SELECT n.id, title, array_to_string(list_sort(list_distinct(regexp_extract_all(markdown, '(^|\\s)#([\\p{{L}}\\p{{N}}_/-]+)', 2))), ',') AS tags, coalesce(n_links, 0) AS n_links, coalesce(n_backlinks, 0) AS n_backlinks, nullif(regexp_extract(fm, 'region: (.*)', 1), '') AS region, nullif(regexp_extract(fm, 'key: (.*)', 1), '') AS key
+ FROM notes n LEFT JOIN l USING (id) LEFT JOIN b USING (id) LEFT JOIN f USING (id)"""
+)
+def library_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = D.notes(spark, sf_dir)
+    return W.library(n, G.authored_edges(n), ["region", "key"])
+
+
+@query(f"WITH {D.NOTES_SQL} SELECT id, md5(replace(replace(replace(markdown, '[[NATION_2]]', '[[Renamed]]'), '[[NATION_2|', '[[Renamed|'), '[[NATION_2#', '[[Renamed#')) AS digest FROM notes")
+def rename_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.rename_note(D.notes(spark, sf_dir), "n2", "Renamed").select("id", F.md5("markdown").alias("digest"))
+
+
+@query(
+    "SELECT o_orderkey AS id, 'Daily ' || strftime(o_orderdate, '%Y-%m-%d') AS title, CAST(o_orderdate AS DATE) + 1 AS next, 'Dear ' || c_name || ' of ' || strftime(o_orderdate, '%Y-%m-%d') || ', {{unknown}}' AS body FROM orders JOIN customer ON o_custkey = c_custkey"
+)
+def daily_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read_table(spark, sf_dir, "orders").join(read_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    title = W.daily_title(F.col("o_orderdate"))
+    body = T.expand_template(F.lit("Dear {{name}} of {{date}}, {{unknown}}"), {"name": F.col("c_name"), "date": day})
+    return o.select(F.col("o_orderkey").alias("id"), title.alias("title"), F.date_add(W.parse_daily(title), 1).alias("next"), body.alias("body"))
+
+
+@query(
+    f"WITH {D.NOTES_SQL}, {D.ENTITIES_SQL}, {D.RELATIONS_SQL} SELECT 'title twice' AS kind, lower(title) AS id FROM notes GROUP BY lower(title) HAVING count(*) > 1 UNION ALL SELECT 'relation without source', id FROM relations WHERE source NOT IN (SELECT id FROM entities WHERE status = 'accepted') UNION ALL SELECT 'relation without target', id FROM relations WHERE target NOT IN (SELECT id FROM entities WHERE status = 'accepted')"
+)
+def workspace_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.violations(D.notes(spark, sf_dir), D.entities(spark, sf_dir).where("status = 'accepted'"), D.relations(spark, sf_dir))
+
+
+@query("SELECT vec_id AS block_id, CASE WHEN vec_id % 5 = 0 THEN 'embed' WHEN vec_id % 2 = 0 THEN 'reuse' ELSE 'embed' END AS action FROM embeddings UNION ALL SELECT vec_id + 1000000000, 'prune' FROM embeddings WHERE vec_id % 7 = 0")
+def index_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read_table(spark, sf_dir, "embeddings")
+    blocks = e.select(F.col("vec_id").alias("block_id"), F.sha2(F.col("vec_id").cast("string"), 256).alias("hash"))
+    stale = F.when(F.col("vec_id") % 5 == 0, "old").otherwise(F.sha2(F.col("vec_id").cast("string"), 256))
+    kept = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("block_id"), F.lit("m").alias("model"), F.lit("1").alias("version"), stale.alias("hash"))
+    dead = e.where("vec_id % 7 = 0").select((F.col("vec_id") + 1000000000).alias("block_id"), F.lit("m").alias("model"), F.lit("1").alias("version"), F.lit("x").alias("hash"))
+    return S.plan_index(blocks, kept.unionByName(dead), "m", "1")
+
+
+@query(
+    """WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings ORDER BY label, vec_id LIMIT 250), p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS score FROM s a JOIN s b ON a.vec_id < b.vec_id) SELECT * FROM p WHERE score >= 0.5"""
+)
+def semantic_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read_table(spark, sf_dir, "embeddings")
+    return S.semantic_links(e.select(F.col("vec_id").alias("ident"), F.col("label").alias("rank"), F.col("embedding").alias("vector")), threshold=0.5)
+
+
+
+@query()
+def evidence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = D.notes(spark, sf_dir).select(F.concat(F.lit("b"), "id").alias("block_id"), F.col("markdown").alias("text"))
+    out = EV.evidence_query(_ask(spark, GRAPH_QUESTIONS), blocks, D.entities(spark, sf_dir), D.relations(spark, sf_dir))
+    return out.select("question_id", "block_id", "mode", "bm25_rank", "graph_rank", "fused", "rnk")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return evidence_query(spark, sf_dir)
