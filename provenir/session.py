@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -26,3 +28,24 @@ def get_spark(app: str = "provenir", master: str | None = None, **conf: str) ->
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package where they couldn't: where it is neither on PYTHONPATH nor in the working folder."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    reachable = {os.path.realpath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
+    context = spark.sparkContext
+    if os.path.realpath(root) in reachable or getattr(context, "_provenir_shipped", False):
+        return spark
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "provenir.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for base, _, names in os.walk(os.path.join(root, "provenir")):
+                for n in names:
+                    if n.endswith(".py"):
+                        z.write(os.path.join(base, n), os.path.relpath(os.path.join(base, n), root))
+            if os.path.exists(pipeline := os.path.join(root, "corpus_pipeline.py")):
+                z.write(pipeline, "corpus_pipeline.py")
+        context.addPyFile(path)
+    context._provenir_shipped = True
+    return spark
