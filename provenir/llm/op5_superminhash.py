@@ -8,9 +8,10 @@ document stops once it has none. The permutation is a full-cycle progression mod
 Candidates. 64 bands of 8 rows: a pair at Jaccard 0.8 shares none with a probability of 8e-6, one at 0.3 shares one with 0.4 %. Long
 bands keep documents that merely share a passage apart. Documents with equal sets are one representative from here on.
 
-Verification and groups. (1) Each document is verified against the least member of its buckets, one pair for each document, and linked documents are grouped. (2) In
-buckets that still hold several groups, every pair of members of different groups is verified, so no candidate pair between groups is left out; pairs inside a
-group can't change it. Groups are connected components of the links.
+Verification and groups. (1) Each document is verified against the least member of its buckets, one pair for each document, and linked documents are grouped. (2) All
+documents of buckets that still hold several groups go through an exact prefix filter over their whole sets, and every pair of different groups that it lets through
+is verified, so no link between groups is left out, and a large family of half-similar copies isn't expanded into its pairs. Pairs inside a group can't change it. Groups
+are connected components of the links.
 
 Defined results: null, empty or blank text has an empty set, 0 shingles and links with nothing; fewer words than a shingle make one shingle of
 all of them; rows with the same doc_id share their group; a null doc_id links with nothing and is kept; empty
@@ -35,6 +36,7 @@ POSITIONS = BANDS * ROWS  # a power of two
 PERCENT = 80
 WIDTH = 4
 GROUP_SHINGLES = 200_000
+SLOTS = 1 << 22
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -111,28 +113,62 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The rows (a, b) of pairs whose whole shingle sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def whole_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc_id, s (array of the shingles' hashes) of the documents named in ids(doc_id), and perhaps of a few others.
 
-    def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            packed = [shingles(t, width).tobytes() for t in strings(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "s"])
+    Texts aren't shuffled: a bitmap of SLOTS bits, of which the named documents set one each, goes to all tasks and
+    decides what they hash. With very many named documents it lets more through, which costs time but loses nothing.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int").alias("slot")
+    bits = np.zeros(SLOTS, bool)
+    bits[ids.select(slot).distinct().toPandas()["slot"].to_numpy()] = True  # at most SLOTS numbers
+    bitmap = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
-    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(bitmap.value).astype(bool)
         for batch in it:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(p) + len(q) - len(np.union1d(p, q))
-                good.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            batch = batch.filter(pa.array(wanted[np.asarray(batch.column(2))]))
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                sets = [shingles(t, width).view(np.int64) for t in strings(part.column(1))]
+                offsets = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["doc_id", "s"])
 
-    one = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(ids, "doc_id", "left_semi")
-    whole = materialize(one.mapInArrow(sets, "doc_id long, s binary"), "sets").dropDuplicates(["doc_id"])
-    left = pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a")
-    return left.join(whole.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null").select("doc_id", "text", slot)
+    return materialize(rows.mapInArrow(run, "doc_id long, s array<long>"), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows (a, b) of pairs whose whole shingle sets are similar enough."""
+    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a")
+    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def rare_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different groups that can be similar enough: the exact prefix filter.
+
+    groups: doc, component. Ordered by frequency among these documents, rarest first, two sets that share percent of their union share one of
+    the first n - ceil(n * percent / 100) + 1 shingles of each, where both have enough shingles left. What very many documents share comes last and meets nobody,
+    and a shingle's documents are paired only with those outside its least group.
+    """
+    own = sets.join(groups.select(F.col("doc").alias("doc_id"), "component"), "doc_id")
+    tokens = own.select("doc_id", "component", F.size("s").alias("n"), F.explode("s").alias("t"))
+    often = tokens.groupBy("t").agg(F.count("*").alias("f"), F.min("component").alias("low"), F.max("component").alias("high")).where("f > 1")
+    # a shingle of one document only stands first; it meets nobody, but takes up its place in the prefix
+    ranked = tokens.join(often, "t").groupBy("doc_id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("f", "t", "low", "high"))).alias("shared"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    alone = F.col("n") - F.size("shared")
+    first = ranked.where(prefix > alone).select("doc_id", "component", "n", alone.alias("i0"), F.posexplode(F.slice("shared", F.lit(1), (prefix - alone).cast("int"))).alias("i", "k"))
+    # left: how many of the document's shingles stand at this place and after it
+    first = first.where("k.low <> k.high").select("doc_id", "component", "n", (F.col("n") - F.col("i0") - F.col("i")).alias("left"), "k.t", "k.low")
+    first = materialize(first, "prefixes")
+    outside = first.where("component <> low").select("t", F.col("doc_id").alias("p"), F.col("component").alias("cp"), F.col("n").alias("np"), F.col("left").alias("lp"))
+    apart = (F.col("cp") != F.col("component")) & ((F.col("component") == F.col("low")) | (F.col("p") < F.col("doc_id")))
+    # a pair first meets at its rarest common shingle; both must have enough left there to reach the overlap
+    enough = (100 + percent) * F.least("lp", "left") >= percent * (F.col("n") + F.col("np"))
+    return outside.join(first, "t").where(apart & enough).select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -150,22 +186,20 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     close = 100 * F.least("n_shingles", "n_leader") >= percent * F.greatest("n_shingles", "n_leader")
     first = buckets.where("doc <> leader").select("doc", "leader", "n_shingles").distinct().join(sizes.withColumnRenamed("rep", "leader"), "leader").where(close)
     first = first.groupBy("doc").agg(F.min("leader").alias("a")).select("a", F.col("doc").alias("b"))
-    links = materialize(verified(materialize(first, "pairs"), docs, width, percent), "links")
+    first = materialize(first, "pairs")
+    sets = whole_sets(docs, first.select(F.col("a").alias("doc_id")).unionByName(first.select(F.col("b").alias("doc_id"))), width)
+    links = materialize(verified(first, sets, percent), "links")
     groups = connected_components(links)
 
-    # what buckets still hold of different groups
-    of = lambda df: df.join(groups.select(F.col("vertex").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    members = of(buckets.select("key", "doc", "n_shingles"))
-    mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "low")
-    open_ = materialize(members.join(mixed, "key"), "open")
-    minor = open_.where("component <> low").select("key", F.col("doc").alias("p"), F.col("component").alias("cp"), F.col("n_shingles").alias("np"))
-    apart = (F.col("cp") != F.col("component")) & ((F.col("component") == F.col("low")) | (F.col("p") < F.col("doc")))
-    similar = 100 * F.least("n_shingles", "np") >= percent * F.greatest("n_shingles", "np")
-    rest = minor.join(open_, "key").where(apart & similar).select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
-    rest = materialize(rest, "pairs")
-    if not rest.isEmpty():
-        more = verified(rest, docs, width, percent)
-        groups = connected_components(links.unionByName(more))
+    # documents of buckets that still hold different groups: the exact search
+    members = buckets.select("key", "doc").join(groups.select(F.col("vertex").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    open_ = materialize(members.join(mixed, "key").select("doc", "component").distinct(), "open")
+    if not open_.isEmpty():
+        sets = whole_sets(docs, open_.select(F.col("doc").alias("doc_id")), width)
+        rest = materialize(rare_pairs(sets, open_, percent), "pairs")
+        if not rest.isEmpty():
+            groups = connected_components(links.unionByName(verified(rest, sets, percent)))
 
     classed = made.join(classes.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
     final = classed.join(groups.withColumnRenamed("vertex", "rep"), "rep", "left")
