@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -37,15 +39,16 @@ def ship(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     if os.path.realpath(root) in reachable or getattr(context, "_provenir_shipped", False):
         return spark
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "provenir.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for base, _, names in os.walk(os.path.join(root, "provenir")):
-                for n in names:
-                    if n.endswith(".py"):
-                        z.write(os.path.join(base, n), os.path.relpath(os.path.join(base, n), root))
-            if os.path.exists(pipeline := os.path.join(root, "corpus_pipeline.py")):
-                z.write(pipeline, "corpus_pipeline.py")
-        context.addPyFile(path)
+    folder = tempfile.mkdtemp(prefix="provenir-")  # tasks fetch the file from here while the session lasts
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "provenir.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for base, _, names in os.walk(os.path.join(root, "provenir")):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(base, n), os.path.relpath(os.path.join(base, n), root))
+        if os.path.exists(pipeline := os.path.join(root, "corpus_pipeline.py")):
+            z.write(pipeline, "corpus_pipeline.py")
+    context.addPyFile(path)
     context._provenir_shipped = True
     return spark

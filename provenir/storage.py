@@ -12,14 +12,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}  # by application, where spark.checkpoint.dir is unset
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; in local tests, where it is unset, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="provenir-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own.setdefault(spark.sparkContext.applicationId, "")
+        if not found:
+            found = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="provenir-")
     return found.rstrip("/")
 
 
