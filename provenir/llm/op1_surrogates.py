@@ -8,8 +8,8 @@ surname. Values are normalised first (case, separators), so one entity gets one
 surname alone gets what it gets after a given name.
 
 Collision check: over the corpus's distinct values, a surrogate that two values share, or that is itself a value of
-the corpus, moves all but the least value on to the next attempt, until none is left. Only values with an attempt
-above 0 are joined back to their documents; all others are computed in place, so texts aren't shuffled for them.
+the corpus, moves all but the least value on to the next attempt, until none is left. Surrogates are computed in place and texts
+aren't shuffled: the values with an attempt above 0 go to all tasks if they are few, and are joined to their documents if they are many.
 
 All of it is DataFrame functions.
 
@@ -19,6 +19,8 @@ are kept by ``surrogate_text`` and ignored by the query; an empty table gives an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,9 @@ from ..storage import materialize
 
 KEY = "provenir-surrogates"
 MAX_ATTEMPTS = 60
+MAX_BROADCAST = 20_000  # values with an attempt above 0 that all tasks get; more are joined
+SLOTS = 256
+Attempts = Callable[[Column], Column]
 
 # Titles by gender, given names by script and gender, syllables by script.
 TITLES = {
@@ -182,13 +187,13 @@ def _cased(word: Column, like: Column) -> Column:
     return F.when((F.upper(like) == like) & (F.length(like) > 1), F.upper(word)).otherwise(F.initcap(word))
 
 
-def render(e: Column, attempts: Column | None, key: str) -> Column:
+def render(e: Column, attempts: Attempts | None, key: str) -> Column:
     """An entity's replacement in the entity's own layout."""
     found = units(e)
 
     def made(u: Column) -> Column:
         name = F.concat_ws("|", u["kind"], u["norm"])
-        attempt = F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, name), F.lit(0))
+        attempt = F.lit(0) if attempts is None else attempts(name)
         return surrogate(u["kind"], u["norm"], attempt, key)
 
     new = F.transform(found, made)
@@ -226,12 +231,18 @@ def surrogate_text(docs: DataFrame, key: str = KEY) -> DataFrame:
     found = docs.withColumn("_e", entities(F.col("text")))
     per_doc = found.where("size(_e) > 0").select("doc_id", F.explode(F.array_distinct("_e")).alias("e")).select("doc_id", F.explode(units(F.col("e"))).alias("u")).select("doc_id", "u.kind", "u.norm")
     moved = materialize(resolve(per_doc, key), "attempts")
-    attempts = None
-    if not moved.isEmpty():
-        name = F.concat_ws("|", "kind", "norm")
+    name = F.concat_ws("|", "kind", "norm")
+    some = moved.limit(MAX_BROADCAST + 1).count()
+    attempts: Attempts | None = None
+    if some > MAX_BROADCAST:  # joined to the documents that hold them
         own = per_doc.distinct().join(moved, ["kind", "norm"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(name, "attempt"))).alias("_m")).withColumnRenamed("doc_id", "_id")
         found = found.join(own, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-        attempts = F.col("_m")
+        attempts = lambda n: F.coalesce(F.try_element_at(F.col("_m"), n), F.lit(0))
+    elif some:  # few: one row of small maps by the name's checksum goes to all tasks
+        rows = moved.select(name.alias("name"), "attempt").withColumn("slot", F.crc32("name") % SLOTS)
+        maps = rows.groupBy("slot").agg(F.map_from_entries(F.collect_list(F.struct("name", "attempt"))).alias("m")).agg(F.map_from_entries(F.collect_list(F.struct("slot", "m"))).alias("_m"))
+        found = found.join(F.broadcast(maps))
+        attempts = lambda n: F.coalesce(F.try_element_at(F.try_element_at(F.col("_m"), F.crc32(n) % SLOTS), n), F.lit(0))
     new = F.transform("_e", lambda e: render(e, attempts, key))
     pieces = F.split("text", PATTERN, -1)
     woven = F.array_join(F.zip_with(pieces, new, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
