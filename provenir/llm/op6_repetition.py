@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .text import filter_texts, strings, words_of
+from .text import filter_texts, groups, strings, words_of
 
 MIN_REPEAT = 8  # words; a power of two
 MAX_COVERED_PERCENT = 40
@@ -180,13 +180,8 @@ def quality_rules(
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             ids, texts = batch.column(0).to_pylist(), strings(batch.column(1))
-            begin, size = 0, 0
-            for i, t in enumerate([*texts, None]):
-                if t is None or size and size + len(t) > BATCH_WORDS * 6:
-                    if i > begin:
-                        yield _rows(ids[begin:i], judge(texts[begin:i]))
-                    begin, size = i, 0
-                size += len(t or "")
+            for a, b in groups(texts, BATCH_WORDS * 6):
+                yield _rows(ids[a:b], judge(texts[a:b]))
 
     def _rows(ids: list[int], x: dict[str, np.ndarray]) -> pa.RecordBatch:
         names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")

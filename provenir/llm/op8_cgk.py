@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import GROUP_CHARS, filter_texts, mix, strings, word_hashes
+from .text import GROUP_CHARS, filter_texts, groups, mix, strings, word_hashes
 
 SIMILARITY = 0.8
 SEED = 4
@@ -235,22 +235,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
         search = searcher(blocks, similarity)
         for batch in it:
             texts = strings(batch.column(1))
-            begin, size = 0, 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size > GROUP_CHARS or i == len(texts) - 1:
-                    found = search(texts[begin : i + 1])
-                    items = [sorted(x) for x in found]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).slice(begin, len(found)),
-                            pa.array([bool(x) for x in items], pa.bool_()),
-                            pa.array(map(len, items), pa.int64()),
-                            pa.array(items, pa.list_(pa.int64())),
-                            pa.array([round(max(x.values()), 6) if x else None for x in found], pa.float64()),
-                        ],
-                        names=["doc_id", "contaminated", "n_items", "items", "similarity"],
-                    )
-                    begin, size = i + 1, 0
+            for a, b in groups(texts, GROUP_CHARS):
+                found = search(texts[a:b])
+                items = [sorted(x) for x in found]
+                best = [round(max(x.values()), 6) if x else None for x in found]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array([bool(x) for x in items], pa.bool_()), pa.array(map(len, items), pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(best, pa.float64())],
+                    names=["doc_id", "contaminated", "n_items", "items", "similarity"],
+                )
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, contaminated boolean, n_items long, items array<long>, similarity double")

@@ -70,6 +70,16 @@ def strings(column: pa.ChunkedArray | pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def groups(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of consecutive texts of about limit characters together."""
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size > limit or i == len(texts) - 1:
+            yield begin, i + 1
+            begin, size = i + 1, 0
+
+
 def filter_texts(docs: DataFrame, keeper: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
     """The rows of docs, with all their columns, whose text is kept. keeper is called once in each task and gives the judge of a list of texts."""
     at = docs.columns.index("text")
@@ -78,12 +88,7 @@ def filter_texts(docs: DataFrame, keeper: Callable[[], Callable[[list[str]], lis
         keep = keeper()
         for batch in it:
             texts = strings(batch.column(at))
-            begin, size = 0, 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size > GROUP_CHARS or i == len(texts) - 1:
-                    part = batch.slice(begin, i + 1 - begin)
-                    yield part.filter(pa.array(keep(texts[begin : i + 1]), pa.bool_()))
-                    begin, size = i + 1, 0
+            for a, b in groups(texts, GROUP_CHARS):
+                yield batch.slice(a, b - a).filter(pa.array(keep(texts[a:b]), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
