@@ -3,8 +3,11 @@
 Both vocabularies used here treat a text as independent pieces that begin at a single
 space after a character that isn't white space, so a text's ids are its pieces'
 ids one after another. Natural text repeats most of its pieces; each new piece is
-encoded by the library once per worker and then looked up. The memory is bounded:
-when full it is emptied and filled again. Tests hold this against whole-text encoding.
+encoded by the library once per worker and then looked up. Tests hold this against whole-text encoding.
+
+A group of texts is split and its distinct pieces are found in Arrow; only these are looked up, by a 128-bit hash, in a
+compact store (sorted hashes and one array of ids) of bounded size: when full it is emptied and filled again. The ids of all
+pieces are then gathered in numpy.
 
 New pieces are encoded many at a time, as one text, and the ids are divided again where a
 piece begins: in the byte-level vocabulary a token that begins with a space does so; in the one with word ends, a
@@ -19,11 +22,48 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 
-_ODD = re.compile(r"\s (?=\S)|^ | $|  ")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?%$&*#|<>()\"-]*)")
-MEMORY = 400_000  # pieces
-GROUP = 1 << 20  # characters of text encoded together
+MEMORY = 1_500_000  # pieces
+GROUP = 1 << 22  # characters of text encoded together
+
+
+class Store:
+    """From 128-bit keys to stretches of ids. A stretch of -1 ids marks a piece that doesn't stand on its own."""
+
+    def __init__(self, limit: int, dtype: np.dtype):
+        self.limit, self.dtype = limit, dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.keys[at] == keys) & (self.checks[at] == checks), at, -1)
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """New keys with their ids, in the same order."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(ids), self.used), self.dtype)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        whole = np.maximum(sizes, 0)
+        starts = self.used + np.cumsum(whole) - whole
+        self.used += len(ids)
+        order = np.argsort(keys)
+        into = np.searchsorted(self.keys, keys[order])
+        self.keys = np.insert(self.keys, into, keys[order])
+        self.checks = np.insert(self.checks, into, checks[order])
+        self.starts = np.insert(self.starts, into, starts[order])
+        self.sizes = np.insert(self.sizes, into, sizes[order])
 
 
 class Encoder:
@@ -40,58 +80,85 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.code = "H" if max(vocabulary.values()) < 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
-        self.word_ends, self.limit, self.memory = word_ends, memory, {}
+        self.word_ends, self.store = word_ends, Store(memory, self.dtype)
         self.mark = np.zeros(max(vocabulary.values()) + 1, bool)
         self.mark[[i for t, i in vocabulary.items() if (t.endswith("</w>") if word_ends else t.startswith("Ġ"))]] = True
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array.array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, words: list[str], keys: np.ndarray, checks: np.ndarray) -> None:
+        """Put the ids of words into the store."""
+        sizes = np.full(len(words), -1, np.int32)
         together, marks, alone = [], [], []
-        for p in pieces:
-            if not self.word_ends:
-                (together if p[:1] == " " and len(p) > 1 else alone).append(p)
-            elif (m := _PLAIN.fullmatch(p)) and p:
-                together.append(p)
-                marks.append(bool(m[1]) + bool(m[2]))
-            else:
-                alone.append(p)
-        self.memory.update(zip(alone, self._whole(alone), strict=True))
+        for i, w in enumerate(words):
+            if self.word_ends:
+                if m := _PLAIN.fullmatch(w):
+                    together.append(i)
+                    marks.append(bool(m[1]) + bool(m[2]))
+                else:
+                    alone.append(i)
+            elif w and not w[-1].isspace():  # else the space after it may belong to a run of white space
+                together.append(i)
+        order, ids = [], []
         for a in range(0, len(together), 4000):
             part = together[a : a + 4000]
-            ids = np.frombuffer(self._whole([("" if not self.word_ends else " ").join(part)])[0], self.dtype)
-            at = np.flatnonzero(self.mark[ids])
+            text = " ".join([words[i] for i in part])
+            got = np.frombuffer(self._whole([text if self.word_ends else " " + text])[0], self.dtype)
+            at = np.flatnonzero(self.mark[got])
             if self.word_ends:
-                cuts = np.r_[0, at[np.cumsum(marks[a : a + 4000]) - 1] + 1]
+                ends = np.cumsum(marks[a : a + 4000])
+                cuts = np.r_[0, np.r_[0, at + 1][np.minimum(ends, len(at))]]
             else:
-                cuts = np.r_[at, len(ids)]
-            if len(cuts) != len(part) + 1 or cuts[-1] != len(ids):  # a vocabulary of another make
-                self.memory.update(zip(part, self._whole(part), strict=True))
+                cuts = np.r_[at, len(got)]
+            if len(cuts) != len(part) + 1 or cuts[-1] != len(got):  # a vocabulary of another make
+                alone += part
                 continue
-            raw, cuts = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
-            self.memory.update((p, raw[x:y]) for p, x, y in zip(part, cuts, cuts[1:], strict=False))
-
-    def _pieces(self, text: str) -> list[str] | None:
-        if self.word_ends:
-            return text.split(" ")
-        if _ODD.search(text):
-            return None
-        head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]]
+            sizes[part] = np.diff(cuts)
+            order += part
+            ids.append(got)
+        if alone:
+            each = self._whole([words[i] if self.word_ends else " " + words[i] for i in alone])
+            sizes[alone] = [len(x) // self.dtype.itemsize for x in each]
+            order += alone
+            ids.append(np.frombuffer(b"".join(each), self.dtype))
+        order += np.flatnonzero(sizes < 0).tolist()
+        self.store.add(keys[order], checks[order], sizes[order], np.concatenate(ids) if ids else np.zeros(0, self.dtype))
+
+    def _look_up(self, words: list[str]) -> np.ndarray:
+        """The places of distinct words in the store."""
+        raw = b"".join(map(xxhash.xxh3_128_digest, words))
+        keys, checks = np.ascontiguousarray(np.frombuffer(raw, ">u8").reshape(-1, 2).T).astype(np.uint64)
+        at = self.store.find(keys, checks)
+        new = np.flatnonzero(at < 0)
+        if not len(new):
+            return at
+        if len(self.store.keys) + len(new) > self.store.limit:
+            self.store.clear()
+            new = np.arange(len(words))
+        self._learn([words[i] for i in new], keys[new], checks[new])
+        return self.store.find(keys, checks)
 
     def encode_group(self, texts: list[str]) -> list[bytes]:
-        split = [self._pieces(t) if t else [] for t in texts]
-        wanted = set().union(*(s for s in split if s))
-        new = [p for p in wanted if p not in self.memory]
-        if len(wanted) > self.limit:  # enormous texts: not worth remembering
-            return self._whole(texts)
-        if len(self.memory) + len(new) > self.limit:
-            self.memory.clear()
-            new = list(wanted)
-        self._learn(new)
-        memory = self.memory
-        return [self._whole([t])[0] if s is None else b"".join([memory[p] for p in s]) for s, t in zip(split, texts, strict=True)]
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        ends = np.asarray(lists.offsets)
+        coded = lists.flatten().dictionary_encode()
+        place = np.asarray(coded.indices)
+        at = self._look_up(coded.dictionary.to_pylist())[place]
+        sizes = self.store.sizes[at].astype(np.int64)
+        odd = np.add.reduceat(sizes < 0, ends[:-1]) > 0 if not self.word_ends else np.zeros(len(texts), bool)
+        sizes[sizes < 0] = 0
+        heads = [b""] * len(texts)
+        if not self.word_ends:  # of a byte-level vocabulary the first word has no space before it
+            sizes[ends[:-1]] = 0
+            heads = self._whole([t.partition(" ")[0] for t in texts])
+        to = np.cumsum(sizes)
+        ids = self.store.ids[np.repeat(self.store.starts[at] - (to - sizes), sizes) + np.arange(to[-1])]
+        cuts = np.r_[0, to][ends].tolist()
+        odd_ids = iter(self._whole([t for t, o in zip(texts, odd, strict=True) if o]))
+        return [next(odd_ids) if o else h + ids[a:b].tobytes() for o, h, a, b in zip(odd.tolist(), heads, cuts, cuts[1:], strict=False)]
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text."""

@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import new_path
-from .encode import encoder
+from ..storage import materialize, new_path
+from .encode import GROUP, encoder
 from .offsets import exclusive_sums
-from .text import strings
+from .text import groups, strings
 
 END_ID = 0
 STRIPE_BYTES = 32 << 20
@@ -37,11 +37,11 @@ def _arrays(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
     enc = encoder(path)
     end = np.array([end_id], "<i4")
     for batch in batches:
-        n = batch.num_rows
-        for a in range(0, n, 256):
-            part = batch.slice(a, 256)
+        texts = strings(batch.column(2))
+        for a, b in groups(texts, GROUP):
+            part = batch.slice(a, b - a)
             ids, ends, total = [], [0], 0
-            for raw in enc.encode(strings(part.column(2))):
+            for raw in enc.encode(texts[a:b]):
                 x = np.frombuffer(raw, enc.dtype).astype("<i4")
                 ids += [x, end]
                 total += len(x) + 1
@@ -58,13 +58,13 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = E
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_docs = (
         docs.selectExpr("cast(doc_id as long) doc_id", "text")
-        .repartitionByRange(n, "doc_id", "text")
+        .repartitionByRange(n, "doc_id")
         .sortWithinPartitions("doc_id", "text")
         .select(F.spark_partition_id().alias("part"), "doc_id", "text")
     )
     tokens = sorted_docs.mapInArrow(lambda it: _arrays(it, tokenizer_path, end_id), SCHEMA)
     (
-        tokens.write.option("orc.compress", "ZSTD")
+        tokens.write.option("orc.compress", "LZ4")
         .option("orc.stripe.size", str(STRIPE_BYTES))
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", str(ROW_INDEX_STRIDE))
@@ -92,6 +92,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_index(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document of a data set, from its files."""
     rows = tokens.mapInArrow(_digest, "part int, doc_id long, n_tokens int, ids_crc32 long").withColumn("n_tokens", F.col("n_tokens").cast("long"))
+    rows = materialize(rows, "token-index")  # the running sums read it several times, the token files once
     rows = rows.withColumn("_all", F.lit(0))
     placed = exclusive_sums(rows, "_all", "doc_id", "n_tokens", "start", tie=F.struct("part", "n_tokens", "ids_crc32"))
     return placed.select("doc_id", "start", "n_tokens", "ids_crc32")
