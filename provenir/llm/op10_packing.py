@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .encode import encoder
+from .encode import GROUP, encoder
 from .offsets import exclusive_sums
-from .text import strings
+from .text import groups, strings
 
 WINDOW = 2048
 END_ID = 1
@@ -46,9 +46,10 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
         enc = encoder(tokenizer_path, word_ends=True)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in it:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                ids = [x + end for x in enc.encode(strings(part.column(2)))]
+            texts = strings(batch.column(2))
+            for a, b in groups(texts, GROUP):
+                part = batch.slice(a, b - a)
+                ids = [x + end for x in enc.encode(texts[a:b])]
                 counts = [len(x) // enc.dtype.itemsize for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "doc_tokens", "ids"])
 
@@ -61,24 +62,24 @@ class Rounds:
     def __init__(self, totals: list[int], window: int):
         self.totals, self.window, self.all = totals, window, sum(totals)
 
-    def given(self, queue: int, rounds: int) -> int:
-        """Tokens that the queue has handed out after so many rounds."""
-        return min(self.totals[queue], self.window * rounds * self.totals[queue] // self.all)
-
-    def pieces(self, queue: int, first: int, count: int) -> Iterator[tuple[int, int, int]]:
-        """(start in the document, length, place in the stream) of the tokens [first, first + count) of a queue."""
-        n, at, end = self.totals[queue], first, first + count
-        step = self.window * n
-        rounds = -(-(at + 1) * self.all // step)  # the first round after which token ``at`` is out
-        while at < end:
-            before = self.given(queue, rounds - 1)
-            after = self.given(queue, rounds)
-            if after > at:
-                stop = min(after, end)
-                place = sum(self.given(q, rounds) for q in range(queue)) + sum(self.given(q, rounds - 1) for q in range(queue, len(self.totals))) + at - before
-                yield at - first, stop - at, place
-                at = stop
-            rounds += 1
+    def pieces(self, queue: int, first: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts in the document, lengths and places in the stream of the tokens [first, first + count) of a queue, cut at the ends of sequences."""
+        step = self.window * self.totals[queue]
+        begin, end = -(-(first + 1) * self.all // step), -(-(first + count) * self.all // step)  # the rounds that hand out the first and last token
+        exact = np.int64 if self.window * (end + 1) * max(self.totals) < 1 << 62 else object
+        totals = np.array(self.totals, exact)
+        given = np.minimum(totals, self.window * np.arange(begin - 1, end + 1).astype(exact)[:, None] * totals // self.all)
+        own = given[:, queue]
+        at, to = np.maximum(own[:-1], first), np.minimum(own[1:], first + count)
+        place = given[1:, :queue].sum(axis=1) + given[:-1, queue:].sum(axis=1) + at - own[:-1]
+        some = to > at
+        start, length, place = ((x[some]).astype(np.int64) for x in (at - first, to - at, place))
+        room = self.window - place % self.window  # a round may run over the end of a sequence
+        over = length > room
+        twice = np.repeat(np.arange(len(start)), 1 + over)
+        second = np.r_[False, twice[1:] == twice[:-1]]
+        start, place, length, room = start[twice], place[twice], length[twice], room[twice]
+        return np.where(second, start + room, start), np.where(second, length - room, np.minimum(length, room)), np.where(second, place + room, place)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -98,16 +99,19 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for a in range(0, batch.num_rows, 512):
-                cols = batch.slice(a, 512).to_pydict()
-                rows: list[tuple] = []
-                for doc_id, source, n, ids, q, first in zip(*(cols[c] for c in ("doc_id", "source", "doc_tokens", "ids", "queue", "first")), strict=True):
+                part = batch.slice(a, 512)
+                cols = part.select(["doc_tokens", "ids", "queue", "first"]).to_pydict()
+                found, crcs = [], []
+                for n, ids, q, first in zip(*cols.values(), strict=True):
                     wide = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4")
-                    for start, length, place in rounds.pieces(number[q], first, n):
-                        while length:  # a round may run over the end of a sequence
-                            fits = min(length, window - place % window)
-                            rows.append((doc_id, start, fits, zlib.crc32(wide[start : start + fits]), n, place // window, place % window, source))
-                            start, length, place = start + fits, length - fits, place + fits
-                kinds = [pa.int64()] * 7 + [pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in OUT.split(", ")])
+                    found.append(rounds.pieces(number[q], first, n))
+                    crcs += [zlib.crc32(wide[x : x + y]) for x, y in zip(found[-1][0].tolist(), found[-1][1].tolist(), strict=True)]
+                start, length, place = (np.concatenate(x) for x in zip(*found, strict=True))
+                doc = pa.array(np.repeat(np.arange(part.num_rows), [len(x[0]) for x in found]))
+                own = {c: part.column(c).take(doc) for c in ("doc_id", "doc_tokens", "source")}
+                yield pa.RecordBatch.from_arrays(
+                    [own["doc_id"], pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), own["doc_tokens"], pa.array(place // window), pa.array(place % window), own["source"]],
+                    names=[f.split()[0] for f in OUT.split(", ")],
+                )
 
     return tokens.join(placed, "row").select("doc_id", "source", "doc_tokens", "ids", "queue", "first").mapInArrow(cut, OUT)
