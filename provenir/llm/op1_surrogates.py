@@ -120,9 +120,14 @@ def units(e: Column) -> Column:
     return F.when(kind != "person", F.array(unit(kind, norm))).when(given == "", F.array(last)).otherwise(F.array(first, last))
 
 
-def _pick(values: list[str], hex_: Column, at: int) -> Column:
+def _table(values: dict[str, list[str]]) -> Column:
+    """A constant map to arrays of lower-cased strings."""
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.array(*[F.lit(w.lower()) for w in v]))])
+
+
+def _pick(values: Column, hex_: Column, at: int) -> Column:
     number = F.conv(F.substr(hex_, F.lit(at), F.lit(6)), 16, 10).cast("long")
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int"))
+    return F.try_element_at(values, (number % F.size(values) + 1).cast("int"))
 
 
 def _weave(shape: Column, digits: Column, letters: Column) -> Column:
@@ -174,13 +179,12 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
         .when(kind == "hex", F.substr(hex_, F.lit(1), n))
     )
     # each attempt adds a syllable
-    for script in SCRIPTS:
-        syllables = [_pick(SYLLABLES[script], hex_, at) for at in (1, 9, 17, 25, 33, 41, 49)]
-        tail = F.concat(*[F.when(attempt > i, s).otherwise("") for i, s in enumerate(syllables[2:])])
-        out = out.when(kind == f"surname.{script}", F.concat(syllables[0], syllables[1], tail))
-        for g in "mfu":
-            out = out.when(kind == f"given.{g}.{script}", F.concat(F.lower(_pick(GIVEN[script, g], hex_, 1)), F.when(attempt > 0, F.concat(syllables[0], tail)).otherwise("")))
-    return out
+    given = F.try_element_at(_table({f"given.{g}.{script}": v for (script, g), v in GIVEN.items()}), kind)
+    parts = F.try_element_at(_table(SYLLABLES), F.substring_index(kind, ".", -1))
+    syllables = [_pick(parts, hex_, at) for at in (1, 9, 17, 25, 33, 41, 49)]
+    tail = F.concat(*[F.when(attempt > i, s).otherwise("") for i, s in enumerate(syllables[2:])])
+    out = out.when(kind.startswith("surname."), F.concat(syllables[0], syllables[1], tail))
+    return out.when(kind.startswith("given."), F.concat(_pick(given, hex_, 1), F.when(attempt > 0, F.concat(syllables[0], tail)).otherwise("")))
 
 
 def _cased(word: Column, like: Column) -> Column:
