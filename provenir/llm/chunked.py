@@ -26,11 +26,10 @@ BUCKET_BYTES = 24 << 20  # of text behind each bucket's windows
 Hasher = Callable[[list[bytes]], np.ndarray]
 
 
-def layout(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[int, int]:
+def layout(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> tuple[int, int]:
     """Numbers of chunks and of buckets for the whole table, from its size in bytes alone."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(4 * least, -(-size // chunk_bytes)), max(least, -(-size // BUCKET_BYTES))
+    return max(16, -(-size // chunk_bytes)), max(8, -(-size // bucket_bytes))
 
 
 def chunked(docs: DataFrame, n_chunks: int) -> DataFrame:

@@ -31,7 +31,7 @@ from .chunked import chunked, decode_sorted, encode_sorted, in_order, layout, sp
 from .text import mix, powers, prefix_hashes
 
 LENGTH = 100
-CHUNK_BYTES = 5 << 19
+CHUNK_BYTES, BUCKET_BYTES = 5 << 19, 16 << 20
 REPLY = "chunk int, kind int, bucket int, flags binary"
 ANCHOR, VARIED, CONTEXT, STRING = range(4)
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -99,25 +99,20 @@ class Chunk:
         return have
 
     def before(self, x: np.ndarray, y: np.ndarray, kx: np.ndarray, ky: np.ndarray) -> np.ndarray:
-        """Whether suffix x sorts before y: by the first eight bytes, else past the common prefix, else by place."""
+        """Whether suffix x sorts before y: by their keys, else past the common prefix, else by place."""
         out = kx < ky
         tie = np.flatnonzero(kx == ky)
         if len(tie):
             a, b = x[tie], y[tie]
             c = self.common(a, b)
-            full = c >= self.length
             at = np.minimum(c, self.length - 1)
-            out[tie] = np.where(full, a < b, self.bytes[a + at] < self.bytes[b + at])
+            out[tie] = np.where(c >= self.length, a < b, self.bytes[a + at] < self.bytes[b + at])
         return out
 
-    def sort(self, starts: np.ndarray) -> np.ndarray:
-        """starts in suffix order (by their first ``length`` bytes, then place): mergesort, all merges of a level at a time."""
+    def merge_sort(self, starts: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """starts sorted by key, then as suffixes, then by place: runs are merged bottom up, all merges of a level at a time."""
         n = len(starts)
-        key = np.zeros(n, np.uint64)
-        for j in range(8):
-            key = (key << np.uint64(8)) | self.bytes[starts + j].astype(np.uint64)
-        order, run = np.arange(n), 1
-        place = np.arange(n)
+        order, run, place = np.arange(n), 1, np.arange(n)
         while run < n:
             base = place // (2 * run) * (2 * run)
             in_left = place - base < run
@@ -125,22 +120,37 @@ class Chunk:
             lo = np.where(in_left, np.minimum(base + run, n), base)
             hi = np.where(in_left, np.minimum(base + 2 * run, n), np.minimum(base + run, n))
             first = lo.copy()
-            x, kx = starts[order], key[order]
-            while True:
-                todo = np.flatnonzero(lo < hi)
-                if not len(todo):
-                    break
+            x, k = starts[order], key[order]
+            while len(todo := np.flatnonzero(lo < hi)):
                 mid = (lo[todo] + hi[todo]) // 2
-                up = self.before(x[mid], x[todo], kx[mid], kx[todo])
+                up = self.before(x[mid], x[todo], k[mid], k[todo])
                 lo[todo] = np.where(up, mid + 1, lo[todo])
                 hi[todo] = np.where(up, hi[todo], mid)
             own = np.where(in_left, place - base, place - base - run)
-            target = base + own + lo - first
             merged = np.empty_like(order)
-            merged[target] = order
+            merged[base + own + lo - first] = order
             order, run = merged, 2 * run
         return starts[order]
 
+    def sort(self, starts: np.ndarray) -> np.ndarray:
+        """starts in suffix order (by their first ``length`` bytes, then place): by their first bytes as integers, and what ties there by mergesort."""
+        keys = []
+        for word in range(min(3, self.length // 8)):
+            key = np.zeros(len(starts), np.uint64)
+            for j in range(8):
+                key = (key << np.uint64(8)) | self.bytes[starts + (8 * word + j)]
+            keys.append(key)
+        order = np.lexsort(keys[::-1])
+        out = starts[order]
+        same = np.ones(max(0, len(out) - 1), bool)
+        for key in keys:
+            k = key[order]
+            same &= k[1:] == k[:-1]
+        group = np.cumsum(np.r_[True, ~same])
+        tied = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
+        out[tied] = self.merge_sort(out[tied], group[tied])
+        return out
+
     def intervals(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """starts in suffix order, and for each the earliest start of the same string in the chunk."""
         s = self.sort(starts)
@@ -278,7 +288,7 @@ class Judged(Chunk):
 
 def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row."""
-    n_chunks, n_buckets = layout(docs, CHUNK_BYTES)
+    n_chunks, n_buckets = layout(docs, CHUNK_BYTES, BUCKET_BYTES)
     chunks = chunked(docs, n_chunks)
 
     def send_anchors(table: pa.Table) -> pa.Table:
