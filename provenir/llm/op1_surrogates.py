@@ -5,7 +5,8 @@ social security numbers, access keys and hex tokens, and names after a title. A
 SHA-256 of key, kind, value and attempt: digits stay digits in the same layout, a card number that satisfies the Luhn check gets one that does,
 an address gets a reserved example domain, a name gets a given name of its gender and script and a made-up
 surname. Values are normalised first (case, separators), so one entity gets one surrogate in every layout and document, and a
-surname alone gets what it gets after a given name.
+surname alone gets what it gets after a given name. Secrets and titles are found in any case, and a replacement takes the case of what it
+replaces; only "miss" and "ms" in lower case aren't titles. In a text all in upper case the word after a lone surname counts as part of the name.
 
 Collision check: over the corpus's distinct values, a surrogate that two values share, or that is itself a value of
 the corpus, moves all but the least value on to the next attempt, until none is left. Surrogates are computed in place and texts
@@ -56,20 +57,20 @@ SYLLABLES = {
 }
 SCRIPTS = ("latin", "cyrillic", "greek")
 
-_TITLE = "|".join(t for g in "mfu" for t in sorted(TITLES[g], key=len, reverse=True))
+_TITLE = "(?!m(?:is)?s[. ])(?iu:" + "|".join(t for g in "mfu" for t in sorted(TITLES[g], key=len, reverse=True)) + ")"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "phone": r"(?:\+\d{1,3}[ .-]?|(?<![\d(])(?=\())(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,64})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?i:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Z0-9]{36}|sk-[A-Z0-9]{20,64}|[0-9a-f]{32,64})(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<!\d)(?<!\d[.,])\d(?:[ -]?\d){12,18}(?!\d)",
-    "person": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
+    "person": rf"(?<!\p{{L}}){_TITLE}\.? {_NAME}(?: {_NAME})?",
 }
 PATTERN = "|".join(PATTERNS.values())
-GATE = rf"[0-9@]|(?:{_TITLE})[. ]|[0-9a-f]{{32}}"
+GATE = rf"[0-9@]|{_TITLE}[. ]|[0-9a-fA-F]{{32}}"
 
 
 def entities(text: Column) -> Column:
@@ -80,8 +81,8 @@ def entities(text: Column) -> Column:
 def kind_of(e: Column) -> Column:
     return (
         F.when(F.contains(e, F.lit("@")), "email")
-        .when(e.rlike("^(AKIA|gh[pousr]_|sk-)"), "secret")
-        .when(e.rlike("^[0-9a-f]{32,64}$"), "hex")
+        .when(e.rlike("^(?i:AKIA|gh[pousr]_|sk-)"), "secret")
+        .when(e.rlike("^[0-9a-fA-F]{32,64}$"), "hex")
         .when(e.rlike(r"^[+(]"), "phone")
         .when(e.rlike(r"^(\d{1,3}\.){3}\d{1,3}$"), "ip")
         .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
@@ -96,13 +97,14 @@ def _script(name: Column) -> Column:
 
 
 def _gender(title: Column, given: Column) -> Column:
+    title, titles = F.lower(title), {g: [t.lower() for t in TITLES[g]] for g in "mf"}
     known = {g: [n.lower() for s in SCRIPTS for n in GIVEN[s, g]] for g in "mf"}
-    return F.when(title.isin(TITLES["m"]), "m").when(title.isin(TITLES["f"]), "f").when(F.lower(given).isin(known["m"]), "m").when(F.lower(given).isin(known["f"]), "f").otherwise("u")
+    return F.when(title.isin(titles["m"]), "m").when(title.isin(titles["f"]), "f").when(F.lower(given).isin(known["m"]), "m").when(F.lower(given).isin(known["f"]), "f").otherwise("u")
 
 
 def _person(e: Column) -> tuple[Column, Column, Column]:
     """title with its stop and space, given name or empty, surname"""
-    head = F.regexp_extract(e, rf"^((?:{_TITLE})\.? )", 1)
+    head = F.regexp_extract(e, rf"^({_TITLE}\.? )", 1)
     names = F.split(F.substr(e, F.length(head) + 1), " ")
     return head, F.when(F.size(names) > 1, names[0]).otherwise(F.lit("")), F.element_at(names, -1)
 
@@ -111,7 +113,7 @@ def units(e: Column) -> Column:
     """What of an entity gets a surrogate: an array of kind and normalised value, one for each, two for a full name."""
     kind = kind_of(e)
     digits = F.regexp_replace(e, r"\D", "")
-    norm = F.when(kind == "email", F.lower(e)).when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", F.regexp_replace(e, " ", "")).otherwise(e)
+    norm = F.when(kind.isin("email", "secret", "hex"), F.lower(e)).when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", F.regexp_replace(e, " ", "")).otherwise(e)
     head, given, surname = _person(e)
     gender = _gender(F.regexp_extract(head, r"^(\p{L}+)", 1), given)
     unit = lambda k, v: F.struct(k.alias("kind"), v.alias("norm"))
@@ -167,7 +169,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     # each attempt lengthens the number in the domain, so that short names never run out
     number = F.substr(digits, F.lit(50), F.least(attempt + 1, F.lit(15)))
     email = F.concat(_weave(local, F.concat(digits, digits), F.concat(letters, letters)), F.lit("@mail"), number, F.lit(".example."), tld)
-    prefix = F.regexp_extract(norm, "^(AKIA|gh[pousr]_|sk-|[A-Z]{2})", 1)
+    prefix = F.regexp_extract(norm, "^(akia|gh[pousr]_|sk-|[A-Z]{2})", 1)
     shaped = F.concat(prefix, _weave(F.substr(norm, F.length(prefix) + 1), F.concat(digits, digits), F.concat(letters, letters)))
     out = (
         F.when(kind == "email", email)
@@ -191,6 +193,11 @@ def _cased(word: Column, like: Column) -> Column:
     return F.when((F.upper(like) == like) & (F.length(like) > 1), F.upper(word)).otherwise(F.initcap(word))
 
 
+def _cased_as(value: Column, like: Column) -> Column:
+    """The value with its letters in upper case where ``like``, of the same length, has them so."""
+    return F.array_join(F.zip_with(F.split(value, ""), F.split(like, ""), lambda c, x: F.when(x.rlike("^[A-Z]$"), F.upper(c)).otherwise(c)), "")
+
+
 def render(e: Column, attempts: Attempts | None, key: str) -> Column:
     """An entity's replacement in the entity's own layout."""
     found = units(e)
@@ -204,7 +211,9 @@ def render(e: Column, attempts: Attempts | None, key: str) -> Column:
     kind = kind_of(e)
     head, given, surname = _person(e)
     name = F.concat(head, F.when(given == "", F.lit("")).otherwise(F.concat(_cased(new[0], given), F.lit(" "))), _cased(F.element_at(new, -1), surname))
-    return F.when(kind == "person", name).when(kind.isin("phone", "card", "ssn"), _weave(e, new[0], F.lit(""))).when(kind == "iban", _respace(e, new[0])).otherwise(new[0])
+    hex_ = F.when(e.rlike("[A-F]") & ~e.rlike("[a-f]"), F.upper(new[0])).otherwise(new[0])
+    name = F.when(kind == "person", name).when(kind == "secret", _cased_as(new[0], e)).when(kind == "hex", hex_)
+    return name.when(kind.isin("phone", "card", "ssn"), _weave(e, new[0], F.lit(""))).when(kind == "iban", _respace(e, new[0])).otherwise(new[0])
 
 
 def _respace(e: Column, value: Column) -> Column:
