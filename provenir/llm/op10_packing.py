@@ -1,18 +1,15 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Each source is a queue of its documents' tokens in doc_id order. In every round each queue's
-deficit grows by its quantum, window x share, and the queue hands out the whole tokens of its deficit and
-carries the fraction on. The rounds follow one another in one stream, which is cut every ``window``
-tokens, so that all sequences but the last are full and hold the target proportions to within one
-token of each queue.
+Each source is a queue of its documents' tokens in doc_id order, however many sources there are. A round is a
+sequence of ``window`` tokens, and the target is each queue's share of all tokens, in exact integers, so that
+all sequences but the last are full and every queue runs dry in the last one.
 
-What a queue has been given after r rounds is floor(window * r * share), so a task can tell for any of its
-documents where each piece goes without walking the rounds before it: deficits carry over windows and
-partitions by arithmetic and no state passes between tasks. The target is each queue's share of all
-tokens, in exact integers, so that every queue runs dry in the last round.
-
-Only the queues' totals (at most ``MAX_QUEUES`` numbers) go to the driver and to all tasks. With more
-sources than that, sources share queues by a hash of their name.
+The queues are the leaves of a binary tree. Of the first n tokens that a node hands out, its left side gives
+floor(n * left / total) and its right side the rest, so what a queue has been given after any round follows from the
+totals along its path, and so does what all queues before it have been given. A task can tell for any of its documents where each
+piece goes without walking the rounds before it or knowing the other queues; a queue's count is off by less than one token
+for each split on its path. A queue's leaf is the middle of its stretch in the running sum of all totals, so that the path of a
+queue is about as long as the logarithm of one over its share. Totals and paths are tables; only the number of all tokens goes to the driver.
 
 Defined results: null text is an empty document (just the end id); null source is a queue of its own;
 repeated doc_ids are documents of their own; an empty table packs nothing.
@@ -22,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +33,6 @@ from .text import groups, strings
 
 WINDOW = 2048
 END_ID = 1
-MAX_QUEUES = 256
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
@@ -56,55 +53,93 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(source as string) source", "text").mapInArrow(run, "doc_id long, source string, doc_tokens long, ids binary").withColumn("row", F.monotonically_increasing_id())
 
 
-class Rounds:
-    """Where the j-th token of a queue goes."""
-
-    def __init__(self, totals: list[int], window: int):
-        self.totals, self.window, self.all = totals, window, sum(totals)
-
-    def pieces(self, queue: int, first: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts in the document, lengths and places in the stream of the tokens [first, first + count) of a queue, cut at the ends of sequences."""
-        step = self.window * self.totals[queue]
-        begin, end = -(-(first + 1) * self.all // step), -(-(first + count) * self.all // step)  # the rounds that hand out the first and last token
-        exact = np.int64 if self.window * (end + 1) * max(self.totals) < 1 << 62 else object
-        totals = np.array(self.totals, exact)
-        given = np.minimum(totals, self.window * np.arange(begin - 1, end + 1).astype(exact)[:, None] * totals // self.all)
-        own = given[:, queue]
-        at, to = np.maximum(own[:-1], first), np.minimum(own[1:], first + count)
-        place = given[1:, :queue].sum(axis=1) + given[:-1, queue:].sum(axis=1) + at - own[:-1]
-        some = to > at
-        start, length, place = ((x[some]).astype(np.int64) for x in (at - first, to - at, place))
-        room = self.window - place % self.window  # a round may run over the end of a sequence
-        over = length > room
-        twice = np.repeat(np.arange(len(start)), 1 + over)
-        second = np.r_[False, twice[1:] == twice[:-1]]
-        start, place, length, room = start[twice], place[twice], length[twice], room[twice]
-        return np.where(second, start + room, start), np.where(second, length - room, np.minimum(length, room)), np.where(second, place + room, place)
+def scaled(n: np.ndarray, by: int, over: int, add: int = 0) -> np.ndarray:
+    """floor((n * by + add) / over) for 0 <= n, by, over < 2**50 in 64-bit integers, digit by digit where the product is larger."""
+    bits = max(by, over, int(n.max(initial=0))).bit_length()
+    if 2 * bits < 62:
+        return (n * by + add) // over
+    width = 61 - bits
+    out, rest = np.zeros_like(n), np.zeros_like(n)
+    for shift in range((bits - 1) // width * width, -1, -width):
+        rest = (rest << width) + (n >> shift & (1 << width) - 1) * by + (add if shift == 0 else 0)
+        out = (out << width) + rest // over
+        rest %= over
+    return out
+
+
+@lru_cache(4096)
+def parsed(path: str) -> list[tuple[int, int, bool]]:
+    return [(int(t), int(left), side == "1") for t, left, side in (x.split(":") for x in path.split())]
+
+
+class Queue:
+    """Where the tokens of a queue go; path: total, total of the left side, and whether the queue is on the right, from the root on."""
+
+    def __init__(self, path: list[tuple[int, int, bool]], every: int, window: int):
+        self.path, self.all, self.window = path, every, window
+
+    def given(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the first n tokens of the stream, how many are of this queue and how many of those before it."""
+        before = np.zeros_like(n)
+        for total, left, right in self.path:
+            some = scaled(n, left, total)
+            n, before = (n - some, before + some) if right else (some, before)
+        return n, before
+
+    def round_of(self, token: np.ndarray) -> np.ndarray:
+        for total, left, right in reversed(self.path):
+            token = scaled(token, total, total - left) if right else scaled(token + 1, total, left, -1)
+        return token // self.window
+
+    def rounds(self, first: int, count: int) -> Iterator[np.ndarray]:
+        """The rounds that hand out one of the tokens [first, first + count), and all between."""
+        begin, end = self.round_of(np.array([first, first + count - 1])).tolist()
+        yield np.arange(begin, end + 1)
+
+    def pieces(self, first: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts in the document, lengths and places in the stream of the tokens [first, first + count)."""
+        found = []
+        for r in self.rounds(first, count):
+            start = r * self.window
+            own, before = self.given(np.concatenate([start, np.minimum(start + self.window, self.all)]))
+            (own, upto), (earlier, later) = np.split(own, 2), np.split(before, 2)
+            at, to = np.maximum(own, first), np.minimum(upto, first + count)
+            some = to > at
+            found.append(tuple(x[some] for x in (at - first, to - at, start + later - earlier + at - own)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def paths(totals: DataFrame, every: int) -> DataFrame:
+    """queue, path of totals(queue, n), every being the sum of n."""
+    middle = exclusive_sums(totals.withColumns({"_all": F.lit(0), "_at": F.shiftright(F.xxhash64("queue"), 28)}), "_all", "_at", "n", "before", tie=F.col("queue"))
+    middle = materialize(middle.select("queue", "n", (2 * F.col("before") + F.col("n")).alias("m")), "queues")
+    levels = F.explode(F.sequence(F.lit(0), F.lit((2 * every).bit_length() - 1))).alias("level")
+    steps = middle.select("queue", "n", "m", levels).select("queue", "n", "level", F.expr("shiftright(m, level + 1)").alias("node"), F.expr("shiftright(m, level) & 1").alias("side"))
+    nodes = steps.groupBy("level", "node").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("left")).where("left > 0 and left < total")
+    step = F.struct((-F.col("level")).alias("depth"), F.concat_ws(":", "total", "left", "side").alias("step"))
+    found = steps.join(nodes, ["level", "node"]).groupBy("queue").agg(F.array_sort(F.collect_list(step)).alias("_p"))
+    return materialize(middle.select("queue").join(found, "queue", "left").select("queue", F.coalesce(F.concat_ws(" ", F.col("_p.step")), F.lit("")).alias("path")), "paths")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row for each piece; a piece lies in one sequence and is never empty."""
     tokens = materialize(tokenize(docs, tokenizer_path, end_id), "tokens")
     small = tokens.select("row", "doc_id", "source", "doc_tokens")
-    sources = small.select("source").distinct().limit(MAX_QUEUES + 1).count()
-    name = F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))
-    queue = name if sources <= MAX_QUEUES else F.concat(F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)))
-    small = small.withColumn("queue", queue)
-    totals = {r.queue: r.n for r in small.groupBy("queue").agg(F.sum("doc_tokens").alias("n")).collect()}
-    names = sorted(totals)
-    number = {q: i for i, q in enumerate(names)}
-    rounds = Rounds([totals[q] for q in names], window)
+    small = small.withColumn("queue", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
+    totals = materialize(small.groupBy("queue").agg(F.sum("doc_tokens").alias("n")), "totals")
+    every = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     placed = exclusive_sums(small, "queue", "doc_id", "doc_tokens", "first", tie=F.col("row")).select("row", "queue", "first")
+    placed = placed.join(paths(totals, every), "queue").select("row", "path", "first")
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                cols = part.select(["doc_tokens", "ids", "queue", "first"]).to_pydict()
+                cols = part.select(["doc_tokens", "ids", "path", "first"]).to_pydict()
                 found, crcs = [], []
-                for n, ids, q, first in zip(*cols.values(), strict=True):
+                for n, ids, path, first in zip(*cols.values(), strict=True):
                     wide = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4")
-                    found.append(rounds.pieces(number[q], first, n))
+                    found.append(Queue(parsed(path), every, window).pieces(first, n))
                     crcs += [zlib.crc32(wide[x : x + y]) for x, y in zip(found[-1][0].tolist(), found[-1][1].tolist(), strict=True)]
                 start, length, place = (np.concatenate(x) for x in zip(*found, strict=True))
                 doc = pa.array(np.repeat(np.arange(part.num_rows), [len(x[0]) for x in found]))
@@ -114,4 +149,4 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
                     names=[f.split()[0] for f in OUT.split(", ")],
                 )
 
-    return tokens.join(placed, "row").select("doc_id", "source", "doc_tokens", "ids", "queue", "first").mapInArrow(cut, OUT)
+    return tokens.join(placed, "row").select("doc_id", "source", "doc_tokens", "ids", "path", "first").mapInArrow(cut, OUT)

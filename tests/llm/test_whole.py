@@ -1,6 +1,12 @@
 """Operators do the whole job: cases that an earlier form left out."""
 
+from collections import Counter
+
+import numpy as np
+
 from provenir.llm import op1_surrogates as P1
+from provenir.llm.op10_packing import pack
+from provenir.llm.queries import WORD_BPE
 
 
 def docs(spark, rows):
@@ -21,3 +27,21 @@ def test_an_upper_cased_copy_gets_the_surrogates_of_its_original(spark):
     for old, new in zip(text.split('"')[1:2] + values[1:], [got[1].text.split('"')[1], *got[1].text.split("; ")[1].split(". ")[0].split()], strict=True):
         assert [(c.isdigit(), c.isupper()) for c in old] == [(c.isdigit(), c.isupper()) for c in new] or old == values[0]
     assert got[3].text == rows[2][1] and got[4].n_entities == 2 and "Smith" not in got[4].text
+
+
+# --- 10 ---
+
+
+def test_packing_of_300_sources_holds_the_mixture_of_each(spark):
+    rows = [(i, "the cat sat on a mat and looked at the dog " * (40 if i % 300 < 4 else 1 + i % 3), f"s{i % 300}") for i in range(3000)]
+    got = pack(docs(spark, rows), WORD_BPE).collect()
+    total, share, mix = sum(r.length for r in got), Counter(), {}
+    for r in got:
+        share[r.source] += r.length
+        mix.setdefault(r.sequence_id, Counter())[r.source] += r.length
+    assert len(share) == 300 and len(mix) > 20
+    for q, m in mix.items():
+        assert sum(m.values()) == 2048 or q == len(mix) - 1
+        assert q == len(mix) - 1 or all(abs(m[s] - 2048 * n / total) < 4 for s, n in share.items())
+    parts = sorted((r.sequence_id * 2048 + r.offset, r.length) for r in got)
+    assert [p for p, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1].tolist()]
