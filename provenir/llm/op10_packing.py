@@ -33,6 +33,7 @@ from .text import groups, strings
 
 WINDOW = 2048
 END_ID = 1
+BLOCK = 1 << 16  # rounds or tokens at a time
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
@@ -92,9 +93,17 @@ class Queue:
         return token // self.window
 
     def rounds(self, first: int, count: int) -> Iterator[np.ndarray]:
-        """The rounds that hand out one of the tokens [first, first + count), and all between."""
+        """The rounds that hand out one of the tokens [first, first + count), in blocks: at most ``count``, whatever lies between."""
         begin, end = self.round_of(np.array([first, first + count - 1])).tolist()
-        yield np.arange(begin, end + 1)
+        if end - begin < count:
+            for a in range(begin, end + 1, BLOCK):
+                yield np.arange(a, min(a + BLOCK, end + 1))
+            return
+        last = -1
+        for a in range(first, first + count, BLOCK):
+            some = np.unique(self.round_of(np.arange(a, min(a + BLOCK, first + count))))
+            yield some[some > last]
+            last = int(some[-1])
 
     def pieces(self, first: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts in the document, lengths and places in the stream of the tokens [first, first + count)."""

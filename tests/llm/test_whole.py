@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 
 from provenir.llm import op1_surrogates as P1
-from provenir.llm.op10_packing import pack
+from provenir.llm.op10_packing import Queue, pack, scaled
 from provenir.llm.queries import WORD_BPE
 
 
@@ -45,3 +45,15 @@ def test_packing_of_300_sources_holds_the_mixture_of_each(spark):
         assert q == len(mix) - 1 or all(abs(m[s] - 2048 * n / total) < 4 for s, n in share.items())
     parts = sorted((r.sequence_id * 2048 + r.offset, r.length) for r in got)
     assert [p for p, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1].tolist()]
+
+
+def test_a_rare_source_beside_a_hot_one_costs_its_own_tokens_only():
+    every, rare = 7_000_000_000, 5
+    queue = Queue([(every, every // 3, True), (every - every // 3, rare, False)], every, 2048)
+    start, length, place = queue.pieces(0, rare)
+    assert start.tolist() == [0, 1, 2, 3, 4] and length.tolist() == [1] * 5 and place.dtype == np.int64
+    assert all(abs(p - every * (i + 1) / rare) < 5000 for i, p in enumerate(place.tolist()))
+    rng = np.random.default_rng(1)
+    n = rng.integers(0, 1 << 45, 1000)
+    for by, over, add in (((1 << 44) - 3, (1 << 45) - 1, 0), ((1 << 45) - 1, (1 << 45) - 7, -1)):
+        assert scaled(n, by, over, add).tolist() == [(x * by + add) // over for x in n.tolist()]
