@@ -8,7 +8,8 @@ hosts; what reaches a host without outgoing edges stays there. A page that no ru
 its host's distrust is at least ``threshold`` and more than its trust.
 
 Everything is DataFrame functions. Pages are reduced to weighted host edges before any exchange; the iterations
-work on hosts only, and every few of them write a table, which cuts the lineage.
+work on hosts only and move what the last step added; each writes a table, which cuts the lineage. They stop when what is still to come,
+at most damping / (1 - damping) times the sum of the last step's increments, is below ``rest`` for all hosts together.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule and the verdict allow; null or
 empty html has no links; repeated pages count as pages of their own; an empty table gives an empty result.
@@ -31,7 +32,8 @@ RULES = (
 )
 MAX_RULES = 500
 DAMPING = 0.85
-ITERATIONS = 10
+ITERATIONS = 10  # of the SQL, which unrolls the sums that far
+REST = 1e-7  # scores are rounded to 6 digits
 THRESHOLD = 0.25
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
@@ -64,21 +66,25 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.select("src", host_and_path(target)[0].alias("dst")).where("dst <> '' and dst <> src").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
-    """host, score: seeds(host, score) spread along edges(src, dst, n), each source dividing by its total n."""
+def propagate(seeds: DataFrame, edges: DataFrame, iterations: int | None = None, damping: float = DAMPING, rest: float = REST) -> DataFrame:
+    """host, score: seeds(host, score) spread along edges(src, dst, n), each source dividing by its total n; to the limit unless iterations are given."""
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     weights = materialize(edges.join(out, "src").select("src", "dst", (damping * F.col("n") / F.col("all")).alias("w")), "edges")
-    score = seeds
-    for i in range(iterations):
-        moved = score.join(weights, score.host == weights.src).select(F.col("dst").alias("host"), (F.col("score") * F.col("w")).alias("score"))
-        score = seeds.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score"))
-        if i % 3 == 2 and i < iterations - 1:
-            score = materialize(score, "scores")
-    return score
-
-
-def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, threshold: float = THRESHOLD, iterations: int = ITERATIONS) -> DataFrame:
-    """page_id, host, path, rule, verdict, trust, distrust."""
+    state = materialize(seeds.select("host", "score", F.col("score").alias("new")), "scores")
+    step = 0
+    while iterations is None or step < iterations:
+        new = state.where("new > 0").join(weights, F.col("host") == F.col("src")).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("new") * F.col("w")).alias("new"))
+        both = state.select("host", "score", F.lit(0.0).alias("new")).unionByName(new.select("host", F.col("new").alias("score"), "new"))
+        state = materialize(both.groupBy("host").agg(F.sum("score").alias("score"), F.sum("new").alias("new")), "scores")
+        left = state.agg(F.coalesce(F.sum("new"), F.lit(0.0))).first()[0]
+        step += 1
+        if left == 0 or iterations is None and left * damping / (1 - damping) < rest:
+            break
+    return state.select("host", "score")
+
+
+def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, threshold: float = THRESHOLD, iterations: int | None = ITERATIONS) -> DataFrame:
+    """page_id, host, path, rule, verdict, trust, distrust; with iterations=None to the limit, as the query has it, else the sums cut after so many steps, as the SQL has them."""
     host, path = host_and_path(F.col("url"))
     named = pages.select("page_id", "html", host.alias("host"), path.alias("path"))
     named = named.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))

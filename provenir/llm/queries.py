@@ -32,7 +32,7 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op3_linkgraph.judge_urls(read_table(spark, sf_dir, "pages"))
+    return op3_linkgraph.judge_urls(read_table(spark, sf_dir, "pages"), iterations=None)
 
 
 def op4_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

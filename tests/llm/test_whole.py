@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 
 from provenir.llm import op1_surrogates as P1
+from provenir.llm.op3_linkgraph import judge_urls
 from provenir.llm.op10_packing import Queue, pack, scaled
 from provenir.llm.queries import WORD_BPE
 
@@ -57,3 +58,18 @@ def test_a_rare_source_beside_a_hot_one_costs_its_own_tokens_only():
     n = rng.integers(0, 1 << 45, 1000)
     for by, over, add in (((1 << 44) - 3, (1 << 45) - 1, 0), ((1 << 45) - 1, (1 << 45) - 7, -1)):
         assert scaled(n, by, over, add).tolist() == [(x * by + add) // over for x in n.tolist()]
+
+
+# --- 3 ---
+
+
+def test_distrust_of_a_clique_and_a_chain_is_the_limit(spark):
+    link = lambda to: f'<a href="http://{to}/">'
+    rows = [(f"http://k{i}.net/{'bad' if j == 0 else j}", link(f"k{1 - i}.net") if j == 1 else "") for i in range(2) for j in range(25)]
+    rows += [(f"http://c{i}.net/", link(f"c{i + 1}.net")) for i in range(15)] + [("http://c15.net/", "".join(link(f"b{i}.net") for i in range(100)))]
+    rows += [(f"http://b{i}.net/bad", "") for i in range(100)]
+    pages = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.host: r for r in judge_urls(pages, rules=(("block", "net", "/bad"),), iterations=None).where("path <> '/bad'").collect()}
+    assert abs(got["k0.net"].distrust - 0.04 / 0.15) < 2e-6 and got["k0.net"].verdict == "block"
+    for i in range(16):
+        assert abs(got[f"c{i}.net"].distrust - 100 * 0.85 ** (16 - i)) < 2e-6 and got[f"c{i}.net"].verdict == "block"
