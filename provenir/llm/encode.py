@@ -9,6 +9,8 @@ A group of texts is split and its distinct pieces are found in Arrow; only these
 compact store (sorted hashes and one array of ids) of bounded size: when full it is emptied and filled again. The ids of all
 pieces are then gathered in numpy.
 
+A text that holds one of the vocabulary's special tokens, such as <|endoftext|>, is encoded whole by the library, since that splits it there.
+
 New pieces are encoded many at a time, as one text, and the ids are divided again where a
 piece begins: in the byte-level vocabulary a token that begins with a space does so; in the one with word ends, a
 piece of letters and then signs has one word end for each of the two. Any other piece is encoded on its own.
@@ -76,7 +78,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.code = "H" if max(vocabulary.values()) < 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
@@ -142,7 +144,15 @@ class Encoder:
     def encode_group(self, texts: list[str]) -> list[bytes]:
         if not texts:
             return []
-        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        column = pa.array(texts, pa.large_string())
+        special = np.zeros(len(texts), bool)
+        for content in self.special:
+            special |= np.asarray(pc.match_substring(column, content))
+        if special.any():
+            whole = iter(self._whole([texts[i] for i in np.flatnonzero(special)]))
+            plain = iter(self.encode_group([texts[i] for i in np.flatnonzero(~special)]))
+            return [next(whole) if s else next(plain) for s in special.tolist()]
+        lists = pc.split_pattern(column, " ")
         ends = np.asarray(lists.offsets)
         coded = lists.flatten().dictionary_encode()
         place = np.asarray(coded.indices)

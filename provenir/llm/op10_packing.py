@@ -120,7 +120,7 @@ class Queue:
 
 def paths(totals: DataFrame, every: int) -> DataFrame:
     """queue, path of totals(queue, n), every being the sum of n."""
-    middle = exclusive_sums(totals.withColumns({"_all": F.lit(0), "_at": F.shiftright(F.xxhash64("queue"), 28)}), "_all", "_at", "n", "before", tie=F.col("queue"))
+    middle = exclusive_sums(totals.withColumns({"_all": F.lit(0), "_at": F.xxhash64("queue")}), "_all", ["_at", "queue"], "n", "before")
     middle = materialize(middle.select("queue", "n", (2 * F.col("before") + F.col("n")).alias("m")), "queues")
     levels = F.explode(F.sequence(F.lit(0), F.lit((2 * every).bit_length() - 1))).alias("level")
     steps = middle.select("queue", "n", "m", levels).select("queue", "n", "level", F.expr("shiftright(m, level + 1)").alias("node"), F.expr("shiftright(m, level) & 1").alias("side"))
@@ -137,7 +137,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     small = small.withColumn("queue", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
     totals = materialize(small.groupBy("queue").agg(F.sum("doc_tokens").alias("n")), "totals")
     every = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    placed = exclusive_sums(small, "queue", "doc_id", "doc_tokens", "first", tie=F.col("row")).select("row", "queue", "first")
+    placed = exclusive_sums(small, "queue", ["doc_id", "row"], "doc_tokens", "first").select("row", "queue", "first")
     placed = placed.join(paths(totals, every), "queue").select("row", "path", "first")
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

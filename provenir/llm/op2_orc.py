@@ -5,10 +5,11 @@ as ORC. ORC's writer stores the ids with integer run-length encoding in stripes,
 minimum and maximum per stripe and per ``row_index_stride`` rows, and a Bloom filter on doc_id
 for each, so that readers split a file by stripes and skip what a filter on doc_id rules out.
 
-Columns: part int (the range), doc_id long, n_tokens int, ids array<int> (end id included).
+Ranges are made from the table's size in bytes. Columns: part int (the range), place long (ids of the range before this document), doc_id long,
+n_tokens int, ids array<int> (end id included). The start of a document is its place and what the ranges before its own hold; only these totals, one for each range, meet in one place.
 
 Defined results: null or empty text has only the end id; repeated doc_ids are kept as rows of their own, in
-the order of their text; null doc_ids come first; an empty table writes an empty data set.
+the order of a hash of their text, and start where they lie in the files; null doc_ids come first; an empty table writes an empty data set.
 """
 
 from __future__ import annotations
@@ -23,45 +24,42 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize, new_path
 from .encode import GROUP, encoder
-from .offsets import exclusive_sums
 from .text import groups, strings
 
 END_ID = 0
 STRIPE_BYTES = 32 << 20
 ROW_INDEX_STRIDE = 1000
 BLOOM_FPP = 0.01
-SCHEMA = "part int, doc_id long, n_tokens int, ids array<int>"
+RANGE_BYTES = 32 << 20  # of text
+SCHEMA = "part int, place long, doc_id long, n_tokens int, ids array<int>"
 
 
 def _arrays(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     enc = encoder(path)
     end = np.array([end_id], "<i4")
+    place = 0
     for batch in batches:
         texts = strings(batch.column(2))
         for a, b in groups(texts, GROUP):
             part = batch.slice(a, b - a)
-            ids, ends, total = [], [0], 0
+            ids, sizes = [], []
             for raw in enc.encode(texts[a:b]):
                 x = np.frombuffer(raw, enc.dtype).astype("<i4")
                 ids += [x, end]
-                total += len(x) + 1
-                ends.append(total)
-            values = pa.array(np.concatenate(ids), pa.int32())
-            offsets = np.array(ends, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), values)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(offsets).astype(np.int32)), lists], names=["part", "doc_id", "n_tokens", "ids"])
+                sizes.append(len(x) + 1)
+            offsets = np.r_[0, np.cumsum(sizes)]
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(ids), pa.int32()))
+            places = pa.array(place + offsets[:-1], pa.int64())
+            place += int(offsets[-1])
+            yield pa.RecordBatch.from_arrays([part.column(0), places, part.column(1), pa.array(sizes, pa.int32()), lists], names=["part", "place", "doc_id", "n_tokens", "ids"])
 
 
-def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = END_ID, partitions: int | None = None) -> None:
+def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = END_ID, range_bytes: int = RANGE_BYTES) -> None:
     """Encode every text and write the data set to the folder ``out``."""
-    spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_docs = (
-        docs.selectExpr("cast(doc_id as long) doc_id", "text")
-        .repartitionByRange(n, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
-        .select(F.spark_partition_id().alias("part"), "doc_id", "text")
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_row"))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    by = ["doc_id", "_h", "_row"]  # the last two only deal out rows with one doc_id
+    sorted_docs = rows.repartitionByRange(max(8, -(-size // range_bytes)), *by).sortWithinPartitions(*by).select(F.spark_partition_id().alias("part"), "doc_id", "text")
     tokens = sorted_docs.mapInArrow(lambda it: _arrays(it, tokenizer_path, end_id), SCHEMA)
     (
         tokens.write.option("orc.compress", "LZ4")
@@ -81,21 +79,25 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists = batch.column(3)
+        lists = batch.column(4)
         values = np.asarray(lists.flatten()).astype("<u4", copy=False)
-        at = np.r_[0, np.cumsum(np.asarray(batch.column(2)))]
+        at = np.r_[0, np.cumsum(np.asarray(batch.column(3)))]
         crc = [zlib.crc32(values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-        keep = [batch.column(i) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(crc, pa.int64())], names=["part", "doc_id", "n_tokens", "ids_crc32"])
+        keep = [batch.column(i) for i in range(4)]
+        yield pa.RecordBatch.from_arrays([*keep, pa.array(crc, pa.int64())], names=["part", "place", "doc_id", "n_tokens", "ids_crc32"])
 
 
 def token_index(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document of a data set, from its files."""
-    rows = tokens.mapInArrow(_digest, "part int, doc_id long, n_tokens int, ids_crc32 long").withColumn("n_tokens", F.col("n_tokens").cast("long"))
-    rows = materialize(rows, "token-index")  # the running sums read it several times, the token files once
-    rows = rows.withColumn("_all", F.lit(0))
-    placed = exclusive_sums(rows, "_all", "doc_id", "n_tokens", "start", tie=F.struct("part", "n_tokens", "ids_crc32"))
-    return placed.select("doc_id", "start", "n_tokens", "ids_crc32")
+    rows = tokens.mapInArrow(_digest, "part int, place long, doc_id long, n_tokens int, ids_crc32 long")
+    rows = materialize(rows, "token-index")
+    parts = sorted((r.part, r.n) for r in rows.groupBy("part").agg(F.max(F.col("place") + F.col("n_tokens")).alias("n")).collect())  # a row for each range
+    starts, before = [], 0
+    for part, n in parts:
+        starts.append((part, before))
+        before += n
+    placed = rows.join(F.broadcast(tokens.sparkSession.createDataFrame(starts, "part int, before long")), "part")
+    return placed.select("doc_id", (F.col("before") + F.col("place")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")
 
 
 def orc_query(docs: DataFrame, tokenizer_path: str) -> DataFrame:

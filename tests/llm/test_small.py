@@ -107,8 +107,7 @@ def test_encoder_gives_the_ids_of_whole_texts(texts, path, word_ends):
     from provenir.llm.encode import Encoder
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    odd = ["", " ", "a  b", " a", "a ", "a\n b", "a\t\tb c", "it's I'll\n\n  do", "12 a1", "\x1c a b\x1c c", "ΑΣ ΟΔΟΣ", "é ́a b", "<|endoftext|> x", "x  y", "İ İa"]
+    odd = ["hi <|endoftext|> there", "a<|startoftext|>b c", " <|endoftext|>  X<|endoftext|>", "<|ENDOFTEXT|> x", "", " ", "a  b", " a", "a ", "a\n b", "a\t\tb c", "it's I'll\n\n  do", "12 a1", "\x1c a b\x1c c", "ΑΣ ΟΔΟΣ", "é ́a b", "<|endoftext|> x", "x  y", "İ İa"]
     every = odd + [t for _, t in texts]
     encoder = Encoder(path, memory=5000, word_ends=word_ends)
     for _ in range(2):

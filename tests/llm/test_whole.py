@@ -1,13 +1,16 @@
 """Operators do the whole job: cases that an earlier form left out."""
 
+import zlib
 from collections import Counter
 
 import numpy as np
 
 from provenir.llm import op1_surrogates as P1
+from provenir.llm.offsets import exclusive_sums
+from provenir.llm.op2_orc import read_tokens, token_index, write_tokens
 from provenir.llm.op3_linkgraph import judge_urls
 from provenir.llm.op10_packing import Queue, pack, scaled
-from provenir.llm.queries import WORD_BPE
+from provenir.llm.queries import BYTE_BPE, WORD_BPE
 
 
 def docs(spark, rows):
@@ -73,3 +76,31 @@ def test_distrust_of_a_clique_and_a_chain_is_the_limit(spark):
     assert abs(got["k0.net"].distrust - 0.04 / 0.15) < 2e-6 and got["k0.net"].verdict == "block"
     for i in range(16):
         assert abs(got[f"c{i}.net"].distrust - 100 * 0.85 ** (16 - i)) < 2e-6 and got[f"c{i}.net"].verdict == "block"
+
+
+# --- 2 and 10 ---
+
+
+def test_running_sums_of_sparse_repeated_and_null_orders(spark):
+    rng = np.random.default_rng(2)
+    ids = [None] * 300 + [7] * 500 + rng.integers(-(1 << 63), (1 << 63) - 1, 1200).tolist()
+    rows = [(("a", "b", "c")[i % 3 and i % 2], x, i, (1 << 40) + i) for i, x in enumerate(ids)]
+    found = exclusive_sums(spark.createDataFrame(rows, "k string, id long, i long, n long"), "k", ["id", "i"], "n", "before").collect()
+    want, sums = {}, Counter()
+    for k, x, i, n in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2])):
+        want[i] = sums[k]
+        sums[k] += n
+    assert {r.i: r.before for r in found} == want
+
+
+def test_starts_follow_the_files_where_doc_ids_repeat(spark, tmp_path):
+    rows = [(7, f"text {i % 50} of many", "s") for i in range(200)] + [(None, "none", "s"), (3, "<|endoftext|> x", "s"), (9, None, "s")]
+    write_tokens(docs(spark, rows), f"{tmp_path}/t", BYTE_BPE, range_bytes=64)
+    tokens = read_tokens(spark, f"{tmp_path}/t")
+    assert tokens.select("part").distinct().count() > 8
+    at = 0
+    for r, i in zip(sorted(tokens.collect(), key=lambda r: (r.part, r.place)), sorted(token_index(tokens).collect(), key=lambda r: r.start), strict=True):
+        assert (i.doc_id, i.start, i.n_tokens, i.ids_crc32) == (r.doc_id, at, r.n_tokens, zlib.crc32(np.array(r["ids"], "<u4").tobytes()))
+        at += r.n_tokens
+    order = [r.doc_id for r in sorted(token_index(tokens).collect(), key=lambda r: r.start)]
+    assert order == [None, 3, *[7] * 200, 9]
