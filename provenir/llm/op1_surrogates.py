@@ -1,15 +1,18 @@
 """PII: detected entities get keyed surrogates of the same type, gender, script and format.
 
 Detection is one regular expression over the whole text: e-mail addresses, phone numbers, card and account numbers, IP addresses,
-social security numbers, access keys and hex tokens, and names after a title. A surrogate is made from the
-SHA-256 of key, kind, value and attempt: digits stay digits in the same layout, a card number that satisfies the Luhn check gets one that does,
+social security numbers, access keys and hex tokens, and names. A name is one or two capitalised words after a title or after a phrase by which people
+give their name, or a known given name and a capitalised word; other names aren't found. An address has at most 64 characters before its sign and 63 in each
+label, a word of a name at most 61; no repetition in the pattern recurses, so a text of any length passes. A surrogate is made from the
+SHA-256 of key, kind, value and attempt: digits stay digits in the same layout, a card number that satisfies the Luhn check gets one that does, an account number with right check digits gets right ones,
 an address gets a reserved example domain, a name gets a given name of its gender and script and a made-up
 surname. Values are normalised first (case, separators), so one entity gets one surrogate in every layout and document, and a
-surname alone gets what it gets after a given name. Secrets and titles are found in any case, and a replacement takes the case of what it
+surname alone gets what it gets after a given name, a phone number what it gets after a country code. Secrets and titles are found in any case, and a replacement takes the case of what it
 replaces; only "miss" and "ms" in lower case aren't titles. In a text all in upper case the word after a lone surname counts as part of the name.
 
 Collision check: over the corpus's distinct values, a surrogate that two values share, or that is itself a value of
-the corpus, moves all but the least value on to the next attempt, until none is left. Surrogates are computed in place and texts
+the corpus, moves all but the least value on to the next attempt, until none is left. Each attempt lengthens names and addresses, and beyond DENSE attempts,
+when a format of fixed length is nearly used up, other surrogates get a further digit each time (an IP address a port), so that the attempts come to an end with any number of values. Surrogates are computed in place and texts
 aren't shuffled: the values with an attempt above 0 go to all tasks if they are few, and are joined to their documents if they are many.
 
 All of it is DataFrame functions.
@@ -28,17 +31,18 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 
 KEY = "provenir-surrogates"
-MAX_ATTEMPTS = 60
+DENSE = 30  # attempts of a fixed length
 MAX_BROADCAST = 20_000  # values with an attempt above 0 that all tasks get; more are joined
 SLOTS = 256
 Attempts = Callable[[Column], Column]
 
-# Titles by gender, given names by script and gender, syllables by script.
+# Titles by gender, phrases before a name, given names by script and gender, syllables by script.
 TITLES = {
     "m": ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Господин"],
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"],
     "u": ["Dr", "Prof"],
 }
+CUES = ["my name is", "ich heiße", "je m'appelle", "me llamo", "меня зовут"]
 GIVEN = {
     ("latin", "m"): ["Adrian", "Bruno", "Cedric", "Dominic", "Emil", "Felix", "Gregor", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Marco", "Nils", "Oscar", "Paul"],
     ("latin", "f"): ["Alma", "Beatrice", "Clara", "Dora", "Elena", "Flora", "Greta", "Helena", "Ines", "Julia", "Karin", "Livia", "Marta", "Nora", "Olivia", "Petra"],
@@ -58,19 +62,22 @@ SYLLABLES = {
 SCRIPTS = ("latin", "cyrillic", "greek")
 
 _TITLE = "(?!m(?:is)?s[. ])(?iu:" + "|".join(t for g in "mfu" for t in sorted(TITLES[g], key=len, reverse=True)) + ")"
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+_CUE = "(?iu:" + "|".join(CUES) + ")"
+_KNOWN = "(?iu:" + "|".join(n for (_, g), names in GIVEN.items() if g != "u" for n in names) + ")"
+_NAME = r"\p{Lu}[\p{L}'’-]{1,60}+(?![\p{L}'’-])"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "phone": r"(?:\+\d{1,3}[ .-]?|(?<![\d(])(?=\())(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,126}+",
+    "phone": r"(?:\+\d{1,3}[ .-]?|(?<![\d(])(?=\())(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d.-])[2-9]\d{2}(?:-\d{3}-|\.\d{3}\.)\d{4}(?![\d-]|\.\d)",
     "secret": r"(?<![A-Za-z0-9])(?i:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Z0-9]{36}|sk-[A-Z0-9]{20,64}|[0-9a-f]{32,64})(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<!\d)(?<!\d[.,])\d(?:[ -]?\d){12,18}(?!\d)",
-    "person": rf"(?<!\p{{L}}){_TITLE}\.? {_NAME}(?: {_NAME})?",
+    "person": rf"(?<!\p{{L}})(?:{_TITLE}\.?|{_CUE}) {_NAME}(?: {_NAME})?",
+    "known": rf"(?<!\p{{L}})(?=\p{{Lu}}){_KNOWN} {_NAME}",
 }
 PATTERN = "|".join(PATTERNS.values())
-GATE = rf"[0-9@]|{_TITLE}[. ]|[0-9a-fA-F]{{32}}"
+GATE = rf"[0-9@]|{_TITLE}[. ]|[0-9a-fA-F]{{32}}|{_CUE} |{PATTERNS['known']}"
 
 
 def entities(text: Column) -> Column:
@@ -83,7 +90,7 @@ def kind_of(e: Column) -> Column:
         F.when(F.contains(e, F.lit("@")), "email")
         .when(e.rlike("^(?i:AKIA|gh[pousr]_|sk-)"), "secret")
         .when(e.rlike("^[0-9a-fA-F]{32,64}$"), "hex")
-        .when(e.rlike(r"^[+(]"), "phone")
+        .when(e.rlike(r"^[+(]|^\d{3}(-\d{3}-|\.\d{3}\.)\d{4}$"), "phone")
         .when(e.rlike(r"^(\d{1,3}\.){3}\d{1,3}$"), "ip")
         .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(e.rlike(r"^[A-Z]{2}\d{2}"), "iban")
@@ -103,8 +110,8 @@ def _gender(title: Column, given: Column) -> Column:
 
 
 def _person(e: Column) -> tuple[Column, Column, Column]:
-    """title with its stop and space, given name or empty, surname"""
-    head = F.regexp_extract(e, rf"^({_TITLE}\.? )", 1)
+    """title or phrase with its space, or empty; given name or empty; surname"""
+    head = F.regexp_extract(e, rf"^((?:{_TITLE}\.?|{_CUE}) )", 1)
     names = F.split(F.substr(e, F.length(head) + 1), " ")
     return head, F.when(F.size(names) > 1, names[0]).otherwise(F.lit("")), F.element_at(names, -1)
 
@@ -113,7 +120,7 @@ def units(e: Column) -> Column:
     """What of an entity gets a surrogate: an array of kind and normalised value, one for each, two for a full name."""
     kind = kind_of(e)
     digits = F.regexp_replace(e, r"\D", "")
-    norm = F.when(kind.isin("email", "secret", "hex"), F.lower(e)).when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", F.regexp_replace(e, " ", "")).otherwise(e)
+    norm = F.when(kind.isin("email", "secret", "hex"), F.lower(e)).when(kind == "phone", F.right(digits, F.lit(10))).when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.regexp_replace(e, " ", "")).otherwise(e)
     head, given, surname = _person(e)
     gender = _gender(F.regexp_extract(head, r"^(\p{L}+)", 1), given)
     unit = lambda k, v: F.struct(k.alias("kind"), v.alias("norm"))
@@ -127,8 +134,11 @@ def _table(values: dict[str, list[str]]) -> Column:
     return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.array(*[F.lit(w.lower()) for w in v]))])
 
 
-def _pick(values: Column, hex_: Column, at: int) -> Column:
-    number = F.conv(F.substr(hex_, F.lit(at), F.lit(6)), 16, 10).cast("long")
+def _number(hex_: Column, at: Column, size: int) -> Column:
+    return F.conv(F.substr(hex_, at, F.lit(size)), 16, 10).cast("long")
+
+
+def _pick(values: Column, number: Column) -> Column:
     return F.try_element_at(values, (number % F.size(values) + 1).cast("int"))
 
 
@@ -152,41 +162,50 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10
 
 
+def _mod97(account: Column) -> Column:
+    """The remainder of an account number, its first four characters moved to the end, by 97: 1 where the check digits are right."""
+    moved = F.concat(F.substr(account, F.lit(5)), F.substr(account, F.lit(1), F.lit(4)))
+    each = lambda a, c: F.when(c.rlike("^[0-9]$"), a * 10 + c.cast("int")).when(c.rlike("^[A-Z]$"), a * 100 + F.ascii(c) - 55).otherwise(a) % 97
+    return F.aggregate(F.split(moved, ""), F.lit(0), each)
+
+
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """The normalised surrogate of a unit."""
     hex_ = F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), norm), 256)
     digits = F.translate(hex_, "abcdef", "270583")
     letters = F.translate(hex_, "0123456789abcdef", "etaoinshrdlumcfg")
     n = F.length(norm)
-    # a country code that stays: of eleven digits and more, what goes beyond ten
-    code = F.greatest(n - 10, F.lit(0))
-    phone = F.concat(F.substr(norm, F.lit(1), code), F.translate(F.substr(digits, F.lit(1), F.lit(1)), "01", "57"), F.substr(digits, F.lit(2), n - code - 1))
+    further = F.when(attempt > DENSE, F.substr(digits, F.lit(41), F.least(attempt - DENSE, F.lit(24)))).otherwise("")
+    phone = F.concat(F.translate(F.substr(digits, F.lit(1), F.lit(1)), "01", "57"), F.substr(digits, F.lit(2), n - 1))
     body = F.concat(F.substr(norm, F.lit(1), F.lit(1)), F.substr(digits, F.lit(1), n - 2))
     check = F.when(_luhn(norm) == 0, ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string")).otherwise(F.substr(digits, F.lit(40), F.lit(1)))
-    octet = lambda at, mod, plus: (F.conv(F.substr(hex_, F.lit(at), F.lit(6)), 16, 10).cast("long") % mod + plus).cast("string")
+    octet = lambda at, mod, plus: (_number(hex_, F.lit(at), 6) % mod + plus).cast("string")
     local = F.substring_index(norm, "@", 1)
     tld = F.when(norm.rlike(r"\.(com|org|net)$"), F.substring_index(norm, ".", -1)).otherwise("com")
-    # each attempt lengthens the number in the domain, so that short names never run out
     number = F.substr(digits, F.lit(50), F.least(attempt + 1, F.lit(15)))
-    email = F.concat(_weave(local, F.concat(digits, digits), F.concat(letters, letters)), F.lit("@mail"), number, F.lit(".example."), tld)
-    prefix = F.regexp_extract(norm, "^(akia|gh[pousr]_|sk-|[A-Z]{2})", 1)
-    shaped = F.concat(prefix, _weave(F.substr(norm, F.length(prefix) + 1), F.concat(digits, digits), F.concat(letters, letters)))
+    woven = lambda shape: _weave(shape, F.concat(digits, digits), F.concat(letters, letters))
+    email = F.concat(woven(local), F.lit("@mail"), number, F.lit(".example."), tld)
+    prefix = F.regexp_extract(norm, "^(akia|gh[pousr]_|sk-)", 1)
+    secret = F.concat(prefix, woven(F.substr(norm, F.length(prefix) + 1)))
+    land, account = F.substr(norm, F.lit(1), F.lit(2)), woven(F.substr(norm, F.lit(5)))
+    right = F.lpad((98 - _mod97(F.concat(land, F.lit("00"), account))).cast("string"), 2, "0")
+    iban = F.concat(land, F.when(_mod97(norm) == 1, right).otherwise(F.substr(digits, F.lit(38), F.lit(2))), account)
+    ip = F.concat_ws(".", octet(1, 223, 1), octet(7, 256, 0), octet(13, 256, 0), octet(19, 254, 1))
     out = (
         F.when(kind == "email", email)
-        .when(kind == "phone", phone)
-        .when(kind == "card", F.concat(body, check))
-        .when(kind == "ssn", F.concat(F.lit("9"), F.substr(digits, F.lit(1), n - 1)))
-        .when(kind == "ip", F.concat_ws(".", octet(1, 223, 1), octet(7, 256, 0), octet(13, 256, 0), octet(19, 254, 1)))
-        .when(kind.isin("secret", "iban"), shaped)
-        .when(kind == "hex", F.substr(hex_, F.lit(1), n))
+        .when(kind == "phone", F.concat(phone, further))
+        .when(kind == "card", F.concat(body, check, further))
+        .when(kind == "ssn", F.concat(F.lit("9"), F.substr(digits, F.lit(1), n - 1), further))
+        .when(kind == "ip", F.concat(ip, F.when(further != "", F.concat(F.lit(":"), further)).otherwise("")))
+        .when(kind == "secret", F.concat(secret, further))
+        .when(kind == "iban", F.concat(iban, further))
+        .when(kind == "hex", F.concat(F.substr(hex_, F.lit(1), n), further))
     )
-    # each attempt adds a syllable
     given = F.try_element_at(_table({f"given.{g}.{script}": v for (script, g), v in GIVEN.items()}), kind)
     parts = F.try_element_at(_table(SYLLABLES), F.substring_index(kind, ".", -1))
-    syllables = [_pick(parts, hex_, at) for at in (1, 9, 17, 25, 33, 41, 49)]
-    tail = F.concat(*[F.when(attempt > i, s).otherwise("") for i, s in enumerate(syllables[2:])])
-    out = out.when(kind.startswith("surname."), F.concat(syllables[0], syllables[1], tail))
-    return out.when(kind.startswith("given."), F.concat(_pick(given, hex_, 1), F.when(attempt > 0, F.concat(syllables[0], tail)).otherwise("")))
+    syllables = lambda count: F.array_join(F.transform(F.sequence(F.lit(1), F.least(count, F.lit(16))), lambda i: _pick(parts, _number(hex_, i * 4 - 3, 4))), "")
+    out = out.when(kind.startswith("surname."), syllables(attempt + 2))
+    return out.when(kind.startswith("given."), F.concat(_pick(given, _number(hex_, F.lit(1), 6)), F.when(attempt > 0, syllables(attempt)).otherwise("")))
 
 
 def _cased(word: Column, like: Column) -> Column:
@@ -212,8 +231,13 @@ def render(e: Column, attempts: Attempts | None, key: str) -> Column:
     head, given, surname = _person(e)
     name = F.concat(head, F.when(given == "", F.lit("")).otherwise(F.concat(_cased(new[0], given), F.lit(" "))), _cased(F.element_at(new, -1), surname))
     hex_ = F.when(e.rlike("[A-F]") & ~e.rlike("[a-f]"), F.upper(new[0])).otherwise(new[0])
-    name = F.when(kind == "person", name).when(kind == "secret", _cased_as(new[0], e)).when(kind == "hex", hex_)
-    return name.when(kind.isin("phone", "card", "ssn"), _weave(e, new[0], F.lit(""))).when(kind == "iban", _respace(e, new[0])).otherwise(new[0])
+    # digits in the entity's layout, behind a phone number's country code; what an attempt beyond DENSE added comes last
+    digits = F.regexp_replace(e, r"\D", "")
+    all_ = F.when(kind == "phone", F.concat(F.substr(digits, F.lit(1), F.greatest(F.length(digits) - 10, F.lit(0))), new[0])).otherwise(new[0])
+    laid = F.concat(_weave(e, all_, F.lit("")), F.substr(all_, F.length(digits) + 1))
+    out = F.when(kind == "person", name).when(kind == "secret", _cased_as(new[0], e)).when(kind == "hex", hex_)
+    out = out.when(kind.isin("phone", "card", "ssn"), laid)
+    return out.when(kind == "iban", F.concat(_respace(e, new[0]), F.substr(new[0], F.length(F.regexp_replace(e, " ", "")) + 1))).otherwise(new[0])
 
 
 def _respace(e: Column, value: Column) -> Column:
@@ -226,7 +250,7 @@ def resolve(values: DataFrame, key: str = KEY) -> DataFrame:
     """kind, norm, attempt of the distinct values whose first surrogate won't do."""
     every = materialize(values.select("kind", "norm").distinct().withColumn("attempt", F.lit(0)), "values")
     current = every
-    for _ in range(MAX_ATTEMPTS):
+    while True:
         made = current.withColumn("new", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key))
         shared = made.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min("norm").alias("first")).where("n > 1")
         twice = made.join(shared, ["kind", "new"]).where("norm <> first").select("kind", "norm")
@@ -236,33 +260,42 @@ def resolve(values: DataFrame, key: str = KEY) -> DataFrame:
             return current.where("attempt > 0")
         moved = current.join(again.withColumn("_up", F.lit(1)), ["kind", "norm"], "left")
         current = materialize(moved.select("kind", "norm", (F.col("attempt") + F.coalesce("_up", F.lit(0))).alias("attempt")), "values")
-    raise RuntimeError(f"collisions are left after {MAX_ATTEMPTS} attempts: more values than surrogates of their format")
 
 
-def surrogate_text(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with text replaced, and n_entities and kinds added."""
-    found = docs.withColumn("_e", entities(F.col("text")))
-    per_doc = found.where("size(_e) > 0").select("doc_id", F.explode(F.array_distinct("_e")).alias("e")).select("doc_id", F.explode(units(F.col("e"))).alias("u")).select("doc_id", "u.kind", "u.norm")
-    moved = materialize(resolve(per_doc, key), "attempts")
+def _replaced(docs: DataFrame, key: str) -> DataFrame:
+    """docs with text replaced, and _pv_entities, the entities that it held."""
+    text = [F.xxhash64("text"), F.xxhash64("text", F.lit(1))]  # what a text holds goes by the text, not by its row
+    found = docs.withColumn("_pv_entities", entities(F.col("text")))
+    held = docs.select(text[0].alias("h1"), text[1].alias("h2"), F.explode(F.array_distinct(entities(F.col("text")))).alias("e"))
+    values = held.select("h1", "h2", F.explode(units(F.col("e"))).alias("u")).select("h1", "h2", "u.kind", "u.norm")
+    moved = materialize(resolve(values, key), "attempts")
     name = F.concat_ws("|", "kind", "norm")
     some = moved.limit(MAX_BROADCAST + 1).count()
     attempts: Attempts | None = None
-    if some > MAX_BROADCAST:  # joined to the documents that hold them
-        own = per_doc.distinct().join(moved, ["kind", "norm"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(name, "attempt"))).alias("_m")).withColumnRenamed("doc_id", "_id")
-        found = found.join(own, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-        attempts = lambda n: F.coalesce(F.try_element_at(F.col("_m"), n), F.lit(0))
+    if some > MAX_BROADCAST:  # joined to the texts that hold them
+        own = values.distinct().join(moved, ["kind", "norm"]).groupBy("h1", "h2").agg(F.map_from_entries(F.collect_list(F.struct(name, "attempt"))).alias("_pv_map"))
+        own = own.withColumnsRenamed({"h1": "_pv_h1", "h2": "_pv_h2"})
+        found = found.withColumns({"_pv_a": text[0], "_pv_b": text[1]}).join(own, (F.col("_pv_a") == F.col("_pv_h1")) & (F.col("_pv_b") == F.col("_pv_h2")), "left")
+        attempts = lambda n: F.coalesce(F.try_element_at(F.col("_pv_map"), n), F.lit(0))
     elif some:  # few: one row of small maps by the name's checksum goes to all tasks
         rows = moved.select(name.alias("name"), "attempt").withColumn("slot", F.crc32("name") % SLOTS)
-        maps = rows.groupBy("slot").agg(F.map_from_entries(F.collect_list(F.struct("name", "attempt"))).alias("m")).agg(F.map_from_entries(F.collect_list(F.struct("slot", "m"))).alias("_m"))
+        maps = rows.groupBy("slot").agg(F.map_from_entries(F.collect_list(F.struct("name", "attempt"))).alias("m")).agg(F.map_from_entries(F.collect_list(F.struct("slot", "m"))).alias("_pv_map"))
         found = found.join(F.broadcast(maps))
-        attempts = lambda n: F.coalesce(F.try_element_at(F.try_element_at(F.col("_m"), F.crc32(n) % SLOTS), n), F.lit(0))
-    new = F.transform("_e", lambda e: render(e, attempts, key))
+        attempts = lambda n: F.coalesce(F.try_element_at(F.try_element_at(F.col("_pv_map"), F.crc32(n) % SLOTS), n), F.lit(0))
+    new = F.transform("_pv_entities", lambda e: render(e, attempts, key))
     pieces = F.split("text", PATTERN, -1)
     woven = F.array_join(F.zip_with(pieces, new, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    out = found.withColumn("text", F.when(F.size("_e") > 0, woven).otherwise(F.col("text")))
-    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("_e", kind_of))), ",")
-    return out.withColumn("n_entities", F.coalesce(F.size("_e"), F.lit(0)).cast("long")).withColumn("kinds", kinds).drop("_e", "_m")
+    out = found.withColumn("text", F.when(F.size("_pv_entities") > 0, woven).otherwise(F.col("text")))
+    return out.select(*docs.columns, "_pv_entities")
+
+
+def surrogate_text(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """docs with text replaced and nothing else changed."""
+    return _replaced(docs, key).drop("_pv_entities")
 
 
-def surrogate_query(docs: DataFrame) -> DataFrame:
-    return surrogate_text(docs.selectExpr("cast(doc_id as long) doc_id", "text")).select("doc_id", "text", "n_entities", "kinds")
+def surrogate_query(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """doc_id, text, n_entities and kinds of every row."""
+    out = _replaced(docs.selectExpr("cast(doc_id as long) doc_id", "text"), key)
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("_pv_entities", kind_of))), ",")
+    return out.select("doc_id", "text", F.coalesce(F.size("_pv_entities"), F.lit(0)).cast("long").alias("n_entities"), kinds.alias("kinds"))

@@ -30,7 +30,7 @@ END_ID = 0
 STRIPE_BYTES = 32 << 20
 ROW_INDEX_STRIDE = 1000
 BLOOM_FPP = 0.01
-RANGE_BYTES = 32 << 20  # of text
+RANGE_BYTES, MOST_RANGES = 16 << 20, 100_000  # of text; tasks stream, so a range's size doesn't count for memory
 SCHEMA = "part int, place long, doc_id long, n_tokens int, ids array<int>"
 
 
@@ -59,7 +59,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = E
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_row"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     by = ["doc_id", "_h", "_row"]  # the last two only deal out rows with one doc_id
-    sorted_docs = rows.repartitionByRange(max(8, -(-size // range_bytes)), *by).sortWithinPartitions(*by).select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    sorted_docs = rows.repartitionByRange(min(MOST_RANGES, max(8, -(-size // range_bytes))), *by).sortWithinPartitions(*by).select(F.spark_partition_id().alias("part"), "doc_id", "text")
     tokens = sorted_docs.mapInArrow(lambda it: _arrays(it, tokenizer_path, end_id), SCHEMA)
     (
         tokens.write.option("orc.compress", "LZ4")
