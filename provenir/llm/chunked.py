@@ -1,13 +1,17 @@
-"""Corpus-wide counts of 64-bit hashes of text windows, without a row for each window.
+"""Corpus-wide counts of 96-bit hashes of text windows, without a row for each window.
 
 Documents are dealt into chunks by doc_id. A chunk's task hashes its windows, keeps each hash once
-(the map-side combine) and sends, for each of ``buckets`` equal ranges of hash values, one row that
-holds the sorted hashes of that range as differences in byte planes. A bucket's task merges what all chunks
+(the map-side combine) and sends, for each of ``buckets`` equal ranges of hash values in which it has any, one row that
+holds the sorted hashes of that range: the upper 64 bits as differences in byte planes, the lower 32 as they are. A bucket's task merges what all chunks
 sent and answers each row with one bit for each of its hashes: is it there more than once? The answer
 goes back to the chunk, whose task hashes its windows again and reads the bits.
 
 So one hash, however frequent, is at most one entry of each chunk; a bucket's size is set by the number of
-buckets; and the corpus itself is shuffled once, for both readings.
+buckets; the corpus itself is shuffled once, for both readings; and all work is in proportion to the windows. The rows number
+chunks times buckets, or the windows if these are fewer: a cluster with more memory for each task should have larger
+chunks and buckets, so that a row holds many hashes.
+
+Among n windows some two different ones have equal hashes with a probability of about n^2 / 2^97: 0.001 for the 1.5e13 windows of 100 TB.
 """
 
 from __future__ import annotations
@@ -22,8 +26,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 6 << 20
 BUCKET_BYTES = 24 << 20  # of text behind each bucket's windows
 
-#: texts of one chunk, as UTF-8, to the hashes of their windows
-Hasher = Callable[[list[bytes]], np.ndarray]
+#: texts of one chunk, as UTF-8, to the hashes of their windows: 64 upper and 32 lower bits
+Hasher = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
 def layout(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> tuple[int, int]:
@@ -57,15 +61,27 @@ def decode_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def bounds(n_buckets: int) -> np.ndarray:
-    """Where the ranges of hash values after the first begin."""
-    return np.array([(i << 64) // n_buckets for i in range(1, n_buckets)], np.uint64)
-
-
 def split(values: np.ndarray, n_buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of the slices of sorted values that aren't empty."""
-    at = np.r_[0, np.searchsorted(values, bounds(n_buckets)), len(values)]
-    return [(b, int(at[b]), int(at[b + 1])) for b in range(n_buckets) if at[b + 1] > at[b]]
+    """(bucket, from, to) of the slices of sorted values that aren't empty: the buckets are equal ranges of the upper 32 bits."""
+    if not len(values):
+        return []
+    of = ((values >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+    at = np.r_[0, np.flatnonzero(np.diff(of)) + 1, len(of)]
+    return list(zip(of[at[:-1]].tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True))
+
+
+def distinct(upper: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes (upper, lower), how often each is there, and the place of each hash given among them."""
+    order = np.argsort(upper, kind="stable")
+    u, l = upper[order], lower[order]
+    if ((u[1:] == u[:-1]) & (l[1:] != l[:-1])).any():  # only then does the order of the lower bits matter
+        order = np.lexsort((lower, upper))
+        u, l = upper[order], lower[order]
+    new = np.r_[True, (u[1:] != u[:-1]) | (l[1:] != l[:-1])] if len(u) else np.zeros(0, bool)
+    where = np.empty(len(u), np.int64)
+    where[order] = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    return u[at], l[at], np.diff(np.r_[at, len(u)]), where
 
 
 def repeated(chunks: DataFrame, hasher: Hasher, n_buckets: int) -> DataFrame:
@@ -73,23 +89,30 @@ def repeated(chunks: DataFrame, hasher: Hasher, n_buckets: int) -> DataFrame:
 
     def send(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
-        values, counts = np.unique(hasher(in_order(table)[1]), return_counts=True)
+        upper, lower, counts, _ = distinct(*hasher(in_order(table)[1]))
         twice = counts > 1
-        rows = [(chunk, b, encode_sorted(values[i:j]), np.packbits(twice[i:j]).tobytes()) for b, i, j in split(values, n_buckets)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["chunk", "bucket", "hashes", "twice"])
+        rows = [(chunk, b, encode_sorted(upper[i:j]), lower[i:j].astype("<u4").tobytes(), np.packbits(twice[i:j]).tobytes()) for b, i, j in split(upper, n_buckets)]
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.table([pa.array(c, pa.int32() if k < 2 else pa.binary()) for k, c in enumerate(cols)], names=["chunk", "bucket", "hashes", "lower", "twice"])
 
     def answer(table: pa.Table) -> pa.Table:
         sent = [decode_sorted(x) for x in table.column("hashes").to_pylist()]
         every = np.sort(np.concatenate(sent))
-        shared = every[1:][every[1:] == every[:-1]]
+        shared = np.unique(every[1:][every[1:] == every[:-1]])
+        del every
+        # hashes whose upper bits are there twice, with their lower bits
+        held = [np.flatnonzero(found(values, shared)) for values in sent]
+        lower = [np.frombuffer(x, "<u4")[h] for x, h in zip(table.column("lower").to_pylist(), held, strict=True)]
+        _, _, counts, where = distinct(np.concatenate([v[h] for v, h in zip(sent, held, strict=True)]), np.concatenate(lower))
+        more = np.split(counts[where] > 1, np.cumsum([len(h) for h in held])[:-1])
         flags = []
-        for values, twice in zip(sent, table.column("twice").to_pylist(), strict=True):
+        for values, h, m, twice in zip(sent, held, more, table.column("twice").to_pylist(), strict=True):
             bits = np.unpackbits(np.frombuffer(twice, np.uint8), count=len(values)).astype(bool)
-            flags.append(np.packbits(bits | found(values, shared)).tobytes())
+            bits[h[m]] = True
+            flags.append(np.packbits(bits).tobytes())
         return pa.table([table.column("chunk"), table.column("bucket"), pa.array(flags, pa.binary())], names=["chunk", "bucket", "flags"])
 
-    sent = chunks.groupBy("chunk").applyInArrow(send, "chunk int, bucket int, hashes binary, twice binary")
+    sent = chunks.groupBy("chunk").applyInArrow(send, "chunk int, bucket int, hashes binary, lower binary, twice binary")
     return sent.groupBy("bucket").applyInArrow(answer, "chunk int, bucket int, flags binary")
 
 
@@ -101,13 +124,11 @@ def found(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(at, len(among) - 1)] == values
 
 
-def read_flags(replies: pa.Table, hashes: np.ndarray, n_buckets: int) -> np.ndarray:
+def read_flags(replies: pa.Table, hashes: tuple[np.ndarray, np.ndarray], n_buckets: int) -> np.ndarray:
     """For each hash of a chunk, in the hasher's order, whether it is there more than once in the corpus."""
-    if not len(hashes):
-        return np.zeros(0, bool)
-    values, where = np.unique(hashes, return_inverse=True)
-    flags = np.zeros(len(values), bool)
-    slices = {b: (i, j) for b, i, j in split(values, n_buckets)}
+    upper, _, _, where = distinct(*hashes)
+    flags = np.zeros(len(upper), bool)
+    slices = {b: (i, j) for b, i, j in split(upper, n_buckets)}
     for b, raw in zip(replies.column("bucket").to_pylist(), replies.column("flags").to_pylist(), strict=True):
         i, j = slices[b]
         flags[i:j] = np.unpackbits(np.frombuffer(raw, np.uint8), count=j - i)

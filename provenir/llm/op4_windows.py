@@ -5,9 +5,7 @@ counts the hashes (see ``chunked``); a document's windows that are repeated anyw
 merge into maximal intervals of words, which are removed. All occurrences go, the first too: that is the
 contract. Windows are judged on the input, not on what is left.
 
-Hashes have 64 bits: with n windows in the corpus, some two different ones collide with a probability of
-about n^2 / 2^65 (0.0006 for 150 million windows); each such accident would remove one window that isn't
-repeated.
+A word's hash has 128 bits; each half gives a polynomial hash of the window, and 96 bits of both are compared: see ``chunked`` for the odds of an accident.
 
 Defined results: null or empty text has no words and keeps the empty text; texts shorter than a window are kept
 whole; rows with the same doc_id are documents of their own; extra columns are ignored; an empty
@@ -23,21 +21,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunked import chunked, in_order, layout, read_flags, repeated
-from .text import prefix_hashes, window_hashes, word_hashes
+from .chunked import BUCKET_BYTES, CHUNK_BYTES, chunked, in_order, layout, read_flags, repeated
+from .text import prefix_hashes, window_hashes, wide_hashes
 
 WIDTH = 35
 SCHEMA = "doc_id long, n_words long, n_removed long, kept string, spans array<int>"
 
 
-def _windows(texts: list[bytes], width: int) -> np.ndarray:
-    """Hashes of the windows of each text, one text after the other."""
-    out = []
+def _windows(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of each text, one text after the other: 64 upper and 32 lower bits."""
+    upper, lower = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
     for t in texts:
         words = t.split()
         if len(words) >= width:
-            out.append(window_hashes(prefix_hashes(word_hashes(words)), width))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            a, b = (window_hashes(prefix_hashes(h), width) for h in wide_hashes(words))
+            upper.append(a)
+            lower.append((b >> np.uint64(32)).astype(np.uint32))
+    return np.concatenate(upper), np.concatenate(lower)
 
 
 def _cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:
@@ -48,9 +48,9 @@ def _cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(mark[:-1]) > 0
 
 
-def remove_repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, width: int = WIDTH, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the kept words joined by one space) and spans (from, to of each removed interval)."""
-    n_chunks, n_buckets = layout(docs)
+    n_chunks, n_buckets = layout(docs, chunk_bytes, bucket_bytes)
     chunks = chunked(docs, n_chunks)
     replies = repeated(chunks, lambda texts: _windows(texts, width), n_buckets)
 

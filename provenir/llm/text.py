@@ -65,6 +65,12 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def wide_hashes(words: list[bytes]) -> np.ndarray:
+    """(2, n): the two halves of each word's 128-bit hash."""
+    raw = b"".join(map(xxhash.xxh3_128_digest, words))
+    return np.frombuffer(raw, ">u8").reshape(-1, 2).T.astype(np.uint64)
+
+
 def strings(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Python strings of an Arrow column, null as the empty one."""
     return [x or "" for x in column.to_pylist()]

@@ -1,14 +1,19 @@
 """Operators do the whole job: cases that an earlier form left out."""
 
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from provenir.llm import op1_surrogates as P1
+from provenir.llm import op9_suffixes
+from provenir.llm.chunked import distinct, split
 from provenir.llm.offsets import exclusive_sums
 from provenir.llm.op2_orc import read_tokens, token_index, write_tokens
 from provenir.llm.op3_linkgraph import judge_urls
+from provenir.llm.op4_windows import windows_query
 from provenir.llm.op10_packing import Queue, pack, scaled
 from provenir.llm.queries import BYTE_BPE, WORD_BPE
 
@@ -104,3 +109,57 @@ def test_starts_follow_the_files_where_doc_ids_repeat(spark, tmp_path):
         at += r.n_tokens
     order = [r.doc_id for r in sorted(token_index(tokens).collect(), key=lambda r: r.start)]
     assert order == [None, 3, *[7] * 200, 9]
+
+
+# --- 4 and 9 ---
+
+
+def test_hashes_that_agree_in_their_upper_bits_are_told_apart():
+    upper, lower = np.array([5, 9, 5, 5, 9, 2], np.uint64), np.array([1, 7, 2, 1, 7, 0], np.uint32)
+    u, low, counts, where = distinct(upper, lower)
+    assert u.tolist() == [2, 5, 5, 9] and low.tolist() == [0, 1, 2, 7] and counts.tolist() == [1, 2, 1, 2] and where.tolist() == [1, 3, 2, 1, 3, 0]
+
+
+def test_slices_by_range_cost_no_more_than_the_hashes():
+    values = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
+    for n in (1, 7, 1 << 30):
+        parts = split(values, n)
+        assert [i for _, i, _ in parts] == [0, *[j for _, _, j in parts][:-1]] and parts[-1][2] == 1000 and len({b for b, _, _ in parts}) == len(parts)
+        assert all(int(v) >> 32 << 32 < (b + 1) * (1 << 64) // n for b, i, j in parts for v in values[i:j].tolist())
+
+
+@pytest.mark.parametrize("hot", [1 << 16, 3, 0])
+def test_suffixes_of_few_and_of_very_many_contexts(spark, monkeypatch, hot):
+    monkeypatch.setattr(op9_suffixes, "HOT", hot)
+    r = random.Random(7)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    line = "All rights reserved by the authors of this fine collection of texts; "
+    rows = [(i, noise(60 + r.randrange(90)) + line + noise(60), "s") for i in range(80)]
+    rows += [(100 + i, rows[r.randrange(80)][1] + "zz", "s") for i in range(20)] + [(200, line * 9, "s"), (201, line * 8, "s"), (202, None, "s")]
+    table = docs(spark, rows)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept) for x in op9_suffixes.remove_repeated_bytes(table, chunk_bytes=700, range_bytes=900).collect()}
+    seen = set()
+    for i, t, _ in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for a in range(len(b) - 99):
+            gone[a : a + 100] |= b[a : a + 100] in seen
+            seen.add(b[a : a + 100])
+        assert got[i] == (len(b), gone.sum(), (np.diff(np.r_[0, gone.astype(int)]) == 1).sum(), np.frombuffer(b, np.uint8)[~gone].tobytes())
+
+
+def test_equal_hashes_remove_nothing_unless_the_bytes_agree(monkeypatch):
+    monkeypatch.setattr(op9_suffixes.Suffixes, "alike", lambda self, x, y, begin, size: np.ones(len(x), bool))
+    data = np.frombuffer(b"abcdefghijKLabcdefghijMNabcdefghijKL", np.uint8)
+    text, local = op9_suffixes.repeated_starts(data, np.array([12, 12, 12]), np.array([1, 1, 1], np.uint64), 11)
+    assert set(zip(text.tolist(), local.tolist(), strict=True)) <= {(2, 0), (2, 1)}
+
+
+def test_rows_of_one_doc_id_are_documents_in_the_order_of_their_text(spark):
+    r = random.Random(1)
+    same = "".join(r.choice("abcdefgh") for _ in range(300))
+    rows = [(7, same, "s"), (7, "~" + same, "s"), (None, "a" + same, "s"), (7, same, "s")]
+    got = sorted((x.doc_id is not None, x.n_bytes, x.n_removed) for x in op9_suffixes.suffix_query(docs(spark, rows)).collect())
+    assert got == [(False, 301, 0), (True, 300, 300), (True, 300, 300), (True, 301, 300)]
+    windows = sorted((x.n_words, x.n_removed) for x in windows_query(docs(spark, [(7, "w " * 36, "s"), (7, "w " * 35, "s"), (None, "v " * 35, "s")])).collect())
+    assert windows == [(35, 0), (35, 35), (36, 36)]
