@@ -34,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunked import chunked, decode_sorted, encode_sorted, in_order, layout, split
-from .text import mix, powers
+from .text import mix, powers, spread
 
 LENGTH = 100
 CHUNK_BYTES, RANGE_BYTES = 4 << 20, 4 << 20
-HOT = 1 << 16  # contexts of an anchor that one task takes
+HOT = 1 << 14  # contexts of an anchor that one task takes
+PART_BYTES = 1 << 20  # of contexts sorted together; anchors stay whole
 BLOCK, PLACE_BITS = 1 << 16, 17  # starts hashed at a time; bits for a place within a block
 MATRIX = 1 << 13  # strings laid out side by side at a time
 SALT = np.uint64(0x9E37)
@@ -62,11 +63,6 @@ def _tidy() -> None:
     ctypes.CDLL(None).malloc_trim(0)
 
 
-def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... for size[0] numbers, then the same for the next."""
-    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-
-
 class Chunk:
     """The documents of a chunk end to end, in order."""
 
@@ -237,7 +233,7 @@ class Suffixes:
 
 
 def repeated_starts(data: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Text and place of every start of the texts, which are contexts in order of age, whose string also starts in an earlier one.
+    """Text and place of every start of the texts, which are contexts, those of an anchor in order of age, whose string also starts in an earlier one.
 
     A string lies in a text at one place at most, and equal ones lie in texts of one anchor.
     """
@@ -337,15 +333,21 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, chunk_bytes: in
         ids, places = (np.concatenate([np.frombuffer(x, "<i8") for x in cols[c]]) for c in ("doc_ids", "places"))
         chunk = np.repeat(cols["chunk"], [len(x) // 4 for x in cols["sizes"]])
         data = np.frombuffer(b"".join(cols.pop("data")), np.uint8)
-        age = np.lexsort((places, chunk, ids))
-        data = data[spread((np.cumsum(sizes) - sizes)[age], sizes[age])]
-        text, local = repeated_starts(data, sizes[age], keys[age], length)
-        whose, start = chunk[age][text], places[age][text] + local
+        begin, found = np.cumsum(sizes) - sizes, []
+        order = np.lexsort((places, chunk, ids, keys))  # by age within each anchor
+        ends = np.flatnonzero(np.r_[np.diff(keys[order]) != 0, True]) + 1
+        whole = np.cumsum(sizes[order])[ends - 1] // PART_BYTES
+        cuts = [0, *ends[np.r_[np.flatnonzero(np.diff(whole)), len(ends) - 1]].tolist()]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            part = order[i:j]
+            text, local = repeated_starts(data[spread(begin[part], sizes[part])], sizes[part], keys[part], length)
+            found.append((chunk[part][text], places[part][text] + local))
+        whose, start = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((start, whose))
         whose, start = whose[order], start[order]
         cut = np.r_[np.flatnonzero(np.diff(whose, prepend=-1)), len(whose)].tolist()
         out = _table([(int(whose[i]), intervals(start[i:j]).astype("<i8").tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)], STARTS)
-        del data
+        del data, found, cols
         _tidy()
         return out
 
