@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 from .encode import GROUP, encoder
 from .offsets import exclusive_sums
-from .text import groups, strings
+from .text import groups, spread, strings
 
 WINDOW = 2048
 END_ID = 1
@@ -105,16 +105,34 @@ class Queue:
             yield some[some > last]
             last = int(some[-1])
 
-    def pieces(self, first: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts in the document, lengths and places in the stream of the tokens [first, first + count)."""
+    def placed(self, doc: np.ndarray, r: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For documents doc and rounds r: the document, the piece's start in it, its length and its place in the stream, where there is one."""
+        start = r * self.window
+        own, before = self.given(np.concatenate([start, np.minimum(start + self.window, self.all)]))
+        (own, upto), (earlier, later) = np.split(own, 2), np.split(before, 2)
+        at, to = np.maximum(own, first[doc]), np.minimum(upto, (first + count)[doc])
+        some = to > at
+        return tuple(x[some] for x in (doc, at - first[doc], to - at, start + later - earlier + at - own))
+
+    def pieces(self, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Document, start in it, length and place in the stream of the pieces of documents that hold the tokens [first, first + count) of the queue."""
+        begin, end = self.round_of(np.concatenate([first, first + count - 1])).reshape(2, -1)
+        few = end - begin < count
+        cost = np.where(few, end - begin + 1, count)
         found = []
-        for r in self.rounds(first, count):
-            start = r * self.window
-            own, before = self.given(np.concatenate([start, np.minimum(start + self.window, self.all)]))
-            (own, upto), (earlier, later) = np.split(own, 2), np.split(before, 2)
-            at, to = np.maximum(own, first), np.minimum(upto, first + count)
-            some = to > at
-            found.append(tuple(x[some] for x in (at - first, to - at, start + later - earlier + at - own)))
+        for i in np.flatnonzero(cost > BLOCK).tolist():
+            found += [self.placed(np.full(len(r), i), r, first, count) for r in self.rounds(int(first[i]), int(count[i]))]
+        for group, by_round in ((few & (cost <= BLOCK), True), (~few & (cost <= BLOCK), False)):
+            docs = np.flatnonzero(group)
+            of = np.cumsum(cost[docs]) // BLOCK
+            for part in np.split(docs, np.flatnonzero(np.diff(of)) + 1):
+                doc = np.repeat(part, cost[part])
+                r = spread((begin if by_round else first)[part], cost[part])
+                if not by_round:
+                    r = self.round_of(r)
+                    new = np.r_[True, (r[1:] != r[:-1]) | (doc[1:] != doc[:-1])][: len(r)]
+                    doc, r = doc[new], r[new]
+                found.append(self.placed(doc, r, first, count))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -142,17 +160,21 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                cols = part.select(["doc_tokens", "ids", "path", "first"]).to_pydict()
-                found, crcs = [], []
-                for n, ids, path, first in zip(*cols.values(), strict=True):
-                    wide = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4")
-                    found.append(Queue(parsed(path), every, window).pieces(first, n))
-                    crcs += [zlib.crc32(wide[x : x + y]) for x, y in zip(found[-1][0].tolist(), found[-1][1].tolist(), strict=True)]
-                start, length, place = (np.concatenate(x) for x in zip(*found, strict=True))
-                doc = pa.array(np.repeat(np.arange(part.num_rows), [len(x[0]) for x in found]))
-                own = {c: part.column(c).take(doc) for c in ("doc_id", "doc_tokens", "source")}
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                first, count = np.asarray(part.column("first")), np.asarray(part.column("doc_tokens"))
+                raw = b"".join(part.column("ids").to_pylist())
+                wide = np.frombuffer(raw, f"<u{len(raw) // int(count.sum())}").astype("<u4")
+                coded = part.column("path").dictionary_encode()
+                of, found = np.asarray(coded.indices), []
+                for k, path in enumerate(coded.dictionary.to_pylist()):
+                    own = np.flatnonzero(of == k)
+                    doc, *rest = Queue(parsed(path), every, window).pieces(first[own], count[own])
+                    found.append((own[doc], *rest))
+                doc, start, length, place = (np.concatenate(x) for x in zip(*found, strict=True))
+                at = (np.cumsum(count) - count)[doc] + start
+                crcs = [zlib.crc32(wide[x:y]) for x, y in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                own = {c: part.column(c).take(pa.array(doc)) for c in ("doc_id", "doc_tokens", "source")}
                 yield pa.RecordBatch.from_arrays(
                     [own["doc_id"], pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), own["doc_tokens"], pa.array(place // window), pa.array(place % window), own["source"]],
                     names=[f.split()[0] for f in OUT.split(", ")],

@@ -8,7 +8,7 @@ hosts; what reaches a host without outgoing edges stays there. A page that no ru
 its host's distrust is at least ``threshold`` and more than its trust.
 
 Everything is DataFrame functions. Pages are reduced to weighted host edges before any exchange; the iterations
-work on hosts only and move what the last step added; each writes a table, which cuts the lineage. They stop when what is still to come,
+work on hosts only and move what the last step added; each writes that as a table, which cuts the lineage, and the scores are the sums of all these. They stop when what is still to come,
 at most damping / (1 - damping) times the sum of the last step's increments, is below ``rest`` for all hosts together.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule and the verdict allow; null or
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, new_path
 
 #: (verdict, host, path)
 RULES = (
@@ -32,8 +32,8 @@ RULES = (
 )
 MAX_RULES = 500
 DAMPING = 0.85
-ITERATIONS = 10  # of the SQL, which unrolls the sums that far
-REST = 1e-7  # scores are rounded to 6 digits
+STEPS = 160  # of the SQL
+REST = 1e-10  # scores are rounded to 6 digits
 THRESHOLD = 0.25
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
@@ -70,21 +70,23 @@ def propagate(seeds: DataFrame, edges: DataFrame, iterations: int | None = None,
     """host, score: seeds(host, score) spread along edges(src, dst, n), each source dividing by its total n; to the limit unless iterations are given."""
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     weights = materialize(edges.join(out, "src").select("src", "dst", (damping * F.col("n") / F.col("all")).alias("w")), "edges")
-    state = materialize(seeds.select("host", "score", F.col("score").alias("new")), "scores")
-    step = 0
-    while iterations is None or step < iterations:
-        new = state.where("new > 0").join(weights, F.col("host") == F.col("src")).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("new") * F.col("w")).alias("new"))
-        both = state.select("host", "score", F.lit(0.0).alias("new")).unionByName(new.select("host", F.col("new").alias("score"), "new"))
-        state = materialize(both.groupBy("host").agg(F.sum("score").alias("score"), F.sum("new").alias("new")), "scores")
-        left = state.agg(F.coalesce(F.sum("new"), F.lit(0.0))).first()[0]
-        step += 1
-        if left == 0 or iterations is None and left * damping / (1 - damping) < rest:
-            break
-    return state.select("host", "score")
-
-
-def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, threshold: float = THRESHOLD, iterations: int | None = ITERATIONS) -> DataFrame:
-    """page_id, host, path, rule, verdict, trust, distrust; with iterations=None to the limit, as the query has it, else the sums cut after so many steps, as the SQL has them."""
+    spark, schema, paths = seeds.sparkSession, "host string, new double", []
+
+    def keep(new: DataFrame) -> tuple[DataFrame, float]:
+        """An increment as a written table, and its sum."""
+        paths.append(new_path(spark, "scores"))
+        new.write.parquet(paths[-1])
+        written = spark.read.schema(schema).parquet(paths[-1])
+        return written, written.agg(F.coalesce(F.sum("new"), F.lit(0.0))).first()[0]
+
+    new, left = keep(seeds.select("host", F.col("score").alias("new")))
+    while left > 0 and (iterations is None or len(paths) <= iterations) and (iterations is not None or left * damping / (1 - damping) >= rest):
+        new, left = keep(new.join(weights, F.col("host") == F.col("src")).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("new") * F.col("w")).alias("new")))
+    return spark.read.schema(schema).parquet(*paths).groupBy("host").agg(F.sum("new").alias("score"))
+
+
+def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, threshold: float = THRESHOLD, iterations: int | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, trust, distrust of every row; iterations, where given, cut the sums."""
     host, path = host_and_path(F.col("url"))
     named = pages.select("page_id", "html", host.alias("host"), path.alias("path"))
     named = named.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
@@ -113,13 +115,13 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     )
 
 
-def oracle(rules: tuple[tuple[str, str, str], ...] = RULES, threshold: float = THRESHOLD, iterations: int = ITERATIONS, damping: float = DAMPING) -> str:
-    """The same in SQL, every iteration a table expression."""
+def oracle(rules: tuple[tuple[str, str, str], ...] = RULES, threshold: float = THRESHOLD, steps: int = STEPS, damping: float = DAMPING) -> str:
+    """The same in SQL, by a recursive table expression of so many steps, after which less than 1e-10 of the seeds is still to come."""
     case = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p}'" for _, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2])))
     verdict = " ".join(f"WHEN rule = '{h + p}' THEN '{v}'" for v, h, p in rules)
     upper = f"translate(%s, '{UPPER}', '{LOWER}')"
     parts = [
-        "WITH u AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)",
+        "WITH RECURSIVE u AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)",
         f"n AS (SELECT page_id, html, {upper % "regexp_extract(rest, '^([^/?#]*)', 1)"} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)",
         f"r AS (SELECT *, CASE {case} END AS rule FROM n)",
         f"v AS (SELECT *, CASE {verdict} END AS ruled FROM r)",
@@ -130,12 +132,12 @@ def oracle(rules: tuple[tuple[str, str, str], ...] = RULES, threshold: float = T
     ]
     for name, seed, src, dst in (("g", "allow", "src", "dst"), ("b", "block", "dst", "src")):
         parts.append(f"{name}w AS (SELECT {src} AS src, {dst} AS dst, {damping} * n / sum(n) OVER (PARTITION BY {src}) AS w FROM e)")
-        parts.append(f"{name}0 AS (SELECT host, {seed} AS score FROM h WHERE {seed} > 0)")
-        for i in range(1, iterations + 1):
-            parts.append(f"{name}{i} AS (SELECT host, sum(score) AS score FROM (SELECT * FROM {name}0 UNION ALL SELECT dst, score * w FROM {name}{i - 1} JOIN {name}w ON host = src) GROUP BY host)")
+        step = f"SELECT dst, sum(new * w), step + 1 FROM {name}s JOIN {name}w ON host = src WHERE step < {steps} GROUP BY dst, step"
+        parts.append(f"{name}s AS (SELECT host, {seed} AS new, 0 AS step FROM h WHERE {seed} > 0 UNION ALL {step})")
+        parts.append(f"{name}t AS (SELECT host, sum(new) AS score FROM {name}s GROUP BY host)")
     return (
         ", ".join(parts)
-        + f", s AS (SELECT h.host, round(coalesce(g.score, 0), 6) AS trust, round(coalesce(b.score, 0), 6) AS distrust FROM h LEFT JOIN g{iterations} g ON g.host = h.host LEFT JOIN b{iterations} b ON b.host = h.host)"
+        + f", s AS (SELECT h.host, round(coalesce(g.score, 0), 6) AS trust, round(coalesce(b.score, 0), 6) AS distrust FROM h LEFT JOIN gt g ON g.host = h.host LEFT JOIN bt b ON b.host = h.host)"
         + f" SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN coalesce(distrust, 0) >= {threshold} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict,"
         " coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM v LEFT JOIN s ON s.host = v.host"
     )

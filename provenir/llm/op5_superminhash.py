@@ -37,6 +37,7 @@ PERCENT = 80
 WIDTH = 4
 GROUP_SHINGLES = 200_000
 SLOTS = 1 << 22
+PER_SET = 1000  # pairs of a document that one task verifies
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -138,10 +139,19 @@ def whole_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return materialize(rows.mapInArrow(run, "doc_id long, s array<long>"), "sets")
 
 
+def with_sets(pairs: DataFrame, sets: DataFrame, end: str, name: str) -> DataFrame:
+    """pairs with the set of one end as ``name``: a set is sent once for each PER_SET of its pairs, which are dealt among these copies, so that no document's pairs meet in one task."""
+    other = "b" if end == "a" else "a"
+    copies = pairs.groupBy(F.col(end).alias("doc_id")).agg(F.ceil(F.count("*") / PER_SET).alias("_copies"))
+    sent = sets.join(copies, "doc_id").select(F.col("doc_id").alias(end), F.col("s").alias(name), "_copies", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+    many = copies.where("_copies > 1").select(F.col("doc_id").alias(end), "_copies")
+    dealt = pairs.join(many, end, "left").withColumn("_copy", F.pmod(F.xxhash64(other), F.coalesce("_copies", F.lit(1))) + 1).drop("_copies")
+    return dealt.join(sent.drop("_copies"), [end, "_copy"]).drop("_copy")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The rows (a, b) of pairs whose whole shingle sets are similar enough."""
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
+    both = with_sets(with_sets(pairs, sets, "a", "x"), sets, "b", "y")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 

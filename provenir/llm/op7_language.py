@@ -1,129 +1,162 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Training: labelled texts are read by Spark, each task counts the hashed 1- to 3-grams
-of its batch per language in numpy, and Spark sums the counts. Of a language with more than
+of its batches per language in numpy, and Spark sums the counts. Of a language with more than
 ``max_training_docs`` documents about so many are used, those with the smallest hashes of their text; this
-is the documented bound of the sample. The table of log probabilities has
-(languages x buckets) floats: its size is fixed by parameters and it is broadcast.
+is the documented bound of the sample. A language's prior is its share of all labelled documents. Every label is learned. The table of log probabilities has
+(languages x buckets) floats and is broadcast: where there are so many labels that it would have more than MODEL_CELLS, the buckets are
+halved until it fits, so the model is never larger than that.
 
-Scoring: each text's n-grams are looked up and summed in numpy, for whole texts
-of any length. The score is the posterior of the winning language under
-log-likelihoods averaged to ``evidence`` n-grams, so that long texts don't all score 1.
+Scoring: the texts of a batch are one sparse matrix, a row for each with the counts of its n-grams, which is multiplied with the table in numpy. Texts of any
+length are counted whole; long ones in pieces that carry on where the one before ended. The prediction is the language of the greatest posterior. The
+score is its posterior under log-likelihoods averaged to ``evidence`` n-grams, so that long texts don't all score 1.
 
-Defined results: null text, or text without a letter, is ``und`` with score 0; an empty
+Defined results: null text, or text without a letter (Unicode category L), is ``und`` with score 0; an empty
 training table makes every text ``und``; ties go to the language first in
 order; repeated rows are scored alike; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import mix, strings
+from .text import groups, mix, strings
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 MAX_TRAINING_DOCS = 20_000  # of each language
-MAX_LANGUAGES = 512
+MODEL_CELLS = 1 << 23
 SMOOTHING = 0.5
 EVIDENCE = 30
-LETTER = re.compile(r"[^\W\d_]")
-PIECE = 1 << 19  # characters looked up at a time
-
-
-def grams(text: str, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
-    """Hashed 1- to 3-grams of the lower-cased text with runs of non-letters as one space, piece by piece."""
-    step = PIECE
-    for begin in range(0, max(len(text), 1), step):
-        part = text[max(0, begin - 2) : begin + step].lower()
-        codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        if not len(codes):
-            return
-        codes = np.r_[np.uint64(32), codes, np.uint64(32)]
-        plain = (codes < 65) | ((codes > 90) & (codes < 97)) | ((codes > 122) & (codes < 170))
-        codes = np.where(plain, np.uint64(32), codes)
-        codes = codes[np.r_[True, ~((codes[1:] == 32) & (codes[:-1] == 32))]]
-        for n in ORDERS:
-            if len(codes) < n:
-                continue
-            h = codes[: len(codes) - n + 1].copy()
-            for j in range(1, n):
-                h = (h << np.uint64(21)) | codes[j : len(codes) - n + 1 + j]
-            yield (mix(h + np.uint64(n << 60)) >> np.uint64(40)).astype(np.int64) % buckets
-
-
-def train(labelled: DataFrame, buckets: int = BUCKETS, max_training_docs: int = MAX_TRAINING_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their log probabilities, (buckets, languages) as float32.
+CELLS = 1 << 20  # products at a time
+LETTER = regex.compile(r"\p{L}")
+PIECE = 1 << 18  # characters counted at a time
+END = 0x10FFFF  # not a character; stands between texts
+
+
+def _codes(text: str) -> np.ndarray:
+    """Code points, a space for whatever is no letter among the first 170."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    plain = (codes < 65) | ((codes > 90) & (codes < 97)) | ((codes > 122) & (codes < 170))
+    return np.where(plain, np.uint64(32), np.where(codes == 0x3C2, np.uint64(0x3C3), codes))  # sigma's form goes by what follows
+
+
+def _hashed(codes: np.ndarray, skip: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams that end behind the first ``skip`` codes and cross no END, and the number of ENDs before each."""
+    of, ended, out = np.cumsum(codes == END), codes == END, []
+    for n in ORDERS:
+        size = len(codes) - n + 1
+        if size <= 0:
+            continue
+        h, crosses = codes[:size].copy(), ended[:size].copy()
+        for j in range(1, n):
+            h = (h << np.uint64(21)) | codes[j : size + j]
+            crosses |= ended[j : size + j]
+        fine = ~crosses
+        fine[: max(0, skip - n + 1)] = False
+        out.append((of[:size][fine], (mix(h[fine] + np.uint64(n << 60)) >> np.uint64(40)).astype(np.int64) % buckets))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def grams(texts: list[str], buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashed 1- to 3-grams of the lower-cased texts with runs of non-letters as one space and a space at both ends: which text, and the hash."""
+    for a, b in groups(texts, PIECE):
+        if len(texts[b - 1]) > PIECE:
+            if b - a > 1:
+                yield from ((d + a, g) for d, g in grams(texts[a : b - 1], buckets))
+            long, tail = texts[b - 1], np.zeros(0, np.uint64)
+            for i in range(0, len(long), PIECE):
+                part = long[i : i + PIECE].lower().replace(chr(END), " ")
+                part = (" " if i == 0 else "") + part + (" " if i + PIECE >= len(long) else "")
+                codes = np.concatenate([tail, _codes(part)])
+                fine = np.r_[True, (codes[1:] != 32) | (codes[:-1] != 32)]
+                fine[: len(tail)] = True
+                codes = codes[fine]
+                yield tuple(x + y for x, y in zip((b - 1, 0), _hashed(codes, len(tail), buckets), strict=True))
+                tail = codes[-2:]
+            continue
+        codes = _codes(chr(END).join(f" {t.lower().replace(chr(END), ' ')} " for t in texts[a:b]))
+        codes = codes[np.r_[True, (codes[1:] != 32) | (codes[:-1] != 32)]]
+        d, g = _hashed(codes, 0, buckets)
+        yield d + a, g
+
+
+def train(labelled: DataFrame, buckets: int = BUCKETS, max_training_docs: int = MAX_TRAINING_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages in order, their log priors, and the log probabilities, (buckets, languages) as float32.
 
     labelled: text, lang. Rows with a null in either are left out.
     """
     rows = labelled.where("text is not null and lang is not null").select("lang", "text")
-    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r.lang for r in counted)
+    counted = sorted((r.lang, r["count"]) for r in rows.groupBy("lang").count().collect())  # a row for each label
+    languages = [lang for lang, _ in counted]
     if not languages:
-        return [], np.zeros((buckets, 0), np.float32)
+        return [], np.zeros(0), np.zeros((buckets, 0), np.float32)
+    while buckets * len(languages) > MODEL_CELLS and buckets > 2:
+        buckets //= 2
     # the bounded sample: a text's own hash decides, so that it doesn't depend on order or partitions
-    share = F.lit(1.0)
-    for r in counted:
-        if r["count"] > max_training_docs:
-            share = F.when(F.col("lang") == r.lang, F.lit(max_training_docs / r["count"])).otherwise(share)
-    sample = rows.where(F.shiftrightunsigned(F.xxhash64("text"), 32) < share * float(1 << 32))
+    share = F.create_map(*[x for lang, n in counted for x in (F.lit(lang), F.lit(max_training_docs / n))] if len(counted) < 1000 else [F.lit(""), F.lit(1.0)])
+    part = F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(1.0))
+    sample = rows.where(F.shiftrightunsigned(F.xxhash64("text"), 32) < part * float(1 << 32))
     at = {x: i for i, x in enumerate(languages)}
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(at), buckets), np.int64)
+        total = np.zeros(len(at) * buckets, np.int64)
         for batch in it:
-            for lang, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
-                if lang in at:
-                    for g in grams(text, buckets):
-                        total[at[lang]] += np.bincount(g, minlength=buckets)
-        where = np.nonzero(total)
-        if len(where[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(where[0].astype(np.int32)), pa.array(where[1].astype(np.int32)), pa.array(total[where])], names=["l", "b", "n"])
+            lang = np.array([at[x] for x in batch.column(0).to_pylist()], np.int64)
+            for d, g in grams(strings(batch.column(1)), buckets):
+                places, n = np.unique(lang[d] * buckets + g, return_counts=True)
+                total[places] += n
+        where = np.flatnonzero(total)
+        if len(where):
+            yield pa.RecordBatch.from_arrays([pa.array((where // buckets).astype(np.int32)), pa.array((where % buckets).astype(np.int32)), pa.array(total[where])], names=["l", "b", "n"])
 
     summed = sample.mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n"))
-    table = summed.toPandas()  # at most languages x buckets rows
+    table = summed.toPandas()  # at most MODEL_CELLS rows
     counts = np.full((buckets, len(languages)), SMOOTHING)
     counts[table["b"].to_numpy(), table["l"].to_numpy()] += table["n"].to_numpy()
-    return languages, np.log(counts / counts.sum(axis=0)).astype(np.float32)
-
-
-def identify(docs: DataFrame, languages: list[str], log_probs: np.ndarray) -> DataFrame:
+    share_of = np.array([n for _, n in counted], float)
+    return languages, np.log(share_of / share_of.sum()), np.log(counts / counts.sum(axis=0)).astype(np.float32)
+
+
+def posteriors(texts: list[str], priors: np.ndarray, log_probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, languages) sums of log probabilities without the priors, and the number of n-grams of each text."""
+    buckets, languages = log_probs.shape
+    sums, n = np.zeros((len(texts), languages)), np.zeros(len(texts), np.int64)
+    for d, g in grams(texts, buckets):
+        n += np.bincount(d, minlength=len(texts))
+        cells, count = np.unique(d * buckets + g, return_counts=True)
+        step = max(1, CELLS // languages)
+        for a in range(0, len(cells), step):
+            row, column = np.divmod(cells[a : a + step], buckets)
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            sums[row[first]] += np.add.reduceat(log_probs[column] * count[a : a + step, None].astype(np.float64), first, axis=0)
+    return sums, n
+
+
+def identify(docs: DataFrame, languages: list[str], priors: np.ndarray, log_probs: np.ndarray) -> DataFrame:
     """doc_id, lang_pred, score for each document."""
     spark: SparkSession = docs.sparkSession
-    model = spark.sparkContext.broadcast(log_probs)
-    buckets = log_probs.shape[0]
+    model = spark.sparkContext.broadcast((priors, log_probs))
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logp = model.value
         for batch in it:
-            preds, scores = [], []
-            for text in strings(batch.column(1)):
-                if not languages or not LETTER.search(text):
-                    preds.append("und")
-                    scores.append(0.0)
-                    continue
-                counts, n = np.zeros(buckets, np.int64), 0
-                sums = np.zeros(len(languages))
-                for g in grams(text, buckets):
-                    n += len(g)
-                    if len(g) > buckets:
-                        counts += np.bincount(g, minlength=buckets)
-                    else:
-                        sums += logp[g].sum(axis=0, dtype=np.float64)
-                if counts.any():
-                    sums += counts @ logp.astype(np.float64)
-                best = int(np.argmax(sums))
-                mean = sums / n * min(n, EVIDENCE)
-                preds.append(languages[best])
-                scores.append(round(float(1 / np.exp(mean - mean[best]).sum()), 9))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            texts = strings(batch.column(1))
+            preds, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
+            some = np.array([i for i, t in enumerate(texts) if languages and LETTER.search(t)], np.int64)
+            if len(some):
+                sums, n = posteriors([texts[i] for i in some], *model.value)
+                best = (sums + model.value[0]).argmax(axis=1)
+                mean = sums / n[:, None] * np.minimum(n, EVIDENCE)[:, None] + model.value[0]
+                mean -= mean.max(axis=1, keepdims=True)
+                preds[some] = np.array(languages, object)[best]
+                scores[some] = np.round(np.exp(mean[np.arange(len(some)), best]) / np.exp(mean).sum(axis=1), 9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds.tolist(), pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
 
@@ -135,5 +168,4 @@ def held_out() -> F.Column:
 
 def language_query(docs: DataFrame) -> DataFrame:
     """Train on what isn't held out and predict for all documents."""
-    languages, log_probs = train(docs.where(~held_out()))
-    return identify(docs, languages, log_probs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return identify(docs, *train(docs.where(~held_out()))).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

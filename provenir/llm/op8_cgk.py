@@ -5,23 +5,25 @@ word and the step, and writes the word it reads at every step. Sequences a few e
 into step, so their walks agree in most places: edit distance becomes Hamming distance. Each of
 ``WALKS`` independent walks is sampled ``TABLES`` times at ``SAMPLE`` places; a window of a document and a benchmark item that
 agree in all places of a sample are a candidate. Candidates are verified exactly: the least word edit
-distance between the item and any stretch of the document around the window.
+distance between the item and any stretch of the document around the window. The similarity of a match is that of the best stretch of the whole document.
 
 Windows: an item with n words and at most e = floor(n * (1 - similarity)) edits keeps a run of at least (n - e) / (e + 1)
 words unchanged, which is 3 or more for every item of 15 words or more at a similarity of 0.8. So only windows placed by a run
 of that many words, up to ``SEED``, that the item holds can match, and windows are placed by each such run in the whole text; this
 drops no match. Those windows are searched by the LSH.
 
-Words are runs of letters, digits and non-ASCII characters, lower-cased. The benchmark is held in memory by every task in blocks of at most
-``BLOCK_BYTES``; a larger one is searched block by block.
+Words are runs of letters, digits and non-ASCII characters, lower-cased. A benchmark of at most
+``BLOCK_BYTES`` is held in memory by every task. A larger one is searched block by block: for each, one pass over the documents whose matches are written, by the
+text's hash; the driver and the tasks hold one block at a time.
 
 Defined results: null or empty text, and texts shorter than an item by more than e words, match nothing; null or empty items are
-left out; equal items all match; repeated documents are judged one by one; empty tables give no match; extra columns are ignored.
+left out; equal items all match; an item without an id counts like others and comes first among a document's items; of rows with one id the most similar counts; repeated documents are judged one by one; empty tables give no match; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from .text import GROUP_CHARS, filter_texts, groups, mix, strings, word_hashes
 
 SIMILARITY = 0.8
@@ -174,74 +177,100 @@ class Index:
             every = np.unique(np.concatenate(pairs, axis=1), axis=1)
             for x, item in every.T.tolist():
                 d, s = int(whose[x]), int(part[x])
-                if (d, item) not in done and (best := self._verify(item, flat, s, int(ends[d] - lengths[d]), int(ends[d]))) is not None:
+                if (d, item) not in done and self._verify(item, flat, s, int(ends[d] - lengths[d]), int(ends[d])):
                     done.add((d, item))
-                    found[d][self.items[item][0]] = best
+                    name, w = self.items[item]
+                    found[d][name] = max(found[d].get(name, 0.0), 1 - fitting_distance(w, docs[d]) / len(w))
         return found
 
-    def _verify(self, item: int, flat: np.ndarray, start: int, first: int, end: int) -> float | None:
+    def _verify(self, item: int, flat: np.ndarray, start: int, first: int, end: int) -> bool:
         w, e = self.items[item][1], self.limit[item]
         region = flat[max(first, start - 2 * e) : min(end, start + len(w) + 2 * e)]
         if np.isin(w, region).sum() < len(w) - e:  # each edit spares all but one of the item's words
-            return None
-        d = fitting_distance(w, region)
-        return 1 - d / len(w) if d <= e else None
+            return False
+        return fitting_distance(w, region) <= e
 
 
-def blocks_of(benchmark: DataFrame) -> list[Broadcast]:
-    """The benchmark's (item_id, text), broadcast in blocks of bounded size."""
+def blocks_of(benchmark: DataFrame) -> Iterator[Broadcast]:
+    """The benchmark's (item_id, text), broadcast in blocks of about BLOCK_BYTES, one after the other."""
     size = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = -(-size // BLOCK_BYTES) or 1
-    out = []
     for b in range(blocks):
         rows = benchmark.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).select(F.col("item_id").cast("long"), "text").orderBy("item_id").collect()
-        out.append(benchmark.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in rows]))
-    return out
-
-
-def searcher(blocks: list[Broadcast], similarity: float) -> Callable[[list[str]], list[dict[int, float]]]:
-    """A task's search of a list of texts: the items of each and their similarity. One block's index stays in memory; of more, one at a time."""
-    only = Index(blocks[0].value, similarity) if len(blocks) == 1 else None
-
-    def search(texts: list[str]) -> list[dict[int, float]]:
-        group = [words(t) for t in texts]
-        if only:
-            return only.search(group)
-        out: list[dict[int, float]] = [{} for _ in texts]
-        for b in blocks:
-            for have, more in zip(out, Index(b.value, similarity).search(group), strict=True):
-                have.update(more)
-        return out
+        yield benchmark.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in rows])
+
+
+def searcher(block: Broadcast, similarity: float) -> Callable[[list[str]], list[dict[int | None, float]]]:
+    """A task's search of a list of texts: the items of each and their similarity."""
+    index = Index(block.value, similarity)
+    return lambda texts: index.search([words(t) for t in texts])
+
+
+def _in_order(found: dict[int | None, float]) -> list[int | None]:
+    return sorted(found, key=lambda i: (i is not None, i or 0))
+
+
+def _matches(docs: DataFrame, blocks: list[Broadcast], more: Iterator[Broadcast], similarity: float) -> DataFrame:
+    """h1, h2 (of a text), items and similarity of the texts that hold an item of any block."""
+
+    def run(block: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find = searcher(block, similarity)
+            for batch in it:
+                texts = strings(batch.column(2))
+                for a, b in groups(texts, GROUP_CHARS):
+                    rows = [(i, k, v) for i, x in enumerate(find(texts[a:b]), a) for k, v in x.items()]
+                    at = pa.array([r[0] for r in rows], pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["h1", "h2", "item", "s"])
+
+        return search
 
-    return search
+    texts = docs.select(F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), "text").where("text is not null")
+    parts = None
+    for block in chain(blocks, more):
+        found = materialize(texts.mapInArrow(run(block), "h1 long, h2 long, item long, s double").groupBy("h1", "h2", "item").agg(F.max("s").alias("s")), "leaks")
+        block.destroy()
+        parts = found if parts is None else parts.unionByName(found)
+    best = parts.groupBy("h1", "h2", "item").agg(F.max("s").alias("s"))
+    return best.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct(F.col("item").isNotNull().alias("named"), "item"))).alias("items"), F.max("s").alias("similarity"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs that hold no benchmark item, with all their columns."""
+    """The rows of docs that hold no benchmark item, with all their columns; rows without a text stay."""
     blocks = blocks_of(benchmark)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
 
-    def keeper() -> Callable[[list[str]], list[bool]]:
-        search = searcher(blocks, similarity)
-        return lambda texts: [not x for x in search(texts)]
+        def keeper() -> Callable[[list[str]], list[bool]]:
+            search = searcher(first, similarity)
+            return lambda texts: [not x for x in search(texts)]
 
-    return filter_texts(docs, keeper)
+        return filter_texts(docs, keeper)
+    found = _matches(docs, [first, second], blocks, similarity)
+    return docs.join(found.select(F.col("h1").alias("_pv_h1"), F.col("h2").alias("_pv_h2")), (F.xxhash64("text") == F.col("_pv_h1")) & (F.xxhash64("text", F.lit(1)) == F.col("_pv_h2")), "left_anti")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, contaminated, n_items, items (ids in order) and similarity (the greatest) for each document."""
     blocks = blocks_of(benchmark)
+    first, second = next(blocks), next(blocks, None)
+    own = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    if second is not None:
+        rows = own.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64("text", F.lit(1))}).join(_matches(own, [first, second], blocks, similarity), ["h1", "h2"], "left")
+        items = F.coalesce(F.transform("items", lambda x: x["item"]), F.array().cast("array<bigint>"))
+        return rows.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.size(items).cast("long").alias("n_items"), items.alias("items"), F.round("similarity", 6).alias("similarity"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = searcher(blocks, similarity)
+        search = searcher(first, similarity)
         for batch in it:
             texts = strings(batch.column(1))
             for a, b in groups(texts, GROUP_CHARS):
                 found = search(texts[a:b])
-                items = [sorted(x) for x in found]
+                items = [_in_order(x) for x in found]
                 best = [round(max(x.values()), 6) if x else None for x in found]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array([bool(x) for x in items], pa.bool_()), pa.array(map(len, items), pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(best, pa.float64())],
                     names=["doc_id", "contaminated", "n_items", "items", "similarity"],
                 )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, contaminated boolean, n_items long, items array<long>, similarity double")
+    return own.mapInArrow(run, "doc_id long, contaminated boolean, n_items long, items array<long>, similarity double")

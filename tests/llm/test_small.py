@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from provenir.llm import op1_surrogates as P1
+from provenir.llm import op5_superminhash
 from provenir.llm.op2_orc import orc_query, read_tokens, write_tokens
 from provenir.llm.op3_linkgraph import judge_urls, oracle
 from provenir.llm.op4_windows import remove_repeated_windows, windows_query
@@ -281,6 +282,11 @@ def test_a_drifting_family_of_copies(spark):
     assert 1 < len({c for _, c in got.values()}) < 120
 
 
+def test_pairs_of_one_document_are_dealt_among_copies_of_its_set(spark, monkeypatch):
+    monkeypatch.setattr(op5_superminhash, "PER_SET", 3)
+    test_a_drifting_family_of_copies(spark)
+
+
 def test_signatures_estimate_similarity():
     r = np.random.default_rng(1)
     errors = []
@@ -343,9 +349,10 @@ def test_language_held_out_accuracy_and_und(spark, real):
     held = [r for r in got if r.held_out]
     assert len(held) > 20 and sum(r.lang_pred == r.lang for r in held) / len(held) > 0.95
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
-    langs, logp = train(real.select("text", "lang"), max_training_docs=10)
+    model = train(real.select("text", "lang"), max_training_docs=10)
+    langs = model[0]
     odd = table(spark, [(1, None), (2, "12 34"), (3, ""), (4, "und der die nicht"), (5, "日本")])
-    pred = {r.doc_id: (r.lang_pred, r.score) for r in identify(odd, langs, logp).collect()}
+    pred = {r.doc_id: (r.lang_pred, r.score) for r in identify(odd, *model).collect()}
     assert pred[1] == pred[2] == pred[3] == ("und", 0.0) and pred[4][0] == "de" and pred[5][0] in langs
     assert {r.lang_pred for r in identify(odd, *train(real.select("text", "lang").limit(0))).collect()} == {"und"}
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from provenir.llm import op1_surrogates as P1
-from provenir.llm import op9_suffixes
+from provenir.llm import op7_language, op8_cgk, op9_suffixes
 from provenir.llm.chunked import distinct, split
 from provenir.llm.offsets import exclusive_sums
 from provenir.llm.op2_orc import read_tokens, token_index, write_tokens
@@ -59,8 +59,8 @@ def test_packing_of_300_sources_holds_the_mixture_of_each(spark):
 def test_a_rare_source_beside_a_hot_one_costs_its_own_tokens_only():
     every, rare = 7_000_000_000, 5
     queue = Queue([(every, every // 3, True), (every - every // 3, rare, False)], every, 2048)
-    start, length, place = queue.pieces(0, rare)
-    assert start.tolist() == [0, 1, 2, 3, 4] and length.tolist() == [1] * 5 and place.dtype == np.int64
+    doc, start, length, place = queue.pieces(np.array([0]), np.array([rare]))
+    assert doc.tolist() == [0] * 5 and start.tolist() == [0, 1, 2, 3, 4] and length.tolist() == [1] * 5 and place.dtype == np.int64
     assert all(abs(p - every * (i + 1) / rare) < 5000 for i, p in enumerate(place.tolist()))
     rng = np.random.default_rng(1)
     n = rng.integers(0, 1 << 45, 1000)
@@ -77,7 +77,7 @@ def test_distrust_of_a_clique_and_a_chain_is_the_limit(spark):
     rows += [(f"http://c{i}.net/", link(f"c{i + 1}.net")) for i in range(15)] + [("http://c15.net/", "".join(link(f"b{i}.net") for i in range(100)))]
     rows += [(f"http://b{i}.net/bad", "") for i in range(100)]
     pages = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "page_id long, url string, html string")
-    got = {r.host: r for r in judge_urls(pages, rules=(("block", "net", "/bad"),), iterations=None).where("path <> '/bad'").collect()}
+    got = {r.host: r for r in judge_urls(pages, rules=(("block", "net", "/bad"),)).where("path <> '/bad'").collect()}
     assert abs(got["k0.net"].distrust - 0.04 / 0.15) < 2e-6 and got["k0.net"].verdict == "block"
     for i in range(16):
         assert abs(got[f"c{i}.net"].distrust - 100 * 0.85 ** (16 - i)) < 2e-6 and got[f"c{i}.net"].verdict == "block"
@@ -163,3 +163,108 @@ def test_rows_of_one_doc_id_are_documents_in_the_order_of_their_text(spark):
     assert got == [(False, 301, 0), (True, 300, 300), (True, 300, 300), (True, 301, 300)]
     windows = sorted((x.n_words, x.n_removed) for x in windows_query(docs(spark, [(7, "w " * 36, "s"), (7, "w " * 35, "s"), (None, "v " * 35, "s")])).collect())
     assert windows == [(35, 0), (35, 35), (36, 36)]
+
+
+# --- 7 ---
+
+
+def plain_language(rows, labelled):
+    """Naive Bayes in dictionaries of n-grams, which differ from hashed ones by accidents only."""
+    import math
+
+    def grams(t):
+        t = "".join(c if ord(c) >= 170 or c.isascii() and c.isalpha() else " " for c in (t or "").lower().replace("ς", "σ"))
+        t = " " + " ".join(x for x in t.split(" ") if x) + " "
+        return [t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)]
+
+    counts, docs_of = {}, Counter(lang for _, lang in labelled)
+    for t, lang in labelled:
+        counts.setdefault(lang, Counter()).update(grams(t))
+    total = {x: sum(c.values()) + 0.5 * (1 << 16) for x, c in counts.items()}
+    out = {}
+    for i, t in rows:
+        g = grams(t)
+        prior = {x: math.log(n / len(labelled)) for x, n in docs_of.items()}
+        sums = {x: sum(math.log((counts[x][k] + 0.5) / total[x]) for k in g) for x in counts}
+        best = max(sorted(sums), key=lambda x: sums[x] + prior[x])
+        mean = {x: sums[x] / len(g) * min(len(g), 30) + prior[x] for x in sums}
+        out[i] = (best, math.exp(mean[best] - max(mean.values())) / sum(math.exp(v - max(mean.values())) for v in mean.values()))
+    return out
+
+
+def test_language_scores_against_dictionaries(spark):
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labelled = [(r.text, r.lang) for r in real.collect()][:60]
+    rows = [(r.doc_id, r.text[:300]) for r in real.collect()[60:100]] + [(900, "Σίσυφος ΣΊΣΥΦΟΣ"), (901, "a"), (902, "½²①"), (903, "12 _"), (904, None)]
+    model = op7_language.train(spark.createDataFrame(labelled, "text string, lang string"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in op7_language.identify(spark.createDataFrame(rows, "doc_id long, text string"), *model).collect()}
+    want = plain_language(rows[:-3], labelled)
+    assert all(got[i][0] == lang and abs(got[i][1] - score) < 0.02 for i, (lang, score) in want.items())
+    assert got[902] == got[903] == got[904] == ("und", 0.0)
+
+
+def test_long_texts_are_counted_like_short_ones(monkeypatch):
+    texts = ["Ab 12 cd", "", "é😀 " * 40, "ΟΔΟΣ. " * 30, "x" * 70, "  --  " * 20 + "z", chr(0x10FFFF) * 50 + "q"]
+    count = lambda: Counter((d, g) for a, b in op7_language.grams(texts) for d, g in zip(a.tolist(), b.tolist(), strict=True))
+    whole = count()
+    for piece in (1, 2, 7, 64):
+        monkeypatch.setattr(op7_language, "PIECE", piece)
+        assert count() == whole
+
+
+def test_700_labels_are_all_learned(spark):
+    r = random.Random(1)
+    words = [["".join(r.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(4)] for _ in range(700)]
+    rows = [(i, " ".join(words[i % 700][k % 4] for k in range(40)), f"l{i % 700:03}") for i in range(1400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = op7_language.train(table)
+    assert len(model[0]) == 700 and model[2].size <= op7_language.MODEL_CELLS
+    got = op7_language.identify(table, *model).collect()
+    assert sum(x.lang_pred == f"l{x.doc_id % 700:03}" for x in got) > 1390
+
+
+# --- 8 ---
+
+
+def test_leaks_against_brute_force(spark, monkeypatch):
+    r = random.Random(9)
+    word = lambda: "w" + str(r.randrange(400))
+    items = [(i if i else None, " ".join(word() for _ in range(r.randrange(15, 30)))) for i in range(6)] + [(5, "other text with the same id that nobody holds in this place at all or anywhere else"), (8, None), (9, "")]
+    rows = []
+    for i in range(60):
+        parts = [" ".join(word() for _ in range(r.randrange(40)))]
+        for _ in range(r.randrange(3)):
+            w = items[r.randrange(6)][1].split()
+            for _ in range(r.randrange(8)):
+                p = r.randrange(len(w))
+                w[p : p + r.randrange(2)] = [word()] * r.randrange(2)
+            parts += [" ".join(w), " ".join(word() for _ in range(r.randrange(20)))]
+        rows.append((i, " ".join(parts)))
+    rows += [(100, items[1][1] + " x " + items[2][1]), (None, items[0][1].upper()), (101, None)]
+
+    def best(item, text):
+        a, b = item.split(), text.lower().split()
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return min(row), len(a)
+
+    want = {}
+    for i, t in rows:
+        found = {}
+        for k, item in items:
+            if item and t:
+                d, n = best(item, t)
+                if d <= int(n * 0.2 + 1e-9):
+                    found[k] = max(found.get(k, 0), round(1 - d / n, 6))
+        want[i] = (bool(found), sorted(found, key=lambda k: (k is not None, k or 0)), max(found.values(), default=None))
+    table, bench = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, item long"), spark.createDataFrame(items, "item_id long, text string")
+    read = lambda: {x.doc_id: (x.contaminated, list(x["items"]), x.similarity) for x in op8_cgk.find_leaks(table, bench).collect()}
+    assert read() == want and sum(v[0] for v in want.values()) > 20
+    clean = sorted(map(repr, (i for i, v in want.items() if not v[0])))
+    assert sorted(repr(x.doc_id) for x in op8_cgk.drop_leaks(table, bench).collect()) == clean
+    monkeypatch.setattr(op8_cgk, "BLOCK_BYTES", 200)
+    assert read() == want and sorted(repr(x.doc_id) for x in op8_cgk.drop_leaks(table, bench).collect()) == clean
+    assert op8_cgk.drop_leaks(table, bench).columns == table.columns
