@@ -37,9 +37,9 @@ from .chunked import chunked, decode_sorted, encode_sorted, in_order, layout, sp
 from .text import mix, powers, spread
 
 LENGTH = 100
-CHUNK_BYTES, RANGE_BYTES = 4 << 20, 4 << 20
-HOT = 1 << 14  # contexts of an anchor that one task takes
-PART_BYTES = 1 << 20  # of contexts sorted together; anchors stay whole
+CHUNK_BYTES, RANGE_BYTES = 4 << 20, 2 << 20
+HOT = 1 << 13  # contexts of an anchor that one task takes
+PART_BYTES = 1 << 18  # of contexts sorted together; anchors stay whole
 BLOCK, PLACE_BITS = 1 << 16, 17  # starts hashed at a time; bits for a place within a block
 MATRIX = 1 << 13  # strings laid out side by side at a time
 SALT = np.uint64(0x9E37)
@@ -150,7 +150,7 @@ class Suffixes:
 
     def choose(self, text: np.ndarray, local: np.ndarray, limit: np.ndarray) -> None:
         """The suffixes from now on: the text each is of, its place there, how far it is read. Earlier texts come first."""
-        self.text, self.local, self.limit = text, local, limit
+        self.text, self.local, self.limit = (x.astype(np.int32) for x in (text, local, limit))
         self.at = self.offsets[text] + local
 
     def alike(self, x: np.ndarray, y: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
