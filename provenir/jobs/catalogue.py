@@ -12,6 +12,7 @@ from ..operators import blocks as B
 from ..operators import evidence as EV
 from ..operators import extraction as E
 from ..operators import graph as G
+from ..operators import imports as I
 from ..operators import reasoning as R
 from ..operators import retrieval as V
 from ..operators import review as RV
@@ -19,7 +20,7 @@ from ..operators import semantic as S
 from ..operators import verify as VF
 from ..operators import workspace as W
 from ..sources import derived as D
-from ..storage import read_table
+from ..storage import materialize, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -191,13 +192,50 @@ def node_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {EDGES_SQL}, e AS (SELECT source AS u, target AS v FROM edges UNION SELECT target, source FROM edges), s AS (SELECT id AS st FROM notes WHERE id LIKE 'r%'),
+    f"""WITH {EDGES_SQL}, e AS (SELECT source AS u, target AS v FROM edges UNION SELECT target, source FROM edges), s AS (SELECT id AS st FROM notes WHERE id[1] IN ('r', 'n') OR substr(id, 2)::BIGINT % 100 = 0),
  h1 AS (SELECT DISTINCT st, v AS node FROM s JOIN e ON u = st WHERE v <> st), h2 AS (SELECT DISTINCT st, v AS node FROM h1 JOIN e ON u = node WHERE v <> st AND (st, v) NOT IN (SELECT st, node FROM h1))
  SELECT st AS start, st AS node, 0 AS hops FROM s UNION ALL SELECT st, node, 1 FROM h1 UNION ALL SELECT st, node, 2 FROM h2"""
 )
 def neighborhood_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    starts = D.notes(spark, sf_dir).where("id like 'r%'").select(F.col("id").alias("start"))
-    return G.neighbourhood(starts, _edges(spark, sf_dir), 2)
+    return G.neighbourhood(_starts(spark, sf_dir), _edges(spark, sf_dir), 2)
+
+
+def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, nations, and of the others those whose key is divisible by 100."""
+    return D.notes(spark, sf_dir).where("substr(id, 1, 1) in ('r', 'n') or try_cast(substr(id, 2) as long) % 100 = 0").select(F.col("id").alias("start"))
+
+
+@query(
+    f"""WITH {EDGES_SQL}, e AS (SELECT source AS u, target AS v FROM edges UNION SELECT target, source FROM edges), s AS (SELECT id AS st FROM notes WHERE id[1] = 's'),
+ h AS (SELECT DISTINCT st, node FROM (SELECT st, st AS node FROM s UNION ALL SELECT st, v FROM s JOIN e ON u = st)) SELECT st AS start, source, target, resolved, pos, link_pos::BIGINT AS link_pos FROM edges JOIN h a ON a.node = source WHERE (a.st, target) IN (SELECT st, node FROM h)"""
+)
+def local_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    starts = D.notes(spark, sf_dir).where("id like 's%'").select(F.col("id").alias("start"))
+    g = G.induced_subgraphs(starts, _edges(spark, sf_dir), 1)
+    return g.select("start", "source", "target", "resolved", "pos", F.col("link_pos").cast("long").alias("link_pos"))
+
+
+@query(f"WITH {EDGES_SQL}, m AS (SELECT id FROM notes WHERE pos % 3 > 0) SELECT source, target, pos, link_pos::BIGINT AS link_pos FROM edges WHERE resolved AND source IN (FROM m) AND target IN (FROM m)")
+def resolved_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = G.resolved_subgraph(_edges(spark, sf_dir), D.notes(spark, sf_dir).where("pos % 3 > 0"))
+    return g.select("source", "target", "pos", F.col("link_pos").cast("long").alias("link_pos"))
+
+
+@query(
+    f"""WITH {EDGES_SQL}, {D.ENTITIES_SQL}, {D.RELATIONS_SQL}, ok AS (SELECT id FROM entities WHERE status = 'accepted' AND merged_into IS NULL)
+ SELECT source, target, layer FROM (SELECT 'note:' || source AS source, 'note:' || target AS target, 'authored' AS layer FROM edges UNION ALL SELECT 'entity:' || source, 'entity:' || target, 'inferred' FROM relations WHERE status = 'accepted' AND source IN (FROM ok) AND target IN (FROM ok))"""
+)
+def layered_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.layered_graph(D.notes(spark, sf_dir), _edges(spark, sf_dir), D.entities(spark, sf_dir), D.relations(spark, sf_dir))[1]
+
+
+@query(
+    f"""WITH {EDGES_SQL}, {D.ENTITIES_SQL} SELECT kind, count(*) AS n, min(id) AS first, max(label) AS last FROM (SELECT 'note:' || id AS id, title AS label, 'note' AS kind FROM notes UNION ALL SELECT 'note:' || target, min(title), 'unresolved' FROM edges WHERE NOT resolved GROUP BY target
+ UNION ALL SELECT 'entity:' || id, name, 'entity' FROM entities WHERE status = 'accepted' AND merged_into IS NULL) GROUP BY kind"""
+)
+def layered_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = G.layered_graph(D.notes(spark, sf_dir), _edges(spark, sf_dir), D.entities(spark, sf_dir), D.relations(spark, sf_dir))[0]
+    return n.groupBy("kind").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("label").alias("last"))
 
 
 PATHS_SQL = """e AS (SELECT pos, source AS u, target AS v FROM rel UNION ALL SELECT pos, target, source FROM rel),
@@ -239,16 +277,11 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     rf"""WITH {EDGES_SQL}, plain AS (SELECT id, lower(regexp_replace({BODY}, '\[\[[^\]]*\]\]', ' ', 'g')) AS body FROM notes)
- SELECT t.id AS target, p.id AS source FROM notes t JOIN plain p ON p.id <> t.id AND contains(p.body, lower(t.title)) WHERE regexp_matches(p.body, '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(lower(t.title)) || '([^\p{{L}}\p{{N}}_]|$)')
- AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.source = p.id AND e.target = t.id) AND t.id LIKE 'n%'"""
+, hit AS MATERIALIZED (SELECT t.id AS target, p.id AS source, p.body, lower(t.title) AS title FROM notes t JOIN plain p ON p.id <> t.id AND contains(p.body, lower(t.title)) ANTI JOIN edges e ON e.source = p.id AND e.target = t.id)
+ SELECT target, source FROM hit WHERE regexp_matches(body, '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(title) || '([^\p{{L}}\p{{N}}_]|$)')"""
 )
 def unlinked_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = D.notes(spark, sf_dir)
-    plain = notes.select(F.col("id").alias("source"), F.lower(F.regexp_replace(T.body(F.col("markdown")), r"\[\[[^\]]*\]\]", " ")).alias("body"))
-    wanted = F.broadcast(notes.where("id like 'n%'").select(F.col("id").alias("target"), F.lower("title").alias("t")))
-    pattern = F.concat(F.lit(r"(^|[^\p{L}\p{N}_])\Q"), "t", F.lit(r"\E([^\p{L}\p{N}_]|$)"))
-    hit = plain.join(wanted, F.contains(F.col("body"), F.col("t")) & (F.col("source") != F.col("target"))).where(F.rlike("body", pattern))
-    return hit.join(_edges(spark, sf_dir).select("source", "target"), ["source", "target"], "left_anti").select("target", "source")
+    return G.unlinked_mentions(D.notes(spark, sf_dir), _edges(spark, sf_dir))
 
 
 # --- blocks ---------------------------------------------------------------------------------------------------------
@@ -319,16 +352,93 @@ def containment_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.containment(rows, "page_id")[1]
 
 
-@query()
+_WS = "' ' || chr(9) || chr(10) || chr(13) || chr(160)"
+
+
+def _last(mark: str) -> str:
+    """Where a window w last has a mark, from 0, or -1."""
+    return f"CASE WHEN contains(w, {mark}) THEN length(w) - instr(reverse(w), reverse({mark})) - length({mark}) + 1 ELSE -1 END"
+
+
+def _plain_sql(source: str) -> str:
+    """A walk over each text of a select of id and text: every step ends behind the last boundary beyond 660 of the next 1200 characters."""
+    boundary = f"greatest({_last('chr(10) || chr(10)')}, {_last(chr(39) + '. ' + chr(39))}, {_last(chr(39) + '; ' + chr(39))})"
+    return (
+        f"src AS (SELECT id, trim(regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '[ \\t]+\\n', chr(10), 'g'), {_WS}) AS t FROM ({source})),"
+        f" walk AS (SELECT id, t, 0 AS a, 0 AS b FROM src UNION ALL SELECT id, t, b, CASE WHEN b + 1200 >= length(t) THEN length(t) WHEN p > 660 THEN b + p + 1 ELSE b + 1200 END FROM (SELECT *, {boundary} AS p FROM (SELECT id, t, b, substr(t, b + 1, 1200) AS w FROM walk WHERE b < length(t)))),"
+        f" piece AS (SELECT id, a, substr(t, a + 1, b - a) AS w FROM walk WHERE b > a),"
+        f" plain AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY a) AS n, trim(w, {_WS}) AS text, a + length(w) - length(ltrim(w, {_WS})) AS start FROM piece WHERE trim(w, {_WS}) <> '')"
+    )
+
+
+@query(f"""WITH RECURSIVE {_plain_sql("SELECT doc_id AS id, text FROM documents")} SELECT id AS doc_id, n, text, start::BIGINT AS start, (start + length(text))::BIGINT AS "end" FROM plain""")
 def plain_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.plain_blocks(_docs(spark, sf_dir), "doc_id", F.col("text"))
 
 
-@query()
+NOTE_BLOCKS_SQL = r"""nb AS (SELECT id, title, markdown, length(regexp_extract(markdown, '^---\s*\n([\s\S]*?)\n---\s*(?:\n|$)', 0)) AS b FROM notes),
+ np AS (SELECT *, CASE WHEN length(markdown) > b + length(title) + 2 THEN b + length(title) + 4 ELSE b END AS st FROM nb),
+ note_block AS (SELECT id, id || '::' || st || '-' || length(markdown) AS block_id, substr(markdown, st + 1) AS text, st::BIGINT AS start, length(markdown) AS fin, title AS path FROM np)"""
+
+
+@query(f"""WITH {D.NOTES_SQL}, {NOTE_BLOCKS_SQL} SELECT id, block_id, text, start, fin AS "end", path FROM note_block""")
 def note_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.note_blocks(D.notes(spark, sf_dir))
 
 
+_LABELLED = "CASE WHEN tag IN ('td', 'th') THEN 'table-' || tag || '-' || n ELSE tag || '-' || n END"
+
+
+@query(
+    f"""WITH RECURSIVE {SECTIONS_SQL}, f AS (SELECT min('d' || doc_id || '.txt') AS name, 'text' AS format, text AS body FROM documents GROUP BY text UNION ALL SELECT min('p' || page_id || '.html'), 'html', html FROM pages GROUP BY html),
+ part AS (SELECT name, format, name AS id, body AS text FROM f WHERE format = 'text' UNION ALL SELECT name, format, name || '/' || {_LABELLED}, s.text FROM f JOIN s ON format = 'html' AND name = 'p' || page_id || '.html' WHERE NOT regexp_matches(tag, '^h[1-6]$')
+  UNION ALL SELECT name, format, name, {_decode_sql(_STRIP)} FROM f JOIN pages ON format = 'html' AND name = 'p' || page_id || '.html' WHERE page_id NOT IN (SELECT page_id FROM s)),
+ {_plain_sql("SELECT id, text FROM part")} SELECT name, format, count(*) AS n_blocks, sum(length(plain.text))::BIGINT AS n_chars, md5(string_agg(plain.text, '|' ORDER BY plain.text)) AS digest FROM part JOIN plain USING (id) GROUP BY name, format"""
+)
+def import_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select(F.concat(F.lit("d"), "doc_id", F.lit(".txt")).alias("name"), F.lit("").alias("mime"), F.col("text").cast("binary").alias("content"))
+    pages = read_table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id", F.lit(".html")).alias("name"), F.lit("").alias("mime"), F.col("html").cast("binary").alias("content"))
+    got = I.import_files(docs.unionByName(pages))
+    per = got.blocks.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum(F.length("text")).alias("n_chars"), F.md5(F.array_join(F.array_sort(F.collect_list("text")), "|")).alias("digest"))
+    return got.documents.join(per, "doc_id").select("name", "format", "n_blocks", "n_chars", "digest")
+
+
+@query(
+    f"""WITH RECURSIVE {D.NOTES_SQL}, {NOTE_BLOCKS_SQL}, {_plain_sql("SELECT doc_id AS id, text FROM documents")},
+ u AS (SELECT 'note' AS source_type, id AS source_id, text FROM note_block UNION ALL SELECT 'document', id::VARCHAR, text FROM plain)
+ SELECT source_type, source_id, count(*) AS n_blocks, sum(length(text))::BIGINT AS n_chars, count(*) FILTER (regexp_matches(text, '\\b(?:19|20)[0-9][0-9]\\b')) AS n_dated FROM u GROUP BY ALL"""
+)
+def unified_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = B.unified_blocks(D.notes(spark, sf_dir), _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.lit("").alias("title"), "text"))
+    return u.groupBy("source_type", "source_id").agg(F.count("*").alias("n_blocks"), F.sum(F.length("text")).alias("n_chars"), F.count_if(F.size("years") > 0).alias("n_dated"))
+
+
+@query(
+    f"""WITH RECURSIVE {_plain_sql("SELECT doc_id AS id, text FROM documents")} SELECT d.source, count(*) AS n_documents, coalesce(sum(k), 0)::BIGINT AS n_blocks, min(first) AS first FROM documents d
+ LEFT JOIN (SELECT id, count(*) AS k, string_agg(left(text, 20), '|' ORDER BY n) FILTER (n <= 3) AS first FROM plain GROUP BY id) ON id = doc_id GROUP BY d.source"""
+)
+def document_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    per = W.first_blocks(B.plain_blocks(docs, "doc_id", F.col("text")), "doc_id", 3).select("doc_id", "n_blocks", F.array_join(F.transform("first", lambda b: F.substring(b["text"], 1, 20)), "|").alias("first"))
+    return docs.join(per, "doc_id", "left").groupBy("source").agg(F.count("*").alias("n_documents"), F.coalesce(F.sum("n_blocks"), F.lit(0)).alias("n_blocks"), F.min("first").alias("first"))
+
+
+@query(
+    f"""WITH RECURSIVE pw AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM documents), {_plain_sql("SELECT doc_id AS id, array_to_string(ws, ' ') AS text FROM pw")}, w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM pw),
+ it AS (SELECT doc_id, w, i, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(w) - 1 AS s FROM w),
+ x AS (SELECT doc_id, s, s + length(w) AS e, (i % 10) * 50.0::DOUBLE AS x, 700.0::DOUBLE - (i // 10) * 12 AS y, length(w) * 5.0::DOUBLE AS wd FROM it)
+ SELECT p.id AS doc_id, p.n, min(x) AS x, min(y) AS y, max(x + wd) - min(x) AS width, max(y + 10.0::DOUBLE) - min(y) AS height FROM plain p JOIN x ON x.doc_id = p.id AND e > p.start AND s < p.start + length(p.text) GROUP BY p.id, p.n"""
+)
+def page_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a page of words laid out ten to a line; the box around each of its blocks."""
+    word = F.filter(F.split("text", " "), lambda x: x != "")
+    words = _docs(spark, sf_dir).select("doc_id", F.posexplode(word).alias("p", "str")).withColumn("i", F.col("p") + 1)
+    items = words.select("doc_id", F.lit(1).alias("page"), F.col("i").cast("long").alias("i"), "str", ((F.col("i") % 10) * 50.0).alias("x"), (700.0 - F.floor(F.col("i") / 10) * 12).alias("y"), (F.length("str") * 5.0).alias("width"), F.lit(10.0).alias("height"))
+    placed = B.item_offsets(items, "doc_id")
+    blocks = B.plain_blocks(B.page_texts(items, "doc_id"), "doc_id", F.col("text")).withColumn("page", F.lit(1))
+    return B.block_bounds(blocks, placed, "doc_id").select("doc_id", "n", "x", "y", "width", "height")
+
+
 @query(
     "SELECT page_id, CASE WHEN ext IN ('html', 'htm') THEN 'html' END AS format, 'page ' || page_id + 1 || ' · ' || ext || ' · chars 0–' || length(url) AS location FROM (SELECT page_id, url, CASE WHEN contains(url, '.') THEN lower(list_last(string_split(url, '.'))) ELSE '' END AS ext FROM pages)"
 )
@@ -359,8 +469,7 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ENTITY_SQL} SELECT id, type, name, normalized, confidence, len(evidence) AS n, evidence[1] AS first_block FROM entity")
 def entity_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = E.entity_candidates(_sentences(spark, sf_dir))
-    return e.select("id", "type", "name", "normalized", "confidence", F.size("evidence").cast("long").alias("n"), F.element_at("evidence", 1).alias("first_block"))
+    return E.entity_candidates(E.mentions(_sentences(spark, sf_dir)))
 
 
 @query(
@@ -374,8 +483,8 @@ def entity_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def relation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = _sentences(spark, sf_dir)
-    r = E.relation_candidates(blocks.select("block_id", "text"), E.entity_candidates(blocks))
-    return r.select("id", "relation", F.size("evidence").cast("long").alias("n"), F.element_at("evidence", 1).alias("first_block"))
+    found = materialize(E.mentions(blocks), "mentions")
+    return E.relation_candidates(E.relation_evidence(blocks.select("block_id", "text"), found, E.entity_candidates(found))).select("id", "relation", "n", "first_block")
 
 
 GRAPH_QUESTIONS = [
@@ -467,6 +576,77 @@ def community_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.community_rank(_ask(spark, GRAPH_QUESTIONS), D.entities(spark, sf_dir), D.relations(spark, sf_dir), T.tokens)
 
 
+NOTE_QUESTIONS = [(1, "Who is based in NATION_7 and trades with Customer#000000042?"), (2, "furniture building"), (3, "Supplier#000000003 in asia"), (4, "nothing of the kind"), (5, "Belongs to the region EUROPE and AMERICA")]
+CORE = "[" + ", ".join(f"'{w}'" for w in T.CORE_STOP_WORDS) + "]"
+_CORE_TOK = r"list_filter(list_distinct(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}_-]+')), lambda t: NOT list_contains(" + CORE + ", t))"
+
+
+@query(
+    rf"""WITH {EDGES_SQL}, {_ask_sql(NOTE_QUESTIONS)}, q AS (SELECT question_id, unnest({_CORE_TOK.format(t="question")}) AS term, len({_CORE_TOK.format(t="question")}) AS k FROM questions),
+ dg AS (SELECT node, count(*) AS d FROM (SELECT source AS node FROM edges UNION ALL SELECT target FROM edges) GROUP BY node),
+ h AS (SELECT question_id, id, title, count(*) / max(k) AS cov, count(*) FILTER (contains(lower(title), term)) AS tt, coalesce(max(d), 0) AS d FROM q JOIN notes ON contains(lower(title || chr(10) || markdown), term) LEFT JOIN dg ON node = id GROUP BY question_id, id, title),
+ s AS (SELECT question_id, id, title, round(least(1.0::DOUBLE, cov + tt * 0.15::DOUBLE + least(d * 0.02::DOUBLE, 0.1)), 6) AS score FROM h WHERE tt > 0 OR cov >= 0.34)
+ SELECT question_id, id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, title, id) AS rnk FROM s QUALIFY rnk <= 5"""
+)
+def extractive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.extractive_search(_ask(spark, NOTE_QUESTIONS), D.notes(spark, sf_dir), G.degree(_edges(spark, sf_dir))).select("question_id", "id", "score", F.col("rnk").cast("long").alias("rnk"))
+
+
+@query(
+    rf"""WITH {D.NOTES_SQL}, {_ask_sql(NOTE_QUESTIONS)}, m AS (SELECT question_id, id, pos FROM questions, notes WHERE length(title) >= 3 AND contains(lower(question), lower(title)))
+ SELECT question_id, CASE WHEN count(id) >= 2 THEN 'multi-hop' WHEN count(id) = 1 THEN 'local-graph' ELSE 'lexical' END AS mode, arg_min(id, pos) AS anchor, count(id) AS n_anchors FROM questions LEFT JOIN m USING (question_id) GROUP BY question_id"""
+)
+def note_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.note_anchors(_ask(spark, NOTE_QUESTIONS), D.notes(spark, sf_dir)).select("question_id", "mode", F.get("anchors", F.lit(0))["id"].alias("anchor"), F.size("anchors").cast("long").alias("n_anchors"))
+
+
+@query(
+    rf"""WITH {EDGES_SQL}, {_ask_sql(NOTE_QUESTIONS)}, b AS (SELECT id AS ident, lower(title) AS title, '' AS heading, lower(markdown) AS text FROM notes), t AS (SELECT question_id, unnest({_tok("question")}) AS term FROM questions),
+ m AS (SELECT ident, term, contains(title, term) AS tt FROM b, (SELECT DISTINCT term FROM t) WHERE contains(text, term) OR contains(title, term)),
+ i AS (SELECT term, ln(((SELECT count(*) FROM b) + 1) / (count(m.ident) + 1)) + 1 AS idf FROM (SELECT DISTINCT term FROM t) LEFT JOIN m USING (term) GROUP BY term), tot AS (SELECT question_id, sum(idf) AS total FROM t JOIN i USING (term) GROUP BY question_id),
+ h AS (SELECT question_id, ident, sum(idf) / max(total) AS cov, count(*) FILTER (tt) AS titles, count(*) AS matched, max(idf) AS rare, max(length(term)) AS longest FROM t JOIN i USING (term) JOIN m USING (term) JOIN tot USING (question_id) GROUP BY question_id, ident),
+ s AS (SELECT question_id, ident, round(least(1.0::DOUBLE, cov * 0.78 + least(titles * 0.12::DOUBLE, 0.18)), 6) AS score FROM h WHERE titles > 0 OR round(cov, 9) >= 0.24 OR (matched = 1 AND rare >= 1.45 AND longest >= 5)),
+ hits AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, ident) <= 20),
+ an AS (SELECT question_id, arg_min(id, pos) AS anchor FROM questions, notes WHERE length(title) >= 3 AND contains(lower(question), lower(title)) GROUP BY question_id),
+ e AS (SELECT source AS u, target AS v FROM edges WHERE resolved UNION SELECT target, source FROM edges WHERE resolved),
+ d1 AS (SELECT DISTINCT question_id, v AS node FROM an JOIN e ON u = anchor), d2 AS (SELECT DISTINCT question_id, v AS node FROM d1 JOIN e ON u = node), d3 AS (SELECT DISTINCT question_id, v AS node FROM d2 JOIN e ON u = node),
+ hop AS (SELECT question_id, node, min(k) AS hops FROM (SELECT question_id, anchor AS node, 0 AS k FROM an UNION ALL SELECT *, 1 FROM d1 UNION ALL SELECT *, 2 FROM d2 UNION ALL SELECT *, 3 FROM d3) GROUP BY ALL),
+ r AS (SELECT hits.question_id, ident, hops, round(least(1.0::DOUBLE, score + CASE WHEN hops > 0 THEN greatest(0.03::DOUBLE, 0.12 - hops * 0.025::DOUBLE) ELSE 0 END), 6) AS score FROM hits LEFT JOIN hop ON hop.question_id = hits.question_id AND node = ident)
+ SELECT question_id, ident, hops::BIGINT AS hops, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, title, ident) AS rnk FROM r JOIN b USING (ident) QUALIFY rnk <= 5"""
+)
+def graph_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = D.notes(spark, sf_dir)
+    plan = EV.graph_plan(_ask(spark, NOTE_QUESTIONS), notes, _edges(spark, sf_dir))
+    return plan.select("question_id", "ident", F.col("hops").cast("long").alias("hops"), "score", F.col("rnk").cast("long").alias("rnk"))
+
+
+@query(f"WITH {D.RELATIONS_SQL} SELECT source, round(count(*) FILTER (pos % 3 = 0) / count(*), 6) AS recall FROM relations GROUP BY source UNION ALL SELECT 'none', 1.0")
+def path_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rel = D.relations(spark, sf_dir).select(F.col("source").alias("question_id"), F.col("id").alias("edge"), "pos")
+    asked = rel.select("question_id").distinct().unionByName(spark.createDataFrame([("none",)], "question_id string"))
+    r = V.path_recall(asked, rel.select("question_id", "edge"), rel.where("pos % 3 = 0").select("question_id", "edge"))
+    return r.select(F.col("question_id").alias("source"), F.round("recall", 6).alias("recall"))
+
+
+@query(
+    f"""WITH {EDGES_SQL}, {D.ENTITIES_SQL}, {D.RELATIONS_SQL} SELECT 'notes' AS kind, (SELECT count(*) FROM notes) AS n UNION ALL SELECT 'accepted entities', (SELECT count(*) FROM entities WHERE status = 'accepted' AND merged_into IS NULL)
+ UNION ALL SELECT 'accepted relations', (SELECT count(*) FROM relations WHERE status = 'accepted') UNION ALL SELECT 'resolved links', (SELECT count(*) FROM edges WHERE resolved) UNION ALL SELECT 'pending', (SELECT count(*) FROM entities WHERE status = 'pending' AND merged_into IS NULL) + (SELECT count(*) FROM relations WHERE status = 'pending')"""
+)
+def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.dashboard(D.notes(spark, sf_dir), _edges(spark, sf_dir), D.entities(spark, sf_dir), D.relations(spark, sf_dir))
+
+
+@query(rf"WITH {D.NOTES_SQL} SELECT id FROM notes WHERE contains(lower(title || chr(10) || markdown), 'nation_3')")
+def search_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.search_notes(D.notes(spark, sf_dir), "NATION_3").select("id")
+
+
+@query(f"WITH {D.ENTITIES_SQL} SELECT id, status = 'pending' AS waiting FROM entities WHERE merged_into IS NULL")
+def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = D.entities(spark, sf_dir)
+    return RV.review_queue(e, True).select("id", F.lit(True).alias("waiting")).unionByName(RV.review_queue(e, False).select("id", F.lit(False).alias("waiting")))
+
+
 _SENT = r"list_filter(list_transform(string_split(regexp_replace({t}, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13) || chr(160))), lambda s: s <> '')"
 
 
@@ -617,11 +797,68 @@ def semantic_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query()
+def _evidence_sql() -> str:
+    """The evidence query over the notes: each question has its own eligible blocks and relations; paths and sweeps carry the question."""
+    within = "(from_year IS NULL OR {e} >= from_year) AND (to_year IS NULL OR {b} <= to_year)"
+    sweeps = ", ".join(
+        f"n{i} AS (SELECT question_id, id, sw, ps FROM (SELECT * FROM n{i - 1} UNION ALL SELECT n.question_id, v, CASE WHEN pos > ps THEN sw ELSE sw + 1 END, pos FROM n{i - 1} n JOIN near ON u = id AND near.question_id = n.question_id WHERE CASE WHEN pos > ps THEN sw ELSE sw + 1 END < 2) QUALIFY row_number() OVER (PARTITION BY question_id, id ORDER BY sw, ps) = 1)"
+        for i in range(1, 9)
+    )
+    return f"""WITH RECURSIVE {D.NOTES_SQL}, {ANCHOR_SQL}, {D.RELATIONS_SQL}, {_YEARS_SQL}, {COMM_SQL.replace(D.ENTITIES_SQL + ", ", "").replace(D.RELATIONS_SQL + ", ", "")},
+ el AS (SELECT question_id, question, 'b' || id AS block_id, markdown AS body FROM route, notes WHERE mode <> 'temporal' OR list_bool_or(list_transform(regexp_extract_all(markdown, '\\b(?:19|20)\\d\\d\\b', 0), lambda y: {within.format(b="y::INT", e="y::INT")}))),
+ tk AS (SELECT question_id, block_id, {_tok("body")} AS t FROM el), st AS (SELECT question_id, count(*) AS n, avg(len(t)) AS mean FROM tk GROUP BY question_id), po AS (SELECT question_id, block_id, len(t) AS l, unnest(t) AS term FROM tk),
+ df AS (SELECT question_id, term, count(*) AS df FROM po GROUP BY ALL), ask AS (SELECT question_id, unnest({_tok("question")}) AS term FROM questions),
+ raw AS (SELECT question_id, block_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5))) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * max(l) / max(mean))) AS raw FROM ask JOIN df USING (question_id, term) JOIN po USING (question_id, term) JOIN st USING (question_id) GROUP BY ALL),
+ bs AS (SELECT question_id, block_id, round(raw / max(raw) OVER (PARTITION BY question_id), 6) AS score FROM raw), bm AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, block_id) AS rnk FROM bs QUALIFY rnk <= 30),
+ rel AS (SELECT question_id, mode, rv.* FROM route, rv WHERE mode <> 'temporal' OR ({within.format(b="b", e="e")})), acc AS (SELECT * FROM rel WHERE status = 'accepted'), both_ok AS (SELECT * FROM acc WHERE source IN (SELECT id FROM ok) AND target IN (SELECT id FROM ok)),
+ named AS (SELECT question_id, id FROM questions, ok WHERE length(name) >= 3 AND contains(lower(question), lower(name))), n0 AS (SELECT question_id, id, 0 AS sw, -1::BIGINT AS ps FROM named), near AS (SELECT question_id, pos, source AS u, target AS v FROM both_ok UNION ALL SELECT question_id, pos, target, source FROM both_ok), {sweeps},
+ pr AS (SELECT question_id, ids[i] AS s, ids[j] AS t FROM (SELECT question_id, ids, unnest(range(1, len(ids) + 1)) AS i FROM route), LATERAL (SELECT unnest(range(i + 1, len(ids) + 1)) AS j)),
+ {PATHS_SQL.replace("FROM rel", "FROM tagged").replace("e AS (SELECT pos", "tagged AS (SELECT pos, question_id || '|' || source AS source, question_id || '|' || target AS target FROM acc), pairs AS (SELECT question_id || '|' || s AS source, question_id || '|' || t AS target FROM pr), e AS (SELECT pos")},
+ hop AS (SELECT split_part(source, '|', 1)::BIGINT AS question_id, unnest(path) AS pos, generate_subscripts(path, 1) - 1 AS k FROM found),
+ g AS (SELECT n.question_id, unnest(evidence) AS block_id, CASE WHEN m.id IS NULL THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END AS score FROM n8 n JOIN ok USING (id) LEFT JOIN named m ON m.question_id = n.question_id AND m.id = n.id
+  UNION ALL SELECT a.question_id, unnest(evidence), 0.82::DOUBLE FROM both_ok r JOIN n8 a ON a.id = source AND a.question_id = r.question_id JOIN n8 b ON b.id = target AND b.question_id = a.question_id
+  UNION ALL SELECT question_id, unnest(evidence), score FROM sc JOIN comm USING (community) JOIN ok USING (id) WHERE question_id NOT IN (SELECT question_id FROM named) AND question_id NOT IN (SELECT question_id FROM route WHERE mode = 'temporal')
+  UNION ALL SELECT question_id, unnest(evidence), least(1.0::DOUBLE, score + 0.08) FROM sc JOIN comm USING (community) JOIN usable ON source = comm.id WHERE question_id NOT IN (SELECT question_id FROM named) AND question_id NOT IN (SELECT question_id FROM route WHERE mode = 'temporal')
+  UNION ALL SELECT question_id, unnest(evidence), greatest(0.7::DOUBLE, 1 - k * 0.08::DOUBLE) FROM hop JOIN relations USING (pos)),
+ gm AS (SELECT question_id, block_id, round(max(score), 6) AS score FROM g GROUP BY ALL), gr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, block_id) AS rnk FROM gm SEMI JOIN el USING (question_id, block_id) QUALIFY rnk <= 30),
+ fu AS (SELECT question_id, block_id, bm.rnk AS bm25_rank, gr.rnk AS graph_rank, round(coalesce(1.0::DOUBLE / (60 + bm.rnk), 0) + coalesce(1.0::DOUBLE / (60 + gr.rnk), 0), 9) AS fused FROM bm FULL JOIN gr USING (question_id, block_id))
+ SELECT question_id, block_id, mode, bm25_rank, graph_rank, fused, row_number() OVER (PARTITION BY question_id ORDER BY fused DESC, block_id) AS rnk FROM fu JOIN route USING (question_id) QUALIFY rnk <= 10"""
+
+
+@query(_evidence_sql())
 def evidence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = D.notes(spark, sf_dir).select(F.concat(F.lit("b"), "id").alias("block_id"), F.col("markdown").alias("text"))
     out = EV.evidence_query(_ask(spark, GRAPH_QUESTIONS), blocks, D.entities(spark, sf_dir), D.relations(spark, sf_dir))
-    return out.select("question_id", "block_id", "mode", "bm25_rank", "graph_rank", "fused", "rnk")
+    return out.select("question_id", "block_id", "mode", *[F.col(c).cast("long").alias(c) for c in ("bm25_rank", "graph_rank")], "fused", F.col("rnk").cast("long").alias("rnk"))
+
+
+def _proved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    routed, relations = _routed(spark, sf_dir), D.relations(spark, sf_dir)
+    return routed, relations, materialize(R.proofs(routed, relations), "proofs")
+
+
+_PROOF_SQL = _evidence_sql().split(" hop AS (")[0] + " hop AS (SELECT 1)"
+
+
+@query(_PROOF_SQL + " SELECT split_part(source, '|', 1)::BIGINT AS question, split_part(source, '|', 2) AS source, split_part(target, '|', 2) AS target, array_to_string(path, '>') AS path FROM found")
+def proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _proved(spark, sf_dir)[2].select("question", "source", "target", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+@query(_PROOF_SQL + " SELECT question_id, s AS source, t AS target FROM pr WHERE (question_id || '|' || s, question_id || '|' || t) NOT IN (SELECT source, target FROM found)")
+def missing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routed, _, found = _proved(spark, sf_dir)
+    return R.missing_pairs(routed, found)
+
+
+@query(
+    _PROOF_SQL
+    + " SELECT question_id AS question, pos, block_id FROM (SELECT split_part(source, '|', 1)::BIGINT AS question_id, unnest(path) AS pos FROM found) JOIN (SELECT pos, unnest(evidence) AS block_id FROM relations) USING (pos) WHERE block_id NOT IN (SELECT 'b' || id FROM notes WHERE pos % 2 = 0)"
+)
+def invalid_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hops of proofs whose evidence isn't among the blocks of the notes at even positions."""
+    _, relations, found = _proved(spark, sf_dir)
+    return R.invalid_proofs(found, relations, D.notes(spark, sf_dir).where("pos % 2 = 0").select(F.concat(F.lit("b"), "id").alias("block_id")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

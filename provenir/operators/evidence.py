@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..storage import materialize
 from . import graph as G
 from . import reasoning as R
 from . import retrieval as V
@@ -23,7 +24,7 @@ def evidence_query(questions: DataFrame, blocks: DataFrame, entities: DataFrame,
     """
     limit = max(1, min(limit, MOST))
     depth = max(20, 3 * limit)
-    routed = R.route(questions, entities)
+    routed = materialize(R.route(questions, entities), "routed")
     timed = routed.where("time is not null").select("question_id", "time")
     plain = routed.where("time is null")
     every = plain.select("question_id", F.lit("all").alias("scope"), "question").unionByName(routed.where("time is not null").select("question_id", F.to_json("time").alias("scope"), "question"))
@@ -33,7 +34,7 @@ def evidence_query(questions: DataFrame, blocks: DataFrame, entities: DataFrame,
     )
     bm25 = V.bm25(every, eligible, "question_id", "block_id", F.col("question"), F.col("body"), depth)
 
-    own = relations.join(timed).where(R.relation_matches(relations, F.col("time"))).drop("time")
+    own = materialize(relations.join(timed).where(R.relation_matches(relations, F.col("time"))).drop("time"), "relations")
     named = G.anchors(questions, entities, with_aliases=False).select("question_id").distinct()
     proofs = R.proofs(routed, relations)
     graph = (
@@ -58,3 +59,16 @@ def traces(result: DataFrame, questions: DataFrame) -> DataFrame:
     """question_id, engine, trace: each question's results as JSON, for an append-only table of traces."""
     rows = result.groupBy("question_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("rnk", "block_id", "fused")))).alias("results"))
     return questions.join(rows, "question_id", "left").select("question_id", F.lit(ENGINE).alias("engine"), F.to_json(F.struct("question", "results")).alias("trace"))
+
+
+def graph_plan(questions: DataFrame, notes: DataFrame, edges: DataFrame, limit: int = 5) -> DataFrame:
+    """question_id, ident, hops, score, rnk: weighted lexical hits over notes(pos, id, title, markdown), lifted by how near they are, within three resolved links, to the first note that the question names."""
+    blocks = notes.select(F.col("id").alias("ident"), "title", F.lit("").alias("heading"), F.col("markdown").alias("text"))
+    hits = V.weighted_lexical(questions, blocks, 4 * limit).select("question_id", "ident", "score")
+    anchors = V.note_anchors(questions, notes).where("size(anchors) > 0").select("question_id", F.col("anchors")[0]["id"].alias("start"))
+    near = G.neighbourhood(anchors.select("start").distinct(), edges.where("resolved"), 3)
+    hops = anchors.join(near, "start").select("question_id", F.col("node").alias("ident"), "hops")
+    lift = F.when(F.col("hops") > 0, F.greatest(F.lit(0.03), 0.12 - F.col("hops") * 0.025)).otherwise(0.0)
+    scored = hits.join(hops, ["question_id", "ident"], "left").withColumn("score", F.round(F.least(F.lit(1.0), F.col("score") + lift), 6))
+    w = Window.partitionBy("question_id").orderBy(F.desc("score"), F.lower("title"), "ident")
+    return scored.join(blocks.select("ident", "title"), "ident").withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= limit).select("question_id", "ident", "hops", "score", "rnk")

@@ -48,19 +48,28 @@ def candidates(text: Column, headings: Column | None = None) -> Column:
     return F.concat(*parts)
 
 
-def entity_candidates(blocks: DataFrame) -> DataFrame:
-    """id, name, normalized, type, confidence, evidence of blocks(pos, block_id, text): one row for each type and normalised name, under the first name seen."""
+def mentions(blocks: DataFrame) -> DataFrame:
+    """type, normalized, block_id, first (struct of pos, i, name), confidence: one row for each candidate of each block of blocks(pos, block_id, text)."""
     rows = blocks.select("pos", "block_id", F.posexplode(candidates(F.col("text"))).alias("i", "c")).select("pos", "block_id", "i", "c.*")
     rows = rows.withColumn("normalized", normalize_spaces(F.col("name")))
-    return rows.groupBy("type", "normalized").agg(
-        F.min_by("name", F.struct("pos", "i")).alias("name"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("block_id")).alias("evidence")
-    ).withColumn("id", F.concat(F.lit("entity-"), "type", F.lit("-"), slug(F.col("name"))))
+    return rows.groupBy("type", "normalized", "block_id").agg(F.min(F.struct("pos", "i", "name")).alias("first"), F.max("confidence").alias("confidence"))
 
 
-def relation_candidates(blocks: DataFrame, entities: DataFrame) -> DataFrame:
-    """id, source, target, relation, confidence, evidence: ordered pairs of entities in a block, at most PER_BLOCK entities of each block, by the verb between them."""
-    mentions = entities.where("type not in ('url', 'identifier')").select("id", "name", F.explode("evidence").alias("block_id"))
-    at = mentions.join(blocks, "block_id").withColumn("low", F.lower("text")).withColumn("p", F.instr("low", F.lower("name"))).where("p > 0")
+def entity_candidates(found: DataFrame) -> DataFrame:
+    """id, type, name, normalized, confidence, n, first_block of mentions: one row for each type and normalised name, under the first name seen. Its evidence stays in mentions, a row each."""
+    return (
+        found.groupBy("type", "normalized")
+        .agg(F.min("first").alias("_f"), F.max("confidence").alias("confidence"), F.count("*").alias("n"), F.min("block_id").alias("first_block"))
+        .withColumn("name", F.col("_f.name"))
+        .withColumn("id", F.concat(F.lit("entity-"), "type", F.lit("-"), slug(F.col("name"))))
+        .select("id", "type", "name", "normalized", "confidence", "n", "first_block")
+    )
+
+
+def relation_evidence(blocks: DataFrame, found: DataFrame, entities: DataFrame) -> DataFrame:
+    """id, source, target, relation, confidence, block_id: ordered pairs of entities in a block, at most PER_BLOCK entities of each block, by the verb between them; one row for each block."""
+    known = entities.where("type not in ('url', 'identifier')").select("type", "normalized", "id", "name")
+    at = found.select("type", "normalized", "block_id").join(known, ["type", "normalized"]).join(blocks, "block_id").withColumn("low", F.lower("text")).withColumn("p", F.instr("low", F.lower("name"))).where("p > 0")
     w = Window.partitionBy("block_id").orderBy("p", F.desc(F.length("name")), "id")
     at = at.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= PER_BLOCK)
     per = at.groupBy("block_id").agg(F.first("low").alias("low"), F.array_sort(F.collect_list(F.struct("rk", "id", "name", "p"))).alias("m"))
@@ -74,8 +83,10 @@ def relation_candidates(blocks: DataFrame, entities: DataFrame) -> DataFrame:
         verb = F.when(F.col("between").rlike(_B + pattern + _E), F.struct(F.lit(relation).alias("relation"), F.lit(confidence).alias("confidence"))).otherwise(verb)
     verb = F.coalesce(verb, F.struct(F.lit(CO_MENTION[0]).alias("relation"), F.lit(CO_MENTION[1]).alias("confidence")))
     rows = pair.select("block_id", F.col("l.id").alias("source"), F.col("r.id").alias("target"), verb.alias("v"))
-    return (
-        rows.groupBy("source", F.col("v.relation").alias("relation"), "target")
-        .agg(F.max("v.confidence").alias("confidence"), F.array_sort(F.collect_set("block_id")).alias("evidence"))
-        .withColumn("id", F.concat_ws("::", "source", "relation", "target"))
-    )
+    per = rows.groupBy("source", F.col("v.relation").alias("relation"), "target", "block_id").agg(F.max("v.confidence").alias("confidence"))
+    return per.select(F.concat_ws("::", "source", "relation", "target").alias("id"), "source", "target", "relation", "confidence", "block_id")
+
+
+def relation_candidates(evidence: DataFrame) -> DataFrame:
+    """id, source, target, relation, confidence, n, first_block of relation_evidence."""
+    return evidence.groupBy("id", "source", "target", "relation").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n"), F.min("block_id").alias("first_block"))

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_year, links, normalize
+from ..functions.text import body, first_year, links, normalize
 from ..storage import materialize
 from .components import connected_components
 
 
+HOPS = 3  # steps of a sweep between two written tables
+
+
 def authored_edges(notes: DataFrame) -> DataFrame:
     """source, target, title, resolved, pos, link_pos of every wiki link of notes(pos, id, title, markdown).
 
@@ -104,11 +107,12 @@ def anchors(questions: DataFrame, entities: DataFrame, with_aliases: bool = True
     return known.join(q, F.contains(F.col("_low"), F.col("called"))).select("question_id", "question", "id", "name").distinct()
 
 
-def swept(starts: DataFrame, relations: DataFrame, sweeps: int = 2, max_rounds: int = 64) -> DataFrame:
+def swept(starts: DataFrame, relations: DataFrame, sweeps: int = 2) -> DataFrame:
     """question_id, id, at: what a number of sweeps over the relations in order reaches, each adding both ends of a relation with one end reached.
 
     A sweep travels along relations of rising position within itself, so a node's arrival is a time (sweep, position), and the earliest arrivals are
-    the fixed point of: a relation passes an arrival on in the same sweep if it comes later in it, else in the next one.
+    the fixed point of: a relation passes an arrival on in the same sweep if it comes later in it, else in the next one. A round follows the
+    relations HOPS steps before it writes what it found; rounds go on until nothing changes, so a chain of any length is walked.
     starts(question_id, id); relations(pos, source, target), with a column question_id where each question has its own.
     """
     own = "question_id" in relations.columns
@@ -117,17 +121,25 @@ def swept(starts: DataFrame, relations: DataFrame, sweeps: int = 2, max_rounds:
     begin = F.struct(F.lit(0).alias("sweep"), F.lit(-1).cast("long").alias("pos"))
     state = materialize(starts.select("question_id", "id", begin.alias("at")).distinct(), "swept")
     changed = state
-    for _ in range(max_rounds):
+    on = (F.col("id") == near.u) & (F.col("question_id") == near.q) if own else F.col("id") == near.u
+
+    def step(frontier: DataFrame) -> DataFrame:
+        """The earliest arrivals one relation on from a frontier, before they are held against the state."""
         sweep = F.when(F.col("pos") > F.col("at.pos"), F.col("at.sweep")).otherwise(F.col("at.sweep") + 1)
-        on = (changed.id == near.u) & (changed.question_id == near.q) if own else changed.id == near.u
-        moved = changed.join(near, on).select("question_id", F.col("v").alias("id"), F.struct(sweep.alias("sweep"), F.col("pos").alias("pos")).alias("new")).where(F.col("new.sweep") < sweeps)
-        best = moved.groupBy("question_id", "id").agg(F.min("new").alias("new"))
+        moved = frontier.join(near, on).select("question_id", F.col("v").alias("id"), F.struct(sweep.alias("sweep"), F.col("pos").alias("pos")).alias("new")).where(F.col("new.sweep") < sweeps)
+        return moved.groupBy("question_id", "id").agg(F.min("new").alias("new"))
+
+    while True:
+        every = frontier = step(changed)
+        for _ in range(HOPS - 1):
+            frontier = step(frontier.withColumnRenamed("new", "at"))
+            every = every.unionByName(frontier)
+        best = every.groupBy("question_id", "id").agg(F.min("new").alias("new"))
         better = best.join(state, ["question_id", "id"], "left").where(F.col("at").isNull() | (F.col("new") < F.col("at"))).select("question_id", "id", F.col("new").alias("at"))
         changed = materialize(better, "swept")
         if changed.isEmpty():
             return state
         state = materialize(state.join(changed, ["question_id", "id"], "left_anti").unionByName(changed), "swept")
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
 def graph_rank(questions: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -136,7 +148,7 @@ def graph_rank(questions: DataFrame, entities: DataFrame, relations: DataFrame)
     relations with a column question_id are each question's own, such as those of its time.
     """
     found = anchors(questions, entities, with_aliases=False).select("question_id", "id")
-    usable = accepted_relations(entities, relations)
+    usable = materialize(accepted_relations(entities, relations), "usable")
     reached = swept(found, usable).select("question_id", "id")
     scored = reached.join(found.withColumn("_a", F.lit(1.0)), ["question_id", "id"], "left").select("question_id", "id", F.coalesce("_a", F.lit(0.7)).alias("score"))
     blocks = scored.join(accepted_entities(entities), "id").select("question_id", F.explode("evidence").alias("block_id"), "score")
@@ -172,3 +184,54 @@ def relation_years(valid_from: Column, valid_to: Column, observed_at: Column) ->
     begin = F.coalesce(first_year(valid_from), first_year(observed_at))
     end = F.coalesce(first_year(valid_to), begin)
     return F.coalesce(begin, end), end
+
+
+def resolved_subgraph(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """Resolved edges of authored_edges both of whose ends are in members(id)."""
+    ends = lambda side: members.select(F.col("id").alias(side)).distinct()
+    return edges.where("resolved").join(ends("source"), "source", "left_semi").join(ends("target"), "target", "left_semi")
+
+
+def induced_subgraphs(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """start and the columns of edges, for each start all edges between nodes within depth of it, the unresolved ones too."""
+    near = neighbourhood(starts, edges, depth).select("start", "node")
+    inside = edges.join(near.withColumnRenamed("node", "source"), "source")
+    return inside.join(near.withColumnRenamed("node", "target"), ["start", "target"], "left_semi").select("start", *edges.columns)
+
+
+def layered_graph(notes: DataFrame, edges: DataFrame, entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes(id, label, kind) and edges(source, target, layer) of the authored graph and of the accepted one over it, with ids that tell them apart."""
+    tag = lambda prefix, c: F.concat(F.lit(prefix), c)
+    missing = edges.where("not resolved").groupBy("target").agg(F.min("title").alias("title"))
+    nodes = (
+        notes.select(tag("note:", F.col("id")).alias("id"), F.col("title").alias("label"), F.lit("note").alias("kind"))
+        .unionByName(missing.select(tag("note:", F.col("target")).alias("id"), F.col("title").alias("label"), F.lit("unresolved").alias("kind")))
+        .unionByName(accepted_entities(entities).select(tag("entity:", F.col("id")).alias("id"), F.col("name").alias("label"), F.lit("entity").alias("kind")))
+    )
+    authored = edges.select(tag("note:", F.col("source")).alias("source"), tag("note:", F.col("target")).alias("target"), F.lit("authored").alias("layer"))
+    inferred = accepted_relations(entities, relations).select(tag("entity:", F.col("source")).alias("source"), tag("entity:", F.col("target")).alias("target"), F.lit("inferred").alias("layer"))
+    return nodes, authored.unionByName(inferred)
+
+
+WORD = r"[\p{L}\p{N}_]+"
+MENTION_WORDS = 3  # of a title, by which texts are found that may hold it
+
+
+def unlinked_mentions(notes: DataFrame, edges: DataFrame) -> DataFrame:
+    """target, source: notes(id, title, markdown) whose body, without its links, has another note's title between signs that aren't part of a word, and doesn't link to it.
+
+    Titles meet bodies by their first words (up to MENTION_WORDS), and the whole title is then looked for; a title without a letter or digit has no mention.
+    """
+    plain = notes.select(F.col("id").alias("source"), F.lower(F.regexp_replace(body(F.col("markdown")), r"\[\[[^\]]*\]\]", " ")).alias("body"))
+    words = F.regexp_extract_all("body", F.lit(WORD), 0)
+
+    def run_of(n: int) -> Column:
+        return F.transform(F.col("w"), lambda _, i: F.when(i + n <= F.size("w"), F.array_join(F.slice(F.col("w"), i + 1, n), " ")))
+
+    runs = [run_of(n) for n in range(1, MENTION_WORDS + 1)]
+    found = plain.select("source", words.alias("w")).select("source", F.explode(F.array_distinct(F.array_compact(F.flatten(F.array(*runs))))).alias("key"))
+    titles = notes.select(F.col("id").alias("target"), F.lower("title").alias("t"), F.regexp_extract_all(F.lower("title"), F.lit(WORD), 0).alias("w")).where("size(w) > 0")
+    titles = titles.select("target", "t", F.array_join(F.slice("w", 1, MENTION_WORDS), " ").alias("key"))
+    pairs = found.join(titles, "key").where("source <> target").select("source", "target", "t").join(edges.select("source", "target").distinct(), ["source", "target"], "left_anti")
+    pattern = F.concat(F.lit(r"(^|[^\p{L}\p{N}_])\Q"), "t", F.lit(r"\E([^\p{L}\p{N}_]|$)"))
+    return pairs.join(plain, "source").where(F.rlike("body", pattern)).select("target", "source")

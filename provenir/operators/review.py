@@ -141,3 +141,52 @@ def undo(entities: DataFrame, audit: DataFrame, undone: DataFrame) -> tuple[Data
 def twins(model: DataFrame, known: DataFrame) -> DataFrame:
     """Candidates of a model(type, name, ...) without those that a known(type, name) one already names."""
     return model.withColumn("_k", normalize_spaces(F.col("name"))).join(known.select("type", normalize_spaces(F.col("name")).alias("_k")), ["type", "_k"], "left_anti").drop("_k")
+
+
+def review_queue(candidates: DataFrame, pending: bool) -> DataFrame:
+    """Candidates that wait for a decision, or those that have one; merged ones are in neither."""
+    state = F.col("status") == "pending"
+    return candidates.where("merged_into is null").where(state if pending else ~state)
+
+
+def pin(entities: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Entities with the pins of decisions(seq, id, pinned), the last of each id standing."""
+    last = decisions.groupBy("id").agg(F.max_by("pinned", "seq").alias("_p"))
+    return entities.join(last, "id", "left").withColumn("pinned", F.coalesce("_p", "pinned")).select(entities.columns)
+
+
+def merge_target(entities: DataFrame, wanted: DataFrame) -> DataFrame:
+    """asked, id of wanted(asked): the entity whose id it is, else the least one with that name, in any case."""
+    by_id = wanted.join(entities.select("id"), F.col("asked") == F.col("id")).select("asked", "id", F.lit(0).alias("rank"))
+    by_name = wanted.join(entities.select("id", normalize_spaces(F.col("name")).alias("_n")), normalize_spaces(F.col("asked")) == F.col("_n")).select("asked", "id", F.lit(1).alias("rank"))
+    return by_id.unionByName(by_name).groupBy("asked").agg(F.min(F.struct("rank", "id")).alias("_b")).select("asked", "_b.id")
+
+
+def merge_log(entities: DataFrame, relations: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What undoing merges(seq, old, new) takes: entities(seq, ...) and relations(seq, rewritten, ...) as they were before.
+
+    Logged relations are those of the merged entity and those that its own run into under their new ids (``rewritten``, null for the latter and for loops).
+    """
+    ends = merges.select("seq", F.explode(F.array("old", "new")).alias("id"))
+    before = entities.join(ends, "id").select("seq", *entities.columns)
+    touched = relations.join(merges, (F.col("source") == F.col("old")) | (F.col("target") == F.col("old")))
+    to = lambda c: F.when(F.col(c) == F.col("old"), F.col("new")).otherwise(F.col(c))
+    made = F.when(to("source") != to("target"), F.concat_ws("::", to("source"), "relation", to("target")))
+    affected = touched.select("seq", made.alias("rewritten"), *relations.columns)
+    met = affected.where("rewritten is not null").select("seq", F.col("rewritten").alias("id")).distinct()
+    collided = relations.join(met, "id").select("seq", F.lit(None).cast("string").alias("rewritten"), *relations.columns)
+    return before, affected.unionByName(collided)
+
+
+def undo_merges(entities: DataFrame, relations: DataFrame, logged: tuple[DataFrame, DataFrame], undone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations with the merges of undone(seq) taken back: logged rows stand again, and what was rewritten goes."""
+    before, old = (df.join(undone.select("seq").distinct(), "seq", "left_semi").drop("seq") for df in logged)
+    back = entities.join(before.select("id").distinct(), "id", "left_anti").unionByName(before.dropDuplicates(["id"]).select(entities.columns))
+    gone = old.select("id").unionByName(old.where("rewritten is not null").select(F.col("rewritten").alias("id"))).distinct()
+    return back, relations.join(gone, "id", "left_anti").unionByName(old.drop("rewritten").dropDuplicates(["id"]).select(relations.columns))
+
+
+def undo_splits(entities: DataFrame, before: DataFrame, splits: DataFrame) -> DataFrame:
+    """Entities with splits(id, new_id) taken back: before holds the split entities as they were, and those that were made go."""
+    gone = splits.select("id").unionByName(splits.select(F.col("new_id").alias("id"))).distinct()
+    return entities.join(gone, "id", "left_anti").unionByName(before.join(splits.select("id").distinct(), "id", "left_semi").select(entities.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import js_trim, normalize, properties, rename_links, tags
+from ..functions.text import expand_template, js_trim, normalize, properties, rename_links, tags
 
 
 def note_properties(notes: DataFrame) -> DataFrame:
@@ -133,3 +133,59 @@ def group_box(nodes: Column, members: Column) -> Column:
 def touch(recent: Column, ident: Column, limit: int = 20) -> Column:
     """The list with ident in front, once, and limit entries at most."""
     return F.slice(F.concat(F.array(ident), F.array_remove(recent, ident)), 1, limit)
+
+
+def search_notes(notes: DataFrame, text: str) -> DataFrame:
+    """Notes whose title or markdown holds the text, in any case."""
+    return notes.where(F.contains(F.lower(F.concat_ws("\n", "title", "markdown")), F.lit(text.lower())))
+
+
+def first_blocks(blocks: DataFrame, ident: str, k: int = 3) -> DataFrame:
+    """ident, n_blocks and first, the first k blocks(ident, n, text) of each document as an array of structs."""
+    w = Window.partitionBy(ident).orderBy("n")
+    few = blocks.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).groupBy(ident).agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("first"))
+    return blocks.groupBy(ident).agg(F.count("*").alias("n_blocks")).join(few, ident)
+
+
+def dashboard(notes: DataFrame, edges: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """kind, n: what a workspace holds, and what waits for review."""
+    one = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+    waiting = entities.where("status = 'pending' and merged_into is null").select("id").unionByName(relations.where("status = 'pending'").select("id"))
+    return (
+        one(notes, "notes")
+        .unionByName(one(entities.where("status = 'accepted' and merged_into is null"), "accepted entities"))
+        .unionByName(one(relations.where("status = 'accepted'"), "accepted relations"))
+        .unionByName(one(edges.where("resolved"), "resolved links"))
+        .unionByName(one(waiting, "pending"))
+    )
+
+
+def forget(opened: Column, recent: Column, active: Column, ident: Column) -> Column:
+    """struct(opened, recent, active) of a workspace without a note; where it was the active one, the last opened is."""
+    left = F.array_remove(opened, ident)
+    return F.struct(left.alias("opened"), F.array_remove(recent, ident).alias("recent"), F.when(active == ident, F.get(left, F.size(left) - 1)).otherwise(active).alias("active"))
+
+
+def opened_with(opened: Column, ident: Column, most: int = 12) -> Column:
+    """The open notes with one more at the end, once, the latest ``most`` of them."""
+    every = F.array_distinct(F.concat(opened, F.array(ident)))
+    return F.slice(every, F.greatest(F.lit(1), F.size(every) - most + 1), F.lit(most))
+
+
+def daily_notes(notes: DataFrame, days: DataFrame, template: Column, prefix: str = "Daily") -> DataFrame:
+    """Notes(id, title, markdown) with one for each of days(day) that has none under its title yet; {{date}} and {{title}} of the template are filled in."""
+    title = daily_title(F.col("day"), prefix)
+    body = expand_template(template, {"date": F.date_format("day", "yyyy-MM-dd"), "title": title})
+    new = days.select("day").distinct().select(F.concat(F.lit("note-"), F.substring(F.sha2(title, 256), 1, 24)).alias("id"), title.alias("title"), body.alias("markdown"))
+    missing = new.join(notes.select(normalize(F.col("title")).alias("_k")).distinct(), normalize(F.col("title")) == F.col("_k"), "left_anti")
+    return notes.select("id", "title", "markdown").unionByName(missing)
+
+
+def put_templates(templates: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Templates(id, title, body) after changes(seq, id, title, body), the last of each id standing, null leaving a part as it is; and the changes refused for an empty title or body."""
+    last = changes.groupBy("id").agg(F.max_by(F.struct("title", "body"), "seq").alias("_c"))
+    j = templates.join(last, "id", "full")
+    new = j.select("id", F.trim(F.coalesce("_c.title", "title")).alias("title"), F.coalesce("_c.body", "body").alias("body"), F.col("title").alias("_t"), F.col("body").alias("_b"))
+    wrong = (F.coalesce("title", F.lit("")) == "") | (F.trim(F.coalesce("body", F.lit(""))) == "")
+    kept = new.select("id", F.when(wrong, F.col("_t")).otherwise(F.col("title")).alias("title"), F.when(wrong, F.col("_b")).otherwise(F.col("body")).alias("body")).where("title is not null")
+    return kept, new.where(wrong).select("id")
