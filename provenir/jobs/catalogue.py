@@ -496,6 +496,8 @@ GRAPH_QUESTIONS = [
     (6, "before 1995"),
     (7, "NATION_3 or MIDDLE EAST from 2001 until 2005?"),
     (8, "Tell me about Customer#000000011"),
+    (9, "How are NATION_1, NATION_6, NATION_7 and Supplier#000000002 part of AMERICA, ASIA, AFRICA or EUROPE?"),
+    (10, "Were NATION_3, NATION_9 and NATION_12 part of ASIA, EUROPE, AMERICA, AFRICA or the MIDDLE EAST between 1990 and 2003?"),
 ]
 ANCHOR_SQL = f"""{_ask_sql(GRAPH_QUESTIONS)}, {D.ENTITIES_SQL}, anchor AS (SELECT DISTINCT question_id, id, name FROM questions, (SELECT id, name, unnest(list_prepend(lower(name), aliases)) AS called FROM entities WHERE status = 'accepted' AND merged_into IS NULL) WHERE length(called) >= 3 AND contains(lower(question), called)),
  al AS (SELECT question_id, list(id ORDER BY length(name) DESC, id) AS ids FROM anchor GROUP BY question_id),

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import detect_format, normalize_lines, strip_html
+from ..storage import materialize
 from . import blocks as B
 
 MAX_BYTES, MAX_ROWS, MAX_COLUMNS = 25 << 20, 100_000, 500
@@ -107,7 +108,7 @@ def _plain(docs: DataFrame, path: Column, section: Column, suffix: Column) -> Da
 
 def html_blocks(pages: DataFrame) -> DataFrame:
     """Blocks of pages(doc_id, html): sections under their headings, cells as tables'; the stripped text of a page without sections."""
-    found = B.html_sections(pages, "doc_id", F.col("html"))
+    found = materialize(B.html_sections(pages, "doc_id", F.col("html")), "sections")
     under = B.heading_paths(found, "doc_id")
     label = F.when(F.col("tag").isin("td", "th"), F.concat(F.lit("table-"), "section")).otherwise(F.col("section"))
     sections = _plain(under.select(F.struct("doc_id", "path", label.alias("section")).alias("key"), "text"), F.col("key.path"), F.col("key.section"), F.concat_ws("-", "key.section", "n"))
@@ -123,13 +124,15 @@ def import_files(files: DataFrame) -> Imported:
     reason = F.when(F.col("size") > MAX_BYTES, f"more than {MAX_BYTES} bytes").when(F.col("format").isNull(), "unknown format").when(F.col("format") == "pdf", "pages of a PDF come as extracted items")
     judged = sized.withColumn("reason", reason)
     documents = judged.where("reason is null").groupBy("doc_id").agg(F.min_by(F.struct("name", "format", "size"), "name").alias("_d")).select("doc_id", "_d.*")
-    taken = judged.where("reason is null").join(documents.select("doc_id", "name"), ["doc_id", "name"], "left_semi").dropDuplicates(["doc_id"])
+    documents = materialize(documents, "documents")
+    taken = judged.where("reason is null").join(documents.select("doc_id", "name"), ["doc_id", "name"], "left_semi")
+    taken = materialize(taken.select("doc_id", "format", "content").dropDuplicates(["doc_id"]), "taken")
 
     plain = _plain(taken.where("format in ('text', 'markdown')").select(F.struct("doc_id").alias("key"), decoded(F.col("content")).alias("text")), F.lit(""), F.lit(None).cast("string"), F.col("n").cast("string"))
-    csv, docx = _parsed(taken, "csv"), _parsed(taken, "docx")
+    csv, docx = (materialize(_parsed(taken, kind), kind) for kind in ("csv", "docx"))
     rows = csv.where("reason is null").select("doc_id", F.lit("CSV row").alias("path"), "text", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), "row", F.lit(None).cast("string").alias("section"), F.concat(F.lit("row-"), "row").alias("suffix"))
     pages = taken.where("format = 'html'").select("doc_id", decoded(F.col("content")).alias("html")).unionByName(docx.where("reason is null").select("doc_id", F.col("text").alias("html")))
-    made = _named(plain).unionByName(_named(rows)).unionByName(html_blocks(pages))
+    made = materialize(_named(plain).unionByName(_named(rows)).unionByName(html_blocks(pages)), "blocks")
     kept, odd = B.quarantine(made, "doc_id")
     failed = csv.unionByName(docx).where("reason is not null").select("doc_id", "reason").unionByName(odd.select("doc_id", "reason"))
     refused = judged.where("reason is not null").select("name", "reason").unionByName(failed.join(documents, "doc_id").select("name", "reason"))
