@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, near-duplicates, benchmark leaks, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the
-next one's docs. Filtering stages return the documents that they keep with all columns.
+next one's docs. Filtering stages return the documents that they keep with all columns, whatever these are called, and an empty table for an empty one.
 """
 
 from __future__ import annotations
@@ -21,18 +21,22 @@ from provenir.storage import materialize, read_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules. A null, empty or short text (under 50 words) fails them; doc_id isn't looked at, so repeated and null ones are judged row by row."""
     return keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least doc_id of each group of near-duplicates (five words, 0.8). Texts without words and rows without a doc_id are alike with nothing and stay; of rows with one doc_id that of the least text stays."""
     return drop_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item. A null or empty text holds none and stays; repeated rows are judged alike; without items all stay."""
     return drop_leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, entities in their texts replaced, and n_chars, where there is one, set to the new length. A null text stays null; equal values get equal surrogates in all rows."""
     out = surrogate_text(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -40,6 +44,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens. A null text is an empty document (its end id); rows with one doc_id are documents of their own; an empty table has no piece."""
     return pack(docs, WORD_BPE)
 
 
