@@ -251,7 +251,7 @@ PATHS_SQL = """e AS (SELECT pos, source AS u, target AS v FROM rel UNION ALL SEL
 def relation_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rel = D.relations(spark, sf_dir).where("status = 'accepted'")
     s, r = read_table(spark, sf_dir, "supplier"), read_table(spark, sf_dir, "region")
-    pairs = s.join(F.broadcast(r)).select(F.lit(0).alias("question"), F.concat(F.lit("s"), "s_suppkey").alias("source"), F.concat(F.lit("r"), "r_regionkey").alias("target"))
+    pairs = s.join(r).select(F.lit(0).alias("question"), F.concat(F.lit("s"), "s_suppkey").alias("source"), F.concat(F.lit("r"), "r_regionkey").alias("target"))
     return G.shortest_paths(pairs, rel).select("source", "target", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
@@ -261,7 +261,7 @@ def relation_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     rel = _edges(spark, sf_dir).where("resolved").select((F.col("pos") * 10 + F.col("link_pos")).alias("pos"), "source", "target")
     n, s = read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "supplier")
-    pairs = s.join(F.broadcast(n)).select(F.lit(0).alias("question"), F.concat(F.lit("n"), "n_nationkey").alias("source"), F.concat(F.lit("s"), "s_suppkey").alias("target"))
+    pairs = s.join(n).select(F.lit(0).alias("question"), F.concat(F.lit("n"), "n_nationkey").alias("source"), F.concat(F.lit("s"), "s_suppkey").alias("target"))
     return G.shortest_paths(pairs, rel).select("source", "target", F.size("path").cast("long").alias("hops"))
 
 
@@ -522,7 +522,7 @@ def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {ANCHOR_SQL}, {D.SENTENCES_SQL} SELECT question_id, count(*) AS n_blocks, sum(block_id)::BIGINT AS checksum FROM route, sentences WHERE mode = 'temporal' AND list_bool_or(list_transform(regexp_extract_all(text, '\\b(?:19|20)\\d\\d\\b', 0), lambda y: (from_year IS NULL OR y::INT >= from_year) AND (to_year IS NULL OR y::INT <= to_year))) GROUP BY question_id"
 )
 def temporal_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.broadcast(_routed(spark, sf_dir).where("time is not null").select("question_id", "time"))
+    q = _routed(spark, sf_dir).where("time is not null").select("question_id", "time")
     hit = _sentences(spark, sf_dir).join(q, R.block_matches(F.col("text"), None, F.col("time")))
     return hit.groupBy("question_id").agg(F.count("*").alias("n_blocks"), F.sum("block_id").alias("checksum"))
 
@@ -533,7 +533,7 @@ _YEARS_SQL = """ry AS (SELECT *, coalesce(regexp_extract(coalesce(valid_from, ''
 
 @query(f"WITH {ANCHOR_SQL}, {D.RELATIONS_SQL}, {_YEARS_SQL} SELECT question_id, id FROM route, rv WHERE mode = 'temporal' AND (from_year IS NULL OR e >= from_year) AND (to_year IS NULL OR b <= to_year)")
 def relation_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.broadcast(_routed(spark, sf_dir).where("time is not null").select("question_id", "time"))
+    q = _routed(spark, sf_dir).where("time is not null").select("question_id", "time")
     rel = D.relations(spark, sf_dir)
     return rel.join(q).where(R.relation_matches(rel, F.col("time"))).select("question_id", "id")
 

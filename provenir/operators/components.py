@@ -2,7 +2,7 @@
 
 A large-star step hangs every larger neighbour of a vertex on the least vertex in its neighbourhood, a small-star
 step every smaller one. Minima are aggregated before the exchange and nothing collects a neighbourhood, so a hub costs
-no more than its edges. Each round is written to the shared folder, which cuts the lineage.
+no more than its edges. Each round is written to the shared folder, which cuts the lineage, and the one before is deleted.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         stars = current.groupBy("a").count().where("count > 1").limit(1).isEmpty() and current.join(current.select(F.col("a").alias("b")), "b", "left_semi").limit(1).isEmpty()
         if stars:  # every vertex hangs on one that hangs on none
             break
-        current = materialize(_star(_star(current, True), False), "cc")
+        before, current = current, materialize(_star(_star(current, True), False), "cc")
+        discard(before)
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return current.select(F.col("a").alias("vertex"), F.col("b").alias("component")).unionByName(current.select(F.col("b").alias("vertex"), F.col("b").alias("component")).distinct())

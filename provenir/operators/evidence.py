@@ -28,7 +28,7 @@ def evidence_query(questions: DataFrame, blocks: DataFrame, entities: DataFrame,
     timed = routed.where("time is not null").select("question_id", "time")
     plain = routed.where("time is null")
     every = plain.select("question_id", F.lit("all").alias("scope"), "question").unionByName(routed.where("time is not null").select("question_id", F.to_json("time").alias("scope"), "question"))
-    times = F.broadcast(timed.select(F.to_json("time").alias("scope"), "time").dropDuplicates(["scope"]))  # one row for each time asked for
+    times = timed.select(F.to_json("time").alias("scope"), "time").dropDuplicates(["scope"])  # one row for each time asked for
     eligible = blocks.select(F.lit("all").alias("scope"), "block_id", F.col("text").alias("body")).unionByName(
         blocks.join(times, R.block_matches(F.col("text"), None, F.col("time"))).select("scope", "block_id", F.col("text").alias("body"))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import body, first_year, links, normalize
-from ..storage import materialize
+from ..storage import discard, materialize
 from .components import connected_components
 
 
@@ -139,7 +139,8 @@ def swept(starts: DataFrame, relations: DataFrame, sweeps: int = 2) -> DataFrame
         changed = materialize(better, "swept")
         if changed.isEmpty():
             return state
-        state = materialize(state.join(changed, ["question_id", "id"], "left_anti").unionByName(changed), "swept")
+        before, state = state, materialize(state.join(changed, ["question_id", "id"], "left_anti").unionByName(changed), "swept")
+        discard(before)
 
 
 def graph_rank(questions: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:

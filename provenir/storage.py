@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_paths: dict[int, tuple[weakref.ref, str]] = {}  # where materialize wrote a DataFrame
 _own: dict[str, str] = {}  # by application, where spark.checkpoint.dir is unset
 
 
@@ -36,7 +38,19 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    _paths[id(written)] = weakref.ref(written), path
+    return written
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that ``materialize`` wrote, of a round that nothing reads any more; other tables stay as they are."""
+    written, path = _paths.pop(id(df), (None, ""))
+    if written is None or written() is not df:
+        return
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
