@@ -1,6 +1,7 @@
 """Operators do the whole job: cases that an earlier form left out."""
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 
 from provenir.llm import op1_surrogates as P1
-from provenir.llm import op7_language, op8_cgk, op9_suffixes
+from provenir.llm import op6_repetition, op7_language, op8_cgk, op9_suffixes
 from provenir.llm.chunked import distinct, split
 from provenir.llm.offsets import exclusive_sums
 from provenir.llm.op2_orc import read_tokens, token_index, write_tokens
@@ -268,3 +269,28 @@ def test_leaks_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(op8_cgk, "BLOCK_BYTES", 200)
     assert read() == want and sorted(repr(x.doc_id) for x in op8_cgk.drop_leaks(table, bench).collect()) == clean
     assert op8_cgk.drop_leaks(table, bench).columns == table.columns
+
+
+# --- 6 ---
+
+
+def test_base_measures_against_plain_python(spark):
+    r = random.Random(11)
+    bits = ["alpha", "beta", "é😀", "#*", "a|b", "<x>", " ", "  ", "\n", "\n\n", "\t", "\x0b", " ", "\x85", "$%&", "the cat sat", "\r\n"]
+    rows = [(i, " ".join(r.choice(bits) for _ in range(r.randrange(120)))) for i in range(150)] + [(900, None), (901, ""), (902, "a b c " * 40), (903, "x\n \nx\nx \n")]
+    got = {x.doc_id: (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed) for x in op6_repetition.quality_rules(docs(spark, [(*x, "s") for x in rows])).collect()}
+    for i, t in rows:
+        t = t or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        windows = Counter(zip(words, words[1:], words[2:], strict=False))
+        repeated = set()
+        for a in range(len(words) - 2):
+            if windows[tuple(words[a : a + 3])] > 1:
+                repeated |= {a, a + 1, a + 2}
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                dup += line in seen
+                seen.add(line)
+        n = len(words)
+        assert got[i] == (n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(repeated), n < 50 or 100 * len(repeated) > 50 * n)
