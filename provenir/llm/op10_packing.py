@@ -11,6 +11,10 @@ piece goes without walking the rounds before it or knowing the other queues; a q
 for each split on its path. A queue's leaf is the middle of its stretch in the running sum of all totals, so that the path of a
 queue is about as long as the logarithm of one over its share. Totals and paths are tables; only the number of all tokens goes to the driver.
 
+Other target proportions can be given for some sources (``mixture``); the others share what is left of the whole by their totals. Windows hold these proportions until a
+source runs dry; from there on what is left of the others does, in theirs. Such a phase is a stream of its own with its own tree over the named sources and the rest,
+and a queue's place follows from the phases before.
+
 Defined results: null text is an empty document (just the end id); null source is a queue of its own;
 repeated doc_ids are documents of their own; an empty table packs nothing.
 """
@@ -73,6 +77,22 @@ def parsed(path: str) -> list[tuple[int, int, bool]]:
     return [(int(t), int(left), side == "1") for t, left, side in (x.split(":") for x in path.split())]
 
 
+def walk(path: list[tuple[int, int, bool]], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the first n tokens that the root of a path hands out, how many go to its leaf and how many to those before it."""
+    before = np.zeros_like(n)
+    for total, left, right in path:
+        some = scaled(n, left, total)
+        n, before = (n - some, before + some) if right else (some, before)
+    return n, before
+
+
+def climb(path: list[tuple[int, int, bool]], token: np.ndarray) -> np.ndarray:
+    """Which of the root's tokens a leaf's tokens are."""
+    for total, left, right in reversed(path):
+        token = scaled(token, total, total - left) if right else scaled(token + 1, total, left, -1)
+    return token
+
+
 class Queue:
     """Where the tokens of a queue go; path: total, total of the left side, and whether the queue is on the right, from the root on."""
 
@@ -81,16 +101,10 @@ class Queue:
 
     def given(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the first n tokens of the stream, how many are of this queue and how many of those before it."""
-        before = np.zeros_like(n)
-        for total, left, right in self.path:
-            some = scaled(n, left, total)
-            n, before = (n - some, before + some) if right else (some, before)
-        return n, before
+        return walk(self.path, n)
 
     def round_of(self, token: np.ndarray) -> np.ndarray:
-        for total, left, right in reversed(self.path):
-            token = scaled(token, total, total - left) if right else scaled(token + 1, total, left, -1)
-        return token // self.window
+        return climb(self.path, token) // self.window
 
     def rounds(self, first: int, count: int) -> Iterator[np.ndarray]:
         """The rounds that hand out one of the tokens [first, first + count), in blocks: at most ``count``, whatever lies between."""
@@ -136,6 +150,65 @@ class Queue:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+#: of one phase: its tokens, those of the queue's group, and the group's path
+Phase = tuple[int, int, list[tuple[int, int, bool]]]
+
+
+class Phased(Queue):
+    """A queue of a group whose share of the stream changes from phase to phase; path leads from the group to the queue."""
+
+    def __init__(self, phases: list[Phase], path: list[tuple[int, int, bool]], every: int, window: int):
+        super().__init__(path, every, window)
+        self.phases = phases
+        self.starts, self.owns = (np.cumsum([0] + [p[i] for p in phases])[:-1] for i in (0, 1))
+
+    def given(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own, before = np.zeros_like(n), np.zeros_like(n)
+        for (total, _, path), start in zip(self.phases, self.starts.tolist(), strict=True):
+            a, b = walk(path, np.clip(n - start, 0, total))
+            own, before = own + a, before + b
+        inner, earlier = walk(self.path, own)
+        return inner, before + earlier
+
+    def round_of(self, token: np.ndarray) -> np.ndarray:
+        token = climb(self.path, token)
+        of = np.searchsorted(self.owns, token, side="right") - 1  # of phases that begin with the same token the last, which has it
+        out = np.zeros_like(token)
+        for k in np.unique(of).tolist():
+            some = of == k
+            out[some] = self.starts[k] + climb(self.phases[k][2], token[some] - self.owns[k])
+        return out // self.window
+
+
+def phases_of(totals: list[int], weights: list[float]) -> list[list[int]]:
+    """Tokens of each group in each phase: in proportion to the weights of the groups that are left, until one of them runs dry."""
+    left, out = list(totals), []
+    while any(left):
+        live = [i for i, n in enumerate(left) if n]
+        share = [weights[i] for i in live]
+        if not any(share):
+            share = [left[i] for i in live]
+        x, dry = min((left[i] / w, i) for i, w in zip(live, share, strict=True) if w > 0)
+        now = [0] * len(left)
+        for i, w in zip(live, share, strict=True):
+            now[i] = left[i] if i == dry else min(left[i], int(w * x))
+        left = [a - b for a, b in zip(left, now, strict=True)]
+        out.append(now)
+    return out
+
+
+def group_path(sizes: list[int], at: int) -> list[tuple[int, int, bool]]:
+    """The path to a group in a tree over all groups, in their order."""
+    low, high, out = 0, len(sizes), []
+    while high - low > 1:
+        middle = (low + high) // 2
+        total, left = sum(sizes[low:high]), sum(sizes[low:middle])
+        if left > 0 if at >= middle else left < total:  # else the group's side has all
+            out.append((total, left, at >= middle))
+        low, high = (middle, high) if at >= middle else (low, middle)
+    return out
+
+
 def paths(totals: DataFrame, every: int) -> DataFrame:
     """queue, path of totals(queue, n), every being the sum of n."""
     middle = exclusive_sums(totals.withColumns({"_all": F.lit(0), "_at": F.xxhash64("queue")}), "_all", ["_at", "queue"], "n", "before")
@@ -148,15 +221,35 @@ def paths(totals: DataFrame, every: int) -> DataFrame:
     return materialize(middle.select("queue").join(found, "queue", "left").select("queue", F.coalesce(F.concat_ws(" ", F.col("_p.step")), F.lit("")).alias("path")), "paths")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """One row for each piece; a piece lies in one sequence and is never empty."""
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, mixture: dict[str, float] | None = None) -> DataFrame:
+    """One row for each piece; a piece lies in one sequence and is never empty. mixture: the target proportions of some sources, 1 in all at most."""
     tokens = materialize(tokenize(docs, tokenizer_path, end_id), "tokens")
     small = tokens.select("row", "doc_id", "source", "doc_tokens")
     small = small.withColumn("queue", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
     totals = materialize(small.groupBy("queue").agg(F.sum("doc_tokens").alias("n")), "totals")
     every = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     placed = exclusive_sums(small, "queue", ["doc_id", "row"], "doc_tokens", "first").select("row", "queue", "first")
-    placed = placed.join(paths(totals, every), "queue").select("row", "path", "first")
+    groups_: list[list[Phase]] = []  # of the named sources in order, then of the rest
+    if mixture:
+        if min(mixture.values()) < 0 or sum(mixture.values()) > 1 + 1e-9:
+            raise ValueError("proportions are 0 or more, and 1 in all at most")
+        names = [f"={s}" for s in sorted(mixture)]
+        known = {r.queue: r.n for r in totals.where(F.col("queue").isin(names)).collect()}
+        sizes = [known.get(x, 0) for x in names]
+        steps = phases_of([*sizes, every - sum(sizes)], [*(mixture[s] for s in sorted(mixture)), max(0.0, 1 - sum(mixture.values()))])
+        groups_ = [[(sum(now), now[i], group_path(now, i)) for now in steps] for i in range(len(names) + 1)]
+        rest = totals.where(~F.col("queue").isin(names))
+        named = docs.sparkSession.createDataFrame([(x, f"{i}|") for i, x in enumerate(names)], "queue string, path string")
+        where = paths(rest, every - sum(sizes)).withColumn("path", F.concat(F.lit(f"{len(names)}|"), "path")).unionByName(named)
+    else:
+        where = paths(totals, every)
+    placed = placed.join(where, "queue").select("row", "path", "first")
+
+    def queue_of(path: str) -> Queue:
+        if not groups_:
+            return Queue(parsed(path), every, window)
+        group, inner = path.split("|")
+        return Phased(groups_[int(group)], parsed(inner), every, window)
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -169,8 +262,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
                 of, found = np.asarray(coded.indices), []
                 for k, path in enumerate(coded.dictionary.to_pylist()):
                     own = np.flatnonzero(of == k)
-                    doc, *rest = Queue(parsed(path), every, window).pieces(first[own], count[own])
-                    found.append((own[doc], *rest))
+                    doc, *other = queue_of(path).pieces(first[own], count[own])
+                    found.append((own[doc], *other))
                 doc, start, length, place = (np.concatenate(x) for x in zip(*found, strict=True))
                 at = (np.cumsum(count) - count)[doc] + start
                 crcs = [zlib.crc32(wide[x:y]) for x, y in zip(at.tolist(), (at + length).tolist(), strict=True)]

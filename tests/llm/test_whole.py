@@ -15,7 +15,7 @@ from provenir.llm.offsets import exclusive_sums
 from provenir.llm.op2_orc import read_tokens, token_index, write_tokens
 from provenir.llm.op3_linkgraph import judge_urls
 from provenir.llm.op4_windows import windows_query
-from provenir.llm.op10_packing import Queue, pack, scaled
+from provenir.llm.op10_packing import Queue, group_path, pack, phases_of, scaled, walk
 from provenir.llm.queries import BYTE_BPE, WORD_BPE
 
 
@@ -57,6 +57,40 @@ def test_packing_of_300_sources_holds_the_mixture_of_each(spark):
     assert [p for p, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1].tolist()]
 
 
+def test_packing_to_target_proportions_until_a_source_runs_dry(spark):
+    line = "the cat sat on a mat and looked at the dog "
+    rows = [(i, line * (1 + i % 7), "a" if i % 10 < 6 else "b" if i % 10 < 9 else f"c{i % 3}") for i in range(2500)]
+    got = pack(docs(spark, rows), WORD_BPE, mixture={"a": 0.2, "b": 0.5, "absent": 0.1}).collect()
+    mix, of = {}, {}
+    for x in got:
+        mix.setdefault(x.sequence_id, Counter())[x.source[0]] += x.length
+        of.setdefault(x.doc_id, []).append((x.start, x.length))
+    parts = sorted((x.sequence_id * 2048 + x.offset, x.length) for x in got)
+    assert [p for p, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1].tolist()]
+    assert len(of) == len(rows)
+    for pieces in of.values():
+        pieces.sort()
+        assert [s for s, _ in pieces] == [0, *np.cumsum([n for _, n in pieces])[:-1].tolist()]
+    share = {"a": 0.2 / 0.9, "b": 0.5 / 0.9, "c": 0.2 / 0.9}
+    full = [q for q in sorted(mix) if sum(mix[q].values()) == 2048]
+    dry = next(q for q in full if any(abs(mix[q][s] - 2048 * v) > 5 for s, v in share.items()))
+    assert dry > 10 and full[-1] - dry > 10 and min(mix[full[-1]][s] for s in "abc") == 0
+    total = Counter()
+    for m in mix.values():
+        total += m
+    assert min(total[s] / (sum(mix[q][s] for q in range(dry)) + 1) for s in "abc") < 1.1  # one is all but used up where the proportions end
+
+
+def test_phases():
+    assert phases_of([100, 30, 10], [0.5, 0.5, 0.0]) == [[30, 30, 0], [70, 0, 0], [0, 0, 10]]
+    assert phases_of([0, 0], [0.5, 0.5]) == [] and phases_of([5, 7], [0.0, 0.0]) == [[5, 7]]
+    sizes = [3, 0, 4, 1]
+    given = [walk(group_path(sizes, i), np.arange(9)) for i in (0, 2, 3)]
+    assert [g[0][-1] for g in given] == [3, 4, 1] and (sum(g[0] for g in given) == np.arange(9)).all()
+    assert walk(group_path(sizes, 1), np.arange(9))[0].sum() == 0
+    assert (given[1][1] == given[0][0]).all() and (given[2][1] == given[0][0] + given[1][0]).all()
+
+
 def test_a_rare_source_beside_a_hot_one_costs_its_own_tokens_only():
     every, rare = 7_000_000_000, 5
     queue = Queue([(every, every // 3, True), (every - every // 3, rare, False)], every, 2048)
