@@ -80,6 +80,11 @@ PATTERN = "|".join(PATTERNS.values())
 GATE = rf"[0-9@]|{_TITLE}[. ]|[0-9a-fA-F]{{32}}|{_CUE} |{PATTERNS['known']}"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that it reads many times: computed once, and once in the plan."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def entities(text: Column) -> Column:
     """Entities of a text in order, as they stand there."""
     return F.when(text.rlike(GATE), F.regexp_extract_all(text, F.lit(PATTERN), 0)).otherwise(F.array().cast("array<string>"))
@@ -118,10 +123,12 @@ def _person(e: Column) -> tuple[Column, Column, Column]:
 
 def units(e: Column) -> Column:
     """What of an entity gets a surrogate: an array of kind and normalised value, one for each, two for a full name."""
-    kind = kind_of(e)
+    return let(F.struct(kind_of(e).alias("kind"), *[c.alias(n) for n, c in zip(("head", "given", "surname"), _person(e), strict=True)]), lambda x: _units(e, x["kind"], x["head"], x["given"], x["surname"]))
+
+
+def _units(e: Column, kind: Column, head: Column, given: Column, surname: Column) -> Column:
     digits = F.regexp_replace(e, r"\D", "")
     norm = F.when(kind.isin("email", "secret", "hex"), F.lower(e)).when(kind == "phone", F.right(digits, F.lit(10))).when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.regexp_replace(e, " ", "")).otherwise(e)
-    head, given, surname = _person(e)
     gender = _gender(F.regexp_extract(head, r"^(\p{L}+)", 1), given)
     unit = lambda k, v: F.struct(k.alias("kind"), v.alias("norm"))
     last = unit(F.concat(F.lit("surname."), _script(surname)), F.lower(surname))
@@ -171,9 +178,12 @@ def _mod97(account: Column) -> Column:
 
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """The normalised surrogate of a unit."""
-    hex_ = F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), norm), 256)
-    digits = F.translate(hex_, "abcdef", "270583")
-    letters = F.translate(hex_, "0123456789abcdef", "etaoinshrdlumcfg")
+    made = lambda x: F.struct(x["a"].alias("a"), F.sha2(F.concat_ws("|", F.lit(key), kind, x["a"].cast("string"), norm), 256).alias("hex"))
+    more = lambda x: F.struct(x["a"].alias("a"), x["hex"].alias("hex"), F.translate(x["hex"], "abcdef", "270583").alias("digits"), F.translate(x["hex"], "0123456789abcdef", "etaoinshrdlumcfg").alias("letters"))
+    return let(let(let(F.struct(attempt.alias("a")), made), more), lambda x: _surrogate(kind, norm, x["a"], x["hex"], x["digits"], x["letters"]))
+
+
+def _surrogate(kind: Column, norm: Column, attempt: Column, hex_: Column, digits: Column, letters: Column) -> Column:
     n = F.length(norm)
     further = F.when(attempt > DENSE, F.substr(digits, F.lit(41), F.least(attempt - DENSE, F.lit(24)))).otherwise("")
     phone = F.concat(F.translate(F.substr(digits, F.lit(1), F.lit(1)), "01", "57"), F.substr(digits, F.lit(2), n - 1))
@@ -187,9 +197,9 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     email = F.concat(woven(local), F.lit("@mail"), number, F.lit(".example."), tld)
     prefix = F.regexp_extract(norm, "^(akia|gh[pousr]_|sk-)", 1)
     secret = F.concat(prefix, woven(F.substr(norm, F.length(prefix) + 1)))
-    land, account = F.substr(norm, F.lit(1), F.lit(2)), woven(F.substr(norm, F.lit(5)))
-    right = F.lpad((98 - _mod97(F.concat(land, F.lit("00"), account))).cast("string"), 2, "0")
-    iban = F.concat(land, F.when(_mod97(norm) == 1, right).otherwise(F.substr(digits, F.lit(38), F.lit(2))), account)
+    land = F.substr(norm, F.lit(1), F.lit(2))
+    right = lambda account: F.lpad((98 - _mod97(F.concat(land, F.lit("00"), account))).cast("string"), 2, "0")
+    iban = let(woven(F.substr(norm, F.lit(5))), lambda a: F.concat(land, F.when(_mod97(norm) == 1, right(a)).otherwise(F.substr(digits, F.lit(38), F.lit(2))), a))
     ip = F.concat_ws(".", octet(1, 223, 1), octet(7, 256, 0), octet(13, 256, 0), octet(19, 254, 1))
     out = (
         F.when(kind == "email", email)
@@ -226,9 +236,11 @@ def render(e: Column, attempts: Attempts | None, key: str) -> Column:
         attempt = F.lit(0) if attempts is None else attempts(name)
         return surrogate(u["kind"], u["norm"], attempt, key)
 
-    new = F.transform(found, made)
-    kind = kind_of(e)
-    head, given, surname = _person(e)
+    parts = F.struct(F.transform(found, made).alias("new"), kind_of(e).alias("kind"), *[c.alias(n) for n, c in zip(("head", "given", "surname"), _person(e), strict=True)])
+    return let(parts, lambda x: _laid_out(e, x["new"], x["kind"], x["head"], x["given"], x["surname"]))
+
+
+def _laid_out(e: Column, new: Column, kind: Column, head: Column, given: Column, surname: Column) -> Column:
     name = F.concat(head, F.when(given == "", F.lit("")).otherwise(F.concat(_cased(new[0], given), F.lit(" "))), _cased(F.element_at(new, -1), surname))
     hex_ = F.when(e.rlike("[A-F]") & ~e.rlike("[a-f]"), F.upper(new[0])).otherwise(new[0])
     # digits in the entity's layout, behind a phone number's country code; what an attempt beyond DENSE added comes last
