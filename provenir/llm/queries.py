@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import read_table
-from . import op3_linkgraph
+from . import op3_linkgraph, op12_divergence
 from .op1_surrogates import surrogate_query
 from .op2_orc import orc_query
 from .op4_windows import windows_query
@@ -18,6 +18,7 @@ from .op7_language import language_query
 from .op8_cgk import find_leaks
 from .op9_suffixes import suffix_query
 from .op10_packing import pack
+from .op11_speculative import bpe_query
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -63,6 +64,14 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op11_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_query(read_table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,7 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_benchmark_leaks,
         op9_suffix_dedup,
         op10_mixture_packing,
+        op11_speculative_bpe,
+        op12_source_divergence,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_link_graph": op3_linkgraph.oracle()}
+ORACLE_SQL: dict[str, str] = {"op3_link_graph": op3_linkgraph.oracle(), "op12_source_divergence": op12_divergence.oracle()}
