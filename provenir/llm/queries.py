@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import read_table
-from . import op3_linkgraph, op12_divergence
+from . import op3_linkgraph, op12_divergence, op13_trie
 from .op1_surrogates import surrogate_query
 from .op2_orc import orc_query
 from .op4_windows import windows_query
@@ -72,6 +72,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_divergence.audit(read_table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_trie.trie_query(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -87,7 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_mixture_packing,
         op11_speculative_bpe,
         op12_source_divergence,
+        op13_prefix_trie,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_link_graph": op3_linkgraph.oracle(), "op12_source_divergence": op12_divergence.oracle()}
+ORACLE_SQL: dict[str, str] = {"op3_link_graph": op3_linkgraph.oracle(), "op12_source_divergence": op12_divergence.oracle(), "op13_prefix_trie": op13_trie.oracle()}
