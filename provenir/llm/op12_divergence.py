@@ -74,7 +74,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield from _merged(held).to_batches()
 
-    counted = docs.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    given = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
+    counted = given.mapInArrow(run, "lang string, source string, term string, n long, docs long")
     whole = counted.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     w = Window.partitionBy("lang", "term")
     return whole.select("lang", "source", "term", "n", "docs", F.sum("n").over(w).alias("lang_n"), F.sum("docs").over(w).alias("lang_docs"))
@@ -192,9 +193,8 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, block_terms: int = BLOCK_TE
     Null text, lang and source count as ''; ties in value go by the item's UTF-8 bytes; repeated rows count each. A language that keeps no term has its pairs with
     value 0; a language of one source has no pairs; an empty table has no rows. Only text, lang and source are read. There is a row for each ordered pair of a language's sources: that is the report.
     """
-    given = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
-    kept = materialize(term_counts(given).where(F.col("lang_docs") >= min_docs), "terms")
-    occurring = given.select("lang", "source").distinct()
+    kept = materialize(term_counts(docs).where(F.col("lang_docs") >= min_docs), "terms")
+    occurring = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
     per_source = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     sources = occurring.join(per_source, ["lang", "source"], "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"))
     once = kept.groupBy("lang", "term").agg(F.first("lang_n").alias("lang_n"))
