@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encode import MEMORY, Encoder
+from .encode import Encoder
 from .text import groups, spread, strings
 
-GROUP_CHARS = 1 << 21
+GROUP_CHARS = 1 << 19  # of text, or ids, handled together
+PIECES = 1 << 20  # remembered in a worker
 NEVER = np.int64(1) << 40
 SHORT = 64  # symbols of a word that is merged together with others
 # How byte-level vocabularies write bytes. Printable ones stand for themselves, the rest follow from U+0100 on.
@@ -215,7 +216,7 @@ class Merges:
 class Speculative(Encoder):
     """An encoder of whole texts whose new pieces are guessed, checked and, where they fail, merged here; the library normalises and splits."""
 
-    def __init__(self, path: str, memory: int = MEMORY):
+    def __init__(self, path: str, memory: int = PIECES):
         import json
 
         super().__init__(path, memory, word_ends=True)
@@ -276,17 +277,20 @@ class Speculative(Encoder):
             out.append(b"".join(ids))
         return out
 
-    @property
-    def written(self) -> list[bytes]:
-        """What each id is written as."""
-        if "_written" not in self.__dict__:
-            known = {i: t for t, i in self.tokenizer.get_vocab().items()}
-            self._written = [known.get(i, "").encode() for i in range(max(known) + 1)]
-        return self._written
+
+class Decoder:
+    """From ids to text, as the library does it: a vocabulary without a decoder of its own joins its tokens by spaces. Special tokens stay."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer if tokenizer.decoder is not None else None
+        known = {i: t for t, i in tokenizer.get_vocab().items()}
+        self.written = [known.get(i, "").encode() for i in range(max(known) + 1)]
 
     def decode(self, ids: list[int]) -> str:
-        """As the library does: a vocabulary without a decoder of its own joins its tokens by spaces. Special tokens stay."""
-        if self.tokenizer.decoder is not None:
+        if self.tokenizer is not None:
             return self.tokenizer.decode(ids, skip_special_tokens=False)
         return b" ".join(map(self.written.__getitem__, ids)).decode()
 
@@ -297,6 +301,11 @@ def speculative(path: str) -> Speculative:
     return Speculative(path)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def encode_texts(docs: DataFrame, path: str, out: str = "token_ids") -> DataFrame:
     """docs with ``out``, the ids of each whole text, in place of a column of that name. A null text has the ids of an empty one: none. Repeated rows, and rows without an id, are encoded each; an empty table stays empty."""
     docs = docs.drop(out)
@@ -322,7 +331,7 @@ def decode_ids(rows: DataFrame, path: str, ids: str = "token_ids", out: str = "d
     at = rows.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = speculative(path).decode
+        decode = decoder(path).decode
         for batch in batches:
             lists = batch.column(at)
             cuts, values = np.asarray(lists.offsets), np.asarray(lists.values)
