@@ -48,7 +48,8 @@ def test_guessed_and_merged_words_are_the_librarys(library):
     got = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)]
     assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert 0 < encoder.merged < encoder.guessed
-    assert [Decoder(WORD_BPE).decode(x) for x in got] == [library.decode(x, skip_special_tokens=False) for x in got]
+    decode = Decoder(WORD_BPE).decode
+    assert [decode(x) for x in got] == [library.decode(x, skip_special_tokens=False) for x in got]
 
 
 def test_pairs_stay_apart_exactly_where_merging_leaves_them(library):
