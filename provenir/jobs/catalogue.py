@@ -790,13 +790,43 @@ def index_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.plan_index(blocks, kept.unionByName(dead), "m", "1")
 
 
+LINKS_SQL = """v AS (SELECT embedding::DOUBLE[] AS v, min(vec_id) AS class_id, count(*) AS class_size FROM embeddings WHERE embedding IS NOT NULL GROUP BY 1), p AS (SELECT a.class_id AS a, b.class_id AS b, b.class_size AS size_b, a.class_size AS size_a, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS score FROM v a JOIN v b ON a.class_id < b.class_id)"""
+LINK_THRESHOLD = 0.5  # the least that the operator takes
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ident"), F.col("embedding").alias("vector"))
+
+
+@query(f"WITH {LINKS_SQL} SELECT a, b, score FROM p WHERE score >= {LINK_THRESHOLD}")
+def semantic_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.semantic_links(_vectors(spark, sf_dir), threshold=LINK_THRESHOLD, recall=0.999)
+
+
 @query(
-    """WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings ORDER BY label, vec_id LIMIT 250), p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS score FROM s a JOIN s b ON a.vec_id < b.vec_id) SELECT * FROM p WHERE score >= 0.5"""
+    f"""WITH {LINKS_SQL}, n AS (SELECT class_id, sum(n) AS n FROM (SELECT a AS class_id, size_b AS n FROM p WHERE score >= {LINK_THRESHOLD} UNION ALL SELECT b, size_a FROM p WHERE score >= {LINK_THRESHOLD}) GROUP BY class_id)
+ SELECT e.vec_id AS ident, v.class_id, v.class_size, (coalesce(n.n, 0) + v.class_size - 1)::BIGINT AS n_links FROM embeddings e JOIN v ON e.embedding::DOUBLE[] = v.v LEFT JOIN n USING (class_id)"""
 )
-def semantic_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read_table(spark, sf_dir, "embeddings")
-    return S.semantic_links(e.select(F.col("vec_id").alias("ident"), F.col("label").alias("rank"), F.col("embedding").alias("vector")), threshold=0.5)
+def semantic_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.link_counts(_vectors(spark, sf_dir), threshold=LINK_THRESHOLD, recall=0.999)
+
 
+@query(
+    f"""WITH e AS (SELECT 'v' || vec_id AS id, embedding::DOUBLE[] AS v, CASE WHEN vec_id % 3 = 0 THEN ['b' || label, 'x' || vec_id] ELSE ['b' || label] END AS evidence, vec_id % 5 = 0 AS pinned FROM embeddings WHERE vec_id % 7 > 0 AND vec_id % 11 > 0),
+ l AS (SELECT a.id AS a, b.id AS b, a.evidence AS ea, b.evidence AS eb, (a.pinned AND NOT b.pinned) OR (a.pinned = b.pinned AND len(a.evidence) >= len(b.evidence)) AS ahead, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS score FROM e a JOIN e b ON a.id < b.id)
+ SELECT 'semantic::' || a || '::' || b || '::m' AS id, score, array_to_string(CASE WHEN ahead THEN list_concat(ea, list_filter(eb, lambda x: NOT list_contains(ea, x))) ELSE list_concat(eb, list_filter(ea, lambda x: NOT list_contains(eb, x))) END, ',') AS evidence,
+ CASE WHEN substr(a, 2)::INT % 2 = 0 THEN 'rejected' ELSE 'pending' END AS status FROM l WHERE score >= {LINK_THRESHOLD}"""
+)
+def semantic_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read_table(spark, sf_dir, "embeddings").selectExpr(
+        "concat('v', vec_id) id", "if(vec_id % 7 = 0, 'pending', 'accepted') status", "if(vec_id % 11 = 0, 'v1', null) merged_into", "vec_id % 5 = 0 pinned", "if(vec_id % 3 = 0, array(concat('b', label), concat('x', vec_id)), array(concat('b', label))) evidence", "embedding vector"
+    )
+    none = spark.createDataFrame([], "id string, version string, status string")
+    first = S.suggest_links(e, none, "m", "1", LINK_THRESHOLD, 0.999)
+    # reviewed, and then suggested again: sources of even number were rejected under this version, the others accepted under an older one
+    even = F.substring("source", 2, 20).cast("int") % 2 == 0
+    reviewed = first.select("id", F.when(even, "1").otherwise("0").alias("version"), F.when(even, "rejected").otherwise("accepted").alias("status"))
+    return S.suggest_links(e, reviewed, "m", "1", LINK_THRESHOLD, 0.999).select("id", "score", F.array_join("evidence", ",").alias("evidence"), "status")
 
 
 def _evidence_sql() -> str:
