@@ -16,6 +16,7 @@ from ..operators import imports as I
 from ..operators import reasoning as R
 from ..operators import retrieval as V
 from ..operators import review as RV
+from ..operators import review_log as RL
 from ..operators import semantic as S
 from ..operators import verify as VF
 from ..operators import workspace as W
@@ -747,6 +748,64 @@ def undo_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RV.undo(after, audit, c.where("c_custkey % 4 = 0").selectExpr("c_custkey seq"))[0].select("id", "status")
 
 
+def _replayed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A log on all customers and their relations: renames, rejections, their undos, merges of neighbours, refused commands."""
+    k, step = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n")), {}
+    me, relation = "concat('c', k)", "concat('c', k, '::part-of::n', n)"
+    for i, (when, action, kind, ident, text, other, undone) in enumerate([
+        ("k % 4 = 0", "rename", "entity", me, "concat('Renamed ', k)", "null", "null"),
+        ("k % 3 = 0", "reject", "entity", me, "null", "null", "null"),
+        ("k % 6 = 0", "undo", "entity", "null", "null", "null", "10 * k + 1"),
+        ("k % 10 = 3", "merge", "entity", "concat('c', k - 1)", "null", me, "null"),
+        ("k % 20 = 3", "undo", "entity", "null", "null", "null", "10 * k + 3"),
+        ("k % 12 = 0", "undo", "entity", "null", "null", "null", "10 * k + 2"),
+        ("k % 7 = 0", "pin", "entity", me, "null", "null", "null"),
+        ("k % 5 = 0", "reject", "relation", relation, "null", "null", "null"),
+        ("k % 5 = 1", "accept", "relation", relation, "null", "null", "null"),
+    ]):
+        step[i] = k.where(when).selectExpr(f"10 * k + {i} seq", f"'{kind}' kind", f"'{action}' action", f"cast({ident} as string) id", f"cast({text} as string) text", f"cast({other} as string) other", "cast(null as array<string>) moved", "cast(null as string) valid_from", "cast(null as string) valid_to", f"cast({undone} as long) undone_seq")
+    commands = step[0]
+    for i in range(1, len(step)):
+        commands = commands.unionByName(step[i])
+    entities = D.entities(spark, sf_dir).withColumn("pinned", F.lit(False))
+    return RL.replay(entities, D.relations(spark, sf_dir).drop("pos"), commands)
+
+
+REPLAY_SQL = f"""{D.ENTITIES_SQL}, {D.RELATIONS_SQL}, k AS (SELECT c_custkey AS k, c_name, c_nationkey AS n FROM customer),
+ own AS (SELECT k, CASE WHEN k % 4 = 0 THEN 'Renamed ' || k ELSE c_name END AS name, CASE WHEN k % 4 = 0 THEN ['the ' || lower(c_name), c_name] ELSE ['the ' || lower(c_name)] END AS aliases, CASE WHEN k % 3 = 0 AND k % 6 > 0 THEN 'rejected' ELSE 'accepted' END AS status FROM k)"""
+
+
+@query(
+    f"""WITH {REPLAY_SQL} SELECT 'c' || a.k AS id, a.name, CASE WHEN a.k % 20 = 13 THEN 'rejected' ELSE a.status END AS status, CASE WHEN a.k % 20 = 13 THEN 'c' || (a.k - 1) END AS merged_into,
+ array_to_string(CASE WHEN a.k % 20 = 12 AND b.k IS NOT NULL THEN list_concat(a.aliases, [b.name], b.aliases) ELSE a.aliases END, ',') AS aliases, CASE WHEN a.k % 20 = 12 AND b.k IS NOT NULL THEN 'bc' || a.k || ',bc' || b.k ELSE 'bc' || a.k END AS evidence, a.k % 7 = 0 AS pinned
+ FROM own a LEFT JOIN own b ON b.k = a.k + 1 UNION ALL SELECT id, name, status, merged_into, array_to_string(aliases, ','), array_to_string(evidence, ','), false FROM entities WHERE id[1] <> 'c'"""
+)
+def review_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _replayed(spark, sf_dir)[0]
+    return e.select("id", "name", "status", "merged_into", F.array_join("aliases", ",").alias("aliases"), F.array_join("evidence", ",").alias("evidence"), "pinned")
+
+
+@query(
+    f"""WITH {REPLAY_SQL}, r AS (SELECT r.*, k, k.n, own.status AS st, CASE WHEN k % 5 = 0 THEN 'rejected' WHEN k % 5 = 1 AND own.status = 'accepted' THEN 'accepted' ELSE r.status END AS now FROM relations r JOIN k ON source = 'c' || k JOIN own USING (k)),
+ m AS (SELECT *, CASE WHEN k % 20 = 13 THEN k - 1 ELSE k END AS s FROM r)
+ SELECT 'c' || s || '::part-of::' || target AS id, CASE WHEN count(DISTINCT now) = 1 THEN min(now) ELSE 'pending' END AS status, max(confidence) AS confidence, len(list_distinct(flatten(list(evidence)))) AS n_evidence FROM m GROUP BY s, target
+ UNION ALL SELECT id, status, confidence, len(evidence) FROM relations WHERE source[1] <> 'c'"""
+)
+def review_replay_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replayed(spark, sf_dir)[1].select("id", "status", "confidence", F.size("evidence").cast("long").alias("n_evidence"))
+
+
+@query(
+    f"""WITH {REPLAY_SQL}, e AS (SELECT k, unnest(['rename', 'reject', 'undo', 'merge', 'undo', 'undo', 'pin']) AS action, unnest(range(7)) AS i FROM k)
+ SELECT 10 * k + i AS seq, 'entity' AS kind, action, CASE WHEN i = 5 THEN 'an undo' END AS reason FROM e WHERE CASE i WHEN 0 THEN k % 4 = 0 WHEN 1 THEN k % 3 = 0 WHEN 2 THEN k % 6 = 0 WHEN 3 THEN k % 10 = 3 WHEN 4 THEN k % 20 = 3 WHEN 5 THEN k % 12 = 0 ELSE k % 7 = 0 END
+ UNION ALL SELECT 10 * k + i, 'relation', action, NULL FROM e WHERE (i = 3 AND k % 10 = 3) OR (i = 4 AND k % 20 = 3)
+ UNION ALL SELECT 10 * k + 7, 'relation', 'reject', NULL FROM k WHERE k % 5 = 0
+ UNION ALL SELECT 10 * k + 8, 'relation', 'accept', CASE WHEN status <> 'accepted' THEN 'an end isn''t accepted' END FROM own WHERE k % 5 = 1"""
+)
+def review_replay_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replayed(spark, sf_dir)[2].select("seq", F.coalesce("kind", F.lit("entity")).alias("kind"), "action", "reason")
+
+
 @query(
     f"""WITH {EDGES_SQL}, l AS (SELECT source AS id, count(*) AS n_links FROM edges GROUP BY 1), b AS (SELECT target AS id, count(DISTINCT source) AS n_backlinks FROM edges GROUP BY 1), f AS (SELECT id, regexp_extract(markdown, '^---\\s*\\n([\\s\\S]*?)\\n---', 1) AS fm FROM notes)
  SELECT n.id, title, array_to_string(list_sort(list_distinct(regexp_extract_all(markdown, '(^|\\s)#([\\p{{L}}\\p{{N}}_/-]+)', 2))), ',') AS tags, coalesce(n_links, 0) AS n_links, coalesce(n_backlinks, 0) AS n_backlinks, nullif(regexp_extract(fm, 'region: (.*)', 1), '') AS region, nullif(regexp_extract(fm, 'key: (.*)', 1), '') AS key

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_spaces
+from ..storage import discard, materialize
 
 MERGED = "merge-reconciled"
 
@@ -40,8 +41,24 @@ def reconcile_relations(previous: DataFrame, fresh: DataFrame) -> DataFrame:
     return j.withColumn("status", F.when(same, F.col("_status")).otherwise("pending")).withColumn("valid_from", F.when(same, F.coalesce("_from", "valid_from")).otherwise(F.col("valid_from"))).withColumn("valid_to", F.when(same, F.coalesce("_to", "valid_to")).otherwise(F.col("valid_to"))).drop("_extractor", "_status", "_from", "_to")
 
 
+def resolve_merges(mapping: DataFrame) -> DataFrame:
+    """mapping(old, new) with each chain followed to its end: a into b and b into c are a and b into c. Of several targets of one entity the least counts; circles, which lead nowhere, are left out.
+
+    Pointers double their reach in each round, so a chain of n merges takes log2(n) rounds.
+    """
+    current = materialize(mapping.where("old IS NOT NULL AND new IS NOT NULL").groupBy("old").agg(F.min("new").alias("new")), "merges")
+    rounds = max(1, current.count()).bit_length() + 1
+    for _ in range(rounds):
+        further = current.select(F.col("old").alias("new"), F.col("new").alias("_next"))
+        if current.join(further, "new", "left_semi").isEmpty():
+            break
+        before, current = current, materialize(current.join(further, "new", "left").select("old", F.coalesce("_next", "new").alias("new")), "merges")
+        discard(before)
+    return current.join(current.select(F.col("old").alias("new")), "new", "left_anti").select("old", "new")
+
+
 def merge_relations(relations: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Relations after entities are merged by mapping(old, new): ends are rewritten, self-loops go and equal ones become one.
+    """Relations after entities are merged by mapping(old, new), its chains resolved (``resolve_merges``): ends are rewritten, self-loops go and equal ones become one.
 
     Of equal ones: all evidence, the largest confidence, pending where their status differs, no validity where it differs, the least date of observation.
     """
@@ -61,7 +78,7 @@ def merge_relations(relations: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def merge_entities(entities: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Entities after merging: the kept one takes names as aliases and evidence, the other is rejected and points to it."""
+    """Entities after merging by mapping(old, new), its chains resolved (``resolve_merges``): the kept one takes names as aliases and evidence, the other is rejected and points to it."""
     m = mapping.join(entities.select(F.col("id").alias("old"), F.col("name").alias("_n"), F.col("aliases").alias("_a"), F.col("evidence").alias("_e")), "old")
     gained = m.groupBy("new").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat(F.array("_n"), "_a"))))).alias("_names"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_e")))).alias("_more"))
     j = entities.join(gained, entities.id == gained.new, "left").join(mapping.select(F.col("old"), F.col("new").alias("_into")), entities.id == F.col("old"), "left")
@@ -77,10 +94,13 @@ def merge_entities(entities: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def split_entities(entities: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entities after splits(id, new_id, new_name, moved), and the splits refused: one moves some of the evidence, not all, to a pending entity."""
-    j = splits.join(entities, "id", "left")
+    """Entities after splits(id, new_id, new_name, moved), and the splits refused: one moves some of the evidence, not all, to a pending entity.
+
+    Of several splits of one entity that of the least new_id stands; ``review_log.replay`` takes them in turn.
+    """
+    j = splits.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy("new_id"))).join(entities, "id", "left")
     chosen = F.array_intersect("evidence", F.array_distinct("moved"))
-    fine = F.col("name").isNotNull() & (F.trim("new_name") != "") & (F.size(chosen) > 0) & (F.size(chosen) < F.size("evidence"))
+    fine = F.col("name").isNotNull() & (F.trim("new_name") != "") & (F.size(chosen) > 0) & (F.size(chosen) < F.size("evidence")) & (F.col("_k") == 1)
     good = j.where(fine)
     rest = entities.join(good.select("id", "moved"), "id", "left").withColumn("evidence", F.when(F.col("moved").isNotNull(), F.array_except("evidence", "moved")).otherwise(F.col("evidence"))).select(entities.columns)
     made = good.select(
@@ -107,14 +127,19 @@ def review_entities(entities: DataFrame, decisions: DataFrame) -> tuple[DataFram
 
 
 def review_relations(relations: DataFrame, decisions: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Relations after decisions(id, status), and the decisions refused with the reason: accepting takes evidence and two accepted, unmerged ends."""
+    """Relations after decisions(id, status, and seq where there are several of an id: the last stands), and the decisions refused with the reason: accepting takes evidence and two accepted, unmerged ends.
+
+    ``review_log.replay`` judges each decision in its turn and logs it.
+    """
     ok = entities.where("status = 'accepted' and merged_into is null").select("id")
-    j = decisions.withColumnRenamed("status", "new_status").join(relations, "id")
+    last = decisions.groupBy("id").agg(F.max_by("status", "seq" if "seq" in decisions.columns else "status").alias("new_status"))
+    unknown = last.join(relations, "id", "left_anti").select("id", F.lit("unknown").alias("reason"))
+    j = last.join(relations, "id")
     j = j.join(ok.select(F.col("id").alias("source"), F.lit(True).alias("_s")), "source", "left").join(ok.select(F.col("id").alias("target"), F.lit(True).alias("_t")), "target", "left")
     reason = F.when((F.col("new_status") == "accepted") & (F.size("evidence") <= 0), "no evidence").when((F.col("new_status") == "accepted") & (F.col("_s").isNull() | F.col("_t").isNull()), "an end isn't accepted")
     judged = j.select("id", "new_status", reason.alias("reason"))
     fine = judged.where("reason is null").select("id", F.col("new_status").alias("_n"))
-    return relations.join(fine, "id", "left").withColumn("status", F.coalesce("_n", "status")).select(relations.columns), judged.where("reason is not null").select("id", "reason")
+    return relations.join(fine, "id", "left").withColumn("status", F.coalesce("_n", "status")).select(relations.columns), judged.where("reason is not null").select("id", "reason").unionByName(unknown)
 
 
 def valid_period(valid_from: Column, valid_to: Column) -> Column:

@@ -15,6 +15,26 @@ def test_merge_moves_names_and_evidence(spark):
     assert (got["b"].status, got["b"].merged_into) == ("rejected", "a")
 
 
+def test_chains_of_merges_lead_to_their_end(spark):
+    chain = [(f"e{i:03}", f"e{i + 1:03}") for i in range(90)] + [("x", "y"), ("y", "x"), ("p", "x"), ("q", "r"), (None, "r")]
+    got = {r.old: r.new for r in RV.resolve_merges(spark.createDataFrame(chain, "old string, new string")).collect()}
+    assert got == {f"e{i:03}": "e090" for i in range(90)} | {"q": "r"}
+    e = spark.createDataFrame([(k, k.upper(), "accepted", None, [], [k]) for k in "abc"], ENTITY)
+    after = {r.id: r for r in RV.merge_entities(e, RV.resolve_merges(spark.createDataFrame([("a", "b"), ("b", "c")], "old string, new string"))).collect()}
+    assert after["c"].evidence == ["c", "a", "b"] and after["a"].merged_into == after["b"].merged_into == "c"
+
+
+def test_several_decisions_and_splits_of_one_id(spark):
+    e = spark.createDataFrame([("a", "A", "accepted", None, [], ["1", "2", "3"]), ("b", "B", "accepted", None, [], [])], ENTITY)
+    r = spark.createDataFrame([("1", "a", "b", "pending", ["x"])], "id string, source string, target string, status string, evidence array<string>")
+    decisions = spark.createDataFrame([(1, "1", "accepted"), (2, "1", "rejected"), (3, "9", "accepted")], "seq long, id string, status string")
+    after, refused = RV.review_relations(r, decisions, e)
+    assert [(x.id, x.status) for x in after.collect()] == [("1", "rejected")] and [(x.id, x.reason) for x in refused.collect()] == [("9", "unknown")]
+    splits = spark.createDataFrame([("a", "n1", "N", ["1"]), ("a", "n2", "M", ["2"])], "id string, new_id string, new_name string, moved array<string>")
+    after, refused = RV.split_entities(e, splits)
+    assert sorted(x.id for x in after.collect()) == ["a", "b", "n1"] and [x.new_id for x in refused.collect()] == ["n2"]
+
+
 def test_split_moves_some_but_not_all(spark):
     e = spark.createDataFrame([("a", "A", "accepted", None, ["x"], ["1", "2", "3"])], ENTITY)
     splits = spark.createDataFrame([("a", "n", " New ", ["2", "9"])], "id string, new_id string, new_name string, moved array<string>")
