@@ -14,6 +14,7 @@ from ..operators import extraction as E
 from ..operators import graph as G
 from ..operators import imports as I
 from ..operators import reasoning as R
+from ..operators import rebuild as RB
 from ..operators import retrieval as V
 from ..operators import review as RV
 from ..operators import review_log as RL
@@ -468,26 +469,49 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.sentences(spark, sf_dir).select(F.col("block_id").alias("pos"), "block_id", "text", "o_orderdate")
 
 
-@query(f"WITH {ENTITY_SQL} SELECT id, type, name, normalized, confidence, len(evidence) AS n, evidence[1] AS first_block FROM entity")
+ENTITY_CANDIDATES_SQL = f"WITH {ENTITY_SQL} SELECT id, type, name, normalized, confidence, len(evidence) AS n, evidence[1] AS first_block FROM entity"
+
+
+@query(ENTITY_CANDIDATES_SQL)
 def entity_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.entity_candidates(E.mentions(_sentences(spark, sf_dir)))
 
 
-@query(
-    rf"""WITH {ENTITY_SQL}, men AS (SELECT id, name, unnest(evidence) AS block_id FROM entity WHERE type NOT IN ('url', 'identifier')),
+RELATION_CANDIDATES_SQL = rf"""WITH {ENTITY_SQL}, men AS (SELECT id, name, unnest(evidence) AS block_id FROM entity WHERE type NOT IN ('url', 'identifier')),
  seen AS (SELECT m.block_id, id, name, lower(text) AS low, instr(lower(text), lower(name)) AS p FROM men m JOIN sentences s USING (block_id)),
  rk AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY p, length(name) DESC, id) AS rk FROM seen WHERE p > 0),
  pr AS (SELECT l.block_id, l.id AS source, r.id AS target, l.low, l.p + length(l.name) AS s, instr(substr(l.low, l.p + length(l.name)), lower(r.name)) AS b FROM rk l JOIN rk r ON l.block_id = r.block_id AND l.rk < r.rk WHERE l.rk <= 12 AND r.rk <= 12),
  vb AS (SELECT block_id, source, target, left(substr(low, s, greatest(b - 1, 0)), 120) AS bt FROM pr WHERE b > 0),
  vc AS (SELECT block_id, source, target, CASE WHEN regexp_matches(bt, '\bacquir(?:ed|es|ing)\b') THEN 'acquired' WHEN regexp_matches(bt, '\bpartner(?:ed|s|ing)?\s*(?:with)?\b') THEN 'partnered-with' WHEN regexp_matches(bt, '\buses?\b') THEN 'uses' WHEN regexp_matches(bt, '\bdepends?\s+on\b') THEN 'depends-on' WHEN regexp_matches(bt, '\bworks?\s+(?:at|for)\b') THEN 'works-at' WHEN regexp_matches(bt, '\b(?:is|was)\s+(?:part|member)\s+of\b') THEN 'part-of' WHEN regexp_matches(bt, '\b(?:created?|built|developed?)\b') THEN 'created' ELSE 'mentioned-with' END AS relation FROM vb)
  SELECT source || '::' || relation || '::' || target AS id, relation, count(DISTINCT block_id) AS n, min(block_id) AS first_block FROM vc GROUP BY source, relation, target"""
-)
+
+
+@query(RELATION_CANDIDATES_SQL)
 def relation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = _sentences(spark, sf_dir)
     found = materialize(E.mentions(blocks), "mentions")
     return E.relation_candidates(E.relation_evidence(blocks.select("block_id", "text"), found, E.entity_candidates(found))).select("id", "relation", "n", "first_block")
 
 
+def _edited(spark: SparkSession, sf_dir: str) -> tuple[RB.State, DataFrame]:
+    """The candidates of the sentences after an edit: before it some had another text or place, some weren't there, and some more were."""
+    now = _sentences(spark, sf_dir).select("block_id", "pos", "text")
+    other = F.when(F.col("block_id") % 50 == 0, F.concat(F.lit("Old  Firm acquired Clerk"), F.col("block_id") % 9, F.lit(" once."))).otherwise(F.col("text"))
+    gone = now.where("block_id % 90 = 0").select((-F.col("block_id") - 1).alias("block_id"), (-F.col("pos") - 1).alias("pos"), F.lit("Lost Firm uses Buyer1.").alias("text"))
+    before = now.where("block_id % 77 > 0").select("block_id", F.when(F.col("block_id") % 33 == 0, F.col("pos") + 2).otherwise(F.col("pos")).alias("pos"), other.alias("text")).unionByName(gone)
+    return RB.increment(RB.full(before), now)
+
+
+@query(ENTITY_CANDIDATES_SQL)
+def rebuilt_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edited(spark, sf_dir)[0]["entities"]
+
+
+@query(RELATION_CANDIDATES_SQL)
+def rebuilt_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edited(spark, sf_dir)[0]["relations"].select("id", "relation", "n", "first_block")
+
+
 GRAPH_QUESTIONS = [
     (1, "How does Supplier#000000001 connect to Customer#000000002 and ASIA?"),
     (2, "What happened in the EUROPE between 2021 and 1999?"),
