@@ -13,6 +13,7 @@ from ..operators import evidence as EV
 from ..operators import extraction as E
 from ..operators import graph as G
 from ..operators import imports as I
+from ..operators import names as N
 from ..operators import reasoning as R
 from ..operators import rebuild as RB
 from ..operators import retrieval as V
@@ -141,18 +142,23 @@ def _ask_sql(rows: list[tuple[int, str]]) -> str:
     return f"questions AS (SELECT * FROM (VALUES {values}) AS x(question_id, question))"
 
 
-@query(
-    f"""WITH {_ask_sql(LEXICAL_QUESTIONS)}, b AS (SELECT doc_id AS ident, lower(lang) AS title, lower(source) AS heading, lower(text) AS text FROM documents), t AS (SELECT question_id, unnest({_tok("question")}) AS term FROM questions),
+LEXICAL_SQL = f"""b AS (SELECT doc_id AS ident, lower(lang) AS title, lower(source) AS heading, lower(text) AS text FROM documents), t AS (SELECT question_id, unnest({_tok("question")}) AS term FROM questions),
  m AS (SELECT ident, term, contains(text, term) OR contains(title, term) AS counts, contains(title, term) AS tt, contains(heading, term) AS hh FROM b, (SELECT DISTINCT term FROM t) WHERE contains(text, term) OR contains(title, term) OR contains(heading, term)),
  i AS (SELECT term, ln(((SELECT count(*) FROM b) + 1) / (count(m.ident) FILTER (counts) + 1)) + 1 AS idf FROM (SELECT DISTINCT term FROM t) LEFT JOIN m USING (term) GROUP BY term),
  tot AS (SELECT question_id, sum(idf) AS total FROM t JOIN i USING (term) GROUP BY question_id),
  h AS (SELECT question_id, ident, sum(idf) / max(total) AS cov, count(*) FILTER (tt) AS titles, count(*) FILTER (hh) AS heads, count(*) AS matched, max(idf) AS rare, max(length(term)) AS longest FROM t JOIN i USING (term) JOIN m USING (term) JOIN tot USING (question_id) GROUP BY question_id, ident),
  s AS (SELECT question_id, ident, matched, round(least(1.0::DOUBLE, cov * 0.78 + least(titles * 0.12::DOUBLE, 0.18) + least(heads * 0.06::DOUBLE, 0.1)), 6) AS score FROM h WHERE titles > 0 OR heads > 0 OR round(cov, 9) >= 0.24 OR (matched = 1 AND rare >= 1.45 AND longest >= 5)),
  r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, ident) AS rnk FROM s) SELECT question_id, ident, score, matched, rnk FROM r WHERE rnk <= 8"""
-)
+
+
+@query(f"WITH {_ask_sql(LEXICAL_QUESTIONS)}, {LEXICAL_SQL}")
 def weighted_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _weighted_lexical(spark, sf_dir, _ask(spark, LEXICAL_QUESTIONS))
+
+
+def _weighted_lexical(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
     blocks = _docs(spark, sf_dir).select(F.col("doc_id").alias("ident"), F.col("lang").alias("title"), F.col("source").alias("heading"), "text")
-    return V.weighted_lexical(_ask(spark, LEXICAL_QUESTIONS), blocks).withColumn("rnk", F.col("rnk").cast("long"))
+    return V.weighted_lexical(asked, blocks).withColumn("rnk", F.col("rnk").cast("long"))
 
 
 # --- notes and the authored graph -----------------------------------------------------------------------------------
@@ -167,6 +173,24 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.authored_edges(D.notes(spark, sf_dir))
 
 
+@query(f"WITH questions AS (SELECT item_id AS question_id, text AS question FROM benchmark), {LEXICAL_SQL}")
+def weighted_lexical_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item as a question."""
+    asked = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    return _weighted_lexical(spark, sf_dir, asked)
+
+
+@query(
+    """WITH w AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS called FROM benchmark), n AS (SELECT called FROM w WHERE length(called) >= 3)
+ SELECT doc_id, count(*) AS n_names, min(called) AS first_name, sum(length(called))::BIGINT AS chars FROM documents JOIN n ON contains(lower(text), called) GROUP BY doc_id"""
+)
+def names_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the benchmark that each document holds, inside longer words too."""
+    names = read_table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("called")).where("length(called) >= 3")
+    found = N.find_names(read_table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text")), names, "doc_id")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_names"), F.min("called").alias("first_name"), F.sum(F.length("called")).alias("chars"))
+
+
 @query(rf"WITH {EDGES_SQL} SELECT source, target, title, resolved, pos, link_pos::BIGINT AS link_pos FROM edges")
 def authored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(spark, sf_dir).withColumn("link_pos", F.col("link_pos").cast("long"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import body, first_year, links, normalize
 from ..storage import discard, materialize
 from .components import connected_components
+from .names import find_names
 
 
 HOPS = 3  # steps of a sweep between two written tables
@@ -97,14 +98,14 @@ def communities(entities: DataFrame, relations: DataFrame) -> DataFrame:
 def anchors(questions: DataFrame, entities: DataFrame, with_aliases: bool = True) -> DataFrame:
     """question_id, question, id, name of accepted entities that a question names (three characters and more).
 
-    Names are looked up as substrings; the questions are the small side.
+    Names are looked up as substrings (``names``), however many questions and entities there are.
     """
     names = F.array("name")
     if with_aliases:
         names = F.concat(names, "aliases")
     known = accepted_entities(entities).select("id", "name", F.explode(F.array_distinct(F.transform(names, F.lower))).alias("called")).where("length(called) >= 3")
-    q = questions.select("question_id", "question", F.lower("question").alias("_low"))
-    return known.join(q, F.contains(F.col("_low"), F.col("called"))).select("question_id", "question", "id", "name").distinct()
+    found = find_names(questions.select("question_id", F.lower("question").alias("text")), known, "question_id")
+    return found.join(known, "called").select("question_id", "id", "name").distinct().join(questions.select("question_id", "question"), "question_id").select("question_id", "question", "id", "name")
 
 
 def swept(starts: DataFrame, relations: DataFrame, sweeps: int = 2) -> DataFrame:
