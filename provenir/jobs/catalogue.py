@@ -572,7 +572,7 @@ def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def temporal_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = _routed(spark, sf_dir).where("time is not null").select("question_id", "time")
-    hit = _sentences(spark, sf_dir).join(q, R.block_matches(F.col("text"), None, F.col("time")))
+    hit = R.blocks_of_times(_sentences(spark, sf_dir), q, "block_id", "question_id")
     return hit.groupBy("question_id").agg(F.count("*").alias("n_blocks"), F.sum("block_id").alias("checksum"))
 
 
@@ -584,7 +584,7 @@ _YEARS_SQL = """ry AS (SELECT *, coalesce(regexp_extract(coalesce(valid_from, ''
 def relation_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = _routed(spark, sf_dir).where("time is not null").select("question_id", "time")
     rel = D.relations(spark, sf_dir)
-    return rel.join(q).where(R.relation_matches(rel, F.col("time"))).select("question_id", "id")
+    return R.relations_of_times(rel, q).select("question_id", "id")
 
 
 def _graph_sql() -> str:
@@ -944,7 +944,7 @@ def _evidence_sql() -> str:
         for i in range(1, 9)
     )
     return f"""WITH RECURSIVE {D.NOTES_SQL}, {ANCHOR_SQL}, {D.RELATIONS_SQL}, {_YEARS_SQL}, {COMM_SQL.replace(D.ENTITIES_SQL + ", ", "").replace(D.RELATIONS_SQL + ", ", "")},
- el AS (SELECT question_id, question, 'b' || id AS block_id, markdown AS body FROM route, notes WHERE mode <> 'temporal' OR list_bool_or(list_transform(regexp_extract_all(markdown, '\\b(?:19|20)\\d\\d\\b', 0), lambda y: {within.format(b="y::INT", e="y::INT")}))),
+ el AS (SELECT question_id, question, 'b' || id AS block_id, markdown AS body FROM route, notes WHERE mode <> 'temporal' OR list_bool_or(list_transform(regexp_extract_all(markdown, '\\b(?:19|20)\\d\\d\\b', 0), lambda y: {within.format(b="y::INT", e="y::INT")})) OR (pos % 2 = 0 AND {within.format(b="(1990 + pos % 35)", e="(1990 + pos % 35)")})),
  tk AS (SELECT question_id, block_id, {_tok("body")} AS t FROM el), st AS (SELECT question_id, count(*) AS n, avg(len(t)) AS mean FROM tk GROUP BY question_id), po AS (SELECT question_id, block_id, len(t) AS l, unnest(t) AS term FROM tk),
  df AS (SELECT question_id, term, count(*) AS df FROM po GROUP BY ALL), ask AS (SELECT question_id, unnest({_tok("question")}) AS term FROM questions),
  raw AS (SELECT question_id, block_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5))) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * max(l) / max(mean))) AS raw FROM ask JOIN df USING (question_id, term) JOIN po USING (question_id, term) JOIN st USING (question_id) GROUP BY ALL),
@@ -966,7 +966,8 @@ def _evidence_sql() -> str:
 
 @query(_evidence_sql())
 def evidence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = D.notes(spark, sf_dir).select(F.concat(F.lit("b"), "id").alias("block_id"), F.col("markdown").alias("text"))
+    created = F.when(F.col("pos") % 2 == 0, F.concat(1990 + F.col("pos") % 35, F.lit("-03-01")))
+    blocks = D.notes(spark, sf_dir).select(F.concat(F.lit("b"), "id").alias("block_id"), F.col("markdown").alias("text"), created.alias("created"))
     out = EV.evidence_query(_ask(spark, GRAPH_QUESTIONS), blocks, D.entities(spark, sf_dir), D.relations(spark, sf_dir))
     return out.select("question_id", "block_id", "mode", *[F.col(c).cast("long").alias(c) for c in ("bm25_rank", "graph_rank")], "fused", F.col("rnk").cast("long").alias("rnk"))
 

@@ -18,7 +18,7 @@ ENGINE = "provenir-evidence-1"
 def evidence_query(questions: DataFrame, blocks: DataFrame, entities: DataFrame, relations: DataFrame, vectors: DataFrame | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """question_id, block_id, mode, each channel's rank and score, fused, rnk.
 
-    questions(question_id, question), blocks(block_id, text), entities and relations as in ``graph``, vectors(question_id, block_id, score) of a provider.
+    questions(question_id, question), blocks(block_id, text, and created and updated where there are such columns), entities and relations as in ``graph``, vectors(question_id, block_id, score) of a provider.
     A question with a time is asked of the blocks of that time, and their statistics alone count; its graph has the relations of that time.
     Channels go on to the fusion with three times the limit, 20 at least.
     """
@@ -29,12 +29,11 @@ def evidence_query(questions: DataFrame, blocks: DataFrame, entities: DataFrame,
     plain = routed.where("time is null")
     every = plain.select("question_id", F.lit("all").alias("scope"), "question").unionByName(routed.where("time is not null").select("question_id", F.to_json("time").alias("scope"), "question"))
     times = timed.select(F.to_json("time").alias("scope"), "time").dropDuplicates(["scope"])  # one row for each time asked for
-    eligible = blocks.select(F.lit("all").alias("scope"), "block_id", F.col("text").alias("body")).unionByName(
-        blocks.join(times, R.block_matches(F.col("text"), None, F.col("time"))).select("scope", "block_id", F.col("text").alias("body"))
-    )
+    of_times = R.blocks_of_times(blocks, times, "block_id", "scope").join(blocks, "block_id")
+    eligible = blocks.select(F.lit("all").alias("scope"), "block_id", F.col("text").alias("body")).unionByName(of_times.select("scope", "block_id", F.col("text").alias("body")))
     bm25 = V.bm25(every, eligible, "question_id", "block_id", F.col("question"), F.col("body"), depth)
 
-    own = materialize(relations.join(timed).where(R.relation_matches(relations, F.col("time"))).drop("time"), "relations")
+    own = materialize(R.relations_of_times(relations, timed).drop("time"), "relations")
     named = G.anchors(questions, entities, with_aliases=False).select("question_id").distinct()
     proofs = R.proofs(routed, relations)
     graph = (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import body, first_year, links, normalize
 from ..storage import discard, materialize
 from .components import connected_components
+from .intervals import numbered
 from .names import find_names
 
 
@@ -87,11 +88,7 @@ def communities(entities: DataFrame, relations: DataFrame) -> DataFrame:
     cc = connected_components(accepted_relations(entities, relations).select(F.col("source").alias("a"), F.col("target").alias("b")))
     members = own.join(cc, own.id == cc.vertex, "left").select("id", F.coalesce("component", "id").alias("community"))
     sizes = members.groupBy("community").agg(F.count("*").alias("size"))
-    # few values of size: number the communities within each, and add what larger ones take
-    per = sizes.groupBy("size").agg(F.count("*").alias("n"))
-    before = per.select("size", (F.coalesce(F.sum("n").over(Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))
-    inside = sizes.withColumn("_i", F.row_number().over(Window.partitionBy("size").orderBy("community")) - 1)
-    idx = inside.join(before, "size").select("community", "size", (F.col("before") + F.col("_i")).alias("idx"))
+    idx = numbered(sizes, [F.desc("size"), F.col("community")], "idx")
     return members.join(idx, "community").select("id", "community", "size", "idx")
 
 

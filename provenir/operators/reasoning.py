@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import mentioned_years, temporal_constraint
 from .graph import anchors, relation_years, shortest_paths
+from .intervals import overlapping
 
 
 def route(questions: DataFrame, entities: DataFrame) -> DataFrame:
@@ -26,18 +27,38 @@ def in_years(year: Column, time: Column) -> Column:
     return (time["from_year"].isNull() | (year >= time["from_year"])) & (time["to_year"].isNull() | (year <= time["to_year"]))
 
 
-def block_matches(text: Column, stamp: Column | None, time: Column) -> Column:
-    """A block is of a time if it mentions a year in it, or else was made in one."""
-    mentioned = F.exists(mentioned_years(text), lambda y: in_years(y, time))
-    return mentioned if stamp is None else mentioned | F.coalesce(in_years(F.year(stamp), time), F.lit(False))
-
-
 def relation_matches(relations: DataFrame, time: Column) -> Column:
     begin, end = relation_years(F.col("valid_from"), F.col("valid_to"), F.col("observed_at"))
     overlap = (time["from_year"].isNull() | (end >= time["from_year"])) & (time["to_year"].isNull() | (begin <= time["to_year"]))
     return time.isNull() | F.coalesce(overlap, F.lit(False))
 
 
+# The years that texts, questions and dates are searched for.
+FIRST_YEAR, LAST_YEAR = 1900, 2099
+YEARS = 5  # of a bin
+
+
+def _span(time: Column) -> tuple[Column, Column]:
+    return F.coalesce(time["from_year"], F.lit(FIRST_YEAR)), F.coalesce(time["to_year"], F.lit(LAST_YEAR))
+
+
+def relations_of_times(relations: DataFrame, times: DataFrame) -> DataFrame:
+    """Each relation with each row of times(time, ...) within which it holds. Times that are null aren't asked for."""
+    begin, end = relation_years(F.col("valid_from"), F.col("valid_to"), F.col("observed_at"))
+    dated = relations.withColumns({"_begin": begin, "_end": end})
+    met = overlapping(dated, times.where("time IS NOT NULL"), [], (F.col("_begin"), F.col("_end")), _span(F.col("time")), YEARS)
+    return met.where(relation_matches(met, F.col("time"))).drop("_begin", "_end")
+
+
+def blocks_of_times(blocks: DataFrame, times: DataFrame, ident: str, key: str) -> DataFrame:
+    """(ident, key), each once: blocks(ident, text, and created and updated where there are such columns) of the times(key, time): they mention a year of it, or were made or changed in one."""
+    stamps = [F.year(F.try_to_timestamp(F.col(c).cast("string"))) for c in ("created", "updated") if c in blocks.columns]
+    years = F.array_distinct(F.concat(F.coalesce(mentioned_years(F.col("text")), F.array().cast("array<int>")), F.array(*stamps).cast("array<int>")))
+    dated = blocks.select(ident, F.explode(years).alias("_year")).where(F.col("_year").isNotNull())
+    met = overlapping(dated, times.where("time IS NOT NULL").select(key, "time"), [], (F.col("_year"), F.col("_year")), _span(F.col("time")), YEARS)
+    return met.where(in_years(F.col("_year"), F.col("time"))).select(ident, key).distinct()
+
+
 def proofs(routed: DataFrame, relations: DataFrame, max_hops: int = 4) -> DataFrame:
     """question, source, target, path, nodes for each pair of a question's anchors that accepted relations of its time connect.
 
@@ -50,7 +71,7 @@ def proofs(routed: DataFrame, relations: DataFrame, max_hops: int = 4) -> DataFr
     plain = shortest_paths(pairs.where("time is null").select("question", "source", "target"), usable, max_hops)
     dated = pairs.where("time is not null")
     # per question its own relations: they are walked with the question in the key
-    own = dated.select("question", "time").distinct().join(usable).where(relation_matches(usable, F.col("time"))).select("question", "pos", "source", "target")
+    own = relations_of_times(usable, dated.select("question", "time").distinct()).select("question", "pos", "source", "target")
     tag = lambda c: F.concat(F.col("question").cast("string"), F.lit("|"), F.col(c))
     walked = shortest_paths(dated.select("question", tag("source").alias("source"), tag("target").alias("target")), own.select("pos", tag("source").alias("source"), tag("target").alias("target")), max_hops)
     strip = lambda c: F.substring_index(c, "|", -1)
