@@ -796,6 +796,18 @@ def undo_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RV.undo(after, audit, c.where("c_custkey % 4 = 0").selectExpr("c_custkey seq"))[0].select("id", "status")
 
 
+@query(
+    """WITH w AS (SELECT 'c' || c_custkey AS id, c_mktsegment AS base, row_number() OVER (PARTITION BY c_mktsegment ORDER BY 'c' || c_custkey) - 1 AS k FROM customer),
+ free AS (SELECT base, n, row_number() OVER (PARTITION BY base ORDER BY n) AS k FROM (SELECT DISTINCT base FROM w), (SELECT unnest(range(2, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + 2)) AS n) WHERE NOT (base = 'BUILDING' AND n IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 = 0)))
+ SELECT id, CASE WHEN w.k = 0 THEN base ELSE base || ' (' || n || ')' END AS title FROM w LEFT JOIN free USING (base, k)"""
+)
+def unique_note_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A note for each customer, all of a segment under one title, beside notes that have some of its numbers."""
+    wanted = read_table(spark, sf_dir, "customer").selectExpr("concat('c', c_custkey) id", "c_mktsegment title")
+    there = read_table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").selectExpr("concat('s', s_suppkey) id", "concat('Building (', s_suppkey, ')') title")
+    return W.unique_titles(wanted, there)
+
+
 def _replayed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A log on all customers and their relations: renames, rejections, their undos, merges of neighbours, refused commands."""
     k, step = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n")), {}

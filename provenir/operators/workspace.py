@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,18 +50,82 @@ def view_groups(rows: DataFrame, by: str | None) -> DataFrame:
     return rows.withColumn("grp", F.when(c.isNull() | (c.cast("string") == ""), "Unspecified").otherwise(c.cast("string")))
 
 
+# Fixed value: a title with a number from 2 on.
+NUMBERED = r"^(.*) \(([2-9]|[1-9][0-9]+)\)$"
+
+
+class _Taken:
+    """Titles of a family: each is a base, or a number from 2 on of a base; a base's numbers are kept as runs."""
+
+    def __init__(self) -> None:
+        self.plain: set[str] = set()
+        self.runs: dict[str, tuple[list[int], list[int]]] = {}  # firsts and lasts
+
+    def find(self, title: str) -> bool:
+        m = re.match(NUMBERED, title, re.S)
+        if not m:
+            return title in self.plain
+        firsts, lasts = self.runs.get(m[1], ([], []))
+        i = bisect_right(firsts, int(m[2])) - 1
+        return i >= 0 and lasts[i] >= int(m[2])
+
+    def add(self, title: str) -> None:
+        if self.find(title):
+            return
+        m = re.match(NUMBERED, title, re.S)
+        if not m:
+            self.plain.add(title)
+            return
+        firsts, lasts = self.runs.setdefault(m[1], ([], []))
+        n = int(m[2])
+        i = bisect_right(firsts, n)
+        after, before = i < len(firsts) and firsts[i] == n + 1, i > 0 and lasts[i - 1] == n - 1
+        if after and before:
+            lasts[i - 1] = lasts[i]
+            del firsts[i], lasts[i]
+        elif after:
+            firsts[i] = n
+        elif before:
+            lasts[i - 1] = n
+        else:
+            firsts.insert(i, n)
+            lasts.insert(i, n)
+
+    def free(self, base: str) -> int:
+        firsts, lasts = self.runs.get(base, ([], []))
+        return lasts[0] + 1 if firsts and firsts[0] == 2 else 2
+
+
 def unique_titles(wanted: DataFrame, notes: DataFrame) -> DataFrame:
-    """id, title of wanted(id, title): with the least suffix (2), (3), ... that no note's title has, where it is taken."""
-    base = F.when(js_trim(F.col("title")) == "", "Untitled").otherwise(js_trim(F.col("title")))
-    w = wanted.select("id", base.alias("base"))
-    taken = notes.select(normalize(F.col("title")).alias("k"), "title")
-    suffixed = taken.select(F.regexp_extract("k", r"^(.*) \(([0-9]+)\)$", 1).alias("b"), F.regexp_extract("k", r"^(.*) \(([0-9]+)\)$", 2).alias("s")).where("s <> ''").select("b", F.col("s").cast("long").alias("s"))
-    used = suffixed.where("s >= 2").distinct()
-    # the least number from 2 on that is missing: the first gap in the sorted numbers
-    win = Window.partitionBy("b").orderBy("s")
-    gap = used.withColumn("i", F.row_number().over(win) + 1).groupBy("b").agg(F.coalesce(F.min(F.when(F.col("s") != F.col("i"), F.col("i"))), F.max("s") + 1).alias("free"))
-    j = w.join(taken.select("k").distinct().withColumn("_t", F.lit(1)), normalize(F.col("base")) == F.col("k"), "left").join(gap, normalize(F.col("base")) == F.col("b"), "left")
-    return j.select("id", F.when(F.col("_t").isNull(), F.col("base")).otherwise(F.concat("base", F.lit(" ("), F.coalesce("free", F.lit(2)), F.lit(")"))).alias("title"))
+    """id, title of wanted(id, title), one after another in order of id: the title, or where it is taken by then, with the least suffix (2), (3), ... that is free.
+
+    Titles that differ only in such suffixes are a family, which a task goes through in order; it holds runs of numbers, not the titles. Case and outer spaces don't count; an empty or null title is Untitled.
+    """
+    trimmed = F.coalesce(js_trim(F.col("title")), F.lit(""))
+    asked = wanted.select("id", F.when(trimmed == "", "Untitled").otherwise(trimmed).alias("title"), F.lit(1).alias("turn"))
+    there = notes.where("title IS NOT NULL").select(F.lit(None).cast(wanted.schema["id"].dataType).alias("id"), "title", F.lit(0).alias("turn"))
+    key = normalize(F.col("title"))
+    family = F.regexp_replace(key, r"( \((?:[2-9]|[1-9][0-9]+)\))+$", "")
+    asked, there = (df.withColumns({"key": key, "family": family}) for df in (asked, there))
+    rows = there.join(asked.select("family").distinct(), "family", "left_semi").select(asked.columns).unionByName(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, taken = None, _Taken()
+        for batch in batches:
+            kept, titles = [], []
+            for i, (title, turn, key, family) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True)):
+                if family != now:
+                    now, taken = family, _Taken()
+                if turn:
+                    if taken.find(key):
+                        n = taken.free(key)
+                        title, key = f"{title} ({n})", f"{key} ({n})"
+                    kept.append(i)
+                    titles.append(title)
+                taken.add(key)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(titles, pa.string())], names=["id", "title"])
+
+    return rows.repartition("family").sortWithinPartitions("family", "turn", "id").mapInArrow(run, wanted.select("id", F.lit("").alias("title")).schema)
 
 
 def rename_note(notes: DataFrame, ident: str, title: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from provenir.operators import review as RV
@@ -79,6 +81,25 @@ def test_periods_titles_and_views(spark):
     assert [str(r[0]) for r in days] == ["None", "2024-02-29", "None"]
 
 
+def test_titles_of_a_batch_are_those_of_one_after_another(spark):
+    rnd = random.Random(3)
+    title = lambda: rnd.choice(["A", "a ", "B", "", None, "Untitled", "C"]) if rnd.random() < 0.7 else f"{rnd.choice(['A', 'b', 'A (2)'])} ({rnd.choice(['1', '02', '2', '3', '4', '7'])})"
+    notes, wanted = [(str(i), title()) for i in range(12)], [(f"w{i:03}", title()) for i in range(80)]
+    taken, want = {t.strip().lower() for _, t in notes if t is not None}, {}
+    for i, t in wanted:
+        base = new = (t or "").strip() or "Untitled"
+        n = 1
+        while new.lower() in taken:
+            n += 1
+            new = f"{base} ({n})"
+        taken.add(new.lower())
+        want[i] = new
+    rnd.shuffle(wanted)
+    table = lambda rows: spark.createDataFrame(rows, "id string, title string")
+    assert {r.id: r.title for r in W.unique_titles(table(wanted), table(notes)).collect()} == want
+    assert W.unique_titles(table([]), table(notes)).collect() == []
+
+
 def test_canvas_edges_and_groups(spark):
     df = spark.sql("SELECT array(named_struct('id','a','x',0.0D,'y',0.0D,'width',100.0D,'height',60.0D), named_struct('id','b','x',200.0D,'y',50.0D,'width',90.0D,'height',50.0D)) n, cast(array() as array<struct<source:string,target:string,label:string>>) e")
     lab = F.lit(None).cast("string")
