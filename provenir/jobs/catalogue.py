@@ -913,13 +913,13 @@ LINKS_SQL = """v AS (SELECT embedding::DOUBLE[] AS v, min(vec_id) AS class_id, c
 LINK_THRESHOLD = 0.5  # the least that the operator takes
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ident"), F.col("embedding").alias("vector"))
 
 
 @query(f"WITH {LINKS_SQL} SELECT a, b, score FROM p WHERE score >= {LINK_THRESHOLD}")
 def semantic_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.semantic_links(_vectors(spark, sf_dir), threshold=LINK_THRESHOLD, recall=0.999)
+    return S.semantic_links(_embedded(spark, sf_dir), threshold=LINK_THRESHOLD, recall=0.999)
 
 
 @query(
@@ -927,7 +927,7 @@ def semantic_links(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT e.vec_id AS ident, v.class_id, v.class_size, (coalesce(n.n, 0) + v.class_size - 1)::BIGINT AS n_links FROM embeddings e JOIN v ON e.embedding::DOUBLE[] = v.v LEFT JOIN n USING (class_id)"""
 )
 def semantic_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.link_counts(_vectors(spark, sf_dir), threshold=LINK_THRESHOLD, recall=0.999)
+    return S.link_counts(_embedded(spark, sf_dir), threshold=LINK_THRESHOLD, recall=0.999)
 
 
 @query(
