@@ -1,14 +1,15 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Training: labelled texts are read by Spark, each task counts the hashed 1- to 3-grams
-of its batches per language in numpy, and Spark sums the counts. Of a language with more than
+of its batches per language in numpy, and Spark sums the counts into a written table. Of a language with more than
 ``max_training_docs`` documents about so many are used, those with the smallest hashes of their text; this
-is the documented bound of the sample. A language's prior is its share of all labelled documents. Every label is learned. The table of log probabilities has
-(languages x buckets) floats and is broadcast: where there are so many labels that it would have more than MODEL_CELLS, the buckets are
-halved until it fits, so the model is never larger than that.
+is the documented bound of the sample, for any number of languages. A language's prior is its share of all labelled documents. Every label is learned,
+with the same buckets however many there are: languages are numbered, and stand in blocks of ``block_languages``, of which each
+has a table of log probabilities of its own (block_languages x buckets floats), made from its rows of the counts and broadcast.
 
 Scoring: the texts of a batch are one sparse matrix, a row for each with the counts of its n-grams, which is multiplied with the table in numpy. Texts of any
-length are counted whole; long ones in pieces that carry on where the one before ended. The prediction is the language of the greatest posterior. The
+length are counted whole; long ones in pieces that carry on where the one before ended. With more than one block the texts pass the blocks one after the other,
+and what a pass has found (the best so far, and the running sum of the posteriors) is written with them, so that a task holds one block's table. The prediction is the language of the greatest posterior. The
 score is its posterior under log-likelihoods averaged to ``evidence`` n-grams, so that long texts don't all score 1.
 
 Defined results: null text, or text without a letter (Unicode category L), is ``und`` with score 0; an empty
@@ -19,6 +20,7 @@ order; repeated rows are scored alike; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.intervals import numbered
+from ..storage import discard, materialize
 from .text import groups, mix, strings
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 MAX_TRAINING_DOCS = 20_000  # of each language
-MODEL_CELLS = 1 << 23
+BLOCK_LANGUAGES = 128  # in one broadcast table
+PENDING = 1 << 20  # distinct counts that a task gathers before it passes them on
 SMOOTHING = 0.5
 EVIDENCE = 30
 CELLS = 1 << 20  # products at a time
@@ -87,41 +92,69 @@ def grams(texts: list[str], buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray
         yield d + a, g
 
 
-def train(labelled: DataFrame, buckets: int = BUCKETS, max_training_docs: int = MAX_TRAINING_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages in order, their log priors, and the log probabilities, (buckets, languages) as float32.
+Block = tuple[list[str], np.ndarray, np.ndarray]
 
-    labelled: text, lang. Rows with a null in either are left out.
-    """
+
+@dataclass
+class Model:
+    """languages(lang, l, n) and counts(l, b, n) as written tables; l is a language's place in order."""
+
+    languages: DataFrame
+    counts: DataFrame
+    size: int
+    total: int
+    buckets: int
+    block_languages: int
+
+    def blocks(self) -> Iterator[Block]:
+        """For each block its languages in order, their log priors, and the log probabilities, (buckets, languages) as float32."""
+        for a in range(0, self.size, self.block_languages):
+            inside = F.col("l").between(a, a + self.block_languages - 1)
+            known = self.languages.where(inside).orderBy("l").collect()  # block_languages rows at most
+            table = self.counts.where(inside).toPandas()  # block_languages x buckets rows at most
+            counts = np.full((self.buckets, len(known)), SMOOTHING)
+            counts[table["b"].to_numpy(), table["l"].to_numpy() - a] += table["n"].to_numpy()
+            share = np.array([r.n for r in known], float) / self.total
+            yield [r.lang for r in known], np.log(share), np.log(counts / counts.sum(axis=0)).astype(np.float32)
+
+
+def _summed(cells: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    where, at = np.unique(np.concatenate(cells), return_inverse=True)
+    return where, np.bincount(at, np.concatenate(numbers), len(where)).astype(np.int64)
+
+
+def train(labelled: DataFrame, buckets: int = BUCKETS, max_training_docs: int = MAX_TRAINING_DOCS, block_languages: int = BLOCK_LANGUAGES) -> Model:
+    """The model of labelled(text, lang). Rows with a null in either are left out."""
     rows = labelled.where("text is not null and lang is not null").select("lang", "text")
-    counted = sorted((r.lang, r["count"]) for r in rows.groupBy("lang").count().collect())  # a row for each label
-    languages = [lang for lang, _ in counted]
-    if not languages:
-        return [], np.zeros(0), np.zeros((buckets, 0), np.float32)
-    while buckets * len(languages) > MODEL_CELLS and buckets > 2:
-        buckets //= 2
+    languages = materialize(numbered(rows.groupBy("lang").agg(F.count("*").alias("n")), ["lang"], "l"), "languages")
     # the bounded sample: a text's own hash decides, so that it doesn't depend on order or partitions
-    share = F.create_map(*[x for lang, n in counted for x in (F.lit(lang), F.lit(max_training_docs / n))] if len(counted) < 1000 else [F.lit(""), F.lit(1.0)])
-    part = F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(1.0))
-    sample = rows.where(F.shiftrightunsigned(F.xxhash64("text"), 32) < part * float(1 << 32))
-    at = {x: i for i, x in enumerate(languages)}
+    part = F.lit(float(max_training_docs)) / F.col("n")
+    sample = rows.join(languages, "lang").where(F.shiftrightunsigned(F.xxhash64("text"), 32) < part * float(1 << 32)).select("l", "text")
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(at) * buckets, np.int64)
+        def rows_of(where: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(where // buckets), pa.array((where % buckets).astype(np.int32)), pa.array(n)], names=["l", "b", "n"])
+
+        cells, numbers, held = [], [], 0
         for batch in it:
-            lang = np.array([at[x] for x in batch.column(0).to_pylist()], np.int64)
+            lang = np.array(batch.column(0).to_pylist(), np.int64)
             for d, g in grams(strings(batch.column(1)), buckets):
-                places, n = np.unique(lang[d] * buckets + g, return_counts=True)
-                total[places] += n
-        where = np.flatnonzero(total)
-        if len(where):
-            yield pa.RecordBatch.from_arrays([pa.array((where // buckets).astype(np.int32)), pa.array((where % buckets).astype(np.int32)), pa.array(total[where])], names=["l", "b", "n"])
-
-    summed = sample.mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n"))
-    table = summed.toPandas()  # at most MODEL_CELLS rows
-    counts = np.full((buckets, len(languages)), SMOOTHING)
-    counts[table["b"].to_numpy(), table["l"].to_numpy()] += table["n"].to_numpy()
-    share_of = np.array([n for _, n in counted], float)
-    return languages, np.log(share_of / share_of.sum()), np.log(counts / counts.sum(axis=0)).astype(np.float32)
+                where, n = np.unique(lang[d] * buckets + g, return_counts=True)
+                cells.append(where)
+                numbers.append(n)
+                held += len(where)
+                if held > PENDING:
+                    where, n = _summed(cells, numbers)
+                    if len(where) > PENDING // 2:
+                        yield rows_of(where, n)
+                        where, n = where[:0], n[:0]
+                    cells, numbers, held = [where], [n], len(where)
+        if held:
+            yield rows_of(*_summed(cells, numbers))
+
+    counts = materialize(sample.mapInArrow(count, "l long, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")), "counts")
+    size, total = languages.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return Model(languages, counts, size, total, buckets, block_languages)
 
 
 def posteriors(texts: list[str], priors: np.ndarray, log_probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,26 +172,54 @@ def posteriors(texts: list[str], priors: np.ndarray, log_probs: np.ndarray) -> t
     return sums, n
 
 
-def identify(docs: DataFrame, languages: list[str], priors: np.ndarray, log_probs: np.ndarray) -> DataFrame:
-    """doc_id, lang_pred, score for each document."""
-    spark: SparkSession = docs.sparkSession
-    model = spark.sparkContext.broadcast((priors, log_probs))
+# What a pass over a block leaves with each text: the best language so far, its whole sum and its mean one, and of all means the greatest and the sum of the exponentials against it.
+STATE = "doc_id long, text string, lang_pred string, best double, mean double, top double, mass double"
+
+
+def _passed(state: DataFrame, block: Block) -> DataFrame:
+    """The state after one more block."""
+    model = state.sparkSession.sparkContext.broadcast(block)
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages, priors, log_probs = model.value
+        names = np.array(languages, object)
         for batch in it:
             texts = strings(batch.column(1))
-            preds, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
-            some = np.array([i for i, t in enumerate(texts) if languages and LETTER.search(t)], np.int64)
+            some = np.array([i for i, t in enumerate(texts) if LETTER.search(t)], np.int64)
             if len(some):
-                sums, n = posteriors([texts[i] for i in some], *model.value)
-                best = (sums + model.value[0]).argmax(axis=1)
-                mean = sums / n[:, None] * np.minimum(n, EVIDENCE)[:, None] + model.value[0]
-                mean -= mean.max(axis=1, keepdims=True)
-                preds[some] = np.array(languages, object)[best]
-                scores[some] = np.round(np.exp(mean[np.arange(len(some)), best]) / np.exp(mean).sum(axis=1), 9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds.tolist(), pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
+                preds = np.array(batch.column(2).to_pylist(), object)
+                best, mean, top, mass = (batch.column(i).to_numpy(zero_copy_only=False).copy() for i in range(3, 7))
+                sums, n = posteriors([texts[i] for i in some], priors, log_probs)
+                each = np.arange(len(some))
+                at = (sums + priors).argmax(axis=1)
+                whole = (sums + priors)[each, at]
+                means = sums / n[:, None] * np.minimum(n, EVIDENCE)[:, None] + priors
+                ahead = whole > best[some]  # ties stay with the language that is first in order
+                preds[some[ahead]], best[some[ahead]], mean[some[ahead]] = names[at[ahead]], whole[ahead], means[each, at][ahead]
+                high = np.maximum(top[some], means.max(axis=1))
+                mass[some] = mass[some] * np.exp(top[some] - high) + np.exp(means - high[:, None]).sum(axis=1)
+                top[some] = high
+                found = [pa.array(preds.tolist(), pa.string()), *[pa.array(x, pa.float64()) for x in (best, mean, top, mass)]]
+                batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], names=batch.schema.names)
+            yield batch
+
+    return state.mapInArrow(score, STATE)
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score for each document."""
+    none = "cast('-Infinity' as double)"
+    state = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(null as string) lang_pred", f"{none} best", f"{none} mean", f"{none} top", "0D mass")
+    before = None
+    for i, block in enumerate(model.blocks()):
+        if i:
+            state = materialize(state, "scored")
+            if before is not None:
+                discard(before)
+            before = state
+        state = _passed(state, block)
+    known = F.col("lang_pred").isNotNull()
+    return state.select("doc_id", F.when(known, F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(known, F.round(F.exp(F.col("mean") - F.col("top")) / F.col("mass"), 9)).otherwise(0.0).alias("score"))
 
 
 def held_out() -> F.Column:
@@ -168,4 +229,4 @@ def held_out() -> F.Column:
 
 def language_query(docs: DataFrame) -> DataFrame:
     """Train on what isn't held out and predict for all documents."""
-    return identify(docs, *train(docs.where(~held_out()))).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return identify(docs, train(docs.where(~held_out()))).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -232,7 +232,7 @@ def test_language_scores_against_dictionaries(spark):
     labelled = [(r.text, r.lang) for r in real.collect()][:60]
     rows = [(r.doc_id, r.text[:300]) for r in real.collect()[60:100]] + [(900, "Σίσυφος ΣΊΣΥΦΟΣ"), (901, "a"), (902, "½²①"), (903, "12 _"), (904, None)]
     model = op7_language.train(spark.createDataFrame(labelled, "text string, lang string"))
-    got = {r.doc_id: (r.lang_pred, r.score) for r in op7_language.identify(spark.createDataFrame(rows, "doc_id long, text string"), *model).collect()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in op7_language.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     want = plain_language(rows[:-3], labelled)
     assert all(got[i][0] == lang and abs(got[i][1] - score) < 0.02 for i, (lang, score) in want.items())
     assert got[902] == got[903] == got[904] == ("und", 0.0)
@@ -252,12 +252,39 @@ def test_700_labels_are_all_learned(spark):
     words = [["".join(r.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(4)] for _ in range(700)]
     rows = [(i, " ".join(words[i % 700][k % 4] for k in range(40)), f"l{i % 700:03}") for i in range(1400)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = op7_language.train(table)
-    assert len(model[0]) == 700 and model[2].size <= op7_language.MODEL_CELLS
-    got = op7_language.identify(table, *model).collect()
+    model = op7_language.train(table, block_languages=400)
+    blocks = list(model.blocks())
+    assert [len(b[0]) for b in blocks] == [400, 300] and all(b[2].shape[0] == op7_language.BUCKETS for b in blocks)
+    got = op7_language.identify(table, model).collect()
     assert sum(x.lang_pred == f"l{x.doc_id % 700:03}" for x in got) > 1390
 
 
+def test_language_blocks_change_nothing(spark):
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = spark.createDataFrame([(900, None), (901, "12 34"), (902, "a"), (None, "das ist"), (902, "a")], "doc_id long, text string")
+    asked = real.select("doc_id", "text").unionByName(odd)
+    read = lambda size: sorted((x.doc_id or -1, x.lang_pred, round(x.score, 7)) for x in op7_language.identify(asked, op7_language.train(real, 1 << 12, block_languages=size)).collect())
+    one = read(128)
+    assert len({x[1] for x in one}) > 3 and read(2) == one and read(1) == one
+
+
+def test_equal_languages_are_predicted_as_the_first_of_them(spark):
+    table = spark.createDataFrame([(i, "same words here", f"l{i % 5}") for i in range(10)], "doc_id long, text string, lang string")
+    for size in (1, 2, 128):
+        got = op7_language.identify(table, op7_language.train(table, 1 << 10, block_languages=size)).collect()
+        assert {x.lang_pred for x in got} == {"l0"} and all(abs(x.score - 0.2) < 1e-8 for x in got)
+
+
+def test_training_sample_is_bounded_for_each_of_many_labels(spark):
+    """The bound holds above a thousand labels too: the frequent one gives about so many documents."""
+    rows = [(f"unit {i}", "big") for i in range(4000)] + [(f"t {i}", f"l{i:04}") for i in range(1100)]
+    model = op7_language.train(spark.createDataFrame(rows, "text string, lang string"), 1 << 8, max_training_docs=100)
+    assert model.size == 1101 and model.total == 5100
+    grams = {r.lang: r.n for r in model.counts.groupBy("l").sum("n").withColumnRenamed("sum(n)", "n").join(model.languages.drop("n"), "l").collect()}
+    assert len(grams) == 1101
+    assert 50 < grams["big"] / 27 < 180  # about 27 n-grams in each such text
+
+
 # --- 8 ---
 
 
