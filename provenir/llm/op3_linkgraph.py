@@ -7,6 +7,9 @@ Both scores are the PageRank sums without the factor (1 - damping), so they don'
 hosts; what reaches a host without outgoing edges stays there. A page that no rule fits is blocked where
 its host's distrust is at least ``threshold`` and more than its trust.
 
+Up to INLINE_RULES rules are one expression. More are a table: a host's parents are looked up among the rules' hosts by an equality join,
+once for each host, and a page then has only the rules of its host and that host's parents to try, the longest first. Both ways give the same; of equally long rules that fit, the first in order wins.
+
 Everything is DataFrame functions. Pages are reduced to weighted host edges before any exchange; the iterations
 work on hosts only and move what the last step added; each writes that as a table, which cuts the lineage, and the scores are the sums of all these. They stop when what is still to come,
 at most damping / (1 - damping) times the sum of the last step's increments, is below ``rest`` for all hosts together.
@@ -17,7 +20,7 @@ empty html has no links; repeated pages count as pages of their own; an empty ta
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize, new_path
@@ -30,7 +33,7 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-MAX_RULES = 500
+INLINE_RULES = 500  # in one expression
 DAMPING = 0.85
 STEPS = 160  # of the SQL
 REST = 1e-10  # scores are rounded to 6 digits
@@ -49,15 +52,37 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...] = RULES) -> Column:
     """struct(rule, verdict) of the longest rule that fits, else null."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    last_first = sorted(rules, key=lambda r: (r[1] + r[2], r[2], r[0]), reverse=True)
+    for verdict, h, p in sorted(last_first, key=lambda r: len(r[1] + r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
     return out
 
 
+def rules_of_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """host, rules: for each of hosts(host), each once, what rules(verdict, host, path) name it or a parent, the longest first; hosts without any are left out.
+
+    The result of a host has the rules of that host and its parents, not more."""
+    labels = F.split("host", r"\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    own = rules.select(F.col("host").alias("_parent"), F.struct((-F.length(F.concat("host", "path"))).alias("size"), F.concat("host", "path").alias("rule"), "path", "verdict").alias("_r"))
+    return hosts.select("host", F.explode(parents).alias("_parent")).join(own, "_parent").groupBy("host").agg(F.array_sort(F.collect_list("_r")).alias("rules"))
+
+
+def with_rules(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] | DataFrame = RULES) -> DataFrame:
+    """pages(host, path, ...) with _rule, as ``rule_of`` has it; rules as tuples or as a table of verdict, host, path."""
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= INLINE_RULES:
+            return pages.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
+        spark: SparkSession = pages.sparkSession
+        rules = spark.createDataFrame(list(rules), "verdict string, host string, path string")
+    known = rules_of_hosts(pages.where("host <> ''").select("host").distinct(), rules)
+    first = F.try_element_at(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(1))
+    out = F.when(first.isNotNull(), F.struct(first["rule"].alias("rule"), first["verdict"].alias("verdict")))
+    return pages.join(known, "host", "left").withColumn("_rule", out).drop("rules")
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
     """src, dst, n: links between different hosts."""
     links = F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), 1))
@@ -85,11 +110,11 @@ def propagate(seeds: DataFrame, edges: DataFrame, iterations: int | None = None,
     return spark.read.schema(schema).parquet(*paths).groupBy("host").agg(F.sum("new").alias("score"))
 
 
-def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, threshold: float = THRESHOLD, iterations: int | None = None) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] | DataFrame = RULES, threshold: float = THRESHOLD, iterations: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every row; iterations, where given, cut the sums."""
     host, path = host_and_path(F.col("url"))
     named = pages.select("page_id", "html", host.alias("host"), path.alias("path"))
-    named = named.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
+    named = with_rules(named, rules)
     share = lambda verdict: (F.count_if(F.col("_rule.verdict") == verdict) / F.count("*")).alias(verdict)
     hosts = materialize(named.where("host <> ''").groupBy("host").agg(share("allow"), share("block")), "hosts")
     edges = materialize(host_edges(named.select("host", "html")), "edges")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -188,6 +189,34 @@ def test_link_graph_against_sql(spark, tmp_path):
     assert verdicts[7] == ("example.org/en/1", "block") and verdicts[8] == (None, "block") and verdicts[4] == (None, "allow")
 
 
+def test_many_rules_by_a_join_are_judged_as_by_one_expression(spark, monkeypatch):
+    from provenir.llm import op3_linkgraph as L3
+
+    r = random.Random(5)
+    labels, paths = ["a", "b", "cc", "org"], ["/", "/x", "/x/", "/x/y", "", "/%", "/_"]
+    host = lambda n: ".".join(r.choice(labels) for _ in range(n))
+    rules = tuple({(r.choice(["allow", "block"]), host(r.randint(1, 3)), r.choice(paths)) for _ in range(120)}) + L3.RULES
+    pages = [(i, f"http://{host(r.randint(1, 4))}{r.choice(paths)}{r.choice(['', 'q', '?a', '#f'])}", None) for i in range(600)]
+    pages += [(None, None, None), (1, "nourl", ""), (1, "http://", "x"), (2, "http://.org/x", None), (2, "http://.org/x", None), (3, "http://a..org./", "<a href=//" + "b" * 50_000 + ">" * 10)]
+    table = spark.createDataFrame([(*p, "trap", "trap", 0.5) for p in pages], "page_id long, url string, html string, host string, rules string, trust double")
+    read = lambda rules: sorted(repr(tuple(x)) for x in L3.judge_urls(table, rules).collect())
+    inline = read(rules)
+    monkeypatch.setattr(L3, "INLINE_RULES", 10)
+    assert read(rules) == inline and len(inline) == len(pages)
+    assert read(spark.createDataFrame(list(rules), "verdict string, host string, path string")) == inline
+
+    def judged(url):
+        rest = url.split("://", 1)[1] if "://" in (url or "") else ""
+        h = re.match(r"[^/?#]*", rest)[0]
+        p = re.match(r"[^?#]*", rest[len(h) :])[0]
+        fit = [x for x in rules if (h == x[1] or h.endswith("." + x[1])) and p.startswith(x[2])]
+        best = min(fit, key=lambda x: (-len(x[1] + x[2]), x[1] + x[2], x[2], x[0]), default=None)
+        return best and best[1] + best[2]
+
+    assert sorted(repr(x.rule) for x in L3.judge_urls(table, rules).collect()) == sorted(repr(judged(p[1])) for p in pages)
+    assert L3.judge_urls(table.limit(0), rules).collect() == [] and {x.rule for x in L3.judge_urls(table, table.sparkSession.createDataFrame([], "verdict string, host string, path string")).collect()} == {None}
+
+
 # --- 4 and 9 ---
 
 
@@ -350,11 +379,11 @@ def test_language_held_out_accuracy_and_und(spark, real):
     assert len(held) > 20 and sum(r.lang_pred == r.lang for r in held) / len(held) > 0.95
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
     model = train(real.select("text", "lang"), max_training_docs=10)
-    langs = model[0]
+    langs = [x for block in model.blocks() for x in block[0]]
     odd = table(spark, [(1, None), (2, "12 34"), (3, ""), (4, "und der die nicht"), (5, "日本")])
-    pred = {r.doc_id: (r.lang_pred, r.score) for r in identify(odd, *model).collect()}
+    pred = {r.doc_id: (r.lang_pred, r.score) for r in identify(odd, model).collect()}
     assert pred[1] == pred[2] == pred[3] == ("und", 0.0) and pred[4][0] == "de" and pred[5][0] in langs
-    assert {r.lang_pred for r in identify(odd, *train(real.select("text", "lang").limit(0))).collect()} == {"und"}
+    assert {r.lang_pred for r in identify(odd, train(real.select("text", "lang").limit(0))).collect()} == {"und"}
 
 
 # --- 8 ---
