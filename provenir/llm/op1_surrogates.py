@@ -77,6 +77,8 @@ PATTERNS = {
     "known": rf"(?<!\p{{L}})(?=\p{{Lu}}){_KNOWN} {_NAME}",
 }
 PATTERN = "|".join(PATTERNS.values())
+# Country codes of one and two digits; all others have three.
+CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 GATE = rf"[0-9@]|{_TITLE}[. ]|[0-9a-fA-F]{{32}}|{_CUE} |{PATTERNS['known']}"
 
 
@@ -126,9 +128,14 @@ def units(e: Column) -> Column:
     return let(F.struct(kind_of(e).alias("kind"), *[c.alias(n) for n, c in zip(("head", "given", "surname"), _person(e), strict=True)]), lambda x: _units(e, x["kind"], x["head"], x["given"], x["surname"]))
 
 
+def _national(e: Column) -> Column:
+    """The digits of a phone number behind its country code, where it is written with one."""
+    return F.regexp_replace(F.regexp_replace(e, CODE, ""), r"\D", "")
+
+
 def _units(e: Column, kind: Column, head: Column, given: Column, surname: Column) -> Column:
     digits = F.regexp_replace(e, r"\D", "")
-    norm = F.when(kind.isin("email", "secret", "hex"), F.lower(e)).when(kind == "phone", F.right(digits, F.lit(10))).when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.regexp_replace(e, " ", "")).otherwise(e)
+    norm = F.when(kind.isin("email", "secret", "hex"), F.lower(e)).when(kind == "phone", _national(e)).when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.regexp_replace(e, " ", "")).otherwise(e)
     gender = _gender(F.regexp_extract(head, r"^(\p{L}+)", 1), given)
     unit = lambda k, v: F.struct(k.alias("kind"), v.alias("norm"))
     last = unit(F.concat(F.lit("surname."), _script(surname)), F.lower(surname))
@@ -245,7 +252,7 @@ def _laid_out(e: Column, new: Column, kind: Column, head: Column, given: Column,
     hex_ = F.when(e.rlike("[A-F]") & ~e.rlike("[a-f]"), F.upper(new[0])).otherwise(new[0])
     # digits in the entity's layout, behind a phone number's country code; what an attempt beyond DENSE added comes last
     digits = F.regexp_replace(e, r"\D", "")
-    all_ = F.when(kind == "phone", F.concat(F.substr(digits, F.lit(1), F.greatest(F.length(digits) - 10, F.lit(0))), new[0])).otherwise(new[0])
+    all_ = F.when(kind == "phone", F.concat(F.substr(digits, F.lit(1), F.length(digits) - F.length(_national(e))), new[0])).otherwise(new[0])
     laid = F.concat(_weave(e, all_, F.lit("")), F.substr(all_, F.length(digits) + 1))
     out = F.when(kind == "person", name).when(kind == "secret", _cased_as(new[0], e)).when(kind == "hex", hex_)
     out = out.when(kind.isin("phone", "card", "ssn"), laid)

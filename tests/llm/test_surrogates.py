@@ -43,10 +43,19 @@ def gender(title, given):
     return "u"
 
 
+def national(e):
+    """Digits behind the country code: the longest known code of one or two digits, else three."""
+    digits = regex.sub("[^0-9]", "", e)
+    if e[0] != "+":
+        return digits
+    two = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+    return digits[1 if digits[0] in "17" else 2 if digits[:2] in two else 3 :]
+
+
 def units(e):
     kind, digits = kind_of(e), regex.sub("[^0-9]", "", e)
     if kind != "person":
-        return [(kind, {"email": e.lower(), "secret": e.lower(), "hex": e.lower(), "phone": digits[-10:], "card": digits, "ssn": digits, "iban": e.replace(" ", "")}.get(kind, e))]
+        return [(kind, {"email": e.lower(), "secret": e.lower(), "hex": e.lower(), "phone": national(e), "card": digits, "ssn": digits, "iban": e.replace(" ", "")}.get(kind, e))]
     head, given, last = person(e)
     own = ("surname." + script(last), last.lower())
     return [own] if not given else [(f"given.{gender(regex.match(r'[\p{L}]*', head).group(), given)}.{script(given)}", given.lower()), own]
@@ -130,7 +139,7 @@ def render(e, attempt):
     if kind == "hex":
         return new[0].upper() if regex.search("[A-F]", e) and not regex.search("[a-f]", e) else new[0]
     if kind in ("phone", "card", "ssn"):
-        full = digits[: max(len(digits) - 10, 0)] + new[0] if kind == "phone" else new[0]
+        full = digits[: len(digits) - len(national(e))] + new[0] if kind == "phone" else new[0]
         return weave(e, full) + full[len(digits) :]
     if kind == "iban":
         c = iter(new[0])
@@ -166,6 +175,15 @@ def test_against_plain_python(spark):
     assert [want[10_000 + i][1] for i in range(7)] == [4, 3, 5, 6, 3, 0, 0]
 
 
+def test_country_codes_stay_and_numbers_meet_by_their_national_part(spark):
+    codes = ["+1", "+7", "+20", "+49", "+44", "+351", "+995", "+86"]
+    rows = [(i, f"call {c} 23 456 7890 now") for i, c in enumerate(codes)] + [(100, "+1 434 555 2368"), (101, "434-555-2368"), (102, "+14345552368"), (103, "(43) 555 2368")]
+    got = {x.doc_id: x.text for x in P1.surrogate_query(docs(spark, [(*x, "k", "e") for x in rows])).collect()}
+    for i, c in enumerate(codes):
+        assert regex.fullmatch(rf"call \{c} \d\d \d{{3}} \d{{4}} now", got[i]) and got[i] != rows[i][1]
+    assert len({regex.sub("[^0-9]", "", got[i])[-10:] for i in (100, 101, 102)}) == 1 and got[103][:1] == "("
+
+
 def test_values_beyond_the_dense_attempts_stay_distinct(spark, monkeypatch):
     monkeypatch.setattr(P1, "DENSE", -1)
     rows = [(i, t) for i, t in enumerate(EXTRA)]
