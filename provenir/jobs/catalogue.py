@@ -547,6 +547,8 @@ GRAPH_QUESTIONS = [
     (8, "Tell me about Customer#000000011"),
     (9, "How are NATION_1, NATION_6, NATION_7 and Supplier#000000002 part of AMERICA, ASIA, AFRICA or EUROPE?"),
     (10, "Were NATION_3, NATION_9 and NATION_12 part of ASIA, EUROPE, AMERICA, AFRICA or the MIDDLE EAST between 1990 and 2003?"),
+    (11, "Overview of all themes since 2010"),
+    (12, "Which supplier links were there from 1996 until 1998?"),
 ]
 ANCHOR_SQL = f"""{_ask_sql(GRAPH_QUESTIONS)}, {D.ENTITIES_SQL}, anchor AS (SELECT DISTINCT question_id, id, name FROM questions, (SELECT id, name, unnest(list_prepend(lower(name), aliases)) AS called FROM entities WHERE status = 'accepted' AND merged_into IS NULL) WHERE length(called) >= 3 AND contains(lower(question), called)),
  al AS (SELECT question_id, list(id ORDER BY length(name) DESC, id) AS ids FROM anchor GROUP BY question_id),
@@ -966,10 +968,18 @@ def _evidence_sql() -> str:
  pr AS (SELECT question_id, ids[i] AS s, ids[j] AS t FROM (SELECT question_id, ids, unnest(range(1, len(ids) + 1)) AS i FROM route), LATERAL (SELECT unnest(range(i + 1, len(ids) + 1)) AS j)),
  {PATHS_SQL.replace("FROM rel", "FROM tagged").replace("e AS (SELECT pos", "tagged AS (SELECT pos, question_id || '|' || source AS source, question_id || '|' || target AS target FROM acc), pairs AS (SELECT question_id || '|' || s AS source, question_id || '|' || t AS target FROM pr), e AS (SELECT pos")},
  hop AS (SELECT split_part(source, '|', 1)::BIGINT AS question_id, unnest(path) AS pos, generate_subscripts(path, 1) - 1 AS k FROM found),
+ tq AS (SELECT question_id FROM route WHERE mode = 'temporal' AND question_id NOT IN (SELECT question_id FROM named)), et AS (SELECT question_id, source AS u, target AS v FROM both_ok SEMI JOIN tq USING (question_id) UNION SELECT question_id, target, source FROM both_ok SEMI JOIN tq USING (question_id)),
+ reacht AS (SELECT question_id, id AS node, id AS root FROM tq, ok UNION SELECT r.question_id, v, root FROM reacht r JOIN et ON u = node AND et.question_id = r.question_id), commt AS (SELECT question_id, node AS id, min(root) AS community FROM reacht GROUP BY ALL),
+ cst AS (SELECT question_id, community, count(*) AS size, row_number() OVER (PARTITION BY question_id ORDER BY count(*) DESC, community) - 1 AS idx FROM commt GROUP BY question_id, community),
+ voct AS (SELECT DISTINCT question_id, community, unnest({_tok("name")}) AS term FROM commt JOIN ok USING (id) UNION SELECT b.question_id, community, unnest({_tok("relation")}) FROM both_ok b JOIN commt c ON c.id = source AND c.question_id = b.question_id),
+ mtt AS (SELECT question_id, community, count(*) AS m FROM ask JOIN voct USING (question_id, term) GROUP BY ALL),
+ sct AS (SELECT question_id, community, CASE WHEN m IS NOT NULL THEN least(1.0::DOUBLE, 0.55::DOUBLE + 0.12 * m + 0.2 * least(1.0::DOUBLE, log2(size + 1) / 5)) ELSE greatest(0.15::DOUBLE, least(1.0::DOUBLE, log2(size + 1) / 5) * (1 - idx * 0.08::DOUBLE)) END AS score FROM br JOIN cst USING (question_id) LEFT JOIN mtt USING (question_id, community) WHERE m IS NOT NULL OR broad),
  g AS (SELECT n.question_id, unnest(evidence) AS block_id, CASE WHEN m.id IS NULL THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END AS score FROM n8 n JOIN ok USING (id) LEFT JOIN named m ON m.question_id = n.question_id AND m.id = n.id
   UNION ALL SELECT a.question_id, unnest(evidence), 0.82::DOUBLE FROM both_ok r JOIN n8 a ON a.id = source AND a.question_id = r.question_id JOIN n8 b ON b.id = target AND b.question_id = a.question_id
   UNION ALL SELECT question_id, unnest(evidence), score FROM sc JOIN comm USING (community) JOIN ok USING (id) WHERE question_id NOT IN (SELECT question_id FROM named) AND question_id NOT IN (SELECT question_id FROM route WHERE mode = 'temporal')
   UNION ALL SELECT question_id, unnest(evidence), least(1.0::DOUBLE, score + 0.08) FROM sc JOIN comm USING (community) JOIN usable ON source = comm.id WHERE question_id NOT IN (SELECT question_id FROM named) AND question_id NOT IN (SELECT question_id FROM route WHERE mode = 'temporal')
+  UNION ALL SELECT question_id, unnest(evidence), score FROM sct JOIN commt USING (question_id, community) JOIN ok USING (id)
+  UNION ALL SELECT question_id, unnest(evidence), least(1.0::DOUBLE, score + 0.08) FROM sct JOIN commt USING (question_id, community) JOIN both_ok USING (question_id) WHERE source = commt.id
   UNION ALL SELECT question_id, unnest(evidence), greatest(0.7::DOUBLE, 1 - k * 0.08::DOUBLE) FROM hop JOIN relations USING (pos)),
  gm AS (SELECT question_id, block_id, round(max(score), 6) AS score FROM g GROUP BY ALL), gr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, block_id) AS rnk FROM gm SEMI JOIN el USING (question_id, block_id) QUALIFY rnk <= 30),
  fu AS (SELECT question_id, block_id, bm.rnk AS bm25_rank, gr.rnk AS graph_rank, round(coalesce(1.0::DOUBLE / (60 + bm.rnk), 0) + coalesce(1.0::DOUBLE / (60 + gr.rnk), 0), 9) AS fused FROM bm FULL JOIN gr USING (question_id, block_id))

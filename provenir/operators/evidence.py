@@ -19,7 +19,8 @@ def evidence_query(questions: DataFrame, blocks: DataFrame, entities: DataFrame,
     """question_id, block_id, mode, each channel's rank and score, fused, rnk.
 
     questions(question_id, question), blocks(block_id, text, and created and updated where there are such columns), entities and relations as in ``graph``, vectors(question_id, block_id, score) of a provider.
-    A question with a time is asked of the blocks of that time, and their statistics alone count; its graph has the relations of that time.
+    A question with a time is asked of the blocks of that time, and their statistics alone count; its graph has the relations of that time,
+    and so have the communities that stand in for the graph where it names no entity.
     Channels go on to the fusion with three times the limit, 20 at least.
     """
     limit = max(1, min(limit, MOST))
@@ -36,10 +37,14 @@ def evidence_query(questions: DataFrame, blocks: DataFrame, entities: DataFrame,
     own = materialize(R.relations_of_times(relations, timed).drop("time"), "relations")
     named = G.anchors(questions, entities, with_aliases=False).select("question_id").distinct()
     proofs = R.proofs(routed, relations)
+    unnamed = routed.join(named, "question_id", "left_anti").select("question_id", F.to_json("time").alias("scope"), "question")
+    dated = unnamed.where("scope is not null")
+    of_scopes = materialize(R.relations_of_times(relations, times.join(dated, "scope", "left_semi")).drop("time"), "relations")
     graph = (
         G.graph_rank(plain.select("question_id", "question"), entities, relations)
         .unionByName(G.graph_rank(routed.where("time is not null").select("question_id", "question"), entities, own))
-        .unionByName(G.community_rank(plain.select("question_id", "question").join(named, "question_id", "left_anti"), entities, relations, tokens))
+        .unionByName(G.community_rank(unnamed.where("scope is null").drop("scope"), entities, relations, tokens))
+        .unionByName(G.community_rank(dated, entities, of_scopes, tokens))
         .unionByName(R.proof_evidence(proofs, relations))
         .groupBy("question_id", "block_id")
         .agg(F.max("score").alias("score"))

@@ -82,14 +82,27 @@ def accepted_relations(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return relations.where("status = 'accepted'").join(ok.withColumnRenamed("id", "source"), "source", "left_semi").join(ok.withColumnRenamed("id", "target"), "target", "left_semi")
 
 
-def communities(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """id, community (its least member), size, idx (0 for the largest) of accepted entities; lone ones are communities of one."""
+def communities(entities: DataFrame, relations: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
+    """id, community (its least member), size, idx (0 for the largest) of accepted entities; lone ones are communities of one.
+
+    With scopes(scope), a few rows, each scope has communities of its own, along its rows of relations(scope, ...); the result has scope too.
+    """
     own = accepted_entities(entities).select("id")
-    cc = connected_components(accepted_relations(entities, relations).select(F.col("source").alias("a"), F.col("target").alias("b")))
-    members = own.join(cc, own.id == cc.vertex, "left").select("id", F.coalesce("component", "id").alias("community"))
-    sizes = members.groupBy("community").agg(F.count("*").alias("size"))
-    idx = numbered(sizes, [F.desc("size"), F.col("community")], "idx")
-    return members.join(idx, "community").select("id", "community", "size", "idx")
+    usable = accepted_relations(entities, relations)
+    if scopes is None:
+        cc = connected_components(usable.select(F.col("source").alias("a"), F.col("target").alias("b")))
+        members = own.join(cc, own.id == cc.vertex, "left").select("id", F.coalesce("component", "id").alias("community"))
+        sizes = members.groupBy("community").agg(F.count("*").alias("size"))
+        idx = numbered(sizes, [F.desc("size"), F.col("community")], "idx")
+        return members.join(idx, "community").select("id", "community", "size", "idx")
+    vertex = lambda c: F.struct("scope", F.col(c).alias("id"))
+    cc = connected_components(usable.select(vertex("source").alias("a"), vertex("target").alias("b"))).select(F.col("vertex.scope").alias("scope"), F.col("vertex.id").alias("id"), F.col("component.id").alias("component"))
+    members = scopes.select("scope").distinct().join(own).join(cc, ["scope", "id"], "left").select("scope", "id", F.coalesce("component", "id").alias("community"))
+    sizes = members.groupBy("scope", "community").agg(F.count("*").alias("size"))
+    placed = numbered(sizes, [F.col("scope"), F.desc("size"), F.col("community")], "place")
+    first = placed.groupBy("scope").agg(F.min("place").alias("first"))
+    idx = placed.join(first, "scope").select("scope", "community", "size", (F.col("place") - F.col("first")).alias("idx"))
+    return members.join(idx, ["scope", "community"]).select("scope", "id", "community", "size", "idx")
 
 
 def anchors(questions: DataFrame, entities: DataFrame, with_aliases: bool = True) -> DataFrame:
@@ -158,24 +171,29 @@ def graph_rank(questions: DataFrame, entities: DataFrame, relations: DataFrame)
 
 
 def community_rank(questions: DataFrame, entities: DataFrame, relations: DataFrame, tokenise: Callable[[Column], Column]) -> DataFrame:
-    """question_id, block_id, score for questions that name no entity: communities by the terms they share with the question, or by breadth for broad questions."""
-    member = communities(entities, relations)
-    usable = accepted_relations(entities, relations).join(member.select(F.col("id").alias("source"), "community", "size", "idx"), "source")
-    named = member.join(entities.select("id", "name"), "id").select("community", F.explode(tokenise(F.col("name"))).alias("term"))
-    labels = usable.select("community", F.explode(tokenise(F.col("relation"))).alias("term"))
+    """question_id, block_id, score for questions that name no entity: communities by the terms they share with the question, or by breadth for broad questions.
+
+    With a column scope in both questions and relations, such as the time asked for, a question has the communities of the relations of its scope.
+    """
+    scoped = "scope" in questions.columns
+    own = ["scope"] if scoped else []
+    member = communities(entities, relations, questions if scoped else None)
+    usable = accepted_relations(entities, relations).join(member.select(*own, F.col("id").alias("source"), "community", "size", "idx"), [*own, "source"])
+    named = member.join(entities.select("id", "name"), "id").select(*own, "community", F.explode(tokenise(F.col("name"))).alias("term"))
+    labels = usable.select(*own, "community", F.explode(tokenise(F.col("relation"))).alias("term"))
     vocabulary = named.unionByName(labels).distinct()
-    asked = questions.select("question_id", F.explode(tokenise(F.col("question"))).alias("term"))
-    matches = asked.join(vocabulary, "term").groupBy("question_id", "community").agg(F.count("*").alias("matches"))
-    shape = member.groupBy("community").agg(F.first("size").alias("size"), F.first("idx").alias("idx"))
-    broad = questions.select("question_id", F.col("question").rlike(r"(?i)(?<![A-Za-z0-9_])(?:overall|overview|summari[sz]e|themes?|communities|clusters?|landscape|big picture)(?![A-Za-z0-9_])").alias("broad"))
+    asked = questions.select("question_id", *own, F.explode(tokenise(F.col("question"))).alias("term"))
+    matches = asked.join(vocabulary, [*own, "term"]).groupBy("question_id", *own, "community").agg(F.count("*").alias("matches"))
+    shape = member.groupBy(*own, "community").agg(F.first("size").alias("size"), F.first("idx").alias("idx"))
+    broad = questions.select("question_id", *own, F.col("question").rlike(r"(?i)(?<![A-Za-z0-9_])(?:overall|overview|summari[sz]e|themes?|communities|clusters?|landscape|big picture)(?![A-Za-z0-9_])").alias("broad"))
     breadth = F.least(F.lit(1.0), F.log2(F.col("size") + 1) / 5)
-    lexical = matches.join(shape, "community").select("question_id", "community", F.least(F.lit(1.0), 0.55 + 0.12 * F.col("matches") + 0.2 * breadth).alias("score"))
-    wide = broad.where("broad").join(shape).select("question_id", "community", F.greatest(F.lit(0.15), breadth * (1 - F.col("idx") * 0.08)).alias("score"))
+    lexical = matches.join(shape, [*own, "community"]).select("question_id", *own, "community", F.least(F.lit(1.0), 0.55 + 0.12 * F.col("matches") + 0.2 * breadth).alias("score"))
+    wide = broad.where("broad").join(shape, own or None).select("question_id", *own, "community", F.greatest(F.lit(0.15), breadth * (1 - F.col("idx") * 0.08)).alias("score"))
     wide = wide.join(lexical, ["question_id", "community"], "left_anti")
     score = lexical.unionByName(wide)
-    own = score.join(member, "community").join(entities.select("id", "evidence"), "id").select("question_id", F.explode("evidence").alias("block_id"), "score")
-    more = score.join(usable.select("community", "evidence"), "community").select("question_id", F.explode("evidence").alias("block_id"), F.least(F.lit(1.0), F.col("score") + 0.08).alias("score"))
-    return own.unionByName(more).groupBy("question_id", "block_id").agg(F.round(F.max("score"), 6).alias("score"))
+    of_entities = score.join(member, [*own, "community"]).join(entities.select("id", "evidence"), "id").select("question_id", F.explode("evidence").alias("block_id"), "score")
+    more = score.join(usable.select(*own, "community", "evidence"), [*own, "community"]).select("question_id", F.explode("evidence").alias("block_id"), F.least(F.lit(1.0), F.col("score") + 0.08).alias("score"))
+    return of_entities.unionByName(more).groupBy("question_id", "block_id").agg(F.round(F.max("score"), 6).alias("score"))
 
 
 def relation_years(valid_from: Column, valid_to: Column, observed_at: Column) -> tuple[Column, Column]:
