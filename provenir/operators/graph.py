@@ -49,27 +49,59 @@ def neighbourhood(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def _frontier(last: DataFrame, seen: DataFrame, near: DataFrame, backwards: bool) -> DataFrame:
+    """origin, node, path, nodes one step beyond ``last``: for each origin and node not in seen the first sequence of positions, read from the path's start."""
+    step = last.join(near, last.node == near.u)
+    path, nodes = (F.concat(F.array("pos"), "path"), F.concat(F.array("v"), "nodes")) if backwards else (F.concat("path", F.array("pos")), F.concat("nodes", F.array("v")))
+    best = step.select("origin", F.col("v").alias("node"), F.struct(path.alias("path"), nodes.alias("nodes")).alias("p")).groupBy("origin", "node").agg(F.min("p").alias("p"))
+    return best.join(seen, ["origin", "node"], "left_anti").select("origin", "node", "p.path", "p.nodes")
+
+
 def shortest_paths(pairs: DataFrame, relations: DataFrame, max_hops: int = 4) -> DataFrame:
-    """question, source, target, path (relation positions), nodes: the shortest path of each pair(question, source, target).
+    """question, source, target, path (relation positions), nodes: the shortest path of each distinct pair(question, source, target).
 
     Of equally short paths the one whose sequence of relation positions comes first wins, which is what a queue
     that scans relations in order finds. relations(pos, source, target); they are walked either way.
+
+    A source is searched from once, however many targets it has, and so is a target; the two searches take turns, and a pair is answered at the first level at which they meet.
+    Both halves of the winning path are the first ones to their meeting node, so the least of the joined sequences is the pair's. A pair is met along whichever of its two
+    frontiers is smaller, so a hub on one side isn't unrolled for each pair; origins without an open pair aren't followed further.
     """
     near = relations.select("pos", F.col("source").alias("u"), F.col("target").alias("v")).unionByName(relations.select("pos", F.col("target").alias("u"), F.col("source").alias("v"))).where("u <> v")
-    first = pairs.select("question", "source", "target", F.col("source").alias("node"), F.array().cast("array<bigint>").alias("path"), F.array("source").alias("nodes"))
-    done = first.where("source = target")
-    frontier = first.where("source <> target")
-    seen = frontier.select("question", "source", "target", "node")
-    for _ in range(max_hops):
-        w = Window.partitionBy("question", "source", "target", "v").orderBy(F.concat("path", F.array("pos")))
-        step = frontier.join(near, frontier.node == near.u).select("question", "source", "target", "v", F.concat("path", F.array("pos")).alias("path"), F.concat("nodes", F.array("v")).alias("nodes"), F.row_number().over(w).alias("_n"))
-        step = step.where("_n = 1").drop("_n").withColumnRenamed("v", "node").join(seen, ["question", "source", "target", "node"], "left_anti").select("question", "source", "target", "node", "path", "nodes")
-        step = materialize(step, "frontier")
-        done = done.unionByName(step.where("node = target"))
-        arrived = step.where("node = target").select("question", "source", "target")
-        frontier = step.join(arrived, ["question", "source", "target"], "left_anti")
-        seen = seen.unionByName(step.select("question", "source", "target", "node"))
-    return done.select("question", "source", "target", "path", "nodes")
+    near = near.groupBy("u", "v").agg(F.min("pos").alias("pos"))
+    asked = pairs.select("question", "source", "target").distinct()
+    done = asked.where("source = target").select("question", "source", "target", F.array().cast("array<bigint>").alias("path"), F.array("source").alias("nodes"))
+    ends = materialize(asked.where("source <> target").select("source", "target").distinct(), "pairs")
+    open_pairs, found = ends, None
+    sides = {}
+    for end in ("source", "target"):
+        start = ends.select(F.col(end).alias("origin")).distinct().select("origin", F.col("origin").alias("node"), F.array().cast("array<bigint>").alias("path"), F.array("origin").alias("nodes"))
+        sides[end] = (start, start.select("origin", "node"))
+    for hop in range(max_hops):
+        end = "target" if hop % 2 else "source"
+        last, seen = sides[end]
+        wanted = open_pairs.select(F.col(end).alias("origin")).distinct()
+        step = materialize(_frontier(last.join(wanted, "origin", "left_semi"), seen, near, hop % 2 == 1), "frontier")
+        sides[end] = step, seen.unionByName(step.select("origin", "node"))
+        met = materialize(_meetings(open_pairs, sides["source"][0], sides["target"][0]), "met")
+        found = met if found is None else found.unionByName(met)
+        open_pairs = materialize(open_pairs.join(met, ["source", "target"], "left_anti"), "pairs")
+        if open_pairs.isEmpty() or step.isEmpty():
+            break
+    return done if found is None else done.unionByName(asked.join(found, ["source", "target"]).select("question", "source", "target", "path", "nodes"))
+
+
+def _meetings(pairs: DataFrame, ahead: DataFrame, back: DataFrame) -> DataFrame:
+    """source, target, path, nodes of the pairs whose frontiers share a node."""
+    count = lambda f, end: f.groupBy(F.col("origin").alias(end)).agg(F.count("*").alias(f"n_{end}"))
+    sized = pairs.join(count(ahead, "source"), "source").join(count(back, "target"), "target")
+    forth = ahead.select(F.col("origin").alias("source"), "node", F.col("path").alias("path_a"), F.col("nodes").alias("nodes_a"))
+    rest = back.select(F.col("origin").alias("target"), "node", F.col("path").alias("path_b"), F.col("nodes").alias("nodes_b"))
+    columns = ["source", "target", "path_a", "nodes_a", "path_b", "nodes_b"]
+    near_source = sized.where("n_source <= n_target").select("source", "target").join(forth, "source").join(rest, ["target", "node"]).select(columns)
+    near_target = sized.where("n_source > n_target").select("source", "target").join(rest, "target").join(forth, ["source", "node"]).select(columns)
+    whole = F.struct(F.concat("path_a", "path_b").alias("path"), F.concat("nodes_a", F.slice("nodes_b", 2, F.size("nodes_b"))).alias("nodes"))
+    return near_source.unionByName(near_target).groupBy("source", "target").agg(F.min(whole).alias("p")).select("source", "target", "p.path", "p.nodes")
 
 
 def accepted_entities(entities: DataFrame) -> DataFrame:

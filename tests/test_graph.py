@@ -44,6 +44,37 @@ def test_shortest_path_is_the_one_a_queue_finds(spark, seed):
         assert got.get((a, b)) == bfs(a, b, relations), (a, b)
 
 
+@pytest.mark.parametrize("hops", [1, 2, 3, 4, 5])
+def test_paths_of_many_pairs_around_hubs(spark, hops):
+    """Two hubs, parallel relations, repeated and absent pairs, ends that no relation knows: as a queue finds them."""
+    r = random.Random(hops)
+    relations = [(p, r.choice(["hub", "mid", f"e{r.randrange(40)}"]), f"e{r.randrange(40)}") for p in range(70)]
+    relations += [(70 + i, a, b) for i, (_, a, b) in enumerate(relations[:20])]
+    nodes = ["hub", "mid", "nowhere", *(f"e{i}" for i in range(40))]
+    pairs = [(q, r.choice(nodes), r.choice(nodes)) for q in range(3) for _ in range(80)] + [(0, "e1", t) for t in nodes] + [(0, "e1", "e2")] * 2 + [(1, None, "e1")]
+    found = G.shortest_paths(spark.createDataFrame(pairs, "question int, source string, target string"), spark.createDataFrame(relations, "pos long, source string, target string"), hops).collect()
+    got = {(x.question, x.source, x.target): list(x.path) for x in found}
+    assert len(got) == len(found)
+    for q, a, b in pairs:
+        assert got.get((q, a, b)) == (bfs(a, b, relations, hops) if a else None), (a, b)
+    ends = {p: {a, b} for p, a, b in relations}
+    for x in found:
+        assert x.nodes[0] == x.source and x.nodes[-1] == x.target and [ends[p] for p in x.path] == [set(y) for y in zip(x.nodes, x.nodes[1:])]
+
+
+def test_a_search_is_shared_by_all_targets_of_its_source(spark, monkeypatch):
+    written = []
+    keep = G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df, name: written.append((name, t := keep(df, name))) or t)
+    relations = spark.createDataFrame([(i, "hub", f"e{i}") for i in range(200)], "pos long, source string, target string")
+    for n in (1, 150):
+        written.clear()
+        found = G.shortest_paths(spark.createDataFrame([(0, "e0", f"e{i + 1}") for i in range(n)], "question int, source string, target string"), relations).collect()
+        assert len(found) == n and all(len(x.path) == 2 for x in found)
+        assert [t.count() for name, t in written if name == "frontier"] == [1, n]  # the hub, and the hub again from each target: never 200 for each pair
+    assert G.shortest_paths(spark.createDataFrame([], "question int, source string, target string"), relations).count() == 0
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_two_sweeps_reach_what_a_growing_set_reaches(spark, seed):
     relations = random_relations(seed, n=30, m=24)
