@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,10 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import blocks as B
+from ..operators import dom as DM
 from ..operators import evidence as EV
 from ..operators import extraction as E
 from ..operators import graph as G
 from ..operators import imports as I
+from ..operators import model_mentions as MM
 from ..operators import names as N
 from ..operators import reasoning as R
 from ..operators import rebuild as RB
@@ -265,30 +268,30 @@ def layered_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PATHS_SQL = """e AS (SELECT pos, source AS u, target AS v FROM rel UNION ALL SELECT pos, target, source FROM rel),
- w AS (SELECT source AS s, target AS t, source AS node, []::BIGINT[] AS path, 0 AS h FROM pairs WHERE source <> target),
- s1 AS (SELECT s, t, v AS node, list_append(path, pos) AS path FROM w JOIN e ON u = node WHERE v <> s QUALIFY row_number() OVER (PARTITION BY s, t, v ORDER BY list_append(path, pos)) = 1),
- s2 AS (SELECT s, t, v AS node, list_append(path, pos) AS path FROM (SELECT * FROM s1 WHERE (s, t) NOT IN (SELECT s, t FROM s1 WHERE node = t)) x JOIN e ON u = node WHERE v <> s AND (s, t, v) NOT IN (SELECT s, t, node FROM s1) QUALIFY row_number() OVER (PARTITION BY s, t, v ORDER BY list_append(path, pos)) = 1),
- s3 AS (SELECT s, t, v AS node, list_append(path, pos) AS path FROM (SELECT * FROM s2 WHERE (s, t) NOT IN (SELECT s, t FROM s2 WHERE node = t)) x JOIN e ON u = node WHERE v <> s AND (s, t, v) NOT IN (SELECT s, t, node FROM s1 UNION ALL SELECT s, t, node FROM s2) QUALIFY row_number() OVER (PARTITION BY s, t, v ORDER BY list_append(path, pos)) = 1),
- s4 AS (SELECT s, t, v AS node, list_append(path, pos) AS path FROM (SELECT * FROM s3 WHERE (s, t) NOT IN (SELECT s, t FROM s3 WHERE node = t)) x JOIN e ON u = node WHERE v <> s AND (s, t, v) NOT IN (SELECT s, t, node FROM s1 UNION ALL SELECT s, t, node FROM s2 UNION ALL SELECT s, t, node FROM s3) QUALIFY row_number() OVER (PARTITION BY s, t, v ORDER BY list_append(path, pos)) = 1),
- found AS (SELECT s AS source, t AS target, path FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4) WHERE node = t)"""
+ w AS (SELECT source AS s, target AS t, source AS node, []::BIGINT[] AS path, [source] AS nodes, 0 AS h FROM pairs WHERE source <> target),
+ s1 AS (SELECT s, t, v AS node, list_append(path, pos) AS path, list_append(nodes, v) AS nodes FROM w JOIN e ON u = node WHERE v <> s QUALIFY row_number() OVER (PARTITION BY s, t, v ORDER BY list_append(path, pos)) = 1),
+ s2 AS (SELECT s, t, v AS node, list_append(path, pos) AS path, list_append(nodes, v) AS nodes FROM (SELECT * FROM s1 WHERE (s, t) NOT IN (SELECT s, t FROM s1 WHERE node = t)) x JOIN e ON u = node WHERE v <> s AND (s, t, v) NOT IN (SELECT s, t, node FROM s1) QUALIFY row_number() OVER (PARTITION BY s, t, v ORDER BY list_append(path, pos)) = 1),
+ s3 AS (SELECT s, t, v AS node, list_append(path, pos) AS path, list_append(nodes, v) AS nodes FROM (SELECT * FROM s2 WHERE (s, t) NOT IN (SELECT s, t FROM s2 WHERE node = t)) x JOIN e ON u = node WHERE v <> s AND (s, t, v) NOT IN (SELECT s, t, node FROM s1 UNION ALL SELECT s, t, node FROM s2) QUALIFY row_number() OVER (PARTITION BY s, t, v ORDER BY list_append(path, pos)) = 1),
+ s4 AS (SELECT s, t, v AS node, list_append(path, pos) AS path, list_append(nodes, v) AS nodes FROM (SELECT * FROM s3 WHERE (s, t) NOT IN (SELECT s, t FROM s3 WHERE node = t)) x JOIN e ON u = node WHERE v <> s AND (s, t, v) NOT IN (SELECT s, t, node FROM s1 UNION ALL SELECT s, t, node FROM s2 UNION ALL SELECT s, t, node FROM s3) QUALIFY row_number() OVER (PARTITION BY s, t, v ORDER BY list_append(path, pos)) = 1),
+ found AS (SELECT s AS source, t AS target, path, nodes FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4) WHERE node = t)"""
 
 
-@query(f"WITH {D.RELATIONS_SQL}, rel AS (SELECT * FROM relations WHERE status = 'accepted'), pairs AS (SELECT 's' || s_suppkey AS source, 'r' || r_regionkey AS target FROM supplier, region), {PATHS_SQL} SELECT source, target, array_to_string(path, '>') AS path FROM found")
+@query(f"WITH {D.RELATIONS_SQL}, rel AS (SELECT * FROM relations WHERE status = 'accepted'), pairs AS (SELECT 's' || s_suppkey AS source, 'r' || r_regionkey AS target FROM supplier, region), {PATHS_SQL} SELECT source, target, array_to_string(path, '>') AS path, array_to_string(nodes, '>') AS nodes FROM found")
 def relation_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rel = D.relations(spark, sf_dir).where("status = 'accepted'")
     s, r = read_table(spark, sf_dir, "supplier"), read_table(spark, sf_dir, "region")
     pairs = s.join(r).select(F.lit(0).alias("question"), F.concat(F.lit("s"), "s_suppkey").alias("source"), F.concat(F.lit("r"), "r_regionkey").alias("target"))
-    return G.shortest_paths(pairs, rel).select("source", "target", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+    return G.shortest_paths(pairs, rel).select("source", "target", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.array_join("nodes", ">").alias("nodes"))
 
 
 @query(
-    f"""WITH {EDGES_SQL}, k AS (SELECT pos AS p, link_pos AS l, source, target FROM edges WHERE resolved), rel AS (SELECT p * 10 + l AS pos, source, target FROM k), pairs AS (SELECT 'n' || n_nationkey AS source, 's' || s_suppkey AS target FROM nation, supplier), {PATHS_SQL} SELECT source, target, len(path) AS hops FROM found"""
+    f"""WITH {EDGES_SQL}, k AS (SELECT pos AS p, link_pos AS l, source, target FROM edges WHERE resolved), rel AS (SELECT p * 10 + l AS pos, source, target FROM k), pairs AS (SELECT 'n' || n_nationkey AS source, 's' || s_suppkey AS target FROM nation, supplier), {PATHS_SQL} SELECT source, target, len(path) AS hops, array_to_string(nodes, '>') AS nodes FROM found"""
 )
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     rel = _edges(spark, sf_dir).where("resolved").select((F.col("pos") * 10 + F.col("link_pos")).alias("pos"), "source", "target")
     n, s = read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "supplier")
     pairs = s.join(n).select(F.lit(0).alias("question"), F.concat(F.lit("n"), "n_nationkey").alias("source"), F.concat(F.lit("s"), "s_suppkey").alias("target"))
-    return G.shortest_paths(pairs, rel).select("source", "target", F.size("path").cast("long").alias("hops"))
+    return G.shortest_paths(pairs, rel).select("source", "target", F.size("path").cast("long").alias("hops"), F.array_join("nodes", ">").alias("nodes"))
 
 
 @query(
@@ -351,6 +354,20 @@ def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.html_sections(read_table(spark, sf_dir, "pages"), "page_id", F.col("html"))
 
 
+# Opened tags of the pages end at the next block's, which is what the tree makes of them: they nest no sections. Entities are decoded once, the ampersand last.
+_DOM_TEXT = r"regexp_replace(regexp_replace(m, '^<[^>]*>', ''), '<[^>]*>', '', 'g')"
+for _p, _v in (("&middot;", "chr(183)"), ("&copy;", "chr(169)"), ("&quot;", "chr(34)"), ("&amp;?", "'&'")):
+    _DOM_TEXT = f"regexp_replace({_DOM_TEXT}, '{_p}', {_v}, 'g')"
+DOM_SQL = rf"""b AS (SELECT page_id, string_split(regexp_replace(regexp_replace({SAFE}, '<!--[\s\S]*?-->', '', 'g'), '(</?(?:h1|p|li|article|footer|ul|nav|div|body|html)\b)', chr(1) || '\1', 'gi'), chr(1)) AS x FROM pages),
+ m AS (SELECT page_id, unnest(x) AS m, generate_subscripts(x, 1) AS i FROM (SELECT page_id, list_filter(x, lambda y: regexp_matches(y, '(?i)^<(h1|p|li)\b')) AS x FROM b)),
+ t AS (SELECT page_id, i AS n, lower(regexp_extract(m, '^<([A-Za-z0-9]+)', 1)) AS tag, trim(regexp_replace({_DOM_TEXT}, '[ \t]+\n', chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13) || chr(160)) AS text FROM m)"""
+
+
+@query(f"WITH {DOM_SQL} SELECT page_id, n, tag, text, tag || '-' || n AS section FROM t WHERE text <> ''")
+def html_dom_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return DM.dom_sections(read_table(spark, sf_dir, "pages"), "page_id", F.col("html"))
+
+
 _STRIP = rf"regexp_replace(regexp_replace({SAFE}, '</?(?:p|div|section|article|main|aside|header|footer|li|tr|h[1-6]|br)\b[^>]*>', chr(10), 'gi'), '<[^>]+>', ' ', 'g')"
 
 
@@ -501,6 +518,27 @@ def entity_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.entity_candidates(E.mentions(_sentences(spark, sf_dir)))
 
 
+def _capitalised() -> MM.Provider:
+    """A deterministic provider in a model's place: capitalised words, typed and scored by their length."""
+    labels, word = ("PER", "B-ORG", "LOC", "MISC"), re.compile("[A-Z][a-z]{2,}")
+    return lambda texts: [[MM.Mention(labels[len(m[0]) % 4], m[0], 0.5 + 0.05 * (len(m[0]) % 10), m.start(), m.end()) for m in word.finditer(t)] for t in texts]
+
+
+@query(
+    rf"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{{2,}}')) AS name, generate_subscripts(regexp_extract_all(text, '[A-Z][a-z]{{2,}}'), 1) AS i FROM documents),
+ m AS (SELECT ['person', 'organization', 'place', 'topic'][length(name) % 4 + 1] AS type, lower(name) AS normalized, name, 0.5::DOUBLE + 0.05::DOUBLE * (length(name) % 10) AS score, doc_id, i FROM w WHERE length(name) <= 120),
+ g AS (SELECT type, normalized, arg_min(name, (doc_id, i)) AS name, max(score) AS confidence, count(DISTINCT doc_id) AS n, min(doc_id) AS first_block FROM m WHERE score >= 0.7 GROUP BY ALL)
+ SELECT 'model-entity-' || type || '-' || left(normalized, 80) AS id, type, name, confidence, n, first_block FROM g WHERE NOT (type = 'topic' AND normalized IN (SELECT lower(regexp_extract(text, '^[A-Z][a-z]+')) FROM documents WHERE text IS NOT NULL))"""
+)
+def model_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of a provider over whole documents, without the topics that the documents' first words name already."""
+    docs = _docs(spark, sf_dir)
+    found = MM.model_mentions(docs.select(F.col("doc_id").alias("pos"), F.col("doc_id").alias("block_id"), "text"), _capitalised)
+    first = F.regexp_extract("text", "^[A-Z][a-z]+", 0)
+    known = docs.where("text is not null").select(F.lit("topic").alias("type"), first.alias("name"), F.lit("first-word").alias("extractor")).distinct()
+    return MM.model_candidates(MM.model_evidence(found), known).select("id", "type", "name", "confidence", "n", "first_block")
+
+
 RELATION_CANDIDATES_SQL = rf"""WITH {ENTITY_SQL}, men AS (SELECT id, name, unnest(evidence) AS block_id FROM entity WHERE type NOT IN ('url', 'identifier')),
  seen AS (SELECT m.block_id, id, name, lower(text) AS low, instr(lower(text), lower(name)) AS p FROM men m JOIN sentences s USING (block_id)),
  rk AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY p, length(name) DESC, id) AS rk FROM seen WHERE p > 0),
