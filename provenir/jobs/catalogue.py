@@ -23,6 +23,7 @@ from ..operators import retrieval as V
 from ..operators import review as RV
 from ..operators import review_log as RL
 from ..operators import semantic as S
+from ..operators import text_index as TI
 from ..operators import verify as VF
 from ..operators import workspace as W
 from ..sources import derived as D
@@ -94,6 +95,15 @@ def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir, 10).withColumn("rnk", F.col("rnk").cast("long"))
 
 
+@query(f"WITH {BM25_SQL.replace('FROM benchmark)', 'FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT -1 - doc_id, text FROM documents WHERE doc_id % 100 = 0))')} SELECT item_id, doc_id, score, rnk FROM bm WHERE rnk <= 10")
+def bm25_index_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items, and the documents whose id is divisible by 100 under -1 - doc_id, asked of a stored index of all documents."""
+    docs = _docs(spark, sf_dir).select("doc_id", F.col("text").alias("body"))
+    asked = _questions(spark, sf_dir).unionByName(docs.where("doc_id % 100 = 0").select((-1 - F.col("doc_id")).alias("item_id"), F.col("body").alias("text")))
+    out = TI.ranked(TI.text_index(docs, "doc_id", F.col("body")), asked, "item_id", F.col("text"), 10)
+    return out.withColumn("rnk", F.col("rnk").cast("long"))
+
+
 VECTOR_SQL = """vq AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
  vs AS (SELECT query_id, vec_id AS ident, round(list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))), 6) AS score FROM embeddings, vq),
  vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ident) AS rnk FROM vs WHERE score > 0)"""
