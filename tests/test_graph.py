@@ -75,6 +75,17 @@ def test_a_search_is_shared_by_all_targets_of_its_source(spark, monkeypatch):
     assert G.shortest_paths(spark.createDataFrame([], "question int, source string, target string"), relations).count() == 0
 
 
+def test_a_hub_is_not_unrolled_for_pairs_without_a_path(spark, monkeypatch):
+    written = []
+    keep = G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df, name: written.append((name, t := keep(df, name))) or t)
+    relations = [(i, f"e{i}", "hub") for i in range(300)] + [(300, "hub", "root"), (301, "x", "other"), (302, "y", "other"), (303, "z", "y"), (304, "z", "x")]
+    pairs = [(0, f"e{i}", t) for i in range(100) for t in ("root", "other")] + [(1, t, f"e{i}") for i in range(100) for t in ("root", "other")]
+    found = G.shortest_paths(spark.createDataFrame(pairs, "question int, source string, target string"), spark.createDataFrame(relations, "pos long, source string, target string")).collect()
+    assert sorted((x.source, x.target) for x in found) == sorted([(f"e{i}", "root") for i in range(100)] + [("root", f"e{i}") for i in range(100)])
+    assert sum(t.count() for name, t in written if name == "frontier") < 1500  # 100 ends times 300 leaves otherwise
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_two_sweeps_reach_what_a_growing_set_reaches(spark, seed):
     relations = random_relations(seed, n=30, m=24)
