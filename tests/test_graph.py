@@ -86,6 +86,41 @@ def test_a_hub_is_not_unrolled_for_pairs_without_a_path(spark, monkeypatch):
     assert sum(t.count() for name, t in written if name == "frontier") < 1500  # 100 ends times 300 leaves otherwise
 
 
+def shuffled_rows(spark):
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_neighbours_through_a_hub_are_not_shuffled(spark):
+    edges = spark.createDataFrame([(f"e{i}", h) for i in range(300) for h in ("hub", f"hub{i % 2}")], "source string, target string")
+    before = shuffled_rows(spark)
+    found = {(r.start, r.node): r.hops for r in G.neighbourhood(spark.createDataFrame([(f"e{i}",) for i in range(100)], "start string"), edges, 2).collect()}
+    assert found == {(f"e{i}", f"e{j}"): 0 if i == j else 2 for i in range(100) for j in range(300)} | {(f"e{i}", h): 1 for i in range(100) for h in ("hub", f"hub{i % 2}")}
+    assert shuffled_rows(spark) - before < 15_000  # of 30,000 neighbours, half of them twice
+
+
+@pytest.mark.parametrize("few", [2, 4, 64])
+def test_neighbourhoods_of_any_depth(spark, monkeypatch, few):
+    monkeypatch.setattr(G, "FEW", few)
+    monkeypatch.setattr(G, "TASK_ROWS", 8)
+    edges = [(a, b) for _, a, b in random_relations(few, n=40, m=45)]
+    beside = {}
+    for a, b in edges:
+        beside.setdefault(a, set()).add(b)
+        beside.setdefault(b, set()).add(a)
+    starts = [f"e{i}" for i in range(0, 40, 3)] + ["nowhere"]
+    got = [tuple(r) for r in G.neighbourhood(spark.createDataFrame([(s,) for s in starts], "start string"), spark.createDataFrame(edges, "source string, target string"), 3).select("start", "node", "hops").collect()]
+    expected = []
+    for s in starts:
+        hops, last = {s: 0}, {s}
+        for hop in (1, 2, 3):
+            last = {v for u in last for v in beside.get(u, ())} - hops.keys()
+            hops |= dict.fromkeys(last, hop)
+        expected += [(s, n, h) for n, h in hops.items()]
+    assert sorted(got) == sorted(expected)
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_two_sweeps_reach_what_a_growing_set_reaches(spark, seed):
     relations = random_relations(seed, n=30, m=24)
