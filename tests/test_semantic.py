@@ -85,6 +85,18 @@ def test_recall_holds_with_many_bits_at_the_least_threshold(spark):
     assert sum((i, i + 600) in got for i in range(600)) >= 0.92 * 600
 
 
+def test_tables_are_used_only_where_they_save_products(spark):
+    for n in (5_000, 20_000, 120_000, 400_000):  # tables of 2, 4, 16 and 64 buckets would be as many
+        assert S.link_plan(n, 0.5, 0.999) == (0, 1)
+    bits, tables = S.link_plan(10_000_000, 0.72, 0.98)
+    assert 1 << bits > tables > 1
+    vectors = list(enumerate(np.random.default_rng(8).standard_normal((400, 8)).tolist()))
+    classes = S.vector_classes(table(spark, vectors)).select("class_id", "class_size", "vector")
+    rows, used = S._met(classes, 0.5, 0.999, 100, 1)
+    assert used == 1 and rows.count() <= 400 * 6  # each with the tiles of one bucket
+    assert rows.where("size(signs) <> at").count() == 0
+
+
 def test_no_vectors_no_links(spark):
     for rows in ([], [(1, None)], [(1, [1.0])], [(1, [1.0]), (2, [1.0])]):
         assert S.semantic_links(table(spark, rows)).collect() == []
