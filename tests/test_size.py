@@ -1,5 +1,6 @@
 """What a task holds and what is exchanged, at sizes that tests can reach: plans and forced small limits against the plain way."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from provenir import storage
 from provenir.operators import blocks as B
 from provenir.operators import extraction as E
 from provenir.operators import reasoning as R
+from provenir.operators import retrieval as V
 
 
 def plan_of(df):
@@ -65,3 +67,30 @@ def test_candidates_are_dealt_out_by_their_rows(spark, monkeypatch):
     evidence, relations = run()
     assert sorted(relations.collect()) == want and want
     assert "hashpartitioning(id#" in plan_of(relations) and f", {-(-evidence.count() // 25)})" in plan_of(relations)
+
+
+def test_scores_of_all_pairs_are_not_grouped_or_written(spark, monkeypatch):
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(rnd.randint(0, n)))
+    blocks = spark.createDataFrame([(i, i % 2, t) for i in range(120) for t in [text(9)]] + [(200 + i, 0, "w1 w2 w3") for i in range(40)], "id long, scope int, body string")
+    questions = spark.createDataFrame([(i, i % 2, text(6)) for i in range(9)] + [(50, 1, None)], "q long, scope int, question string")
+    ask = lambda: V.bm25(questions, blocks, "q", "id", F.col("question"), F.col("body"), 5)
+    tok = lambda t: set((t or "").split())
+    want = []
+    for q, scope, question in questions.collect():
+        own = [(i, tok(t)) for i, s, t in blocks.collect() if s == scope]
+        mean = sum(len(t) for _, t in own) / len(own)
+        idf = {w: math.log(1 + (len(own) - n + 0.5) / (n + 0.5)) for w in words for n in [sum(w in t for _, t in own)] if n}
+        raw = {i: sum(idf[w] for w in tok(question) & t) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(t) / mean)) for i, t in own if tok(question) & t}
+        ranked = sorted((-round(r / max(raw.values()), 6), i) for i, r in raw.items())[:5]
+        want += [(q, i, -s, k) for k, (s, i) in enumerate(ranked, 1)]
+    written = []
+    keep = V.materialize
+    monkeypatch.setattr(V, "materialize", lambda df, name="table": written.append((name, keep(df, name))) or written[-1][1])
+    for cells, sent in ((1 << 22, 1 << 20), (30, 8)):
+        monkeypatch.setattr(V, "CELLS", cells)
+        monkeypatch.setattr(V, "SENT_TERMS", sent)
+        assert sorted(tuple(r) for r in ask().collect()) == sorted(want)
+    scores = [df for name, df in written if name == "scores"][0]
+    assert scores.where("ident >= 200" if "ident" in scores.columns else "id >= 200").groupBy("q").count().where("count > 20").isEmpty()
