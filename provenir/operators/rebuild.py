@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import dealt, materialize
 from . import extraction as E
 from . import review as RV
 
@@ -34,7 +34,7 @@ def full(blocks: DataFrame) -> State:
 def changes(old: DataFrame, blocks: DataFrame) -> DataFrame:
     """block_id, pos, action for each block of old(block_id, pos, hash) and blocks: extract (new or another text), move (another place), remove, keep."""
     was = old.select("block_id", F.col("pos").alias("_pos"), F.col("hash").alias("_hash"))
-    both = hashed(blocks).join(was, "block_id", "full")
+    both = dealt(hashed(blocks), old.count(), "block_id").join(was, "block_id", "full")
     action = F.when(F.col("hash").isNull(), "remove").when(~F.col("hash").eqNullSafe(F.col("_hash")), "extract").when(~F.col("pos").eqNullSafe(F.col("_pos")), "move").otherwise("keep")
     return both.select("block_id", "pos", action.alias("action"))
 
@@ -46,25 +46,29 @@ def increment(old: State, blocks: DataFrame) -> tuple[State, DataFrame]:
     gone = plan.where("action IN ('extract', 'remove')").select("block_id")
     moved = plan.where("action = 'move'").select("block_id", F.col("pos").alias("_pos"))
 
+    n = {k: old[k].count() for k in ("mentions", "evidence", "relations")}  # of written tables
+    by_block = {k: dealt(old[k], n[k], "block_id") for k in ("mentions", "evidence")}
     fresh = materialize(E.mentions(blocks.join(read, "block_id", "left_semi")), "fresh")
-    kept = old["mentions"].join(gone, "block_id", "left_anti").join(moved, "block_id", "left")
+    kept = by_block["mentions"].join(gone, "block_id", "left_anti").join(moved, "block_id", "left")
     first = F.when(F.col("_pos").isNotNull(), F.col("first").withField("pos", F.col("_pos"))).otherwise(F.col("first"))
     mentions = materialize(kept.withColumn("first", first).select(fresh.columns).unionByName(fresh), "mentions")
 
-    touched = old["mentions"].join(plan.select("block_id"), "block_id", "left_semi").select(KEY).unionByName(fresh.select(KEY)).distinct()
+    touched = by_block["mentions"].join(plan.select("block_id"), "block_id", "left_semi").select(KEY).unionByName(fresh.select(KEY)).distinct()
     touched = materialize(touched, "touched")
-    counted = materialize(E.entity_candidates(mentions.join(touched, KEY, "left_semi")), "counted")
+    counted = materialize(E.entity_candidates(dealt(mentions, n["mentions"], *KEY).join(touched, KEY, "left_semi")), "counted")
     entities = materialize(old["entities"].join(touched, KEY, "left_anti").unionByName(counted), "entities")
     before = old["entities"].join(touched, KEY, "left_semi").select(*KEY, F.col("id").alias("_id"), F.col("name").alias("_name"))
     other = counted.join(before, KEY, "full").where(~(F.col("id").eqNullSafe(F.col("_id")) & F.col("name").eqNullSafe(F.col("_name")))).select(KEY)
 
-    related = mentions.join(other, KEY, "left_semi").select("block_id").distinct().join(read, "block_id", "left_anti")
+    related = dealt(mentions, n["mentions"], *KEY).join(other, KEY, "left_semi").select("block_id").distinct().join(read, "block_id", "left_anti")
     again = materialize(read.withColumn("again", F.lit("extract")).unionByName(related.withColumn("again", F.lit("relate"))), "again")
-    found = materialize(E.relation_evidence(blocks.join(again, "block_id", "left_semi").select("block_id", "text"), mentions.join(again, "block_id", "left_semi"), entities), "found")
+    reread = materialize(dealt(mentions, n["mentions"], "block_id").join(again, "block_id", "left_semi"), "reread")
+    found = materialize(E.relation_evidence(blocks.join(again, "block_id", "left_semi").select("block_id", "text"), reread, entities), "found")
     dropped = gone.unionByName(again.select("block_id")).distinct()
-    evidence = materialize(old["evidence"].join(dropped, "block_id", "left_anti").unionByName(found), "evidence")
-    ids = materialize(old["evidence"].join(dropped, "block_id", "left_semi").select("id").unionByName(found.select("id")).distinct(), "ids")
-    relations = old["relations"].join(ids, "id", "left_anti").unionByName(E.relation_candidates(evidence.join(ids, "id", "left_semi")))
+    evidence = materialize(by_block["evidence"].join(dropped, "block_id", "left_anti").unionByName(found), "evidence")
+    ids = materialize(by_block["evidence"].join(dropped, "block_id", "left_semi").select("id").unionByName(found.select("id")).distinct(), "ids")
+    counted = E.relation_candidates(dealt(evidence, n["evidence"], "id").join(ids, "id", "left_semi"), 0)
+    relations = dealt(old["relations"], n["relations"], "id").join(ids, "id", "left_anti").unionByName(counted)
     return {"blocks": materialize(hashed(blocks), "blocks"), "mentions": mentions, "entities": entities, "evidence": evidence, "relations": materialize(relations, "relations")}, again
 
 
