@@ -3,11 +3,13 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from provenir import storage
 from provenir.operators import blocks as B
 from provenir.operators import extraction as E
+from provenir.operators import names as N
 from provenir.operators import reasoning as R
 from provenir.operators import retrieval as V
 
@@ -94,3 +96,21 @@ def test_scores_of_all_pairs_are_not_grouped_or_written(spark, monkeypatch):
         assert sorted(tuple(r) for r in ask().collect()) == sorted(want)
     scores = [df for name, df in written if name == "scores"][0]
     assert scores.where("ident >= 200" if "ident" in scores.columns else "id >= 200").groupBy("q").count().where("count > 20").isEmpty()
+
+
+def test_names_are_found_in_distinct_pieces_and_not_exchanged(spark, monkeypatch):
+    rnd = random.Random(6)
+    word = lambda a, b: "".join(rnd.choice("abé#\n😀") for _ in range(rnd.randint(a, b)))
+    texts = [" ".join(word(0, 7) for _ in range(rnd.randint(0, 60))) for _ in range(50)] + ["", " ", None]
+    names = sorted({word(1, 4) for _ in range(60)})
+    searched = []
+    known = N.strings_known
+    monkeypatch.setattr(N, "strings_known", lambda group, *a: searched.extend(group) or known(group, *a))
+    assert list(N.strings_in_pieces(["aa bb", "bb aa bb"], np.full(2048, 0xFFFFFFFF, np.uint32), [2])[0]) == [0, 0, 1, 1] and searched == ["aa", "bb"]
+    t = spark.createDataFrame(list(enumerate(texts)), "ident long, text string")
+    for size in (4 << 20, 100):
+        monkeypatch.setattr(N, "PIECES_BYTES", size)
+        got = N.find_names(t, spark.createDataFrame([(n,) for n in names], "called string"), once=True)
+        found = [tuple(r) for r in got.collect()]
+        assert len(found) == len(set(found)) and set(found) == {(i, n) for i, x in enumerate(texts) for n in names if x and n in x}
+    assert "Exchange hashpartitioning(ident" not in plan_of(got)
