@@ -110,7 +110,7 @@ class Chunk:
             lo, hi = np.flatnonzero(opens), np.flatnonzero(closes)
             size = hi - lo + length
             context = mix((prefix[lo + size] - prefix[lo]) * inverse[lo] + size.astype(np.uint64))
-            found.append((lo + a, hi + a, grams[at[lo]], context))
+            found.append((lo + a, hi + a, mix(grams[at[lo]]), context))  # a least hash is small: mixed once more, anchors fill all ranges alike
         self.lo, self.hi, self.anchor, self.context = (np.concatenate(x) for x in zip(*found, strict=True))
 
     def matrix(self, start: np.ndarray, width: int) -> np.ndarray:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from provenir.llm import op1_surrogates as P1
@@ -183,6 +184,16 @@ def test_suffixes_of_few_and_of_very_many_contexts(spark, monkeypatch, hot):
         assert got[i] == (len(b), gone.sum(), (np.diff(np.r_[0, gone.astype(int)]) == 1).sum(), np.frombuffer(b, np.uint8)[~gone].tobytes())
 
 
+def test_anchors_fill_all_ranges_alike():
+    rng = np.random.default_rng(9)
+    text = bytes(rng.integers(97, 123, 400_000, dtype=np.uint8)).decode()
+    chunk = op9_suffixes.Chunk(pa.table({"chunk": [0], "doc_id": [1], "text": [text]}), 100)
+    chunk.find_runs()
+    shares = [j - i for _, i, j in split(np.unique(chunk.anchor), 64)]
+    assert len(shares) == 64
+    assert max(shares) < 2 * np.mean(shares)
+
+
 def test_equal_hashes_remove_nothing_unless_the_bytes_agree(monkeypatch):
     monkeypatch.setattr(op9_suffixes.Suffixes, "alike", lambda self, x, y, begin, size: np.ones(len(x), bool))
     data = np.frombuffer(b"abcdefghijKLabcdefghijMNabcdefghijKL", np.uint8)
