@@ -6,7 +6,7 @@ ids one after another. Natural text repeats most of its pieces; each new piece i
 encoded by the library once per worker and then looked up. Tests hold this against whole-text encoding.
 
 A group of texts is split and its distinct pieces are found in Arrow; only these are looked up, by a 128-bit hash, in a
-compact store (sorted hashes and one array of ids) of bounded size: when full it is emptied and filled again. The ids of all
+compact store (sorted hashes, their places and one array of ids) of bounded size: when full it is emptied and filled again. The ids of all
 pieces are then gathered in numpy.
 
 A text that holds one of the vocabulary's special tokens, such as <|endoftext|>, is encoded whole by the library, since that splits it there.
@@ -34,38 +34,47 @@ GROUP = 1 << 22  # characters of text encoded together
 
 
 class Store:
-    """From 128-bit keys to stretches of ids. A stretch of -1 ids marks a piece that doesn't stand on its own."""
+    """From 128-bit keys to stretches of ids. A stretch of -1 ids marks a piece that doesn't stand on its own.
+
+    Pieces keep the place at which they were added; only the keys' first halves are sorted, with these places beside them.
+    """
 
     def __init__(self, limit: int, dtype: np.dtype):
         self.limit, self.dtype = limit, dtype
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.checks, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
 
     def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
         """The place of each key, or -1."""
         if not len(self.keys):
             return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where((self.keys[at] == keys) & (self.checks[at] == checks), at, -1)
-
-    def add(self, keys: np.ndarray, checks: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
-        """New keys with their ids, in the same order."""
+        order = np.argsort(keys)  # neighbours are looked up one after another, which memory is faster at
+        at = np.empty(len(keys), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.keys, keys[order]), len(self.keys) - 1)
+        place = self.places[at]
+        return np.where((self.keys[at] == keys) & (self.checks[place] == checks), place, -1)
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """New keys with their ids, in the same order; their places."""
         if self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(ids), self.used), self.dtype)])
         self.ids[self.used : self.used + len(ids)] = ids
         whole = np.maximum(sizes, 0)
         starts = self.used + np.cumsum(whole) - whole
         self.used += len(ids)
+        places = np.arange(len(self.keys), len(self.keys) + len(keys), dtype=np.int32)
         order = np.argsort(keys)
         into = np.searchsorted(self.keys, keys[order])
         self.keys = np.insert(self.keys, into, keys[order])
-        self.checks = np.insert(self.checks, into, checks[order])
-        self.starts = np.insert(self.starts, into, starts[order])
-        self.sizes = np.insert(self.sizes, into, sizes[order])
+        self.places = np.insert(self.places, into, places[order])
+        self.checks = np.concatenate([self.checks, checks])
+        self.starts = np.concatenate([self.starts, starts])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        return places
 
 
 class Encoder:
@@ -89,8 +98,8 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array.array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str], keys: np.ndarray, checks: np.ndarray) -> None:
-        """Put the ids of words into the store."""
+    def _learn(self, words: list[str], keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Put the ids of words into the store; their places there."""
         sizes = np.full(len(words), -1, np.int32)
         together, marks, alone = [], [], []
         for i, w in enumerate(words):
@@ -125,7 +134,9 @@ class Encoder:
             order += alone
             ids.append(np.frombuffer(b"".join(each), self.dtype))
         order += np.flatnonzero(sizes < 0).tolist()
-        self.store.add(keys[order], checks[order], sizes[order], np.concatenate(ids) if ids else np.zeros(0, self.dtype))
+        places = np.empty(len(words), np.int64)
+        places[order] = self.store.add(keys[order], checks[order], sizes[order], np.concatenate(ids) if ids else np.zeros(0, self.dtype))
+        return places
 
     def _look_up(self, words: list[str]) -> np.ndarray:
         """The places of distinct words in the store."""
@@ -138,8 +149,8 @@ class Encoder:
         if len(self.store.keys) + len(new) > self.store.limit:
             self.store.clear()
             new = np.arange(len(words))
-        self._learn([words[i] for i in new], keys[new], checks[new])
-        return self.store.find(keys, checks)
+        at[new] = self._learn([words[i] for i in new], keys[new], checks[new])
+        return at
 
     def encode_group(self, texts: list[str]) -> list[bytes]:
         if not texts:

@@ -248,9 +248,9 @@ class Speculative(Encoder):
             counts[i] = len(own)
         return parts, counts
 
-    def _learn(self, words: list[str], keys: np.ndarray, checks: np.ndarray) -> None:
+    def _learn(self, words: list[str], keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
         sizes, ids = self._pieces(words)
-        self.store.add(keys, checks, sizes.astype(np.int32), ids)
+        return self.store.add(keys, checks, sizes.astype(np.int32), ids)
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words, per_piece = self._words(pieces)

@@ -19,31 +19,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize, new_path
-from .encode import GROUP, encoder
-from .text import groups, strings
+from .encode import encoder
+from .text import strings
 
 END_ID = 0
 STRIPE_BYTES = 32 << 20
 ROW_INDEX_STRIDE = 1000
 BLOOM_FPP = 0.01
 RANGE_BYTES, MOST_RANGES = 16 << 20, 100_000  # of text; tasks stream, so a range's size doesn't count for memory
+GROUP_BYTES = 1 << 20  # of text held as Python strings and encoded together
 SCHEMA = "part int, place long, doc_id long, n_tokens int, ids array<int>"
 
 
+def _groups(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of consecutive texts of limit bytes together at most; a longer text is on its own."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)), dtype=np.int64)
+    begin, before = 0, 0
+    while begin < len(ends):
+        end = max(begin + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield begin, end
+        begin, before = end, int(ends[end - 1])
+
+
 def _arrays(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     enc = encoder(path)
     end = np.array([end_id], "<i4")
     place = 0
     for batch in batches:
-        texts = strings(batch.column(2))
-        for a, b in groups(texts, GROUP):
+        for a, b in _groups(batch.column(2), GROUP_BYTES):
             part = batch.slice(a, b - a)
             ids, sizes = [], []
-            for raw in enc.encode(texts[a:b]):
+            for raw in enc.encode(strings(part.column(2))):
                 x = np.frombuffer(raw, enc.dtype).astype("<i4")
                 ids += [x, end]
                 sizes.append(len(x) + 1)

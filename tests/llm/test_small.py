@@ -450,3 +450,20 @@ def test_a_benchmark_in_blocks_gives_the_same(spark, real, monkeypatch):
     monkeypatch.setattr(op8_cgk, "BLOCK_BYTES", 3000)
     assert sorted(repr(tuple(r)) for r in find_leaks(real, bench).collect()) == one
     assert len(words("A-b, C")) == 3 and public_tokenizers
+
+
+def test_orc_texts_are_python_strings_a_group_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from provenir.llm import op2_orc
+
+    words = ["alpha beta, gamma ", None, "delta\n", "", "één twee drie ", "x " * 3000]
+    texts = [w and w * (i % 7) for i in range(60) for w in words]
+    batch = pa.RecordBatch.from_arrays([pa.array([3] * len(texts), pa.int32()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["part", "doc_id", "text"])
+    want = pa.Table.from_batches(op2_orc._arrays(iter([batch]), BYTE_BPE, 0)).combine_chunks()
+    held, plain = [], op2_orc.strings
+    monkeypatch.setattr(op2_orc, "strings", lambda column: held.append(plain(column)) or held[-1])
+    monkeypatch.setattr(op2_orc, "GROUP_BYTES", 5000, raising=False)
+    got = pa.Table.from_batches(op2_orc._arrays(iter([batch]), BYTE_BPE, 0)).combine_chunks()
+    assert got == want and got.num_rows == len(texts)
+    assert all(len(h) == 1 or sum(len(t.encode()) for t in h) <= 5000 for h in held) and [t for h in held for t in h] == [t or "" for t in texts]
