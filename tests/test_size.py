@@ -114,3 +114,64 @@ def test_names_are_found_in_distinct_pieces_and_not_exchanged(spark, monkeypatch
         found = [tuple(r) for r in got.collect()]
         assert len(found) == len(set(found)) and set(found) == {(i, n) for i, x in enumerate(texts) for n in names if x and n in x}
     assert "Exchange hashpartitioning(ident" not in plan_of(got)
+
+
+def test_questions_meet_names_without_a_bitmap_of_all_names(spark, monkeypatch):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("ab é#") for _ in range(rnd.randint(0, 6)))
+    names = spark.createDataFrame([(i, word()) for i in range(300)] + [(300, None)], "id long, called string")
+    texts = spark.createDataFrame([(i, " ".join(word() for _ in range(9))) for i in range(20)] + [(20, None), (21, "")], "q long, text string")
+    want = sorted(tuple(r) for r in N.find_names(texts, names, "q").join(names, "called").select("q", "id", "called").collect())
+    seen = []
+    bitmap_of = N.bitmap_of
+    monkeypatch.setattr(N, "bitmap_of", lambda known: seen.append(1) or bitmap_of(known))
+    got = lambda t: sorted(tuple(r) for r in N.name_rows(t, names, "q").select("q", "id", "called").collect())
+    assert got(texts) == want and want and not seen
+    assert got(texts.where("q = 20")) == [] == got(texts.where("q > 99")) and not seen
+    monkeypatch.setattr(N, "FEW_STRINGS", 100)
+    assert got(texts) == want and seen
+
+
+def test_proofs_walk_once_and_only_between_anchors(spark, monkeypatch):
+    rnd = random.Random(6)
+    relations = [(i, f"n{rnd.randint(0, 9)}", f"n{rnd.randint(0, 9)}", "accepted", [f"b{i}"], f"{rnd.randint(1990, 1999)}", None, None) for i in range(25)]
+    relations += [(100 + i, f"leaf|{i}", "n1", "accepted", ["b"], "1995", None, None) for i in range(40)] + [(90, "n0", "n7", "rejected", ["b"], "1995", None, None)]
+    schema = "pos long, source string, target string, status string, evidence array<string>, observed_at string, valid_from string, valid_to string"
+    years = {1: None, 2: (1992, 1996), 3: None, 4: (None, 1994), 5: (1999, 1991)}
+    asked = [(q, ["n0", "leaf|3", "n4", "n8"][: 2 + q % 3], y and (*y, "")) for q, y in years.items()]
+    routed = spark.createDataFrame(asked, "question_id long, anchor_ids array<string>, time struct<from_year:int,to_year:int,reason:string>")
+    table = spark.createDataFrame(relations, schema)
+
+    def first(source, target, usable):  # a queue that scans relations in order
+        queue, seen = [(source, [], [source])], {source}
+        for node, path, nodes in queue:
+            if node == target:
+                return path, nodes
+            for pos, a, b in usable if len(path) < 4 else []:
+                for u, v in ((a, b), (b, a)):
+                    if u == node and v not in seen:
+                        seen.add(v)
+                        queue.append((v, [*path, pos], [*nodes, v]))
+
+    want = []
+    for q, ids, time in asked:
+        low, high = (time[0] or 0, time[1] or 9999) if time else (0, 9999)
+        usable = [(r[0], r[1], r[2]) for r in relations if r[3] == "accepted" and low <= int(r[5]) <= high]
+        for i, s in enumerate(ids):
+            want += [(q, s, t, *p) for t in ids[i + 1 :] if (p := first(s, t, usable))]
+    calls, walk = [], R.shortest_paths
+    monkeypatch.setattr(R, "shortest_paths", lambda pairs, rows, hops: calls.append(rows.count()) or walk(pairs, rows, hops))
+    got = R.proofs(routed, table).select("question", "source", "target", "path", "nodes")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and want
+    assert len(calls) == 1 and calls[0] <= 3 * 26  # leaves that nobody asks for aren't walked
+
+
+def test_rows_of_one_row_group_are_dealt_into_tasks(spark, monkeypatch):
+    from provenir.sources import derived as D
+
+    plain = D.notes(spark, "/root/testdata/sf0.001").collect()
+    monkeypatch.setattr(storage, "SCAN_ROWS", 40)
+    got = D.notes(spark, "/root/testdata/sf0.001")
+    assert sorted(got.collect()) == sorted(plain)
+    tasks = got.where("id LIKE 'c%'").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+    assert len(tasks) > 1 and max(t.n for t in tasks) <= 80
