@@ -68,10 +68,11 @@ def traces(result: DataFrame, questions: DataFrame) -> DataFrame:
 def graph_plan(questions: DataFrame, notes: DataFrame, edges: DataFrame, limit: int = 5) -> DataFrame:
     """question_id, ident, hops, score, rnk: weighted lexical hits over notes(pos, id, title, markdown), lifted by how near they are, within three resolved links, to the first note that the question names."""
     blocks = notes.select(F.col("id").alias("ident"), "title", F.lit("").alias("heading"), F.col("markdown").alias("text"))
-    hits = V.weighted_lexical(questions, blocks, 4 * limit).select("question_id", "ident", "score")
+    hits = materialize(V.weighted_lexical(questions, blocks, 4 * limit).select("question_id", "ident", "score"), "hits")
     anchors = V.note_anchors(questions, notes).where("size(anchors) > 0").select("question_id", F.col("anchors")[0]["id"].alias("start"))
-    near = G.neighbourhood(anchors.select("start").distinct(), edges.where("resolved"), 3)
-    hops = anchors.join(near, "start").select("question_id", F.col("node").alias("ident"), "hops")
+    links = materialize(edges.where("resolved").select(F.lit(0).cast("long").alias("pos"), "source", "target").distinct(), "links")
+    walked = G.shortest_paths(hits.join(anchors, "question_id").select(F.col("question_id").alias("question"), F.col("start").alias("source"), F.col("ident").alias("target")), links, 3)
+    hops = walked.select(F.col("question").alias("question_id"), F.col("target").alias("ident"), F.size("path").alias("hops"))
     lift = F.when(F.col("hops") > 0, F.greatest(F.lit(0.03), 0.12 - F.col("hops") * 0.025)).otherwise(0.0)
     scored = hits.join(hops, ["question_id", "ident"], "left").withColumn("score", F.round(F.least(F.lit(1.0), F.col("score") + lift), 6))
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), F.lower("title"), "ident")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from provenir import storage
 from provenir.operators import blocks as B
+from provenir.operators import evidence as EV
 from provenir.operators import extraction as E
+from provenir.operators import graph as G
 from provenir.operators import names as N
 from provenir.operators import reasoning as R
 from provenir.operators import retrieval as V
@@ -175,3 +177,17 @@ def test_rows_of_one_row_group_are_dealt_into_tasks(spark, monkeypatch):
     assert sorted(got.collect()) == sorted(plain)
     tasks = got.where("id LIKE 'c%'").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
     assert len(tasks) > 1 and max(t.n for t in tasks) <= 80
+
+
+def test_graph_plan_counts_steps_for_its_hits_only(spark, monkeypatch):
+    names = ["Hub one", *[f"Leaf {i}" for i in range(6)], "Chain a", "Chain b", "Chain c", "Chain d"]
+    links = [(f"Leaf {i}", "Hub one") for i in range(6)] + [("Hub one", "Chain a"), ("Chain a", "Chain b"), ("Chain b", "Chain c"), ("Chain c", "Chain d"), ("Leaf 1", "Leaf 1")]
+    notes = spark.createDataFrame([(i, f"i{i}", n, "rare words " + " ".join(f"[[{b}]]" for a, b in links if a == n)) for i, n in enumerate(names)], "pos long, id string, title string, markdown string")
+    near = {n: {b for a, b in links if a == n} | {a for a, b in links if b == n} for n in names}
+    level, steps = {"Leaf 3"}, {"Leaf 3": 0}
+    for k in (1, 2, 3):
+        level = {b for a in level for b in near[a]} - set(steps)
+        steps |= dict.fromkeys(level, k)
+    monkeypatch.setattr(G, "neighbourhood", None)
+    got = EV.graph_plan(spark.createDataFrame([(1, "rare words of leaf 3")], "question_id long, question string"), notes, G.authored_edges(notes), 20).collect()
+    assert {r.ident: r.hops for r in got} == {f"i{i}": steps.get(n) for i, n in enumerate(names)}
