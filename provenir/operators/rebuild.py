@@ -1,7 +1,7 @@
 """Candidates kept up to date: after an edit only changed blocks are read again, and only what rests on them is counted anew.
 
 A state has five tables: blocks (block_id, pos, hash), mentions, entities, evidence (of relations, a row for each block) and relations, as in ``extraction``.
-``increment`` gives just the state that ``full`` gives for the new blocks. What it reads again is the changed blocks, and the blocks that mention an entity whose
+Where only entities are asked for, a state has the first three. ``increment`` gives just the state that ``full`` gives for the new blocks. What it reads again is the changed blocks, and the blocks that mention an entity whose
 name or id changed with them, since relations are found by the names' places.
 """
 
@@ -23,12 +23,15 @@ def hashed(blocks: DataFrame) -> DataFrame:
     return blocks.select("block_id", "pos", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
 
 
-def full(blocks: DataFrame) -> State:
-    """The state of blocks(block_id, pos, text)."""
+def full(blocks: DataFrame, relations: bool = True) -> State:
+    """The state of blocks(block_id, pos, text), without ``relations`` that of its entities alone."""
     mentions = materialize(E.mentions(blocks), "mentions")
     entities = materialize(E.entity_candidates(mentions), "entities")
+    state = {"blocks": materialize(hashed(blocks), "blocks"), "mentions": mentions, "entities": entities}
+    if not relations:
+        return state
     evidence = materialize(E.relation_evidence(blocks.select("block_id", "text"), mentions, entities), "evidence")
-    return {"blocks": materialize(hashed(blocks), "blocks"), "mentions": mentions, "entities": entities, "evidence": evidence, "relations": materialize(E.relation_candidates(evidence), "relations")}
+    return state | {"evidence": evidence, "relations": materialize(E.relation_candidates(evidence), "relations")}
 
 
 def changes(old: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -40,14 +43,14 @@ def changes(old: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def increment(old: State, blocks: DataFrame) -> tuple[State, DataFrame]:
-    """The state of the new blocks, from the old state; and the blocks that were read again (block_id, again: extract or relate)."""
+    """The state of the new blocks, from the old state; and the blocks that were read again (block_id, again: extract or relate). Of an old state without relations, only the entities' state and the blocks that were extracted."""
     plan = materialize(changes(old["blocks"], blocks).where("action <> 'keep'"), "changes")
     read = plan.where("action = 'extract'").select("block_id")
     gone = plan.where("action IN ('extract', 'remove')").select("block_id")
     moved = plan.where("action = 'move'").select("block_id", F.col("pos").alias("_pos"))
 
-    n = {k: old[k].count() for k in ("mentions", "evidence", "relations")}  # of written tables
-    by_block = {k: dealt(old[k], n[k], "block_id") for k in ("mentions", "evidence")}
+    n = {k: old[k].count() for k in ("mentions", "evidence", "relations") if k in old}  # of written tables
+    by_block = {k: dealt(old[k], n[k], "block_id") for k in ("mentions", "evidence") if k in old}
     fresh = materialize(E.mentions(blocks.join(read, "block_id", "left_semi")), "fresh")
     kept = by_block["mentions"].join(gone, "block_id", "left_anti").join(moved, "block_id", "left")
     first = F.when(F.col("_pos").isNotNull(), F.col("first").withField("pos", F.col("_pos"))).otherwise(F.col("first"))
@@ -57,6 +60,9 @@ def increment(old: State, blocks: DataFrame) -> tuple[State, DataFrame]:
     touched = materialize(touched, "touched")
     counted = materialize(E.entity_candidates(dealt(mentions, n["mentions"], *KEY).join(touched, KEY, "left_semi")), "counted")
     entities = materialize(old["entities"].join(touched, KEY, "left_anti").unionByName(counted), "entities")
+    state = {"blocks": materialize(hashed(blocks), "blocks"), "mentions": mentions, "entities": entities}
+    if "relations" not in old:
+        return state, read.withColumn("again", F.lit("extract"))
     before = old["entities"].join(touched, KEY, "left_semi").select(*KEY, F.col("id").alias("_id"), F.col("name").alias("_name"))
     other = counted.join(before, KEY, "full").where(~(F.col("id").eqNullSafe(F.col("_id")) & F.col("name").eqNullSafe(F.col("_name")))).select(KEY)
 
@@ -69,7 +75,7 @@ def increment(old: State, blocks: DataFrame) -> tuple[State, DataFrame]:
     ids = materialize(by_block["evidence"].join(dropped, "block_id", "left_semi").select("id").unionByName(found.select("id")).distinct(), "ids")
     counted = E.relation_candidates(dealt(evidence, n["evidence"], "id").join(ids, "id", "left_semi"), 0)
     relations = dealt(old["relations"], n["relations"], "id").join(ids, "id", "left_anti").unionByName(counted)
-    return {"blocks": materialize(hashed(blocks), "blocks"), "mentions": mentions, "entities": entities, "evidence": evidence, "relations": materialize(relations, "relations")}, again
+    return state | {"evidence": evidence, "relations": materialize(relations, "relations")}, again
 
 
 def reviewed(state: State, entities: DataFrame, relations: DataFrame, extractor: str) -> tuple[DataFrame, DataFrame]:

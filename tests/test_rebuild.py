@@ -57,6 +57,18 @@ def test_what_is_read_again_grows_with_the_change(spark):
     assert RB.increment(state, table())[1].count() == 0
 
 
+def test_entities_alone_are_rebuilt_without_relations(spark, monkeypatch):
+    rnd = random.Random(7)
+    blocks = [(i, i, sentence(rnd)) for i in range(60)]
+    edited = [(i, p + 1000 * (i % 9 == 0), sentence(rnd) if i % 7 == 0 else t) for i, p, t in blocks if i % 11]
+    old, new = (spark.createDataFrame(b, BLOCK) for b in (blocks, edited))
+    want = rows(RB.full(new))
+    monkeypatch.setattr(RB.E, "relation_evidence", None)
+    state, again = RB.increment(RB.full(old, relations=False), new)
+    assert rows(state) == {k: want[k] for k in ("blocks", "mentions", "entities")}
+    assert {r.block_id for r in again.collect()} == {i for i, _, t in edited if t != blocks[i][2] and (t or blocks[i][2])}
+
+
 def test_empty_states(spark):
     none = spark.createDataFrame([], BLOCK)
     some = spark.createDataFrame([(1, 1, "Acme Corp uses Beta Labs.")], BLOCK)
