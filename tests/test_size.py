@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -73,6 +74,53 @@ def test_candidates_are_dealt_out_by_their_rows(spark, monkeypatch):
     assert "hashpartitioning(id#" in plan_of(relations) and f", {-(-evidence.count() // 25)})" in plan_of(relations)
 
 
+def test_patterns_run_where_a_text_can_hold_them(spark):
+    rnd = random.Random(12)
+    words = ["HTTPS://a.B/c", "http:/x", "10.1234/ab-C", "10.12/ab", "IsBn 978-3-16-148410-0", "isbn-10: 0306406152", "9783161484100", "2001-02-03", "Ann", "Lee\u00a0", "Ünal", "ann"]
+    blocks = spark.createDataFrame([(i, i, rnd.choice(["", None]) if i % 20 == 0 else rnd.choice([" ", "  ", "\t"]).join(rnd.choice(words) for _ in range(rnd.randint(1, 8)))) for i in range(120)], "pos long, block_id long, text string")
+
+    def one(pattern, kind, keep):
+        held = F.filter(F.regexp_extract_all("text", F.lit(pattern), 0), lambda n: n.rlike(keep))
+        return F.transform(held, lambda n: F.struct(F.lit(kind).alias("type"), F.trim(n).alias("name")))
+
+    each = F.concat(one(E.URL, "url", ""), one(E.DOI, "identifier", ""), one(E.ISBN, "identifier", "(?i)ISBN"))
+    plain = blocks.select("block_id", F.explode(each).alias("c")).select("c.type", E.normalize_spaces(F.col("c.name")).alias("normalized"), "block_id").distinct()
+    found = E.mentions(blocks)
+    got = found.where("type in ('url', 'identifier')").select("type", "normalized", "block_id")
+    assert sorted(got.collect()) == sorted(plain.collect()) and {r.type for r in plain.collect()} == {"url", "identifier"}
+    assert "contains(text" in plan_of(found).lower()
+
+
+def test_relations_meet_each_block_once(spark):
+    rnd = random.Random(9)
+    verbs = ["acquired", "partners with", "uses", "depends on", "works at", "was part of", "built", "reused", "useful", "and", "is  member of"]
+    names = ["Ann Lee", "Bob", "Carl  Ray", "Dora", "Éva Sz", "BOB"]
+    blocks = spark.createDataFrame([(i, i, " ".join(rnd.choice(names) + " " + rnd.choice(verbs) for _ in range(rnd.randint(0, 9)))) for i in range(60)], "pos long, block_id long, text string")
+    found = storage.materialize(E.mentions(blocks))
+    assert found.where(found.normalized != E.normalize_spaces(found["first"]["name"])).isEmpty()
+    entities = E.entity_candidates(found)
+    got = E.relation_evidence(blocks.select("block_id", "text"), found, entities)
+    of = {(r.type, r.normalized): (r.id, r.name) for r in entities.collect()}
+    held = {}
+    for r in found.collect():
+        held.setdefault(r.block_id, []).append(of[r.type, r.normalized])
+    patterns = [(re.compile(r"(?<!\w)(?:" + p + r")(?!\w)", re.ASCII), v, c) for p, v, c in E.VERBS]
+    want = {}
+    for i, _, text in blocks.collect():
+        low = text.lower()
+        at = sorted((low.find(n.lower()), -len(n), e, n) for e, n in held.get(i, []) if n.lower() in low)[: E.PER_BLOCK]
+        for k, (p, _, source, n) in enumerate(at):
+            for _, _, target, other in at[k + 1 :]:
+                b = low.find(other.lower(), p + len(n))
+                if b >= 0:
+                    between = low[p + len(n) : b][:120]
+                    verb, confidence = next(((v, c) for x, v, c in patterns if x.search(between)), E.CO_MENTION)
+                    key = (f"{source}::{verb}::{target}", i)
+                    want[key] = max(want.get(key, 0), confidence)
+    assert {(r.id, r.block_id): r.confidence for r in got.collect()} == want and len(want) > 100
+    assert "Window" not in plan_of(got)
+
+
 def test_scores_of_all_pairs_are_not_grouped_or_written(spark, monkeypatch):
     rnd = random.Random(4)
     words = [f"w{i}" for i in range(12)]
